@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 SLICE_BYTES = 1 << 20
 
@@ -41,6 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def widened(df: DataFrame, **kinds: str) -> T.StructType:
+    """df's schema with more fields."""
+    return T.StructType([*df.schema.fields, *(T.StructField(name, T.LongType() if kind == "long" else T.DoubleType() if kind == "double" else T.StringType()) for name, kind in kinds.items())])
+
+
 def fold_of(doc_id, folds: int):
     """crc32 of the id as text, modulo folds."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds

@@ -182,6 +182,7 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     cutup = cut(pieces(docs, tokenizer_path, capacity, end_id))
     groups = max(1, -(-cutup.count() // group_pieces))
+    names = [*cutup.columns, "sequence_id", "offset"]
     placed = cutup.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", F.lit(11)), F.lit(groups)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +193,7 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             for i, (b, offset) in enumerate(first_fit_decreasing([r[2] for r in held], capacity)):
                 held[i] = (*held[i][:5], (held[i][5] << 32) + b, offset)
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], names=[*cutup.columns, "sequence_id", "offset"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], names=names)
                 held.clear()
 
         for batch in batches:

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import widened
+
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
@@ -32,6 +34,7 @@ CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+\Z")), ("alnum", re.compile(r"[A-Za-
 #: Strings that look random and are no secrets: identifiers of content, of rows and of examples.
 ALLOWED = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z|sha(?:1|256|384|512)[-_=]|.*example|(?:[a-z]+[-_/])+[a-z]*[0-9]{0,4}\Z|[0-9+/_=-]+\Z")
 
+MADE = {"n_assign": "long", "n_access": "long", "n_hex": "long", "base_sha256": "string", "spans": "string"}
 _TERM = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 _MOST = math.log2(WINDOW)
 
@@ -121,10 +124,4 @@ def secrets(docs: DataFrame, redacted: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns.values(), *made], names=[*columns, *MADE])
 
     kept = docs.withColumn("text", F.col("text").cast("string")).drop(*MADE)
-    schema = kept.schema
-    for name in MADE:
-        schema = schema.add(name, "long" if name.startswith("n_") else "string")
-    return kept.mapInArrow(scan, schema)
-
-
-MADE = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    return kept.mapInArrow(scan, widened(kept, **MADE))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_slices
+from .common import text_slices, widened
 
 BITS = 18
 GRAMS = (3, 4, 5)
@@ -121,5 +121,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, where=None, max_rows: int = 12_
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "tox_score"])
 
     kept = docs.withColumn("text", F.col("text").cast("string")).drop("tox_score")
-    schema = kept.schema.add("tox_score", "double")
-    return kept.mapInArrow(scorer, schema)
+    return kept.mapInArrow(scorer, widened(kept, tox_score="double"))
