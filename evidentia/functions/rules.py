@@ -63,7 +63,7 @@ def attention(kind: Column, novel: Column, origin: Column, purpose: str) -> Colu
 
 def recency(score: Column, occurred: Column, now: Column, weight: float = 1.0, half_life_days: float = 365.0) -> Column:
     """score * (1 + weight * 0.5 ** (age / half life)); an unknown time leaves the score."""
-    age = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(occurred)) / F.lit(86_400_000_000.0))
+    age = F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.unix_micros(occurred.cast("timestamp"))) / F.lit(86_400_000_000.0))
     return F.when(occurred.isNull(), score).otherwise(score * (1 + weight * F.pow(F.lit(0.5), age / half_life_days)))
 
 
