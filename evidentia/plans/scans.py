@@ -71,6 +71,19 @@ def src_08_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("props is not null").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+@query("SELECT conv_id, CAST(rank() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS message_no, role AS sender, text, CAST(1700000000 + turn * 60 AS BIGINT) // 60 * 60 AS sent FROM conversations")
+def src_10_chat_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as a chat export, whose lines are then read back into messages."""
+    from ..sources.chat_export import messages
+
+    rows = table(spark, sf_dir, "conversations")
+    at = F.timestamp_seconds(1_700_000_000 + F.col("turn") * 60)
+    said = F.concat(F.date_format(at, "dd/MM/yyyy, HH:mm"), F.lit(" - "), "role", F.lit(": "), "text")
+    lines = rows.select(F.col("conv_id").alias("path"), "turn", F.posexplode(F.split(said, "\n")).alias("n", "line"))
+    read = messages(lines.select("path", F.struct("turn", "n").alias("line_no"), "line"))
+    return read.select(F.col("path").alias("conv_id"), "message_no", "sender", "text", F.unix_seconds("sent_at").alias("sent"))
+
+
 @query("SELECT event_id, event_type AS metric, CAST(value AS DECIMAL(38, 18))::DOUBLE AS value FROM events WHERE value IS NOT NULL AND isfinite(value)")
 def src_11_csv_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("metric"), F.expr("try_cast(cast(value as string) as decimal(38, 18))").alias("value"))

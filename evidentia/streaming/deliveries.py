@@ -1,0 +1,48 @@
+"""Leased deliveries as state: each key's commands move one state machine, whatever batches they come in."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+# Attempts after which a task is set aside, and the lease in seconds.
+MOST_ATTEMPTS, LEASE_SECONDS = 3, 60
+_OUT = "key string, seq long, state string, attempts int, fence long, accepted boolean"
+_STATE = "state string, attempts int, fence long, until double"
+
+
+def step(state: str, attempts: int, fence: int, until: float, command: str, at: float, held: int) -> tuple[str, int, int, float, bool]:
+    """One command on (state, attempts, fence, lease end): claim, ack or retry; held is the fence of who asks."""
+    if command == "claim":
+        free = state == "pending" or (state == "leased" and at >= until)
+        if not free:
+            return state, attempts, fence, until, False
+        if attempts >= MOST_ATTEMPTS:
+            return "quarantined", attempts, fence, until, False
+        return "leased", attempts + 1, fence + 1, at + LEASE_SECONDS, True
+    if state != "leased" or held != fence or at >= until:
+        return state, attempts, fence, until, False
+    if command == "ack":
+        return "delivered", attempts, fence, until, True
+    if command == "retry":
+        return ("quarantined" if attempts >= MOST_ATTEMPTS else "pending"), attempts, fence, until, True
+    return state, attempts, fence, until, False
+
+
+def _run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+    state = held.get if held.exists else ("pending", 0, 0, 0.0)
+    for frame in frames:
+        out = []
+        for row in frame.sort_values("seq").itertuples():
+            *state, accepted = step(*state, row.command, row.at, row.fence)
+            out.append((key[0], row.seq, state[0], state[1], state[2], accepted))
+        yield pd.DataFrame(out, columns=["key", "seq", "state", "attempts", "fence", "accepted"])
+    held.update(tuple(state))
+
+
+def deliveries(commands: DataFrame) -> DataFrame:
+    """The outcome of each command of a stream (key, seq, command, at, fence); an expired lease is free to claim."""
+    return commands.groupBy("key").applyInPandasWithState(_run, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
