@@ -7,7 +7,7 @@ one is rejected (`accepted` is false), and the best guess still stands in lang_p
 
 The fit takes a bounded sample of the labelled rows: the `tried` smallest hashes of the id in each language, and of these
 at most `per_language` with different beginnings, so that copies don't fill a dictionary. Languages with most rows come
-first, at most `max_languages`. A null text, or one without a letter, is `und` with score 0. With nothing to
+first, at most `max_languages`. Rows of a null id are not learnt from. A null text, or one without a letter, is `und` with score 0. With nothing to
 learn from, all are `und`. Ties go to the language first in the alphabet. Repeated rows give a row each; extra columns
 are not read.
 """
@@ -71,7 +71,7 @@ def sampled(known: DataFrame, per_language: int, tried: int, max_languages: int)
     for row in sorted(rows, key=lambda r: (r.lang, r.n, r.text)):
         if len(found[row.lang]) < per_language:
             found[row.lang].setdefault(row.text[:60], row.text)
-    return {name: list(texts.values()) for name, texts in found.items()}
+    return {name: list(texts.values()) for name, texts in found.items() if texts}
 
 
 def languages(docs: DataFrame, known: DataFrame, per_language: int = 400, tried: int = 2000, max_languages: int = 50) -> DataFrame:

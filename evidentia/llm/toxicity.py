@@ -105,6 +105,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     """Fit on a bounded sample of labelled rows, in one task; `where` picks the rows that may be learnt from, by doc_id."""
     sample = labelled_sample(docs, labels, label, max_rows, where)
     row = sample.repartition(1).sortWithinPartitions("doc_id").select("text", "y").mapInArrow(_fitter, "weights binary, bias double").first()
+    if row is None:  # nothing is labelled, and Spark skips the task
+        return np.zeros(1 << BITS, np.float32), 0.0
     return np.frombuffer(row["weights"], np.float32), row["bias"]
 
 

@@ -1,0 +1,83 @@
+"""License and secret scans against plain readings of their contracts."""
+
+import hashlib
+import math
+import re
+
+from evidentia.llm import license_scan, queries, secret_scan
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def base_license(text):
+    words = WORD.findall(lower(text))
+    places = sorted((i, label) for phrase, label in license_scan.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split())
+    starts = [i for i, _ in places]
+    return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({b for _, b in places}))
+
+
+HARD = [None, "", "---", "MIT License mit-license MIT\nLICENSE", "CC BY CC-BY cc by-nc", "gnu general public licenses", "éMIT License MIT Licenseé", "the GNU General Public License, GNU GENERAL PUBLIC LICENSE", "apache license " * 500]
+
+
+def test_license_base(spark, sf_dir):
+    rows = [(i, t, 1) for i, t in enumerate(HARD)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, labels int")
+    found = {r.doc_id: tuple(r)[1:6] for r in license_scan.licenses(frame).collect()}
+    assert found == {i: base_license(t) for i, t, _ in rows}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    every = queries.op2_licenses(spark, sf_dir).collect()
+    assert {r.doc_id: tuple(r)[1:6] for r in every} == {d: base_license(t) for d, t in docs.items()}
+    assert all(0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in every)
+    assert license_scan.licenses(frame.limit(0)).count() == 0
+
+
+def test_expressions():
+    assert license_scan.postfix("MIT OR Apache-2.0 AND GPL-2.0-only WITH X-exception") == ["mit", "apache-2.0", "gpl-2.0-only", "x-exception", "with", "and", "or"]
+    assert license_scan.postfix("(MIT or BSD) and ISC") == ["mit", "bsd", "or", "isc", "and"]
+    assert license_scan.postfix("MIT */ more") == ["mit"] and license_scan.postfix("MIT more words") == ["mit"]
+    assert license_scan.postfix(")") is None and license_scan.postfix("(MIT") is None and license_scan.postfix("MIT OR") == ["mit"]
+    assert license_scan.evaluate(["mit", "bsd", "or", "isc", "and"]) == [frozenset({"mit", "isc"}), frozenset({"bsd", "isc"})]
+    row = license_scan.scan(b"x\nSPDX-License-Identifier: (MIT OR BSD-2-Clause) */\ny", license_scan._automaton())
+    assert row[5] == "bsd-2-clause,mit" and row[6] == 0.95
+
+
+def base_secrets(text):
+    text, found = text or "", []
+    for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m.group(2)) >= 8:
+            found.append((m.start(), m.end(), 0))
+    found += [(m.start(), m.end(), 1) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 16]
+    found += [(m.start(), m.end(), 2) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 32]
+    found.sort(key=lambda s: (s[0], s[2]))
+    digest = hashlib.sha256(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, b, k in found).encode()).hexdigest()
+    return *(sum(s[2] == k for s in found) for k in range(3)), digest
+
+
+SECRETS = [None, "", 'é token = "1234567"', 'Passwd:"12345678', "API_KEY=abcdefgh apikey :'short' secret=ſecret=longenough1", "AKIA" + "A" * 11 + " AKIA" + "B" * 12, "🙂" + "0a" * 16 + "g" + "0" * 31, "token=" + "ab12" * 2000, "K" * 40, "xK9#qP2vL8mN4zR7tW1yB5"]
+
+
+def test_secrets_base(spark, sf_dir):
+    frame = spark.createDataFrame([(i, t, "s") for i, t in enumerate(SECRETS)], "doc_id long, text string, spans string")
+    found = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secret_scan.secrets(frame).collect()}
+    assert found == {i: base_secrets(t) for i, t in enumerate(SECRETS)}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in queries.op10_secrets(spark, sf_dir).collect()} == {d: base_secrets(t) for d, t in docs.items()}
+    assert secret_scan.secrets(frame.limit(0)).count() == 0
+
+
+def test_entropy():
+    def plain(text, n=secret_scan.WINDOW):
+        def bits(w):
+            return -sum(c / len(w) * math.log2(c / len(w)) for c in (w.count(x) for x in set(w)))
+
+        return max(bits(text[i : i + n]) for i in range(max(1, len(text) - n + 1)))
+
+    for text in ("aaaa", "abcdefghijklmnopqrstuvwxyz0123456789" * 2, "ab" * 40 + "q7Rt9Zk2Lm5Xw8Vb3Nc6", "x"):
+        assert abs(secret_scan.peak_entropy(text) - plain(text)) < 1e-9
+    assert secret_scan.entropy_spans("key q7Rt9Zk2Lm5Xw8Vb3Nc6Pd end") == [(4, 26, 3)]
+    assert not secret_scan.entropy_spans("erheiteinschlichkeitungsverbe 1234567890123456789012345 123e4567-e89b-12d3-a456-426614174000")
+    assert secret_scan.redact("a secret b", [(2, 8, 0), (4, 8, 2)]) == "a [SECRET] b"
