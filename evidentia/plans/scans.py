@@ -108,15 +108,16 @@ def src_20_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 WITH o AS (SELECT conv_id, turn, text FROM conversations WHERE turn < 4),
-n AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN upper(text) ELSE text END AS text FROM conversations WHERE conv_id % 7 <> 0)
+n AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN upper(text) ELSE text END AS text FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system'))
 SELECT conv_id, turn, CASE WHEN o.text IS NULL THEN 'new' WHEN n.text IS NULL THEN 'removed' WHEN o.text = n.text THEN 'unchanged' ELSE 'changed' END AS status
 FROM o FULL JOIN n USING (conv_id, turn)"""
 )
 def src_21_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     digest = F.sha2(F.col("text").cast("binary"), 256)
     old = rows.where("turn < 4").withColumn("d", digest)
-    new = rows.where("conv_id % 7 != 0").withColumn("text", F.when(F.col("conv_id") % 5 == 0, F.upper("text")).otherwise(F.col("text"))).withColumn("d", digest)
+    left = rows.join(rows.where("role = 'system'").select("conv_id"), "conv_id", "left_anti")
+    new = left.withColumn("text", F.when(F.col("role") == "assistant", F.upper("text")).otherwise(F.col("text"))).withColumn("d", digest)
     return evidence.snapshot_diff(old, new, ["conv_id", "turn"], "d")
 
 
@@ -162,15 +163,16 @@ def snk_01_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH store AS (SELECT source, doc_id % 500 AS k, min(sha256(text)) AS d FROM documents WHERE doc_id % 2 = 0 GROUP BY 1, 2),
+WITH store AS (SELECT source, doc_id % 500 AS k, min(sha256(text)) AS d FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1, 2),
 dead AS (SELECT DISTINCT source, doc_id % 500 AS k FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
 SELECT doc_id, CASE WHEN dead.k IS NOT NULL THEN 'forgotten' WHEN store.d IS NULL THEN 'new' WHEN store.d = sha256(text) THEN 'duplicate' ELSE 'conflict' END AS status
 FROM (SELECT *, doc_id % 500 AS k FROM documents) b LEFT JOIN store ON b.source = store.source AND b.k = store.k LEFT JOIN dead ON b.source = dead.source AND b.k = dead.k"""
 )
 def snk_03_ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("doc_id") % 500).alias("k"), F.sha2(F.col("text").cast("binary"), 256).alias("d"))
-    store = docs.where("doc_id % 2 = 0").groupBy("source", "k").agg(F.min("d").alias("d"))
-    dead = docs.join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    labels = table(spark, sf_dir, "labels")
+    store = docs.join(labels, "doc_id", "left_semi").groupBy("source", "k").agg(F.min("d").alias("d"))
+    dead = docs.join(labels.where("toxic = 1"), "doc_id", "left_semi")
     return evidence.ingest_status(docs, store, dead, ["source", "k"], "d").select("doc_id", "status")
 
 
