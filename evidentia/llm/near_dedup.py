@@ -169,7 +169,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[i
     stars = cut(placed.join(pivots, "bucket").where("id != p").select(F.col("id").alias("x"), "p").distinct())
 
     needed = stars.select(F.col("x").alias("id")).union(stars.select(F.col("p").alias("id"))).distinct()
-    texts = cut(base.join(needed, "id", "left_semi").dropDuplicates(["id"]))
+    # Both sides grow with the input, so neither is ever sent whole to the tasks.
+    texts = cut(base.join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
     pairs = stars.join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("id").alias("p"), F.col("text").alias("tp")), "p")
     checked = cut(pairs.select("x", "p", "tx", "tp").mapInArrow(_verifier(shingle_words, num, den, is_word), _PAIR))
 
