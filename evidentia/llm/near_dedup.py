@@ -6,7 +6,7 @@ minima and two maxima of four different permutations. Documents with equal sets
 on. In a bucket every class is checked against the bucket's smallest id (its pivot) on full sets. Two classes of a
 bucket that the pivot does not already link are settled from what each adds to and drops from the pivot's set: these
 differences give the exact overlap. Such checks run in blocks of bounded size, the unlinked classes against all of the
-pivot's, and return links only.
+pivot's, and return the links that join what is not joined yet.
 
 Nulls, empty texts and texts without words have an empty set: size 0, linked with nothing, their own component. A null
 id has a null component and counts as kept. Rows that repeat an id give a row each. Other columns are not read.
@@ -24,7 +24,7 @@ from .common import NON_SPACE, cut, mix, shingle_hashes, span_hashes, text_slice
 from .graph import components
 
 #: Rows of either side of a block of pairs.
-BLOCK = 512
+BLOCK = 256
 
 
 def _permutations(perms: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,26 +108,39 @@ def _verifier(k: int, num: int, den: int, is_word: np.ndarray):
 
 
 def _cell(x: list[tuple], y: list[tuple], num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Links between the rows of two sides of one pivot. A row: id, size, overlap with the pivot, its size, linked, added, dropped."""
+    """Links that join what is apart among the rows of two sides of one pivot; those the pivot links are together already.
+
+    A row: id, size, overlap with the pivot, its size, linked, added, dropped. A pair that earlier links join is not
+    looked at again, so a cell gives fewer links than it has rows.
+    """
     if not x or not y:
         return
+    home: dict[int | None, int | None] = {r[0]: r[0] for r in (*x, *y) if not r[4]}
+    home[None] = None  # the pivot and all that it links
+
+    def root(node: int | None) -> int | None:
+        while home[node] != node:
+            home[node] = node = home[home[node]]
+        return node
+
     ty = np.concatenate([r[5] for r in y])
     jy = np.repeat(np.arange(len(y)), [len(r[5]) for r in y])
     order = np.argsort(ty, kind="stable")
     ty, jy = ty[order], jy[order]
-    ny, iy, idy = (np.array([r[c] for r in y], np.int64) for c in (1, 2, 0))
-    stray_y = np.array([not r[4] for r in y])
+    ny, iy = (np.array([r[c] for r in y], np.int64) for c in (1, 2))
     for r in x:
-        left, right = np.searchsorted(ty, r[5], "left"), np.searchsorted(ty, r[5], "right")
-        count = right - left
+        left, count = np.searchsorted(ty, r[5], "left"), np.searchsorted(ty, r[5], "right") - np.searchsorted(ty, r[5], "left")
         hit = np.flatnonzero(count)
-        at = np.repeat(left[hit] - np.concatenate([[0], np.cumsum(count[hit])[:-1]]), count[hit]) + np.arange(count[hit].sum()) if len(hit) else np.zeros(0, np.int64)
-        shared = np.bincount(jy[at.astype(np.int64)], minlength=len(y))
-        able = ((np.minimum(iy, r[2]) + shared) * (den + num) >= num * (ny + r[1])) & (idy != r[0]) & (~stray_y | (idy > r[0]))
-        for j in np.flatnonzero(able):
+        at = (np.repeat(left[hit] - np.cumsum(count[hit]) + count[hit], count[hit]) + np.arange(count[hit].sum())).astype(np.int64)
+        shared = np.bincount(jy[at], minlength=len(y))
+        for j in np.flatnonzero((np.minimum(iy, r[2]) + shared) * (den + num) >= num * (ny + r[1])):
             o = y[j]
+            mine, other = root(r[0]), root(None if o[4] else o[0])
+            if mine == other:
+                continue
             both = r[3] - len(r[6]) - len(o[6]) + len(np.intersect1d(r[6], o[6], assume_unique=True)) + int(shared[j])
             if both * (den + num) >= num * (r[1] + o[1]):
+                home[mine] = other
                 yield r[0], o[0]
 
 
