@@ -22,7 +22,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 DICT_BYTES, STRETCH, LEVEL, NARROW = 128 << 10, 8 << 10, 6, 0.01
 _LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A or b == 0x27 else 0x20 for b in range(256))
-_ANY_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(r"[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
 
 
 def normal(text: str) -> bytes:
@@ -47,7 +51,7 @@ class Encoders:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, accepted)."""
-        if not self.names or not text or not _ANY_LETTER.search(text):
+        if not self.names or not text or not has_letter(text):
             return "und", 0.0, False
         plain = normal(text)
         stretches = [plain[i : i + STRETCH] for i in range(0, len(plain), STRETCH)]

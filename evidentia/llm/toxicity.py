@@ -83,8 +83,8 @@ def score(text: np.ndarray, weights: np.ndarray, bias: float, mark: np.ndarray)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, where=None) -> DataFrame:
-    """(text, y) of at most max_rows labelled documents, half of that at most of either label's surplus: the smallest hashes of the id."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
+    """(text, y, doc_id) of at most max_rows labelled documents, those with the smallest hashes of the id; 1 counts where labels differ."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     if where is not None:
         known = known.where(where)
     ids = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
