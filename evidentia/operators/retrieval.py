@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import query_terms, tokens
+from ..session import settled
 
 K1, B = 1.2, 0.75
 RRF_BASE = 60
@@ -24,15 +25,16 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, score) of the documents that hold any term of a query (query_id, text).
 
-    Only the queries' terms leave the scan: the semi-join comes before the counts are shuffled by term.
+    Texts are read and cut into tokens once: only the queries' terms leave the scan, and a blank term for each document,
+    which stands for the document in the counts. The counts by term and document are settled, as they are used thrice.
     """
     wanted = queries.select("query_id", F.explode(query_terms("text")).alias("term"))
+    named = wanted.select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
     held = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("t")).where(F.size("t") > 0)
-    shape = held.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    words = held.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    tf = words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    words = held.select("doc_id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).join(named, "term", "left_semi")
+    tf = settled(words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
+    n, avgdl = tf.where("term = ''").agg(F.count("*"), F.avg("dl")).first()
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n, avgdl = shape.first()
     idf = F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
     return tf.join(df, "term").join(wanted, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
