@@ -58,3 +58,14 @@ def test_neighbours_skip_bad_vectors(spark):
     asked = vectors.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     assert [r.id for r in retrieval.neighbours(vectors, asked, 5).orderBy("rank").collect()] == [1, 2]
     assert retrieval.neighbours(vectors, asked.limit(0), 5).count() == 0
+
+
+def test_branches_take_turns(spark):
+    from evidentia.operators import recall
+
+    hits = spark.createDataFrame([("a", 1, 1, True), ("a", 2, 2, True), ("b", 1, 1, True), ("b", 3, 2, False), ("b", 4, 3, True)], "branch string, id int, rank int, ok boolean")
+    rows = recall.branches(hits, F.col("ok"), 10, 10).collect()
+    assert [(r.id, r.round, r.branch, r.branches) for r in rows] == [(1, 1, "a", ["a", "b"]), (2, 2, "a", ["a"]), (4, 2, "b", ["b"])]
+    now = F.to_timestamp(F.lit("2024-01-02 00:00:00"))
+    free = lambda s, t: spark.range(1).select(recall.claimable(F.lit(s), F.to_timestamp(F.lit(t).cast("string")), now).alias("v")).first()["v"]
+    assert free("pending", None) and free("leased", "2024-01-01 00:00:00") and not free("leased", "2024-01-03 00:00:00") and not free("complete", None)
