@@ -30,7 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
     dropped = near_duplicates(docs, shingle_words=5).where("not kept").select("doc_id")
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    known = docs.select(*COLUMNS).where("doc_id is not null").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return known.select(*COLUMNS).union(docs.select(*COLUMNS).where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,10 @@ def test_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_null_and_repeated_ids(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame([(None, "a b", "en", "s", 3), (None, "a b", "en", "s", 3), (10**9, "only this text here now", "en", "s", 3), (10**9, "only this text here now", "en", "s", 3)], docs.schema)
+    kept = cp.near_dedup(spark, odd, sf_dir).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 10**9]
