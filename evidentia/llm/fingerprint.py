@@ -83,12 +83,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text is the document's with its last half replaced by as much of the next document's beginning.
     """
-    base = with_sketch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "text", "sketch")
-    halves = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.floor(F.length(F.coalesce("text", F.lit(""))) / 2)).cast("int").alias("half"))
-    order = followers(docs.select(F.col("doc_id").cast("long").alias("doc_id"))).join(halves, "doc_id").select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), "half")
-    heads = base.join(order, "doc_id").select(F.col("before").alias("doc_id"), F.expr("left(text, half)").alias("head"), F.col("sketch").alias("next_sketch"))
-    own = F.expr("left(text, length(text) - length(text) div 2)")
-    both = base.join(heads, "doc_id", "left").select("doc_id", F.length("text").cast("long").alias("n_chars"), F.concat(own, F.expr("left(coalesce(head, ''), cast(length(text) div 2 as int))")).alias("edited"), "sketch", F.coalesce("next_sketch", F.expr("array()").cast("array<int>")).alias("next_sketch"))
+    named = docs.select("doc_id", "text")
+    if dict(named.dtypes) != {"doc_id": "bigint", "text": "string"}:
+        named = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    every = named.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base = every.where("doc_id is not null")
+    halves = base.groupBy("doc_id").agg(F.max(F.expr("cast(length(text) div 2 as int)")).alias("half"))
+    order = followers(every).join(halves, "doc_id").select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), "half")
+    # Both joins take the same (doc_id, text) by doc_id, so texts are shuffled once; the second moves beginnings and
+    # sketches only. Sketches come after the shuffle, for lambdas keep Spark from seeing that the two sides are equal.
+    ahead = with_sketch(base.join(order, "doc_id"), "text", "next_sketch")
+    heads = ahead.select(F.col("before").alias("doc_id"), F.expr("left(text, half)").alias("head"), "next_sketch")
+    both = base.join(heads, "doc_id").select("doc_id", "text", "head", "next_sketch")
+    alone = every.where("doc_id is null").select("doc_id", "text", F.lit("").alias("head"), F.expr("cast(array() as array<int>)").alias("next_sketch"))
+    both = with_sketch(both.union(alone), "text", "sketch")
+    edited = F.expr("concat(left(text, cast(length(text) - length(text) div 2 as int)), left(head, cast(length(text) div 2 as int)))")
+    both = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
     both = with_sketch(both, "edited", "edited_sketch")
     return both.select(
         "doc_id",
