@@ -3,10 +3,15 @@
 Texts and benchmark items are word sequences (A-Z lower-cased, split at ASCII punctuation and white space). A document
 holds an item if some stretch of it is within floor(EDITS * words of the item) word edits (insertion, deletion,
 substitution) of the item. Every item-sized window of every whole text is looked at. Since an edit spends at most one
-word, a window with fewer words of the items of its length (each as often as one of them has it) than such an item must keep can hold none, and is not embedded. The
-others are embedded by CGK walks: a pointer reads the window word by word and moves on by a random bit of (step, word),
-so that edit distance becomes Hamming distance. Each of WALKS walks is sampled TABLES times at SAMPLED steps; a window
-that agrees with an item in any sample is a candidate, and the exact edit distance settles it.
+word, a window with fewer words of the items of its length (each as often as one of them has it) than such an item must keep can hold none, and is not looked at further.
+
+An item of n words is split into ceil((e + 1) / 2) parts, e = floor(EDITS * n), so that one part of any match has at
+most one edit, however long the item. Parts, and the windows of their size in what is left of the texts, are embedded by
+CGK walks: a pointer reads the words one by one and moves on by a random bit of (step, word), so that edit distance
+becomes Hamming distance. Each walk is sampled TABLES times at SAMPLED steps. A window that agrees with a part in any
+sample and has all but one of its words makes a candidate, and the exact edit distance to the whole item settles it.
+WALKS gives the walks for each size of a part at which the worst place and kind of one edit is met with the recall
+TARGET (`part_recall` measures it); a match of which several parts have at most one edit has as many chances.
 
 The benchmark is a stated query set: its index goes to each task and must have at most `max_items` items; a larger one
 is taken in blocks of that size. Null or empty texts hold nothing; items without words match nothing. Ties of place go
@@ -24,8 +29,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import WORD, mix, span_hashes, text_slices, word_spans
 
-EDITS = 0.2
-WALKS, TABLES, SAMPLED = 6, 8, 4
+EDITS, TARGET = 0.2, 0.999
+TABLES, SAMPLED = 8, 3
+#: Walks by the words of a part that may have an edit; smaller parts have none, and one walk finds them all.
+WALKS = dict.fromkeys(range(5, 11), 16)
 #: Windows of so many bytes of text are embedded together.
 SCAN_BYTES = 4 << 20
 _SCHEMA = "doc_id long, item_id long, distance int, item_words int, start int, length int"
@@ -46,24 +53,39 @@ def cgk(words: np.ndarray, walk: int, steps: int) -> np.ndarray:
     return out
 
 
-def _samples(n_words: int) -> tuple[int, np.ndarray]:
-    """Steps of a walk over n words, and the sampled steps by (walk, table)."""
-    chosen = np.random.default_rng(n_words).integers(0, max(1, 2 * n_words - 2), (WALKS, TABLES, SAMPLED))
-    return int(chosen.max()) + 1, chosen
+def part_bounds(n_words: int) -> np.ndarray:
+    """Bounds of an item's parts, of which one has at most one edit in every match."""
+    parts = int(EDITS * n_words) // 2 + 1
+    return np.arange(parts + 1) * n_words // parts
 
 
-def _keys(words: np.ndarray, n_words: int) -> Iterator[np.ndarray]:
-    """The sampled hashes of each row, one array for each walk and table."""
-    steps, chosen = _samples(n_words)
-    for walk in range(WALKS):
-        seen = cgk(words, walk, steps)
+def _keys(words: np.ndarray, walks: int | None = None) -> Iterator[np.ndarray]:
+    """The sampled hashes of each row of a matrix of word hashes, one array for each walk and table."""
+    n_words = words.shape[1]
+    walks = WALKS.get(n_words, 1) if walks is None else walks
+    for walk in range(walks):
+        chosen = np.random.default_rng((n_words, walk)).integers(0, max(1, 2 * n_words - 2), (TABLES, SAMPLED))
+        seen = cgk(words, walk, int(chosen.max()) + 1)
         for t in range(TABLES):
             key = np.full(len(words), walk * TABLES + t + 1, np.uint64)
-            for step in chosen[walk, t]:
+            for step in chosen[t]:
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + seen[:, step])
             yield key
 
 
+def part_recall(n_words: int, walks: int, trials: int = 1000) -> float:
+    """The share found of random parts with one edit, at the place and kind of edit where it is least."""
+    rng = np.random.default_rng(n_words)
+    part = rng.integers(1, 2**63, (trials, n_words), dtype=np.uint64)
+    new = rng.integers(1, 2**63, (trials, 1), dtype=np.uint64)
+    own, shares = list(_keys(part, walks)), []
+    for i in range(n_words):
+        for after in (part[:, i + 1 :], part[:, i:-1], np.hstack([part[:, i + 1 :], new])):
+            edited = np.hstack([part[:, :i], after]) if after.shape[1] == n_words - i else np.hstack([part[:, :i], new, after])
+            shares.append(np.any([a == b for a, b in zip(own, _keys(edited, walks), strict=True)], axis=0).mean())
+    return min(shares)
+
+
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(distance, start, length) of the stretch of text nearest to item by word edits: the first end, then the latest start of these."""
     n = len(item)
@@ -119,17 +141,25 @@ class Index:
         self.vocabulary = np.unique(np.concatenate([*self.items.values(), np.zeros(0, np.uint64)]))
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
-        self.tables, self.own = {}, {}
+        self.tables, self.own, parts = {}, {}, {}
         for n, ids in by_length.items():
             words = np.stack([self.items[i] for i in ids])
             self.own[n] = np.zeros(len(self.vocabulary) + 1, np.int32)
             for item in words:
                 code, times = np.unique(np.searchsorted(self.vocabulary, item), return_counts=True)
                 self.own[n][code] = np.maximum(self.own[n][code], times)
-            keys = np.stack(list(_keys(words, n)))
-            flat, owner = keys.ravel(), np.tile(np.array(ids, np.int64), len(keys))
+            bounds = part_bounds(n)
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                held = parts.setdefault(int(hi - lo), ([], [], []))
+                held[0].append(words[:, lo:hi])
+                held[1].append(np.array(ids, np.int64))
+                held[2].append(np.full(len(ids), lo, np.int64))
+        for size, (words, ids, places) in parts.items():
+            words = np.concatenate(words)
+            keys = np.stack(list(_keys(words)))
+            flat, owner = keys.ravel(), np.tile(np.arange(len(words)), len(keys))
             order = np.argsort(flat, kind="stable")
-            self.tables[n] = flat[order], owner[order]
+            self.tables[size] = flat[order], owner[order], words, np.concatenate(ids), np.concatenate(places)
 
     def matches(self, words: np.ndarray, first_word: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
         """(row, item, distance, item's words, start, length) in the texts whose words begin at first_word."""
@@ -143,30 +173,48 @@ class Index:
         sums, order = np.zeros(total + 1, np.int32), np.arange(total)
         sizes = np.diff(first_word)
         row_end = np.repeat(first_word[1:], sizes)
-        seen: dict[tuple[int, int], list[int]] = {}
+        seen: dict[tuple[int, int], set[int]] = {}
         row_of = np.repeat(np.arange(len(sizes)), sizes)
-        for n, (flat, owner) in self.tables.items():
+        near = {size: np.zeros(total + 1, np.int32) for size in self.tables}
+        for n, own in self.own.items():
             spare = int(EDITS * n)
-            np.cumsum(self.own[n][code] > 0, out=sums[1:])
+            np.cumsum(own[code] > 0, out=sums[1:])
             starts = np.flatnonzero(sums[np.minimum(order + n, row_end)] - sums[:-1] >= n - spare)
             for i in range(0, len(starts), 20_000):
                 part = starts[i : i + 20_000]
                 at = part[:, None] + np.arange(n)
                 held = np.sort(np.where(at < row_end[part][:, None], code[np.minimum(at, total - 1)], len(self.vocabulary)), axis=1)
                 run = np.maximum.accumulate(np.where(np.diff(held, axis=1, prepend=-1) != 0, np.arange(n), 0), axis=1)
-                able = (np.arange(n) - run < self.own[n][held]).sum(axis=1) >= n - spare
-                part, at = part[able], at[able]
+                able = part[(np.arange(n) - run < own[held]).sum(axis=1) >= n - spare]
+                for size in set(np.diff(part_bounds(n)).tolist()):
+                    np.add.at(near[size], able, 1)
+                    np.add.at(near[size], np.minimum(able + n + spare, row_end[able]), -1)
+        for size, (flat, owner, parts, ids, offsets) in self.tables.items():
+            starts = np.flatnonzero(np.cumsum(near[size][:-1]) > 0)
+            least = size - (size in WALKS)
+            for i in range(0, len(starts), 20_000):
+                part = starts[i : i + 20_000]
+                at = part[:, None] + np.arange(size)
+                inside = at < row_end[part][:, None]
+                at = np.minimum(at, total - 1)
+                able = (inside & (code[at] < len(self.vocabulary))).sum(axis=1) >= least
+                part, window = part[able], np.where(inside, words[at], np.uint64(0))[able]
                 if not len(part):
                     continue
-                window = np.where(at < row_end[part][:, None], words[np.minimum(at, total - 1)], np.uint64(0))
-                for key in _keys(window, n):
+                for key in _keys(window):
                     left, right = np.searchsorted(flat, key, "left"), np.searchsorted(flat, key, "right")
-                    for j in np.flatnonzero(right > left):
-                        for item in set(owner[left[j] : right[j]].tolist()):
-                            seen.setdefault((int(row_of[part[j]]), item), []).append(int(part[j]))
+                    line = np.flatnonzero(right > left)
+                    for k in range(0, len(line), 2000):
+                        some = line[k : k + 2000]
+                        many = right[some] - left[some]
+                        which = np.repeat(some, many)
+                        mine = owner[np.arange(len(which)) + np.repeat(left[some] - np.cumsum(many) + many, many)]
+                        same = sum((parts[mine, j][:, None] == window[which]).any(axis=1).astype(np.int64) for j in range(size)) >= least
+                        for p, m in zip(part[which[same]].tolist(), mine[same].tolist(), strict=True):
+                            seen.setdefault((int(row_of[p]), int(ids[m])), set()).add(max(int(first_word[row_of[p]]), p - int(offsets[m])))
         for (row, item), places in sorted(seen.items()):
             n = len(self.items[item])
-            spare, found, places = int(EDITS * n), None, sorted(set(places))
+            spare, found, places = int(EDITS * n), None, sorted(places)
             lo = hi = None
             for place in [*places, None]:
                 a, b = (None, None) if place is None else (max(int(first_word[row]), place - spare), min(int(first_word[row + 1]), place + n + spare))

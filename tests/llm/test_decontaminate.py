@@ -6,7 +6,7 @@ import re
 import numpy as np
 
 from evidentia.llm import queries
-from evidentia.llm.decontaminate import EDITS, best_match, contaminated
+from evidentia.llm.decontaminate import EDITS, TARGET, WALKS, Index, best_match, contaminated, part_bounds, part_recall
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -64,6 +64,31 @@ def test_empty_tables(spark):
     assert contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_recall_of_long_items():
+    """Every length and kind of edit up to the allowed share: all that brute force finds."""
+    rng = random.Random(9)
+    for n in (15, 31, 50, 80, 120, 200, 300):
+        items = rng.sample(range(1, 1 << 40), 4 * n)
+        index = Index([(i, " ".join(f"w{w}" for w in items[i * n : i * n + n])) for i in range(4)])
+        texts = []
+        for trial in range(24):
+            own = index.items[trial % 4].tolist()
+            for _ in range(int((EDITS if trial % 8 < 5 else EDITS / 2) * n)):
+                at = rng.randrange(len(own))
+                own[at : at + (trial % 3 != 1)] = [] if trial % 3 == 2 else [rng.getrandbits(60)]
+            texts.append([rng.getrandbits(60) for _ in range(9)] + own + [rng.getrandbits(60) for _ in range(9)])
+        found = {(m[0], m[1]): m[2] for m in index.matches(np.array(sum(texts, []), np.uint64), np.cumsum([0, *map(len, texts)]))}
+        want = {(t, i): d for t, text in enumerate(texts) for i in range(4) if (d := best_match(index.items[i], np.array(text, np.uint64))[0]) <= int(EDITS * n)}
+        assert found == want and len(want) == 24
+
+
+def test_target_recall_of_parts():
+    for n in range(1, 400):
+        sizes = np.diff(part_bounds(n))
+        assert sizes.sum() == n and (int(EDITS * n) == 0 or all(size in WALKS for size in sizes))
+    assert all(part_recall(size, walks) >= TARGET for size, walks in WALKS.items())
+
+
 def test_place_of_a_match():
     item, text = np.array([1, 2, 3, 4], np.uint64), np.array([9, 9, 1, 2, 7, 3, 4, 9, 1, 2, 3, 4], np.uint64)
     assert best_match(item, text) == (0, 8, 4)
