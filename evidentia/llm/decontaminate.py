@@ -3,7 +3,8 @@
 Texts and benchmark items are word sequences (A-Z lower-cased, split at ASCII punctuation and white space). A document
 holds an item if some stretch of it is within floor(EDITS * words of the item) word edits (insertion, deletion,
 substitution) of the item. Every item-sized window of every whole text is looked at. Since an edit spends at most one
-word, a window with fewer words of the items of its length (each as often as one of them has it) than such an item must keep can hold none, and is not looked at further.
+word, a window with fewer words of the items of its length (each as often as one of them has it) than such an item must
+keep can hold none, and is not looked at further.
 
 An item of n words is split into ceil((e + 1) / 2) parts, e = floor(EDITS * n), so that one part of any match has at
 most one edit, however long the item. Parts, and the windows of their size in what is left of the texts, are embedded by
@@ -14,8 +15,10 @@ WALKS gives the walks for each size of a part at which the worst place and kind
 TARGET (`part_recall` measures it); a match of which several parts have at most one edit has as many chances.
 
 The benchmark is a stated query set: its index goes to each task and must have at most `max_items` items; a larger one
-is taken in blocks of that size. Null or empty texts hold nothing; items without words match nothing. Ties of place go
-to the earliest. Rows that repeat an id give repeated result rows. Extra columns are not read.
+is taken in blocks of about that size. Each distinct (item_id, text) is an item of its own, so an id that stands for
+several texts may give a document several rows, and items of a null id are found with a null item_id. Null or empty
+texts hold nothing; items without words match nothing. Ties of place go to the earliest. Rows that repeat a doc_id give
+repeated result rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -112,7 +115,7 @@ class _Items:
         self.held, self.id = held, uuid.uuid4().hex
 
     @property
-    def value(self) -> list[tuple[int, str]]:
+    def value(self) -> list[tuple[int | None, str | None]]:
         return self.held.value
 
 
@@ -130,20 +133,21 @@ def _index(shared: _Items) -> Index:
 class Index:
     """The benchmark's items by length, with their sampled keys."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items, by_length = {}, {}
-        for item_id, text in items:
+    def __init__(self, items: list[tuple[int | None, str | None]]):
+        self.items, self.ids, by_length = [], [], {}
+        for item_id, text in dict.fromkeys(items):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             starts, ends, _ = word_spans(raw, np.array([0, len(raw)]), WORD)
-            if item_id is not None and len(starts):
-                self.items[item_id] = span_hashes(raw, starts, ends)
-                by_length.setdefault(len(starts), []).append(item_id)
-        self.vocabulary = np.unique(np.concatenate([*self.items.values(), np.zeros(0, np.uint64)]))
+            if len(starts):
+                by_length.setdefault(len(starts), []).append(len(self.items))
+                self.items.append(span_hashes(raw, starts, ends))
+                self.ids.append(item_id)
+        self.vocabulary = np.unique(np.concatenate([*self.items, np.zeros(0, np.uint64)]))
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
         self.tables, self.own, parts = {}, {}, {}
-        for n, ids in by_length.items():
-            words = np.stack([self.items[i] for i in ids])
+        for n, numbers in by_length.items():
+            words = np.stack([self.items[i] for i in numbers])
             self.own[n] = np.zeros(len(self.vocabulary) + 1, np.int32)
             for item in words:
                 code, times = np.unique(np.searchsorted(self.vocabulary, item), return_counts=True)
@@ -152,16 +156,16 @@ class Index:
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 held = parts.setdefault(int(hi - lo), ([], [], []))
                 held[0].append(words[:, lo:hi])
-                held[1].append(np.array(ids, np.int64))
-                held[2].append(np.full(len(ids), lo, np.int64))
-        for size, (words, ids, places) in parts.items():
+                held[1].append(np.array(numbers, np.int64))
+                held[2].append(np.full(len(numbers), lo, np.int64))
+        for size, (words, numbers, places) in parts.items():
             words = np.concatenate(words)
             keys = np.stack(list(_keys(words)))
             flat, owner = keys.ravel(), np.tile(np.arange(len(words)), len(keys))
             order = np.argsort(flat, kind="stable")
-            self.tables[size] = flat[order], owner[order], words, np.concatenate(ids), np.concatenate(places)
+            self.tables[size] = flat[order], owner[order], words, np.concatenate(numbers), np.concatenate(places)
 
-    def matches(self, words: np.ndarray, first_word: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
+    def matches(self, words: np.ndarray, first_word: np.ndarray) -> Iterator[tuple[int, int | None, int, int, int, int]]:
         """(row, item, distance, item's words, start, length) in the texts whose words begin at first_word."""
         total = len(words)
         if not total or not len(self.vocabulary):
@@ -189,7 +193,7 @@ class Index:
                 for size in set(np.diff(part_bounds(n)).tolist()):
                     np.add.at(near[size], able, 1)
                     np.add.at(near[size], np.minimum(able + n + spare, row_end[able]), -1)
-        for size, (flat, owner, parts, ids, offsets) in self.tables.items():
+        for size, (flat, owner, parts, numbers, offsets) in self.tables.items():
             starts = np.flatnonzero(np.cumsum(near[size][:-1]) > 0)
             least = size - (size in WALKS)
             for i in range(0, len(starts), 20_000):
@@ -211,7 +215,7 @@ class Index:
                         mine = owner[np.arange(len(which)) + np.repeat(left[some] - np.cumsum(many) + many, many)]
                         same = sum((parts[mine, j][:, None] == window[which]).any(axis=1).astype(np.int64) for j in range(size)) >= least
                         for p, m in zip(part[which[same]].tolist(), mine[same].tolist(), strict=True):
-                            seen.setdefault((int(row_of[p]), int(ids[m])), set()).add(max(int(first_word[row_of[p]]), p - int(offsets[m])))
+                            seen.setdefault((int(row_of[p]), int(numbers[m])), set()).add(max(int(first_word[row_of[p]]), p - int(offsets[m])))
         for (row, item), places in sorted(seen.items()):
             n = len(self.items[item])
             spare, found, places = int(EDITS * n), None, sorted(places)
@@ -226,17 +230,17 @@ class Index:
                 if place is not None:
                     lo, hi = a if lo is None else lo, b
             if found:
-                yield row, item, found[0], n, found[1], found[2]
+                yield row, self.ids[item], found[0], n, found[1], found[2]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_items: int = 20_000) -> DataFrame:
-    """(doc_id, item_id, distance, item_words, start, length): one row for each document and item that it holds; places in words."""
+    """(doc_id, item_id, distance, item_words, start, length): one row for each document and distinct (item_id, text) that it holds; places in words."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     blocks = max(1, -(-items.count() // max_items))
     out = None
     for block in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         shared = _Items(spark.sparkContext.broadcast([(r.item_id, r.text) for r in mine.collect()]))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -64,6 +64,13 @@ def test_empty_tables(spark):
     assert contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_repeated_and_null_item_ids(spark):
+    items = [(1, "a b c d"), (1, "e f g h"), (1, "i j k"), (1, "i j k"), (None, "l m n o"), (None, "p q r")]
+    docs = [(d, f"x {text} y") for d, (_, text) in enumerate(items)]
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id or 0, r.item_words) for r in found) == [(0, 1, 4), (1, 1, 4), (2, 1, 3), (3, 1, 3), (4, 0, 4), (5, 0, 3)]
+
+
 def test_recall_of_long_items():
     """Every length and kind of edit up to the allowed share: all that brute force finds."""
     rng = random.Random(9)
