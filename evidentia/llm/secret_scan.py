@@ -1,9 +1,12 @@
 """Secret scans: assignment, access-key and hex patterns, and windows of high Shannon entropy.
 
-Candidate strings are runs of [A-Za-z0-9+/_=-]. Over each, for its narrowest character class (hex digits, letters and
-digits, base64), the entropy of a sliding window is kept up by adding the count terms of one character and taking off
-another's; a run any of whose windows reaches its class's bound is a secret, if it mixes letters and digits and the
-allow-list does not suppress it. The patterns' own findings always stay.
+Candidate strings are the stretches of each character class (hex digits, letters and digits, base64) in runs of
+[A-Za-z0-9+/_=-]: whole runs, what stands between equals signs, and the maximal stretches of the narrower classes, so
+that a secret is judged by its own class and not by the name joined to it. Over each, for its narrowest class, the
+entropy of a sliding window is kept up by adding the count terms of one character and taking off another's; a stretch any
+of whose windows reaches its class's bound is a secret, if it mixes letters and digits and the allow-list does not
+suppress it. Of nested ones the longest counts. The allow-list looks at the stretch: what follows a digest or a name with
+"example" is judged on its own. The patterns' own findings always stay.
 
 Null and empty texts have no spans. Spans are in code points, end exclusive. Repeated rows give a row each; extra columns
 pass through.
@@ -14,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +38,15 @@ CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+\Z")), ("alnum", re.compile(r"[A-Za-
 #: Strings that look random and are no secrets: identifiers of content, of rows and of examples.
 ALLOWED = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z|sha(?:1|256|384|512)[-_=]|.*example|(?:[a-z]+[-_/])+[a-z]*[0-9]{0,4}\Z|[0-9+/_=-]+\Z")
 
+#: Listed strings that fill a whole run, and so everything in it.
+WHOLE = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z|(?:[a-z]+[-_/])+[a-z]*[0-9]{0,4}\Z|[0-9+/_=-]+\Z")
+#: A labelled digest, as hex or base64 of its size.
+DIGEST = re.compile("(?i)(?<![a-z0-9])(?:" + "|".join(f"sha{bits}[-_=](?:[0-9a-f]{{{2 * size}}}(?![0-9a-f])|[a-z0-9+/_-]{{1,{-(-size // 3) * 4}}}=*)" for bits, size in ((1, 20), (256, 32), (384, 48), (512, 64))) + ")")
+#: The last name with "example" in a stretch, up to what is joined to it.
+EXAMPLE = re.compile(r"(?i).*example[a-z0-9]*[+/_=-]+")
+JOINT, LETTER, DIGIT = re.compile(r"[+/_=-]*"), re.compile("[A-Za-z]"), re.compile("[0-9]")
+STRETCHES = (re.compile(r"[0-9a-fA-F]{20,}"), re.compile(r"[A-Za-z0-9]{20,}"), re.compile(r"[A-Za-z0-9+/_-]{20,}=*"))
+
 MADE = {"n_assign": "long", "n_access": "long", "n_hex": "long", "base_sha256": "string", "spans": "string"}
 _TERM = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 _MOST = math.log2(WINDOW)
@@ -75,14 +88,43 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
+def stretches(run: str) -> Iterator[tuple[int, int]]:
+    """Bounds of the candidate strings of a run, the run itself first."""
+    yield 0, len(run)
+    if WHOLE.match(run):
+        return
+    digests = [m.span() for m in DIGEST.finditer(run)]
+    for pattern in STRETCHES:
+        for m in pattern.finditer(run):
+            i = bisect_right(digests, (m.start(), len(run))) - 1
+            if i < 0 or m.end() > digests[i][1]:
+                yield m.span()
+    # What follows a digest or an example, up to the next digest.
+    named = EXAMPLE.match(run)
+    for at in sorted({*(b for _, b in digests), *([named.end()] if named else [])}):
+        i = bisect_right(digests, (at, 0))
+        if i and at < digests[i - 1][1]:
+            continue
+        at = JOINT.match(run, at).end()
+        for pattern in STRETCHES:
+            if m := pattern.match(run, at, digests[i][0] if i < len(digests) else len(run)):
+                yield m.span()
+
+
 def entropy_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, 3) of the candidate strings with a window of high entropy."""
     found = []
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        kind = next(name for name, pattern in CLASSES if pattern.match(run))
-        if re.search("[A-Za-z]", run) and not ALLOWED.match(run) and peak_entropy(run) >= BOUNDS[kind]:
-            found.append((m.start(), m.end(), 3))
+        run, reach = m.group(), 0
+        # A stretch that holds another comes before it.
+        for a, b in sorted(set(stretches(run)), key=lambda s: (s[0], -s[1])):
+            part = run[a:b]
+            if b <= reach or not (LETTER.search(part) and DIGIT.search(part)) or ALLOWED.match(part):
+                continue
+            kind = next(name for name, pattern in CLASSES if pattern.match(part))
+            if peak_entropy(part) >= BOUNDS[kind]:
+                found.append((m.start() + a, m.start() + b, 3))
+                reach = b
     return found
 
 

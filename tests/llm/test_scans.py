@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 
 from evidentia.llm import license_scan, queries, secret_scan
@@ -81,3 +82,23 @@ def test_entropy():
     assert secret_scan.entropy_spans("key q7Rt9Zk2Lm5Xw8Vb3Nc6Pd end") == [(4, 26, 3)]
     assert not secret_scan.entropy_spans("erheiteinschlichkeitungsverbe 1234567890123456789012345 123e4567-e89b-12d3-a456-426614174000")
     assert secret_scan.redact("a secret b", [(2, 8, 0), (4, 8, 2)]) == "a [SECRET] b"
+
+
+def test_secrets_joined_to_names():
+    rng = random.Random(3)
+    for size in (24, 32, 64):
+        for digits in ("0123456789abcdef", "0123456789ABCDEF"):
+            keys = ["".join(rng.choices(digits, k=size)) for _ in range(200)]
+            bare = sum(secret_scan.entropy_spans(key) == [(0, size, 3)] for key in keys)
+            assert bare >= 190
+            for name in ("id_", "key=", "k/", "a-", "example_key=", "x/example/", "keys/prod-"):
+                spans = [secret_scan.entropy_spans(name + key + "/v") for key in keys]
+                assert sum(any(a <= len(name) and b >= len(name) + size for a, b, _ in s) for s in spans) >= bare, name
+    key = "0a1b2c3d4e0a1b2c3d4e0a1b"
+    assert secret_scan.entropy_spans(f"GET /k/{key} key={key}.") == [(7, 31, 3), (36, 60, 3)]
+    assert secret_scan.redact(f"id_{key}", secret_scan.entropy_spans(f"id_{key}")) == "id_[SECRET]"
+    assert secret_scan.entropy_spans("example/q7Rt9+k2Lm5X/8Vb3Nc6Pd1") == [(8, 31, 3)]
+    digest = hashlib.sha256(b"x").hexdigest()
+    assert secret_scan.entropy_spans(f"sha256-{digest}/{key}") == [(72, 96, 3)]
+    for listed in (f"sha256-{digest}", f"sha256={digest}", "sha384-oqVuAfXRKap7fdgcCY5u+ykM6+R9GqQ8K/uxy9rx7HNQlGYl1kPzQho1wx4JwlwC", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "123e4567-e89b-12d3-a456-426614174000", "some-words/and_averyveryquicklongnamewithoutend12"):
+        assert not secret_scan.entropy_spans(listed), listed
