@@ -1,11 +1,13 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text is its words between white space. Of every k-mer of K_WORDS words the inner substrings are its S_WORDS-word
-stretches; the k-mer is a closed syncmer if the least hash among these is its first or its last. The choice looks at the
-k-mer alone, so an edit moves only the anchors that it touches. The fingerprint is the SKETCH least hashes of the
-distinct syncmers; the likeness of two is their estimate of the share of syncmers in common, exact for short texts.
-
-A text of fewer than K_WORDS words, or without a syncmer, gives the hash of all its words; one without words (null,
+A text is its words between white space; of these, one that is longer than LONG_WORD or written in a script without
+spaces counts as its characters. Of every k-mer of K_WORDS words the inner substrings are its S_WORDS-word stretches; the
+k-mer is a closed syncmer if the least hash among these is its first or its last. The choice looks at the k-mer alone, so
+an edit moves only the anchors that it touches. The fingerprint is the SHA-256 of the list of all anchors in order, a
+colon, and this list: hexadecimal numbers, place of the first word times 2**32 plus hash of the k-mer. The likeness of
+two texts is the share of their distinct syncmers that both have, out of all of them.
+
+A text of fewer than K_WORDS words, or without a syncmer, gives the hash of all its words at place 0; one without words (null,
 empty) an empty fingerprint. Two empty ones are alike (1), an empty and another are not (0). Rows of a null id stand
 outside the order and are followed by an empty text; a repeated id counts once
 in the order (its next document may stand in several rows, and so may the result). Extra columns are not read.
@@ -15,49 +17,61 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-K_WORDS, S_WORDS, SKETCH = 5, 2, 64
+K_WORDS, S_WORDS, LONG_WORD = 5, 2, 40
+_UNSPACED = "[" + "".join(rf"\p{{Is{script}}}" for script in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + "]"
 _INNER = K_WORDS - S_WORDS + 1
 
 
-def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with the sorted least hashes of its text's closed syncmers, an array of ints."""
-    words, inner = f"__w_{name}", f"__s_{name}"
-    df = df.withColumn(words, F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), ""))
-    pair = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.hash(a, b))
-    df = df.withColumn(inner, pair)
+def words_of(text: str) -> Column:
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    cut = F.flatten(F.transform(words, lambda w: F.when((F.length(w) > LONG_WORD) | w.rlike(_UNSPACED), F.array_remove(F.split(w, ""), "")).otherwise(F.array(w))))
+    return F.when(F.col(text).rlike(_UNSPACED) | F.exists(words, lambda w: F.length(w) > LONG_WORD), cut).otherwise(words)
+
+
+def with_inner(df: DataFrame, words: str, inner: str) -> DataFrame:
+    """df with the hashes of the stretches of its words."""
+    ahead = F.greatest(F.size(words) - 1, F.lit(0))
+    return df.withColumn(inner, F.zip_with(F.slice(words, 1, ahead), F.slice(words, 2, ahead), lambda a, b: F.hash(a, b)))
+
+
+def anchor_in(inner: str):
+    """The hash of the k-mer at a place, null if it is no closed syncmer."""
 
     def anchor(first: Column, i: Column) -> Column:
         others = [F.get(inner, i + j) for j in range(1, _INNER)]
         return F.when(F.least(first, *others).isin(first, others[-1]) & others[-1].isNotNull(), F.hash(first, *others))
 
-    found = F.array_compact(F.transform(F.col(inner), anchor))
-    df = df.withColumn(name, F.slice(F.sort_array(F.array_distinct(found)), 1, SKETCH))
-    whole = F.when(F.size(words) > 0, F.array(F.hash(F.lit(K_WORDS), F.col(words)))).otherwise(F.expr("array()").cast("array<int>"))
-    return df.withColumn(name, F.when(F.size(name) > 0, F.col(name)).otherwise(whole)).drop(words, inner)
+    return anchor
 
 
-def likeness(a: str, b: str) -> Column:
-    """The share of common syncmers that two sketches tell."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    common = F.size(F.array_intersect(F.array_intersect(F.col(a), F.col(b)), union))
-    return F.when(F.size(union) == 0, 1.0).otherwise(common / F.size(union))
+def with_anchors(df: DataFrame, text: str, name: str, listed: str | None = None) -> DataFrame:
+    """df with the distinct hashes of its text's closed syncmers, an array of ints, and in `listed` the fingerprint."""
+    words, inner, found = f"__w_{name}", f"__s_{name}", f"__a_{name}"
+    df = with_inner(df.withColumn(words, words_of(text)), words, inner)
+    df = df.withColumn(found, F.transform(F.col(inner), anchor_in(inner)))
+    whole = F.when(F.size(words) > 0, F.array(F.hash(F.lit(K_WORDS), F.col(words)))).otherwise(F.expr("array()").cast("array<int>"))
+    df = df.withColumn(found, F.when(F.exists(found, lambda h: h.isNotNull()), F.col(found)).otherwise(whole))
+    df = df.withColumn(name, F.array_distinct(F.array_compact(found)))
+    if listed:
+        every = F.transform(F.col(found), lambda h, i: F.hex(F.shiftleft(i.cast("long"), 32).bitwiseOR(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
+        df = df.withColumn(listed, F.array_join(every, ","))
+        df = df.withColumn(listed, F.when(F.col(listed) == "", "").otherwise(F.concat(F.sha2(listed, 256), F.lit(":"), F.col(listed))))
+    return df.drop(words, inner, found)
 
 
-def written(sketch: str) -> Column:
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
+def likeness(a: str, b: str) -> Column:
+    """The share of syncmers in common of two arrays of distinct ones."""
+    common = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - common
+    return F.when(union == 0, 1.0).otherwise(common / union)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
     """(doc_id, position, hash): every closed syncmer with the place of its first word, for positional matching."""
-    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
-    df = docs.select("doc_id", words.alias("w"))
-    df = df.withColumn("s", F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.hash(a, b)))
-
-    def anchor(first: Column, i: Column) -> Column:
-        others = [F.get("s", i + j) for j in range(1, _INNER)]
-        return F.when(F.least(first, *others).isin(first, others[-1]) & others[-1].isNotNull(), F.struct(i.alias("position"), F.hash(first, *others).alias("hash")))
-
-    return df.select("doc_id", F.explode(F.array_compact(F.transform(F.col("s"), anchor))).alias("a")).select("doc_id", "a.position", "a.hash")
+    df = with_inner(docs.select("doc_id", words_of("text").alias("w")), "w", "s")
+    anchor = anchor_in("s")
+    found = F.transform(F.col("s"), lambda first, i: F.struct(i.alias("position"), anchor(first, i).alias("hash")))
+    return df.select("doc_id", F.explode(F.filter(found, lambda a: a["hash"].isNotNull())).alias("a")).select("doc_id", "a.position", "a.hash")
 
 
 def followers(ids: DataFrame, per_bucket: int = 4096) -> DataFrame:
@@ -91,21 +105,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     halves = base.groupBy("doc_id").agg(F.max(F.expr("cast(length(text) div 2 as int)")).alias("half"))
     order = followers(every).join(halves, "doc_id").select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), "half")
     # Both joins take the same (doc_id, text) by doc_id, so texts are shuffled once; the second moves beginnings and
-    # sketches only. Sketches come after the shuffle, for lambdas keep Spark from seeing that the two sides are equal.
-    ahead = with_sketch(base.join(order, "doc_id"), "text", "next_sketch")
-    heads = ahead.select(F.col("before").alias("doc_id"), F.expr("left(text, half)").alias("head"), "next_sketch")
-    both = base.join(heads, "doc_id").select("doc_id", "text", "head", "next_sketch")
-    alone = every.where("doc_id is null").select("doc_id", "text", F.lit("").alias("head"), F.expr("cast(array() as array<int>)").alias("next_sketch"))
-    both = with_sketch(both.union(alone), "text", "sketch")
+    # distinct anchors only. Anchors come after the shuffle, for lambdas keep Spark from seeing that the two sides are equal.
+    ahead = with_anchors(base.join(order, "doc_id"), "text", "next_anchors")
+    heads = ahead.select(F.col("before").alias("doc_id"), F.expr("left(text, half)").alias("head"), "next_anchors")
+    both = base.join(heads, "doc_id").select("doc_id", "text", "head", "next_anchors")
+    alone = every.where("doc_id is null").select("doc_id", "text", F.lit("").alias("head"), F.expr("cast(array() as array<int>)").alias("next_anchors"))
+    both = with_anchors(both.union(alone), "text", "anchors", "fingerprint")
     edited = F.expr("concat(left(text, cast(length(text) - length(text) div 2 as int)), left(head, cast(length(text) div 2 as int)))")
-    both = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
-    both = with_sketch(both, "edited", "edited_sketch")
+    both = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "anchors", "fingerprint", "next_anchors")
+    both = with_anchors(both, "edited", "edited_anchors", "edited_fingerprint")
     return both.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        written("sketch").alias("fingerprint"),
-        written("edited_sketch").alias("edited_fingerprint"),
-        likeness("sketch", "edited_sketch").alias("near_edited"),
-        likeness("sketch", "next_sketch").alias("near_next"),
+        "fingerprint",
+        "edited_fingerprint",
+        likeness("anchors", "edited_anchors").alias("near_edited"),
+        likeness("anchors", "next_anchors").alias("near_next"),
     )

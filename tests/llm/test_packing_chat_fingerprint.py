@@ -119,6 +119,30 @@ def test_anchors_are_the_closed_syncmers(spark):
     assert {r.position for r in fingerprint.anchors(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()} == want
 
 
+def test_fingerprints_hold_every_anchor(spark):
+    rng = random.Random(8)
+    shared, long = [f"s{i}" for i in range(60)], [f"l{i}" for i in range(5000)]
+    texts = [[f"{side}{i}" for i in range(1500)] + shared + [f"{side}{i}" for i in range(1500, 3000)] for side in "ab"]
+    texts = [" ".join(t) for t in [*texts, long, [*long[:2500], "new", *long[2501:]]]]
+    han = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(300))
+    solid = "".join(rng.choices("abcdefgh", k=300))
+    texts += [han, han[:150] + "新" + han[151:], solid, solid[:200] + "z" + solid[201:], "短"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in fingerprint.fingerprints(frame).collect()}
+    own = {d: {} for d in found}
+    for r in fingerprint.anchors(frame).collect():
+        own[r.doc_id][r.position] = r.hash
+    for d in range(8):
+        digest, listed = found[d].fingerprint.split(":")
+        numbers = [int(n, 16) for n in listed.split(",")]
+        assert digest == sha(listed) and {n >> 32: n & 0xFFFFFFFF for n in numbers} == {p: h & 0xFFFFFFFF for p, h in own[d].items()} and numbers == sorted(numbers)
+    for d in range(7):
+        a, b = set(own[d].values()), set(own[d + 1].values())
+        assert abs(found[d].near_next - len(a & b) / len(a | b)) < 1e-12
+    assert 0 < found[0].near_next < 0.05 and 0.99 < found[2].near_next < 1 and found[2].fingerprint != found[3].fingerprint
+    assert 0.9 < found[4].near_next < 1 and 0.8 < found[6].near_next < 1 and found[8].fingerprint
+
+
 def test_followers_of_sparse_ids(spark):
     rng = random.Random(7)
     ids = sorted({rng.randrange(-(10**12), 10**12) for _ in range(500)} | set(range(200)))
