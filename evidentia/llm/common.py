@@ -6,6 +6,7 @@ that a task's memory follows the longest single text and not the batch.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import zlib
@@ -19,12 +20,13 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or a fresh local one where unset."""
+    """The folder that every executor sees: spark.checkpoint.dir; where unset, a fresh one, in local mode only."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="evidentia-")
-        sc.setCheckpointDir(found)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="evidentia-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
@@ -66,12 +68,14 @@ NON_SPACE = ~byte_class([0x20, *range(0x09, 0x0E)])
 #: Bytes of words of letters and digits: ASCII alphanumerics and every non-ASCII byte.
 WORD = byte_class([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 
-_rng = np.random.default_rng(20240817)
-#: A random number for each byte; capitals A-Z count as their lower case.
-_BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-_BYTE_CODE[0x41:0x5B] = _BYTE_CODE[0x61:0x7B]
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
+#: A-Z as a-z, and every other byte as it is.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: The bytes of the first 0 to 8 of eight little-endian ones.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+#: Spans over so many bytes are hashed one by one.
+LONG_SPAN = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,18 +87,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, SLICE_BYTES * 2)
-        made = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        _POWERS[:] = made
-    return _POWERS[0], _POWERS[1]
-
-
 def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, row offsets in them) of a string or binary column; nulls are empty.
 
@@ -141,15 +133,39 @@ def word_spans(data: np.ndarray, rows: np.ndarray, is_word: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(starts, rows)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """data with A-Z as a-z, and eight zero bytes behind."""
+    low = np.zeros(len(data) + 8, np.uint8)
+    low[: len(data)] = LOWER[data]
+    return low
+
+
+def eights(low: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The up to eight bytes from each place of what `lowered` gives, as a number; left: how many bytes count."""
+    every = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
+    return every[at] & _FIRST[np.minimum(left, 8)]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, blind to the case of A-Z."""
+    """64-bit hashes of byte spans, blind to the case of A-Z.
+
+    Eight bytes at a time are mixed in, so that no linear relation between bytes carries over; spans over LONG_SPAN
+    bytes take a cryptographic hash each.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    low, size = lowered(data), ends - starts
+    out = mix(size.astype(np.uint64) * _BASE)
+    out = mix(out ^ eights(low, starts, size))
+    rest = np.flatnonzero(size > 8)
+    for done in range(8, LONG_SPAN, 8):
+        if not len(rest):
+            break
+        out[rest] = mix(out[rest] * _BASE ^ eights(low, starts[rest] + done, size[rest] - done))
+        rest = rest[size[rest] > done + 8]
+    for i in rest.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -160,5 +176,5 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     size = min(n, k)
     out = np.full(n - size + 1, size, np.uint64)
     for i in range(size):
-        out = mix(out * np.uint64(_BASE) + words[i : n - size + 1 + i])
+        out = mix(out * _BASE + words[i : n - size + 1 + i])
     return out

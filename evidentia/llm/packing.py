@@ -1,12 +1,14 @@
 """Packing tokenised documents into sequences of at most `capacity` tokens.
 
-Documents become pieces of `capacity` tokens and a rest. Pieces are spread over randomised groups (by a hash of document
-and start) of about `group_pieces`; within a group the bins are filled by first-fit decreasing, where a tournament tree
-over the bins' room finds the leftmost bin that fits in logarithmic time. Groups are of bounded size whatever the input,
-so a task's memory is bounded too; each leaves a few bins half full, some 0.1 % of its tokens.
+Documents become pieces of `capacity` tokens and a rest. Documents are dealt to randomised groups of about
+`group_documents`, by a hash of the number that each row got when it was tokenised, so that rows of one id, or of none,
+spread like any others. Within a group the bins are filled by first-fit decreasing: full pieces take a bin each as they
+come, and the rests, at most one a document, go by falling length to the leftmost bin with room, which a tournament tree
+over the bins' room finds in logarithmic time. A task holds the rests of one group; each group leaves a few bins half
+full, some 0.1 % of its tokens.
 
 Null and empty texts are the single end token. A null id, or one that several rows have, is packed once for each row.
-Extra columns are not read.
+Texts of any length are packed whole. An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, span_hashes, text_slices
+from .common import cut, eights, lowered, mix, text_slices
 
 CAPACITY, END_ID = 4096, 2
 _SPACE, _LETTER, _DIGIT, _PUNCT, _QUOTE, _OTHER = range(6)
@@ -42,10 +45,13 @@ class WordTokenizer:
     The tokenizer lower-cases, drops white space and never joins letters, digits and punctuation, so a text's ids are
     those of its stretches between white space and between ASCII letters, digits and punctuation. A stretch is not cut
     beside an apostrophe (but after a letter or digit, where a contraction may begin) nor beside a non-ASCII byte. Texts
-    with "<|" (special tokens) go to the tokenizer whole. The table has 2**bits places, each for the last piece whose
-    hash falls there; it is emptied when its ids exceed `most`.
+    with "<|" (special tokens) go to the tokenizer whole. The table has 2**bits places, each for the last piece of up to
+    SHORT bytes that fell there, with its bytes, so that a hit is an equal piece; longer ones up to LONG bytes are keys
+    of a dictionary. Both are emptied when their ids exceed `most`.
     """
 
+    SHORT, LONG = 16, 256
+
     def __init__(self, path: str, bits: int = 21, most: int = 6_000_000):
         from tokenizers import Tokenizer
 
@@ -53,7 +59,9 @@ class WordTokenizer:
         ends = {i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")}
         self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.last[list(ends)] = True
-        self.hash, self.origin, self.size = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        self.head, self.tail, self.width = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint8)
+        self.origin, self.size = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        self.long: dict[bytes, tuple[int, int]] = {}
         self.flat = np.zeros(0, np.uint32)
 
     def _encode(self, text: str) -> np.ndarray:
@@ -72,23 +80,42 @@ class WordTokenizer:
                     out[j] = part
         return [self._encode(w) if ids is None else ids for w, ids in zip(words, out, strict=True)]
 
-    def _look_up(self, hashes: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _look_up(self, low: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each piece's ids begin in self.flat, and how many they are."""
         if len(self.flat) > self.most:
-            self.hash[:] = 0
+            self.width[:] = 0
+            self.long.clear()
             self.flat = np.zeros(0, np.uint32)
-        slot = (hashes >> self.shift).astype(np.int64)
+        width = ends - starts
+        head, tail = eights(low, starts, width), eights(low, np.minimum(starts + 8, len(raw)), np.maximum(width - 8, 0))
+        slot = (mix(head ^ mix(tail + width.astype(np.uint64))) >> self.shift).astype(np.int64)
         origin, size = self.origin[slot], self.size[slot]
-        miss = np.flatnonzero(self.hash[slot] != hashes)
+        miss = np.flatnonzero((self.width[slot] != width) | (self.head[slot] != head) | (self.tail[slot] != tail) | (width > self.SHORT))
         if len(miss):
-            fresh, at, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
-            made = self._pieces([raw[a:b].decode() for a, b in zip(starts[miss[at]].tolist(), ends[miss[at]].tolist(), strict=True)])
-            sizes = np.fromiter(map(len, made), np.int32, len(made))
-            origins = (len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int32)
-            self.flat = np.concatenate([self.flat, *made])
-            origin[miss], size[miss] = origins[back], sizes[back]
-            slot = (fresh >> self.shift).astype(np.int64)
-            self.hash[slot], self.origin[slot], self.size[slot] = fresh, origins, sizes
+            folded, fresh, new, back = low.tobytes(), {}, [], []
+            for i, a, b in zip(miss.tolist(), starts[miss].tolist(), ends[miss].tolist(), strict=True):
+                piece = folded[a:b]
+                if known := self.long.get(piece):
+                    origin[i], size[i] = known
+                    continue
+                if piece not in fresh:
+                    fresh[piece] = len(new)
+                    new.append(i)
+                back.append((i, fresh[piece]))
+            if new:
+                made = self._pieces([raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+                sizes = np.fromiter(map(len, made), np.int32, len(made))
+                origins = (len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int32)
+                self.flat = np.concatenate([self.flat, *made])
+                at, which = np.array(back).T
+                origin[at], size[at] = origins[which], sizes[which]
+                for piece, o, n in zip(fresh, origins.tolist(), sizes.tolist(), strict=True):
+                    if self.SHORT < len(piece) <= self.LONG:
+                        self.long[piece] = o, n
+                short = width[new] <= self.SHORT
+                put = slot[new][short]
+                self.head[put], self.tail[put], self.width[put] = head[new][short], tail[new][short], width[new][short]
+                self.origin[put], self.size[put] = origins[short], sizes[short]
         return origin, size
 
     def ids(self, column) -> Iterator[np.ndarray]:
@@ -110,7 +137,7 @@ class WordTokenizer:
             closes[rows[rows > 0] - 1] = True
             ends = np.flatnonzero((kind != _SPACE) & closes) + 1
             raw = data.tobytes()
-            origin, size = self._look_up(span_hashes(data, starts, ends), raw, starts, ends)
+            origin, size = self._look_up(lowered(data), raw, starts, ends)
             done = np.cumsum(size, dtype=np.int64)
             ids = self.flat[np.repeat(origin - (done - size), size) + np.arange(done[-1] if len(done) else 0)]
             token_at = np.concatenate([[0], done])[np.searchsorted(starts, rows)]
@@ -158,49 +185,59 @@ def _tokenizer(path: str) -> WordTokenizer:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): documents' ids in stretches of capacity, the last one shorter."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, row_no): documents' ids in stretches of capacity, the last one shorter.
+
+    row_no tells the rows of docs apart; it is that of this run only, so the result is to be written before use.
+    """
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row_no"]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(tokenizer_path)
+        tokenizer, row_no = _tokenizer(tokenizer_path), TaskContext.get().partitionId() << 40
         for batch in batches:
             out = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.ids(batch.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                out.extend((doc_id, i, len(part := ids[i : i + capacity]), zlib.crc32(part.tobytes()), len(ids)) for i in range(0, len(ids), capacity))
+                out.extend((doc_id, i, len(part := ids[i : i + capacity]), zlib.crc32(part.tobytes()), len(ids), row_no) for i in range(0, len(ids), capacity))
+                row_no += 1
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(split, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(split, ", ".join(f"{n} long" for n in names))
 
 
-def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, group_pieces: int = 4000) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, group_documents: int = 4000) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row for each piece.
 
     sequence_id is the group's number times 2**32 plus the bin's number in it.
     """
-
-
     cutup = cut(pieces(docs, tokenizer_path, capacity, end_id))
-    groups = max(1, -(-cutup.count() // group_pieces))
-    names = [*cutup.columns, "sequence_id", "offset"]
-    placed = cutup.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", F.lit(11)), F.lit(groups)))
+    groups = max(1, -(-cutup.where("start = 0").count() // group_documents))
+    placed = cutup.withColumn("g", F.pmod(F.xxhash64("row_no", F.lit(11)), F.lit(groups))).drop("row_no")
+    names = [*placed.columns[:-1], "sequence_id", "offset"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches sorted by group; a group may go on in the next batch."""
-        held: list[tuple] = []
+        group, full, rests, out = None, 0, [], []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for i, (b, offset) in enumerate(first_fit_decreasing([r[2] for r in held], capacity)):
-                held[i] = (*held[i][:5], (held[i][5] << 32) + b, offset)
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], names=names)
-                held.clear()
+        def close() -> None:
+            for row, (b, offset) in zip(rests, first_fit_decreasing([r[2] for r in rests], capacity), strict=True):
+                out.append((*row[:5], (group << 32) + full + b, offset))
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[-1][5] != row[5]:
-                    yield from flush()
-                held.append(row)
-        yield from flush()
+                if row[5] != group:
+                    close()
+                    group, full, rests = row[5], 0, []
+                if row[2] == capacity:
+                    out.append((*row[:5], (group << 32) + full, 0))
+                    full += 1
+                else:
+                    rests.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+                out.clear()
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
-    return placed.repartition("g").sortWithinPartitions("g", "doc_id", "start").mapInArrow(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.repartition("g").sortWithinPartitions("g", "doc_id", "start", "ids_crc32").mapInArrow(pack, ", ".join(f"{n} long" for n in names))
