@@ -4,19 +4,25 @@ A text is its words between white space; of these, one that is longer than LONG_
 spaces counts as its characters. Of every k-mer of K_WORDS words the inner substrings are its S_WORDS-word stretches; the
 k-mer is a closed syncmer if the least hash among these is its first or its last. The choice looks at the k-mer alone, so
 an edit moves only the anchors that it touches. The fingerprint is the SHA-256 of the list of all anchors in order, a
-colon, and this list: hexadecimal numbers, place of the first word times 2**32 plus hash of the k-mer. The likeness of
-two texts is the share of their distinct syncmers that both have, out of all of them.
+colon, and this list: hexadecimal numbers, place of the first word times 2**32 plus hash of the k-mer.
 
-A text of fewer than K_WORDS words, or without a syncmer, gives the hash of all its words at place 0; one without words (null,
-empty) an empty fingerprint. Two empty ones are alike (1), an empty and another are not (0). Rows of a null id stand
-outside the order and are followed by an empty text; a repeated id counts once
-in the order (its next document may stand in several rows, and so may the result). Extra columns are not read.
+Two texts are matched by place as well as by anchor: an anchor of one meets an equal one of the other whose next anchor
+stands as many words ahead, wherever in the texts both stand. The likeness is the share of distinct such steps (anchor,
+words to the next) that both texts have, out of all of them.
+
+A text of fewer than K_WORDS words, or without a syncmer, gives the hash of all its words at place 0; one without words
+(null, empty) an empty fingerprint. Two empty ones are alike (1), an empty and another are not (0). Whole texts of any
+length count. Rows of a null id stand outside the order and are followed by an empty text. A repeated id counts once in
+the order; each of its rows gives one row, and as a next document it is its row with the least beginning. An empty table
+gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import cut
+
 K_WORDS, S_WORDS, LONG_WORD = 5, 2, 40
 _UNSPACED = "[" + "".join(rf"\p{{Is{script}}}" for script in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + "]"
 _INNER = K_WORDS - S_WORDS + 1
@@ -35,59 +41,56 @@ def with_inner(df: DataFrame, words: str, inner: str) -> DataFrame:
 
 
 def anchor_in(inner: str):
-    """The hash of the k-mer at a place, null if it is no closed syncmer."""
+    """Place and hash of the k-mer at a place, null if it is no closed syncmer."""
 
     def anchor(first: Column, i: Column) -> Column:
         others = [F.get(inner, i + j) for j in range(1, _INNER)]
-        return F.when(F.least(first, *others).isin(first, others[-1]) & others[-1].isNotNull(), F.hash(first, *others))
+        closed = F.least(first, *others).isin(first, others[-1]) & others[-1].isNotNull()
+        return F.when(closed, F.struct(i.alias("place"), F.hash(first, *others).alias("hash")))
 
     return anchor
 
 
-def with_anchors(df: DataFrame, text: str, name: str, listed: str | None = None) -> DataFrame:
-    """df with the distinct hashes of its text's closed syncmers, an array of ints, and in `listed` the fingerprint."""
-    words, inner, found = f"__w_{name}", f"__s_{name}", f"__a_{name}"
+def with_anchors(df: DataFrame, text: str, found: str) -> DataFrame:
+    """df with its text's closed syncmers in order, an array of (place, hash)."""
+    words, inner = f"__w_{found}", f"__s_{found}"
     df = with_inner(df.withColumn(words, words_of(text)), words, inner)
-    df = df.withColumn(found, F.transform(F.col(inner), anchor_in(inner)))
-    whole = F.when(F.size(words) > 0, F.array(F.hash(F.lit(K_WORDS), F.col(words)))).otherwise(F.expr("array()").cast("array<int>"))
-    df = df.withColumn(found, F.when(F.exists(found, lambda h: h.isNotNull()), F.col(found)).otherwise(whole))
-    df = df.withColumn(name, F.array_distinct(F.array_compact(found)))
-    if listed:
-        every = F.transform(F.col(found), lambda h, i: F.hex(F.shiftleft(i.cast("long"), 32).bitwiseOR(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
-        df = df.withColumn(listed, F.array_join(every, ","))
-        df = df.withColumn(listed, F.when(F.col(listed) == "", "").otherwise(F.concat(F.sha2(listed, 256), F.lit(":"), F.col(listed))))
-    return df.drop(words, inner, found)
+    df = df.withColumn(found, F.array_compact(F.transform(F.col(inner), anchor_in(inner))))
+    whole = F.array(F.struct(F.lit(0).alias("place"), F.hash(F.lit(K_WORDS), F.col(words)).alias("hash")))
+    df = df.withColumn(found, F.when((F.size(found) == 0) & (F.size(words) > 0), whole).otherwise(F.col(found)))
+    return df.drop(words, inner)
+
+
+def written(found: str) -> Column:
+    """The fingerprint: a digest of all anchors, and these."""
+    every = F.transform(F.col(found), lambda a: F.hex(F.shiftleft(a["place"].cast("long"), 32).bitwiseOR(a["hash"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
+    listed = F.array_join(every, ",")
+    return F.when(F.size(found) == 0, "").otherwise(F.concat(F.sha2(listed, 256), F.lit(":"), listed))
+
+
+def steps(found: str) -> Column:
+    """The distinct steps of a text: its anchors, each with the distance to the next (0 after the last)."""
+    following = F.slice(F.col(found), 2, F.greatest(F.size(found), F.lit(1)))
+    return F.array_distinct(F.zip_with(F.col(found), following, lambda a, b: F.hash(a["hash"], F.coalesce(b["place"] - a["place"], F.lit(0)))))
 
 
 def likeness(a: str, b: str) -> Column:
-    """The share of syncmers in common of two arrays of distinct ones."""
+    """The share of steps in common of two arrays of distinct ones."""
     common = F.size(F.array_intersect(a, b))
     union = F.size(a) + F.size(b) - common
     return F.when(union == 0, 1.0).otherwise(common / union)
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """(doc_id, position, hash): every closed syncmer with the place of its first word, for positional matching."""
-    df = with_inner(docs.select("doc_id", words_of("text").alias("w")), "w", "s")
-    anchor = anchor_in("s")
-    found = F.transform(F.col("s"), lambda first, i: F.struct(i.alias("position"), anchor(first, i).alias("hash")))
-    return df.select("doc_id", F.explode(F.filter(found, lambda a: a["hash"].isNotNull())).alias("a")).select("doc_id", "a.position", "a.hash")
-
-
-def followers(ids: DataFrame, per_bucket: int = 4096) -> DataFrame:
+def followers(ids: DataFrame) -> DataFrame:
     """(doc_id, next_id) of distinct ids in rising order, the last followed by the first.
 
-    Ids fall into buckets of even width, about per_bucket in each, and these into larger ones; only the largest buckets'
-    least ids, one for some per_bucket**2 ids, are put in one order.
+    Ids are dealt to ranges of about equal numbers, however they lie; only the least id of each range is put in one order.
     """
-    ids = ids.where("doc_id is not null").select("doc_id").distinct()
-    least, most, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, (most - least + 1) * per_bucket // n) if n else 1
-    at = ids.withColumn("b", F.expr(f"(doc_id - {least or 0}L) div {width}L")).withColumn("t", F.expr(f"b div {per_bucket}L"))
-    tops = at.groupBy("t").agg(F.min("doc_id").alias("least"))
-    after_top = tops.select("t", F.coalesce(F.lead("least").over(Window.orderBy("t")), F.lit(least)).alias("after"))
-    buckets = at.groupBy("t", "b").agg(F.min("doc_id").alias("least")).join(after_top, "t")
-    after = buckets.select("b", F.coalesce(F.lead("least").over(Window.partitionBy("t").orderBy("b")), "after").alias("after"))
+    dealt = ids.where("doc_id is not null").select("doc_id").distinct().repartitionByRange("doc_id")
+    at = cut(dealt.select("doc_id", F.spark_partition_id().alias("b")))
+    order = Window.orderBy("b")
+    least = F.min("least").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = at.groupBy("b").agg(F.min("doc_id").alias("least")).select("b", F.coalesce(F.lead("least").over(order), least).alias("after"))
     inside = at.select("doc_id", "b", F.lead("doc_id").over(Window.partitionBy("b").orderBy("doc_id")).alias("next_id"))
     return inside.join(after, "b").select("doc_id", F.coalesce("next_id", "after").alias("next_id"))
 
@@ -103,23 +106,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     every = named.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = every.where("doc_id is not null")
     halves = base.groupBy("doc_id").agg(F.max(F.expr("cast(length(text) div 2 as int)")).alias("half"))
-    order = followers(every).join(halves, "doc_id").select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), "half")
+    order = followers(base).join(halves, "doc_id").select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), "half")
     # Both joins take the same (doc_id, text) by doc_id, so texts are shuffled once; the second moves beginnings and
-    # distinct anchors only. Anchors come after the shuffle, for lambdas keep Spark from seeing that the two sides are equal.
-    ahead = with_anchors(base.join(order, "doc_id"), "text", "next_anchors")
-    heads = ahead.select(F.col("before").alias("doc_id"), F.expr("left(text, half)").alias("head"), "next_anchors")
-    both = base.join(heads, "doc_id").select("doc_id", "text", "head", "next_anchors")
-    alone = every.where("doc_id is null").select("doc_id", "text", F.lit("").alias("head"), F.expr("cast(array() as array<int>)").alias("next_anchors"))
-    both = with_anchors(both.union(alone), "text", "anchors", "fingerprint")
+    # distinct steps only. Anchors come after the shuffle, for lambdas keep Spark from seeing that the two sides are equal.
+    ahead = with_anchors(base.join(order, "doc_id"), "text", "found")
+    heads = ahead.select(F.col("before").alias("doc_id"), F.expr("left(text, half)").alias("head"), steps("found").alias("next_steps"))
+    heads = heads.groupBy("doc_id").agg(F.min(F.struct("head", "next_steps")).alias("h")).select("doc_id", "h.head", "h.next_steps")
+    both = base.join(heads, "doc_id").select("doc_id", "text", "head", "next_steps")
+    alone = every.where("doc_id is null").select("doc_id", "text", F.lit("").alias("head"), F.expr("cast(array() as array<int>)").alias("next_steps"))
     edited = F.expr("concat(left(text, cast(length(text) - length(text) div 2 as int)), left(head, cast(length(text) div 2 as int)))")
-    both = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "anchors", "fingerprint", "next_anchors")
-    both = with_anchors(both, "edited", "edited_anchors", "edited_fingerprint")
+    both = with_anchors(both.union(alone), "text", "found").select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "next_steps", written("found").alias("fingerprint"), steps("found").alias("own_steps"))
+    both = with_anchors(both, "edited", "found").withColumn("edited_steps", steps("found"))
     return both.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint",
-        "edited_fingerprint",
-        likeness("anchors", "edited_anchors").alias("near_edited"),
-        likeness("anchors", "next_anchors").alias("near_next"),
+        written("found").alias("edited_fingerprint"),
+        likeness("own_steps", "edited_steps").alias("near_edited"),
+        likeness("own_steps", "next_steps").alias("near_next"),
     )

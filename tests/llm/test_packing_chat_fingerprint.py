@@ -45,7 +45,7 @@ def test_first_fit_decreasing():
 def test_packed(spark):
     rows = [(i, "Some words, here! " * (i % 300), "x") for i in range(300)] + [(900, None, "x"), (901, "", "x"), (902, "abc " * 50_000, "x"), (None, "abc", "x"), (5, "Some words, here! " * 5, "x")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, offset string")
-    found = packing.packed(frame, PATH, group_pieces=60).toPandas()
+    found = packing.packed(frame, PATH, group_documents=60).toPandas()
     raw = Tokenizer.from_file(PATH)
     for doc_id, text, _ in rows:
         if doc_id in (None, 5):
@@ -61,6 +61,25 @@ def test_packed(spark):
     assert packing.packed(frame.limit(0), PATH).count() == 0
 
 
+def test_long_words_and_collisions():
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    texts = [a[:1024], b[:1024], a, b, "x" * 300 + " " + "y" * 17 + " Y" + "y" * 16, a[:1024] + " " + b[:1024]]
+    raw, mine = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH)
+    for _ in range(2):
+        for text, ids in zip(texts, mine.ids(pa.array(texts)), strict=True):
+            assert ids.tolist() == raw.encode(text, add_special_tokens=False).ids
+
+
+def test_rows_of_one_id_spread(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    found = packing.packed(rows, PATH, group_documents=100).toPandas()
+    assert len(found) == 4000 and found.doc_id.isna().sum() == 2000
+    sizes = found.groupby(found.sequence_id // 2**32).size()
+    assert len(sizes) == 40 and sizes.max() < 160
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -105,46 +124,62 @@ def test_fingerprints(spark):
             assert found[d].fingerprint == found[d].edited_fingerprint and found[d].near_edited == 1
     same = [found[d].fingerprint for d, t, _ in rows if t == texts[4]]
     assert len(same) == 2 and len(set(same)) == 1
-    odd = spark.createDataFrame([(None, "a b", "c"), (3, "a b", "c"), (3, "a b", "c")], frame.schema)
-    assert fingerprint.fingerprints(odd).count() >= 3
+    odd = spark.createDataFrame([(None, "a b", "c"), (3, "a b", "c"), (3, "a c", "c"), (3, "a b", "c"), (9, "q r s t", "c"), (9, "p r s t", "c")], frame.schema)
+    rows = fingerprint.fingerprints(odd).collect()
+    assert sorted((r.doc_id or -1, r.n_chars) for r in rows) == [(-1, 3), (3, 3), (3, 3), (3, 3), (9, 7), (9, 7)]
+    assert {r.edited_sha256 for r in rows if r.doc_id == 3} == {sha("a p"), sha("a p")} and {r.edited_sha256 for r in rows if r.doc_id is None} == {sha("a ")}
+    assert {r.edited_sha256 for r in rows if r.doc_id == 9} == {sha("q r a b"), sha("p r a b")}
     assert fingerprint.fingerprints(frame.limit(0)).count() == 0
 
 
-def test_anchors_are_the_closed_syncmers(spark):
-    text = " ".join(random.Random(6).choices([f"w{i}" for i in range(50)], k=120))
-    words = text.split()
-    pairs = [r.h for r in spark.createDataFrame([(i, words[i], words[i + 1]) for i in range(len(words) - 1)], "i int, a string, b string").orderBy("i").select(F.hash("a", "b").alias("h")).collect()]
+def hashes(spark, rows):
+    """Spark's hash of each tuple of numbers or strings, by brute force."""
+    names = [f"c{i}" for i in range(len(rows[0]))]
+    kinds = ", ".join(f"{n} {'string' if isinstance(v, str) else 'int'}" for n, v in zip(names, rows[0], strict=True))
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {kinds}").orderBy("i")
+    return [r.h for r in frame.select(F.hash(*names).alias("h")).collect()]
+
+
+def steps_of(spark, words):
+    """(place, hash) of the closed syncmers of a word list, and the distinct steps between them."""
+    pairs = hashes(spark, list(zip(words, words[1:])))
     inner = fingerprint.K_WORDS - fingerprint.S_WORDS + 1
-    want = {i for i in range(len(pairs) - inner + 1) if min(pairs[i : i + inner]) in (pairs[i], pairs[i + inner - 1])}
-    assert {r.position for r in fingerprint.anchors(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()} == want
+    at = [i for i in range(len(pairs) - inner + 1) if min(pairs[i : i + inner]) in (pairs[i], pairs[i + inner - 1])]
+    found = list(zip(at, hashes(spark, [tuple(pairs[i : i + inner]) for i in at]), strict=True))
+    gaps = [b - a for (a, _), (b, _) in zip(found, found[1:])] + [0]
+    return found, set(hashes(spark, [(h, g) for (_, h), g in zip(found, gaps, strict=True)]))
 
 
 def test_fingerprints_hold_every_anchor(spark):
     rng = random.Random(8)
-    shared, long = [f"s{i}" for i in range(60)], [f"l{i}" for i in range(5000)]
-    texts = [[f"{side}{i}" for i in range(1500)] + shared + [f"{side}{i}" for i in range(1500, 3000)] for side in "ab"]
-    texts = [" ".join(t) for t in [*texts, long, [*long[:2500], "new", *long[2501:]]]]
+    shared, long = [f"s{i}" for i in range(60)], [f"l{i}" for i in range(3000)]
+    texts = [[f"{side}{i}" for i in range(900)] + shared + [f"{side}{i}" for i in range(900, 2000)] for side in "ab"]
+    texts += [long, [*long[:1500], "new", *long[1501:]]]
     han = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(300))
     solid = "".join(rng.choices("abcdefgh", k=300))
-    texts += [han, han[:150] + "新" + han[151:], solid, solid[:200] + "z" + solid[201:], "短"]
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    texts += [list(t) for t in (han, han[:150] + "新" + han[151:], solid, solid[:200] + "z" + solid[201:])]
+    frame = spark.createDataFrame([(i, ("" if i >= 4 else " ").join(t)) for i, t in enumerate(texts)] + [(8, "短")], "doc_id long, text string")
     found = {r.doc_id: r for r in fingerprint.fingerprints(frame).collect()}
-    own = {d: {} for d in found}
-    for r in fingerprint.anchors(frame).collect():
-        own[r.doc_id][r.position] = r.hash
-    for d in range(8):
+    own = [steps_of(spark, t) for t in texts]
+    for d, (anchors, _) in enumerate(own):
         digest, listed = found[d].fingerprint.split(":")
-        numbers = [int(n, 16) for n in listed.split(",")]
-        assert digest == sha(listed) and {n >> 32: n & 0xFFFFFFFF for n in numbers} == {p: h & 0xFFFFFFFF for p, h in own[d].items()} and numbers == sorted(numbers)
+        assert digest == sha(listed) and [int(n, 16) for n in listed.split(",")] == [(p << 32) + (h & 0xFFFFFFFF) for p, h in anchors]
     for d in range(7):
-        a, b = set(own[d].values()), set(own[d + 1].values())
+        a, b = own[d][1], own[d + 1][1]
         assert abs(found[d].near_next - len(a & b) / len(a | b)) < 1e-12
+    text, after = " ".join(texts[0]), " ".join(texts[1])
+    half = len(text) // 2
+    mine, theirs = own[0][1], steps_of(spark, (text[: len(text) - half] + after[:half]).split())[1]
+    assert abs(found[0].near_edited - len(mine & theirs) / len(mine | theirs)) < 1e-12
     assert 0 < found[0].near_next < 0.05 and 0.99 < found[2].near_next < 1 and found[2].fingerprint != found[3].fingerprint
     assert 0.9 < found[4].near_next < 1 and 0.8 < found[6].near_next < 1 and found[8].fingerprint
 
 
-def test_followers_of_sparse_ids(spark):
+def test_followers_of_any_ids(spark):
     rng = random.Random(7)
-    ids = sorted({rng.randrange(-(10**12), 10**12) for _ in range(500)} | set(range(200)))
-    found = {r.doc_id: r.next_id for r in fingerprint.followers(spark.createDataFrame([(i,) for i in ids], "doc_id long"), 8).collect()}
-    assert found == dict(zip(ids, [*ids[1:], ids[0]], strict=True))
+    ids = sorted({rng.randrange(-(2**63), 2**63) for _ in range(500)} | set(range(200)) | {-(2**63), 2**63 - 1})
+    for some in (ids, ids[:1], [-(2**63), 2**63 - 1]):
+        frame = spark.createDataFrame([(i,) for i in [*some, *some[:3], None]], "doc_id long")
+        found = {r.doc_id: r.next_id for r in fingerprint.followers(frame).collect()}
+        assert found == dict(zip(some, [*some[1:], some[0]], strict=True))
+    assert fingerprint.followers(spark.createDataFrame([], "doc_id long")).count() == 0
