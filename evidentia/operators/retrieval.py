@@ -1,43 +1,144 @@
-"""Hybrid retrieval: BM25, exact cosine neighbours, rank fusion, recency, gate and quality metrics."""
+"""Hybrid retrieval: BM25, exact cosine neighbours, rank fusion, recency, gate and quality metrics.
+
+Queries are a stated set, taken in blocks of a bounded size; what is searched is of any size. BM25 and cosine search score
+a block of queries inside each task, which keeps the best of each query only, so that no row is shuffled for a pair that
+cannot be among the first.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import query_terms, tokens
-from ..session import settled
 
 K1, B = 1.2, 0.75
 RRF_BASE = 60
 POOLS = {"fast": 32, "balanced": 96, "deep": 256}
+#: Queries that are scored together, and the bytes of their vectors.
+QUERY_BLOCK, VECTOR_BYTES = 2048, 32 << 20
+#: Rows (terms or vectors) that are scored together.
+SCORED_ROWS = 1 << 17
+
+
+class Best:
+    """The k best ids of each query so far, by score to nine digits, then id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.held, self.size, self.least = k, [[] for _ in range(queries)], [0] * queries, np.full(queries, -np.inf)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """scores: (queries, ids); -inf is no match."""
+        for q in np.flatnonzero(scores.max(axis=1, initial=-np.inf) > -np.inf).tolist():
+            at = np.flatnonzero((scores[q] >= self.least[q]) & (scores[q] > -np.inf))
+            if len(at):
+                self.held[q].append((ids[at], scores[q][at]))
+                self.size[q] += len(at)
+                if self.size[q] > 4 * self.k:
+                    self._prune(q)
+
+    def _prune(self, q: int) -> None:
+        ids, scores = (np.concatenate(c) for c in zip(*self.held[q], strict=True))
+        by_id = np.argsort(ids, kind="stable")
+        order = by_id[np.argsort(-scores[by_id].round(9), kind="stable")][: self.k]
+        self.held[q], self.size[q] = [(ids[order], scores[order])], len(order)
+        if len(order) == self.k:
+            self.least[q] = scores[order].min() - 1e-8
+
+    def rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query's number, ids, scores) of each query that has any."""
+        for q in range(len(self.held)):
+            if self.size[q]:
+                self._prune(q)
+                yield q, *self.held[q][0]
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, term, tf, dl): each document's terms with their counts, and its length in tokens."""
-    held = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("t"))
-    return held.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def _batches(best: Best, names: list, kind: pa.DataType, id_kind: pa.DataType, label: str) -> Iterator[pa.RecordBatch]:
+    """What is best, as batches of (query_id, id, score)."""
+    for q, ids, scores in best.rows():
+        yield pa.RecordBatch.from_arrays([pa.array([names[q]] * len(ids), kind), pa.array(ids, id_kind), pa.array(scores, pa.float64())], names=["query_id", "id", label])
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, doc_id, score) of the documents that hold any term of a query (query_id, text).
+def _arrow(kind: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    Texts are read and cut into tokens once: only the queries' terms leave the scan, and a blank term for each document,
-    which stands for the document in the counts. The counts by term and document are settled, as they are used thrice.
+    return to_arrow_type(kind)
+
+
+def _blocks(queries: DataFrame, size: int) -> Iterator[DataFrame]:
+    blocks = max(1, -(-queries.count() // size))
+    for b in range(blocks):
+        yield queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, doc_id, score, rank) of the k best documents of each query (query_id, text) that hold a term of it.
+
+    One scan counts the documents of each wanted term, and one for each block of queries scores them: a task joins its
+    texts' terms with the block's, which are broadcast, and adds up the scores of one document after the other. Documents
+    without a token count nowhere, queries without one find nothing; of queries that repeat an id the terms are one set.
     """
-    wanted = queries.select("query_id", F.explode(query_terms("text")).alias("term"))
-    named = wanted.select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    spark, out = docs.sparkSession, None
     held = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("t")).where(F.size("t") > 0)
-    words = held.select("doc_id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).join(named, "term", "left_semi")
-    tf = settled(words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
-    n, avgdl = tf.where("term = ''").agg(F.count("*"), F.avg("dl")).first()
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
-    return tf.join(df, "term").join(wanted, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    for part in _blocks(queries.where("query_id is not null"), block):
+        wanted: dict[str, list] = {}
+        names: dict[object, int] = {}
+        for row in part.select("query_id", F.explode(query_terms("text")).alias("term")).distinct().collect():
+            wanted.setdefault(row.term, []).append(names.setdefault(row.query_id, len(names)))
+        terms = spark.createDataFrame([*((t, i) for i, t in enumerate(wanted)), ("", -1)], "term string, i int")
+        seen = held.select(F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("term"))
+        counts = {r.i: r for r in seen.join(F.broadcast(terms), "term").groupBy("i").agg(F.count("*").alias("n"), F.avg("dl").alias("dl")).collect()}
+        n, avgdl = (counts[-1].n, counts[-1].dl) if -1 in counts else (0, 1.0)
+        df = np.array([counts[i].n if i in counts else 0 for i in range(len(wanted))], np.float64)
+        idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 1e-6)
+        first = np.cumsum([0, *map(len, wanted.values())])
+        shared = spark.sparkContext.broadcast((list(names), first, np.array(sum(wanted.values(), []), np.int64), idf))
+        kinds = [_arrow(f.dataType) for f in part.select("query_id").schema.fields + held.select("doc_id").schema.fields]
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, avgdl=avgdl, kinds=kinds) -> Iterator[pa.RecordBatch]:
+            """Rows (doc_id, row, dl, i): the terms of one document stand together."""
+            names, first, owners, idf = shared.value
+            best, held, size = Best(len(names), k), [], 0
+
+            def score(rows: list[tuple], last: bool) -> list[tuple]:
+                ids, row, dl, i = (np.concatenate(c) for c in zip(*rows, strict=True))
+                stop = len(row) if last else int(np.flatnonzero(row != row[-1])[-1] + 1) if row[0] != row[-1] else 0
+                if stop:
+                    start = np.flatnonzero(np.diff(row[:stop], prepend=row[0] - 1))
+                    doc = np.repeat(np.arange(len(start)), np.diff([*start, stop]))
+                    pair, tf = np.unique(doc * len(idf) + i[:stop], return_counts=True)
+                    at, term = np.divmod(pair, len(idf))
+                    share = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[start][at] / avgdl))
+                    many = np.diff(first)[term]
+                    query = owners[np.repeat(first[term] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+                    place = np.repeat(at, many) + query * len(start)
+                    sums = np.bincount(place, np.repeat(share, many), len(names) * len(start))
+                    best.add(ids[start], np.where(np.bincount(place, minlength=len(sums)) > 0, sums, -np.inf).reshape(len(names), -1))
+                return [(ids[stop:], row[stop:], dl[stop:], i[stop:])] if stop < len(row) else []
+
+            step = max(1, min(SCORED_ROWS, (1 << 24) // max(1, len(names))))
+            for batch in batches:
+                for lo in range(0, batch.num_rows, step):
+                    part = batch.slice(lo, step)
+                    held.append(tuple(c.to_numpy(zero_copy_only=False) for c in part.columns))
+                    size += part.num_rows
+                    if size >= step:
+                        held = score(held, False)
+                        size = len(held[0][1]) if held else 0
+            if held:
+                score(held, True)
+            yield from _batches(best, names, *kinds, "score")
+
+        found = held.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.size("t").alias("dl"), F.explode("t").alias("term"))
+        found = found.join(F.broadcast(terms.where("i >= 0")), "term").select("doc_id", "row", "dl", "i")
+        schema = T.StructType([T.StructField("query_id", part.schema["query_id"].dataType), T.StructField("id", held.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
+        some = found.mapInArrow(scan, schema)
+        out = some if out is None else out.union(some)
+    return top(out.withColumnRenamed("id", "doc_id"), "query_id", F.round("score", 9), "doc_id", k)
 
 
 def top(scored: DataFrame, by: str, score: Column, tie: str, k: int) -> DataFrame:
@@ -45,42 +146,46 @@ def top(scored: DataFrame, by: str, score: Column, tie: str, k: int) -> DataFram
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(score.desc(), F.col(tie)))).where(F.col("rank") <= k)
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1024, same: bool = False) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", floor: float | None = None, same: bool = False) -> DataFrame:
     """(query_id, id, similarity, rank): the k nearest by cosine for each query (query_id, vector), exactly.
 
-    The queries are taken in blocks of a fixed number of vectors; each scan of the vectors scores one block with matrix
-    products and keeps k candidates for each query and batch. Null or zero vectors, and those of another dimension than
-    the block's, have no similarity. A query's own id is left out unless `same`.
+    The queries are taken in blocks of VECTOR_BYTES; each scan of the vectors scores one block with matrix products and a
+    task keeps k candidates for each query. Null or zero vectors, and those of another dimension than the
+    longest query's, have no similarity; one under `floor` is no match. A query's own id is left out unless `same`. An id that stands for
+    several vectors (chunks of a record) may come several times.
     """
-    spark = vectors.sparkSession
-    numbered = queries.select(F.col("query_id").cast("long"), F.col("vector").alias("vector")).where("query_id is not null and vector is not null")
-    blocks = max(1, -(-numbered.count() // block))
-    out = None
-    for b in range(blocks):
-        rows = numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast(([r.query_id for r in rows], [list(r.vector) for r in rows]))
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, held = shared.value
-            width = max(map(len, held), default=0)
-            keep = [i for i, v in enumerate(held) if len(v) == width and np.linalg.norm(v) > 0]
-            q = np.array([held[i] for i in keep], np.float64).reshape(len(keep), width)
-            q /= np.linalg.norm(q, axis=1, keepdims=True)
-            for frame in batches:
-                fit = frame[[v is not None and len(v) == width for v in frame["v"]]]
-                if not len(fit) or not len(q):
-                    continue
-                m = np.stack([np.asarray(v, np.float64) for v in fit["v"]])
-                norm = np.linalg.norm(m, axis=1)
-                own = fit["id"].to_numpy()
-                sim = np.where(norm > 0, q @ m.T / np.where(norm > 0, norm, 1), -np.inf)
-                for j, i in enumerate(keep):
-                    line = np.where((own == ids[i]) & (not same), -np.inf, sim[j])
-                    best = np.lexsort((own, -line.round(9)))[: k + 8]
-                    best = best[np.isfinite(line[best])]
-                    yield pd.DataFrame({"query_id": ids[i], "id": own[best], "similarity": line[best]})
-
-        part = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInPandas(scan, "query_id long, id long, similarity double")
+    spark, out = vectors.sparkSession, None
+    numbered = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("vector")).where("query_id is not null and size(vector) > 0")
+    width = numbered.select(F.size("vector").alias("n")).orderBy(F.desc("n")).first()
+    width = width.n if width else 0
+    for rows in _blocks(numbered.where(F.size("vector") == width), max(1, VECTOR_BYTES // max(8, 8 * width))):
+        rows = rows.collect()
+        shared = spark.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.vector for r in rows], np.float64).reshape(len(rows), width)))
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, asked = shared.value
+            length = np.linalg.norm(asked, axis=1, keepdims=True)
+            asked, able = asked / np.where(length > 0, length, 1), length > 0
+            best, own = Best(len(names), k), np.array(names, np.int64)[:, None]
+            step = max(1, (1 << 22) // max(1, len(names)))
+            for batch in batches:
+                for lo in range(0, batch.num_rows, step):
+                    part = batch.slice(lo, step)
+                    part = part.filter(pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(part.column(1)), width), False))
+                    if not part.num_rows or not len(names):
+                        continue
+                    m = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                    ids, norm = part.column(0).to_numpy(zero_copy_only=False), np.linalg.norm(m, axis=1)
+                    similarity = asked @ (m / np.where(norm > 0, norm, 1)[:, None]).T
+                    fit = able & (norm > 0) & np.isfinite(similarity)
+                    if floor is not None:
+                        fit &= similarity >= floor
+                    if not same:
+                        fit &= own != ids
+                    best.add(ids, np.where(fit, similarity, -np.inf))
+            yield from _batches(best, names, pa.int64(), pa.int64(), "similarity")
+
+        part = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(scan, "query_id long, id long, similarity double")
         out = part if out is None else out.union(part)
     return top(out, "query_id", F.round("similarity", 9), "id", k)
 

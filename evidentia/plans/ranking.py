@@ -52,7 +52,7 @@ def agg_13_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     half = F.expr("cast(length(text) div 2 as int)")
     both = items.select((F.col("item_id") * 2).alias("query_id"), F.substring("text", F.lit(1), half).alias("text")).union(items.select(F.col("item_id") * 2 + 1, F.expr("substring(text, cast(length(text) div 2 + 1 as int))")))
-    pool = retrieval.top(retrieval.bm25(table(spark, sf_dir, "documents"), both), "query_id", F.round("score", 9), "doc_id", retrieval.POOLS["fast"])
+    pool = retrieval.bm25(table(spark, sf_dir, "documents"), both, retrieval.POOLS["fast"])
     sightings = pool.select(F.expr("query_id div 2").alias("query_id"), F.col("doc_id").alias("id"), (F.col("query_id") % 2).alias("channel"), "rank")
     ranked = retrieval.top(retrieval.fused(sightings), "query_id", F.round("score", 9), "id", 10)
     return ranked.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.size("channels").cast("long").alias("n_channels"), F.col("rank").cast("long").alias("rank"))

@@ -33,7 +33,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(scor
 def bm25_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """The k best documents of each benchmark item, by BM25."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.top(retrieval.bm25(table(spark, sf_dir, "documents"), queries), "query_id", F.round("score", 9), "doc_id", k)
+    return retrieval.bm25(table(spark, sf_dir, "documents"), queries, k)
 
 
 @query("SELECT doc_id, substr(text, 11, 40) AS piece, length(text) AS n_chars, least(50, length(text)) AS span_end FROM documents")
