@@ -3,13 +3,14 @@
 Under each of `perms` permutations both the least and the greatest hash of a document's shingle set are kept, so half
 as many hash evaluations make a signature of the same length and variance as one of plain minima. Each band joins two
 minima and two maxima of four different permutations. Documents with equal sets are one class; only its smallest id goes
-on. In a bucket every class is checked against the bucket's smallest id (its pivot) on full sets. Two classes of a
-bucket that the pivot does not already link are settled from what each adds to and drops from the pivot's set: these
-differences give the exact overlap. Such checks run in blocks of bounded size, the unlinked classes against all of the
-pivot's, and return the links that join what is not joined yet.
+on. In a bucket every class is checked against the bucket's smallest id (its pivot) on full sets; these links, over all
+buckets, give first components. Where a pivot's classes still lie in several of them, those apart from the pivot are
+settled against all of the pivot's: what each adds to and drops from the pivot's set gives the exact overlap of two.
+Such checks run in blocks, skip what is in one component already, and return the links that join two.
 
 Nulls, empty texts and texts without words have an empty set: size 0, linked with nothing, their own component. A null
-id has a null component and counts as kept. Rows that repeat an id give a row each. Other columns are not read.
+id has a null component and counts as kept. Rows that repeat an id give a row each; where their texts differ, that of the
+least hash stands for the id in checks with others. Texts of any length count whole. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import NON_SPACE, cut, mix, shingle_hashes, span_hashes, text_slices, word_spans
 from .graph import components
 
-#: Rows of either side of a block of pairs.
-BLOCK = 256
+#: Least and greatest number of rows of either side of a block of pairs, and the number of blocks a side between: so a
+#: row is copied at most BLOCKS times in groups of up to BLOCKS * MOST_BLOCK rows.
+BLOCK, MOST_BLOCK, BLOCKS = 256, 16_384, 64
 
 
 def _permutations(perms: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,17 +110,16 @@ def _verifier(k: int, num: int, den: int, is_word: np.ndarray):
 
 
 def _cell(x: list[tuple], y: list[tuple], num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Links that join what is apart among the rows of two sides of one pivot; those the pivot links are together already.
+    """Links that join what is apart among the rows of two sides of one pivot.
 
-    A row: id, size, overlap with the pivot, its size, linked, added, dropped. A pair that earlier links join is not
+    A row: id, size, overlap with the pivot, its size, component, added, dropped. A pair that earlier links join is not
     looked at again, so a cell gives fewer links than it has rows.
     """
     if not x or not y:
         return
-    home: dict[int | None, int | None] = {r[0]: r[0] for r in (*x, *y) if not r[4]}
-    home[None] = None  # the pivot and all that it links
+    home: dict[int, int] = {r[4]: r[4] for r in (*x, *y)}
 
-    def root(node: int | None) -> int | None:
+    def root(node: int) -> int:
         while home[node] != node:
             home[node] = node = home[home[node]]
         return node
@@ -135,7 +136,7 @@ def _cell(x: list[tuple], y: list[tuple], num: int, den: int) -> Iterator[tuple[
         shared = np.bincount(jy[at], minlength=len(y))
         for j in np.flatnonzero((np.minimum(iy, r[2]) + shared) * (den + num) >= num * (ny + r[1])):
             o = y[j]
-            mine, other = root(r[0]), root(None if o[4] else o[0])
+            mine, other = root(r[4]), root(o[4])
             if mine == other:
                 continue
             both = r[3] - len(r[6]) - len(o[6]) + len(np.intersect1d(r[6], o[6], assume_unique=True)) + int(shared[j])
@@ -155,7 +156,7 @@ def _settler(num: int, den: int):
                 if now != key:
                     out.extend(_cell(*sides, num, den))
                     key, sides = now, ([], [])
-                sides[c["side"][i]].append((c["x"][i], c["nx"][i], c["ix"][i], c["np"][i], c["linked"][i], np.frombuffer(c["added"][i], np.uint64), np.frombuffer(c["dropped"][i], np.uint64)))
+                sides[c["side"][i]].append((c["x"][i], c["nx"][i], c["ix"][i], c["np"][i], c["home"][i], np.frombuffer(c["added"][i], np.uint64), np.frombuffer(c["dropped"][i], np.uint64)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*out, strict=True)], names=["a", "b"])
                 out = []
@@ -183,18 +184,29 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[i
 
     needed = stars.select(F.col("x").alias("id")).union(stars.select(F.col("p").alias("id"))).distinct()
     # Both sides grow with the input, so neither is ever sent whole to the tasks.
-    texts = cut(base.join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
+    texts = cut(base.join(needed.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     pairs = stars.join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("id").alias("p"), F.col("text").alias("tp")), "p")
     checked = cut(pairs.select("x", "p", "tx", "tp").mapInArrow(_verifier(shingle_words, num, den, is_word), _PAIR))
 
-    load = checked.groupBy("p").agg(F.count("*").alias("m"), F.count(F.when(~F.col("linked"), 1)).alias("s")).where("m > 1 and s > 0")
-    block = lambda n, side: F.pmod(F.xxhash64("x", F.lit(side)), F.ceil(F.col(n) / BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / BLOCK) - 1))
-    held = checked.join(load, "p")
-    cells = held.where(~F.col("linked")).select("*", block("s", 0).alias("u"), every("m").alias("v"), F.lit(0).alias("side")).unionByName(held.select("*", block("m", 1).alias("v"), every("s").alias("u"), F.lit(1).alias("side")))
-    links = cells.select("p", "u", "v", "side", "x", "nx", "np", "ix", "linked", "added", "dropped").repartition("p", "u", "v").sortWithinPartitions("p", "u", "v").mapInArrow(_settler(num, den), "a long, b long")
-
-    found = components(checked.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b")).union(links))
+    linked = checked.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
+    first = cut(components(linked))
+    named = lambda key, home: first.select(F.col("id").alias(key), F.col("component_id").alias(home))
+    placed = checked.select("x", "p").join(named("x", "hx"), "x", "left").join(named("p", "hp"), "p", "left")
+    placed = placed.select("x", "p", F.coalesce("hx", "x").alias("home"), (F.coalesce("hx", "x") != F.coalesce("hp", "p")).alias("apart"))
+    edge = lambda n: F.least(F.greatest(F.ceil(n / BLOCKS), F.lit(BLOCK)), F.lit(MOST_BLOCK))
+    load = placed.groupBy("p").agg(F.count("*").alias("m"), F.count(F.when(F.col("apart"), 1)).alias("s")).where("m > 1 and s > 0")
+    load = load.select("p", F.ceil(F.col("s") / edge(F.col("s"))).alias("us"), F.ceil(F.col("m") / edge(F.col("m"))).alias("vs"))
+    held = checked.drop("linked").join(placed.join(load, "p"), ["x", "p"])
+    block = lambda n, salt: F.pmod(F.xxhash64("x", F.lit(salt)), F.col(n))
+    every = lambda n, make: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), make)
+    cell = lambda u, v, side: F.struct(u.alias("u"), v.alias("v"), F.lit(side).alias("side"))
+    left = F.when(F.col("apart"), every("vs", lambda v: cell(block("us", 0), v, 0)))
+    cells = held.withColumn("cell", F.explode(F.concat(F.coalesce(left, F.array()), every("us", lambda u: cell(u, block("vs", 1), 1)))))
+    cells = cells.select("p", "cell.u", "cell.v", "cell.side", "x", "nx", "np", "ix", "home", "added", "dropped")
+    links = cells.repartition("p", "u", "v").sortWithinPartitions("p", "u", "v").mapInArrow(_settler(num, den), "a long, b long")
+
+    # What the first components join counts as edges to their least members; the links join these.
+    found = components(first.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(links))
     home = classes.select("d1", "d2", "id").join(found, "id", "left").select("d1", "d2", F.coalesce("component_id", "id").alias("home"))
     out = signed.select("id", "n", "d1", "d2").join(home, ["d1", "d2"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("home")).otherwise(F.col("id"))
