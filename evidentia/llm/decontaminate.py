@@ -6,16 +6,19 @@ substitution) of the item. Every item-sized window of every whole text is looked
 word, a window with fewer words of the items of its length (each as often as one of them has it) than such an item must
 keep can hold none, and is not looked at further.
 
-An item of n words is split into ceil((e + 1) / 2) parts, e = floor(EDITS * n), so that one part of any match has at
+The allowed share of edits (EDITS) and the recall to be reached (TARGET) are parameters. An item of n words is split into
+ceil((e + 1) / 2) parts, e = floor(EDITS * n), so that one part of any match has at
 most one edit, however long the item. Parts, and the windows of their size in what is left of the texts, are embedded by
 CGK walks: a pointer reads the words one by one and moves on by a random bit of (step, word), so that edit distance
 becomes Hamming distance. Each walk is sampled TABLES times at SAMPLED steps. A window that agrees with a part in any
 sample and has all but one of its words makes a candidate, and the exact edit distance to the whole item settles it.
-WALKS gives the walks for each size of a part at which the worst place and kind of one edit is met with the recall
-TARGET (`part_recall` measures it); a match of which several parts have at most one edit has as many chances.
+The walks follow from the size of a part: so many that the worst place and kind of one edit is met with the recall
+TARGET (`part_recall` measures it; WALKS holds the numbers for the parameters' defaults); a match of which several parts
+have at most one edit has as many chances.
 
-The benchmark is a stated query set: its index goes to each task and must have at most `max_items` items; a larger one
-is taken in blocks of about that size. Each distinct (item_id, text) is an item of its own, so an id that stands for
+The benchmark is a stated query set: its index goes to each task, in blocks of about `max_items` items and `max_bytes`
+bytes of text. Windows are looked at in blocks of a fixed number of words, so a task's memory follows the longest text
+and the block and not the items' length. Each distinct (item_id, text) is an item of its own, so an id that stands for
 several texts may give a document several rows, and items of a null id are found with a null item_id. Null or empty
 texts hold nothing; items without words match nothing. Ties of place go to the earliest. Rows that repeat a doc_id give
 repeated result rows. Extra columns are not read.
@@ -38,6 +41,8 @@ TABLES, SAMPLED = 8, 3
 WALKS = dict.fromkeys(range(5, 11), 16)
 #: Windows of so many bytes of text are embedded together.
 SCAN_BYTES = 4 << 20
+#: Words of windows that are held together.
+WINDOW_WORDS = 2 << 20
 _SCHEMA = "doc_id long, item_id long, distance int, item_words int, start int, length int"
 
 
@@ -56,16 +61,28 @@ def cgk(words: np.ndarray, walk: int, steps: int) -> np.ndarray:
     return out
 
 
-def part_bounds(n_words: int) -> np.ndarray:
+def part_bounds(n_words: int, edits: float = EDITS) -> np.ndarray:
     """Bounds of an item's parts, of which one has at most one edit in every match."""
-    parts = int(EDITS * n_words) // 2 + 1
+    parts = int(edits * n_words) // 2 + 1
     return np.arange(parts + 1) * n_words // parts
 
 
-def _keys(words: np.ndarray, walks: int | None = None) -> Iterator[np.ndarray]:
+def walks_needed(edits: float = EDITS, target: float = TARGET) -> dict[int, int]:
+    """Walks by the words of a part that may have an edit: the least power of 2 that `part_recall` finds to reach target."""
+    if (edits, target) == (EDITS, TARGET):
+        return WALKS
+    sizes = {int(size) for n in range(1, int(8 / edits) + 1) if int(edits * n) for size in np.diff(part_bounds(n, edits))} if edits > 0 else set()
+    out = {}
+    for size in sorted(sizes):
+        out[size] = 1
+        while out[size] < 4096 and part_recall(size, out[size]) < target:
+            out[size] *= 2
+    return out
+
+
+def _keys(words: np.ndarray, walks: int) -> Iterator[np.ndarray]:
     """The sampled hashes of each row of a matrix of word hashes, one array for each walk and table."""
     n_words = words.shape[1]
-    walks = WALKS.get(n_words, 1) if walks is None else walks
     for walk in range(walks):
         chosen = np.random.default_rng((n_words, walk)).integers(0, max(1, 2 * n_words - 2), (TABLES, SAMPLED))
         seen = cgk(words, walk, int(chosen.max()) + 1)
@@ -111,12 +128,8 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 class _Items:
     """A broadcast list of items with a name that tells it from others in a Python worker."""
 
-    def __init__(self, held):
-        self.held, self.id = held, uuid.uuid4().hex
-
-    @property
-    def value(self) -> list[tuple[int | None, str | None]]:
-        return self.held.value
+    def __init__(self, held, edits: float, walks: dict[int, int]):
+        self.held, self.edits, self.walks, self.id = held, edits, walks, uuid.uuid4().hex
 
 
 _BUILT: dict[str, Index] = {}
@@ -126,14 +139,15 @@ def _index(shared: _Items) -> Index:
     """The index of a broadcast list of items, built once in each Python worker."""
     if shared.id not in _BUILT:
         _BUILT.clear()
-        _BUILT[shared.id] = Index(shared.value)
+        _BUILT[shared.id] = Index(shared.held.value, shared.edits, shared.walks)
     return _BUILT[shared.id]
 
 
 class Index:
     """The benchmark's items by length, with their sampled keys."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]], edits: float = EDITS, walks: dict[int, int] = WALKS):
+        self.edits, self.walks = edits, walks
         self.items, self.ids, by_length = [], [], {}
         for item_id, text in dict.fromkeys(items):
             raw = np.frombuffer((text or "").encode(), np.uint8)
@@ -152,7 +166,7 @@ class Index:
             for item in words:
                 code, times = np.unique(np.searchsorted(self.vocabulary, item), return_counts=True)
                 self.own[n][code] = np.maximum(self.own[n][code], times)
-            bounds = part_bounds(n)
+            bounds = part_bounds(n, edits)
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 held = parts.setdefault(int(hi - lo), ([], [], []))
                 held[0].append(words[:, lo:hi])
@@ -160,7 +174,7 @@ class Index:
                 held[2].append(np.full(len(numbers), lo, np.int64))
         for size, (words, numbers, places) in parts.items():
             words = np.concatenate(words)
-            keys = np.stack(list(_keys(words)))
+            keys = np.stack(list(_keys(words, walks.get(size, 1))))
             flat, owner = keys.ravel(), np.tile(np.arange(len(words)), len(keys))
             order = np.argsort(flat, kind="stable")
             self.tables[size] = flat[order], owner[order], words, np.concatenate(numbers), np.concatenate(places)
@@ -181,23 +195,23 @@ class Index:
         row_of = np.repeat(np.arange(len(sizes)), sizes)
         near = {size: np.zeros(total + 1, np.int32) for size in self.tables}
         for n, own in self.own.items():
-            spare = int(EDITS * n)
+            spare, step = int(self.edits * n), max(1, WINDOW_WORDS // n)
             np.cumsum(own[code] > 0, out=sums[1:])
             starts = np.flatnonzero(sums[np.minimum(order + n, row_end)] - sums[:-1] >= n - spare)
-            for i in range(0, len(starts), 20_000):
-                part = starts[i : i + 20_000]
+            for i in range(0, len(starts), step):
+                part = starts[i : i + step]
                 at = part[:, None] + np.arange(n)
                 held = np.sort(np.where(at < row_end[part][:, None], code[np.minimum(at, total - 1)], len(self.vocabulary)), axis=1)
                 run = np.maximum.accumulate(np.where(np.diff(held, axis=1, prepend=-1) != 0, np.arange(n), 0), axis=1)
                 able = part[(np.arange(n) - run < own[held]).sum(axis=1) >= n - spare]
-                for size in set(np.diff(part_bounds(n)).tolist()):
+                for size in set(np.diff(part_bounds(n, self.edits)).tolist()):
                     np.add.at(near[size], able, 1)
                     np.add.at(near[size], np.minimum(able + n + spare, row_end[able]), -1)
         for size, (flat, owner, parts, numbers, offsets) in self.tables.items():
             starts = np.flatnonzero(np.cumsum(near[size][:-1]) > 0)
-            least = size - (size in WALKS)
-            for i in range(0, len(starts), 20_000):
-                part = starts[i : i + 20_000]
+            least, step = size - (size in self.walks), max(1, WINDOW_WORDS // size)
+            for i in range(0, len(starts), step):
+                part = starts[i : i + step]
                 at = part[:, None] + np.arange(size)
                 inside = at < row_end[part][:, None]
                 at = np.minimum(at, total - 1)
@@ -205,7 +219,7 @@ class Index:
                 part, window = part[able], np.where(inside, words[at], np.uint64(0))[able]
                 if not len(part):
                     continue
-                for key in _keys(window):
+                for key in _keys(window, self.walks.get(size, 1)):
                     left, right = np.searchsorted(flat, key, "left"), np.searchsorted(flat, key, "right")
                     line = np.flatnonzero(right > left)
                     for k in range(0, len(line), 2000):
@@ -218,7 +232,7 @@ class Index:
                             seen.setdefault((int(row_of[p]), int(numbers[m])), set()).add(max(int(first_word[row_of[p]]), p - int(offsets[m])))
         for (row, item), places in sorted(seen.items()):
             n = len(self.items[item])
-            spare, found, places = int(EDITS * n), None, sorted(places)
+            spare, found, places = int(self.edits * n), None, sorted(places)
             lo = hi = None
             for place in [*places, None]:
                 a, b = (None, None) if place is None else (max(int(first_word[row]), place - spare), min(int(first_word[row + 1]), place + n + spare))
@@ -233,15 +247,16 @@ class Index:
                 yield row, self.ids[item], found[0], n, found[1], found[2]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, max_items: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, max_items: int = 20_000, max_bytes: int = 16 << 20, edits: float = EDITS, target: float = TARGET) -> DataFrame:
     """(doc_id, item_id, distance, item_words, start, length): one row for each document and distinct (item_id, text) that it holds; places in words."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    blocks = max(1, -(-items.count() // max_items))
+    size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    blocks, walks = max(1, -(-size["n"] // max_items), -(-(size["bytes"] or 0) // max_bytes)), walks_needed(edits, target)
     out = None
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        shared = _Items(spark.sparkContext.broadcast([(r.item_id, r.text) for r in mine.collect()]))
+        shared = _Items(spark.sparkContext.broadcast([(r.item_id, r.text) for r in mine.collect()]), edits, walks)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _index(shared)

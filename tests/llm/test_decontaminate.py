@@ -6,7 +6,7 @@ import re
 import numpy as np
 
 from evidentia.llm import queries
-from evidentia.llm.decontaminate import EDITS, TARGET, WALKS, Index, best_match, contaminated, part_bounds, part_recall
+from evidentia.llm.decontaminate import EDITS, TARGET, WALKS, Index, best_match, contaminated, part_bounds, part_recall, walks_needed
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -89,6 +89,31 @@ def test_recall_of_long_items():
         assert found == want and len(want) == 24
 
 
+def test_very_long_items():
+    rng = random.Random(10)
+    items = [" ".join(f"w{rng.getrandbits(40)}" for _ in range(n)) for n in (640, 20_000)]
+    index = Index(list(enumerate(items)))
+    texts = []
+    for item in index.items:
+        own = item.tolist()
+        for _ in range(int(EDITS * len(own))):
+            own[rng.randrange(len(own))] = rng.getrandbits(60)
+        texts.append([1, 2, 3] + own + [4, 5])
+    found = {(m[0], m[1]) for m in index.matches(np.array(sum(texts, []), np.uint64), np.cumsum([0, *map(len, texts)]))}
+    assert found == {(0, 0), (1, 1)}
+
+
+def test_other_parameters(spark):
+    walks = walks_needed(0.1, 0.9)
+    assert min(walks) == 10 and all(part_recall(size, n) >= 0.9 for size, n in walks.items()) and walks_needed() is WALKS
+    rng = random.Random(11)
+    items = [(i, " ".join(f"w{rng.getrandbits(30)}" for _ in range(40))) for i in range(5)]
+    edited = lambda text, n: " ".join(w for i, w in enumerate(text.split()) if i % 7 or i >= 7 * n)
+    docs = [(10 * i + n, "a b " + edited(text, n) + " c") for i, text in items for n in (0, 4, 5)]
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), edits=0.1, target=0.99, max_bytes=600)
+    assert {(r.doc_id, r.item_id, r.distance) for r in found.collect()} == {(10 * i + n, i, n) for i in range(5) for n in (0, 4)}
+
+
 def test_target_recall_of_parts():
     for n in range(1, 400):
         sizes = np.diff(part_bounds(n))
