@@ -3,10 +3,13 @@
 A text becomes its words (A-Z lower-cased; ASCII letters and digits and all non-ASCII characters) between single spaces;
 one automaton finds every phrase, on word bounds, in one pass. Where the words of the identifier tag stand, the
 expression after it is read from the text itself, turned into postfix form (WITH binds closest, then AND, then OR) and
-evaluated: its licences become labels.
+evaluated: its licences become labels, each once, with the exception that WITH gives it. Tag lines are read whole and
+AND and OR are not multiplied out, so an expression of any length costs time in proportion. What is no known identifier
+counts as a licence only if it looks like one (a digit or hyphen in it, or LicenseRef-); NONE and NOASSERTION name none.
 
 The score is the chance that some finding is right, 1 - product of (1 - trust), over distinct kinds of findings. Null
-and empty texts have no words and score 0. Repeated rows give a row each; extra columns are not read.
+and empty texts have no words and score 0. Whole texts of any length are scanned. Repeated rows give a row each; an empty
+table gives none; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,80 +27,168 @@ BASE = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Notices that name or paraphrase a licence, and their labels.
+# Notices that name or quote a licence, and their labels.
 NOTICES = {
+    "academic free license": "afl",
     "affero general public license": "agpl",
     "all rights reserved": "all-rights-reserved",
+    "artistic license": "artistic",
+    "beerware license": "beerware",
     "boost software license": "bsl",
     "bsd license": "bsd",
+    "bsd 2 clause": "bsd-2-clause",
+    "bsd 3 clause": "bsd-3-clause",
+    "business source license": "busl",
     "cc by nc": "cc-by-nc",
+    "cc by nc nd": "cc-by-nc-nd",
+    "cc by nc sa": "cc-by-nc-sa",
     "cc by nd": "cc-by-nd",
     "cc by sa": "cc-by-sa",
     "cc0": "cc0",
+    "cecill license": "cecill",
+    "common development and distribution license": "cddl",
+    "common public license": "cpl",
     "creative commons attribution": "cc-by",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons zero": "cc0",
+    "eclipse distribution license": "edl",
     "eclipse public license": "epl",
+    "educational community license": "ecl",
+    "elastic license": "elastic",
+    "european union public licence": "eupl",
+    "free documentation license": "gfdl",
+    "general public licence": "gpl",
+    "gnu gpl": "gpl",
+    "gnu lgpl": "lgpl",
     "isc license": "isc",
     "lesser general public license": "lgpl",
+    "library general public license": "lgpl",
+    "licensed under the mit": "mit",
+    "microsoft public license": "ms-pl",
+    "microsoft reciprocal license": "ms-rl",
     "mozilla public license": "mpl",
+    "mulan permissive software license": "mulanpsl",
+    "open data commons attribution license": "odc-by",
+    "open database license": "odbl",
+    "open government licence": "ogl",
+    "open software license": "osl",
     "permission is hereby granted free of charge": "mit",
+    "permission to use copy modify and or distribute this software": "isc",
+    "postgresql license": "postgresql",
+    "public domain dedication": "public-domain",
+    "python software foundation license": "psf",
     "redistribution and use in source and binary forms": "bsd",
+    "released into the public domain": "public-domain",
+    "server side public license": "sspl",
+    "sil open font license": "ofl",
+    "sleepycat license": "sleepycat",
+    "the software is provided as is without warranty of any kind": "mit",
+    "the unlicense": "unlicense",
+    "this is free and unencumbered software": "unlicense",
+    "university of illinois ncsa open source license": "ncsa",
+    "universal permissive license": "upl",
+    "w3c software notice and license": "w3c",
+    "zlib license": "zlib",
+    "zope public license": "zpl",
 }
+# Identifiers of licences, in lower case.
+IDENTIFIERS = frozenset(
+    (
+        "0bsd afl-3.0 agpl-1.0 agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.1 apache-2.0 artistic-2.0 "
+        "beerware bsd-1-clause bsd-2-clause bsd-3-clause bsd-4-clause bsl-1.0 busl-1.1 cc-by-3.0 cc-by-4.0 "
+        "cc-by-nc-4.0 cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-3.0 cc-by-sa-4.0 cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.1 "
+        "cpl-1.0 curl ecl-2.0 elastic-2.0 epl-1.0 epl-2.0 eupl-1.2 ftl gfdl-1.3 gpl-1.0 gpl-2.0 gpl-2.0-only "
+        "gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later hpnd ijg isc json lgpl-2.0 lgpl-2.1 lgpl-2.1-only "
+        "lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later libpng mit mit-0 mpl-1.1 mpl-2.0 ms-pl ms-rl "
+        "mulanpsl-2.0 ncsa odbl-1.0 ofl-1.1 openssl osl-3.0 php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby "
+        "sleepycat tcl unlicense upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1"
+    ).split()
+)
 TAG = "spdx license identifier"
-TAG_TEXT = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]{1,2000})", re.IGNORECASE)
+TAG_TEXT = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]+)", re.IGNORECASE)
 TRUST = {"base": 0.8, "notice": 0.6, "tag": 0.95}
 
 _SPACED = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-_TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9.+:-]+)")
+_TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9.+:-]+)")
 _BINDS = {"or": 1, "and": 2, "with": 3}
+_SHAPE = re.compile(r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+\Z|(?=[a-z0-9.+-]*[0-9-])(?=[a-z0-9.+-]*[a-z])[a-z0-9][a-z0-9.+-]*\Z")
+_NONE = ("none", "noassertion")
+
+
+def is_licence(word: str) -> bool:
+    return word in IDENTIFIERS or word.rstrip("+") in IDENTIFIERS or word in _NONE or bool(_SHAPE.match(word))
 
 
 def postfix(text: str) -> list[str] | None:
-    """A licence expression in postfix form; text after a whole expression is ignored, None if none begins the text."""
+    """A licence expression in postfix form; text after a whole expression is ignored, None if none begins the text.
+
+    WITH takes one name, and stands after a licence or a bracket.
+    """
     out: list[str] = []
     waiting: list[str] = []
-    at, want, done = 0, True, None
-    while m := _TOKEN.match(text, at):
+    opened, want, named, done = 0, True, False, None
+    for m in iter(_TOKEN.scanner(text).match, None):
         token = m.group(1)
         word = token.lower()
-        if want and token == "(":
+        if want and token == "(" and not named:
             waiting.append("(")
-        elif want and token != ")" and word not in _BINDS and re.match("[A-Za-z0-9]", token):
+            opened += 1
+        elif want and token not in "()" and word not in _BINDS and (named and re.match("[a-z0-9]", word) or is_licence(word)):
             out.append(word)
-            want = False
-        elif not want and token == ")" and "(" in waiting:
+            want = named = False
+        elif not want and token == ")" and opened:
             while waiting[-1] != "(":
                 out.append(waiting.pop())
             waiting.pop()
+            opened -= 1
         elif not want and word in _BINDS:
             while waiting and waiting[-1] != "(" and _BINDS[waiting[-1]] >= _BINDS[word]:
                 out.append(waiting.pop())
             waiting.append(word)
-            want = True
+            want, named = True, word == "with"
         else:
             break
-        at = m.end()
-        if not want and "(" not in waiting:
-            done = out + waiting[::-1]
-    return done
+        if not want and not opened:
+            done = len(out), waiting[::-1]
+    return out[: done[0]] + done[1] if done else None
+
 
+def evaluate(form: list[str]) -> tuple[list[str], str]:
+    """The licences of a postfix expression, each once with its exception, and the expression written out.
 
-def evaluate(form: list[str]) -> list[frozenset[str]]:
-    """The choices of a postfix expression, each the licences to be kept together; at most 64 choices, the rest as one."""
-    stack: list[list[frozenset[str]]] = []
+    An exception goes to every licence before it that has none. The stack holds places in the list of licences, so
+    nothing is multiplied out.
+    """
+    names: list[list[str]] = []
+    stack: list[tuple[int, int, list]] = []
     for token in form:
         if token not in _BINDS:
-            stack.append([frozenset([token])])
+            names.append([token])
+            stack.append((len(names) - 1, 0, [token]))
             continue
-        right, left = stack.pop(), stack.pop()
-        if token == "or":
-            made = left + right
-        elif token == "and":
-            made = [a | b for a in left for b in right]
+        (at, _, right), (first, binds, left) = stack.pop(), stack.pop()
+        if token == "with":
+            exception = names.pop()[0]
+            for name in names[first:]:
+                if len(name) == 1:
+                    name.append(exception)
+        here = _BINDS[token]
+        side = lambda part, own: ["(", part, ")"] if own and own < here else part
+        stack.append((first, here, [side(left, binds), f" {token} ", side(right, _)]))
+    found = dict.fromkeys(" with ".join(name) for name in names if name[0] not in _NONE)
+    return list(found), _written(stack[0][2])
+
+
+def _written(tree: list) -> str:
+    out, left = [], [tree]
+    while left:
+        part = left.pop()
+        if isinstance(part, str):
+            out.append(part)
         else:
-            made = [frozenset([f"{next(iter(a))} with {next(iter(b))}"]) for a in left for b in right]
-        made = list(dict.fromkeys(made))
-        stack.append(made if len(made) <= 64 else [frozenset().union(*made)])
-    return stack[0]
+            left.extend(reversed(part))
+    return "".join(out)
 
 
 def _automaton():
@@ -134,10 +225,10 @@ def scan(text: bytes, automaton) -> tuple:
         kinds.discard("tag")
         for m in TAG_TEXT.finditer(text.decode()):
             if form := postfix(m.group(1)):
-                choices = evaluate(form)
+                licences, written = evaluate(form)
                 kinds.add("tag")
-                labels.update(*choices)
-                expression = expression or " or ".join(" and ".join(sorted(c)) for c in choices)
+                labels.update(licences)
+                expression = expression or written
     doubt = 1.0
     for kind in kinds:
         doubt *= 1 - TRUST[kind]

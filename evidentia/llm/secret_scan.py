@@ -6,10 +6,12 @@ that a secret is judged by its own class and not by the name joined to it. Over
 entropy of a sliding window is kept up by adding the count terms of one character and taking off another's; a stretch any
 of whose windows reaches its class's bound is a secret, if it mixes letters and digits and the allow-list does not
 suppress it. Of nested ones the longest counts. The allow-list looks at the stretch: what follows a digest or a name with
-"example" is judged on its own. The patterns' own findings always stay.
+"example" is judged on its own. Stretches of letters only must change case as often as random ones do, with more entropy,
+so that words and names in camel case are left alone. The patterns' own findings always stay.
 
-Null and empty texts have no spans. Spans are in code points, end exclusive. Repeated rows give a row each; extra columns
-pass through.
+Null and empty texts have no spans. Whole texts of any length are scanned. Spans are in code points, end exclusive.
+Repeated rows give a row each; an empty table gives none. Columns named like those that are made here (MADE) are
+replaced; other extra columns pass through.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,15 +33,19 @@ ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCI
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}")
+WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{20,}(?![A-Za-z0-9])")
+SWITCH = re.compile(r"[a-z](?=[A-Z])|[A-Z](?=[a-z])")
+#: Least share of changes of case in letters only; random ones have a half, camel case some three tenths.
+SWITCHES = 0.35
 WINDOW = 20
 #: Least entropy, in bits a character, of a window of each class.
-BOUNDS = {"hex": 3.0, "alnum": 3.8, "base64": 3.8}
+BOUNDS = {"hex": 3.0, "alnum": 3.8, "base64": 3.8, "letters": 3.95}
 CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+\Z")), ("alnum", re.compile(r"[A-Za-z0-9]+\Z")), ("base64", re.compile(r"")))
 #: Strings that look random and are no secrets: identifiers of content, of rows and of examples.
-ALLOWED = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z|sha(?:1|256|384|512)[-_=]|.*example|(?:[a-z]+[-_/])+[a-z]*[0-9]{0,4}\Z|[0-9+/_=-]+\Z")
+ALLOWED = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z|sha(?:1|256|384|512)[-_=]|.*example|/?(?:[a-z]+[0-9]{0,2}[-_/])+[a-z]*[0-9]{0,4}\Z|[0-9+/_=-]+\Z")
 
 #: Listed strings that fill a whole run, and so everything in it.
-WHOLE = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z|(?:[a-z]+[-_/])+[a-z]*[0-9]{0,4}\Z|[0-9+/_=-]+\Z")
+WHOLE = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z|/?(?:[a-z]+[0-9]{0,2}[-_/])+[a-z]*[0-9]{0,4}\Z|[0-9+/_=-]+\Z")
 #: A labelled digest, as hex or base64 of its size.
 DIGEST = re.compile("(?i)(?<![a-z0-9])(?:" + "|".join(f"sha{bits}[-_=](?:[0-9a-f]{{{2 * size}}}(?![0-9a-f])|[a-z0-9+/_-]{{1,{-(-size // 3) * 4}}}=*)" for bits, size in ((1, 20), (256, 32), (384, 48), (512, 64))) + ")")
 #: The last name with "example" in a stretch, up to what is joined to it.
@@ -112,7 +118,7 @@ def stretches(run: str) -> Iterator[tuple[int, int]]:
 
 
 def entropy_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, 3) of the candidate strings with a window of high entropy."""
+    """(start, end, 3) of the candidate strings with a window of high entropy, in order."""
     found = []
     for m in CANDIDATE.finditer(text):
         run, reach = m.group(), 0
@@ -125,6 +131,13 @@ def entropy_spans(text: str) -> list[tuple[int, int, int]]:
             if peak_entropy(part) >= BOUNDS[kind]:
                 found.append((m.start() + a, m.start() + b, 3))
                 reach = b
+    for m in WORD.finditer(text):
+        part = m.group()
+        if part[1:].islower() or len(SWITCH.findall(part)) < SWITCHES * (len(part) - 1) or ALLOWED.match(part):
+            continue
+        i = bisect_right(found, (m.start(), len(text), 3)) - 1
+        if (i < 0 or found[i][1] < m.end()) and peak_entropy(part) >= BOUNDS["letters"]:
+            insort(found, (m.start(), m.end(), 3))
     return found
 
 
