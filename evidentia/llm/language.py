@@ -5,11 +5,16 @@ letters and apostrophes as single spaces) is encoded with each dictionary, in st
 dictionary matters all along; the smallest sum wins. The margin is the share by which the second is larger; a narrow
 one is rejected (`accepted` is false), and the best guess still stands in lang_pred.
 
-The fit takes a bounded sample of the labelled rows: the `tried` smallest hashes of the id in each language, and of these
-at most `per_language` with different beginnings, so that copies don't fill a dictionary. Languages with most rows come
-first, at most `max_languages`. Rows of a null id are not learnt from. A null text, or one without a letter, is `und` with score 0. With nothing to
-learn from, all are `und`. Ties go to the language first in the alphabet. Repeated rows give a row each; extra columns
-are not read.
+The fit takes a bounded sample of the labelled rows: of each language `per_language` different texts, those of the least
+hashes, and of each text one stretch of STRETCH_CHARS characters from a hashed place. All stretches stand in the
+dictionary, each with an even share of its bytes. Every language is learnt; where there are more than TOTAL_BYTES /
+DICT_BYTES of them, the dictionaries shrink in proportion, so that all together keep to TOTAL_BYTES. Rows are thinned by
+hash before they are ranked, so a language that most rows have costs no task more than others; a text that is repeated
+counts once. Rows of a null text or language are not learnt from.
+
+A null text, or one without a letter, is `und` with score 0. With nothing to learn from, all are `und`. Whole texts of any
+length are encoded. Ties go to the language first in the alphabet. Repeated rows give a row each; an empty table gives
+none. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +25,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-DICT_BYTES, STRETCH, LEVEL, NARROW = 128 << 10, 8 << 10, 6, 0.01
+DICT_BYTES, TOTAL_BYTES, STRETCH, LEVEL, NARROW = 128 << 10, 32 << 20, 8 << 10, 6, 0.01
+STRETCH_CHARS = 600
 _LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A or b == 0x27 else 0x20 for b in range(256))
 _ASCII_LETTER = re.compile(r"[A-Za-z]")
 
@@ -33,10 +39,10 @@ def normal(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(_LETTERS).split())
 
 
-def dictionary(texts: list[str]) -> bytes:
-    """Raw content: an even share of each text, the last bytes (nearest to what is encoded) from the first text."""
-    share = max(512, DICT_BYTES // max(1, len(texts)))
-    return b" ".join(normal(t)[:share] for t in texts)[:DICT_BYTES]
+def dictionary(texts: list[str], size: int = DICT_BYTES) -> bytes:
+    """Raw content: an even share of each text, the last bytes (nearest to what is encoded) from the last text."""
+    share = max(1, size // max(1, len(texts)) - 1)
+    return b" ".join(normal(t)[:share] for t in texts)
 
 
 class Encoders:
@@ -64,24 +70,33 @@ class Encoders:
         return self.names[best], min(1.0, 0.5 + 5 * margin), margin >= NARROW
 
 
-def sampled(known: DataFrame, per_language: int, tried: int, max_languages: int) -> dict[str, list[str]]:
-    """Beginnings of texts by language."""
-    named = known.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    names = [r.lang for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = named.where(F.col("lang").isin(names)).select("lang", "doc_id", F.row_number().over(first).alias("n")).where(F.col("n") <= tried)
-    rows = named.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "n", F.substring("text", 1, 1000).alias("text")).collect()
-    found: dict[str, dict[str, str]] = {name: {} for name in names}
-    for row in sorted(rows, key=lambda r: (r.lang, r.n, r.text)):
-        if len(found[row.lang]) < per_language:
-            found[row.lang].setdefault(row.text[:60], row.text)
-    return {name: list(texts.values()) for name, texts in found.items() if texts}
-
-
-def languages(docs: DataFrame, known: DataFrame, per_language: int = 400, tried: int = 2000, max_languages: int = 50) -> DataFrame:
-    """(doc_id, lang_pred, score, accepted) of docs, learnt from the rows of known (doc_id, text, lang)."""
+def sampled(known: DataFrame, per_language: int) -> dict[str, list[str]]:
+    """Stretches of texts by language."""
+    named = known.where("lang is not null and text is not null and length(text) > 0").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    named = named.withColumn("h", F.xxhash64("text"))
+    sizes = {r.lang: r.n for r in named.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not sizes:
+        return {}
+    most = max(1, min(per_language, TOTAL_BYTES // len(sizes) // 512))
+    # Of a language's hashes a share is kept that holds some eight times as many as are wanted.
+    kept = known.sparkSession.createDataFrame([(name, min(1.0, 8 * most / max(1, n))) for name, n in sizes.items()], "lang string, share double")
+    first = F.pmod(F.xxhash64("h", F.lit(1)), F.greatest(F.length("text") - STRETCH_CHARS + 1, F.lit(1)).cast("long")).cast("int")
+    thin = named.join(F.broadcast(kept), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    thin = thin.select("lang", "h", F.substring("text", first + 1, F.lit(STRETCH_CHARS)).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    rows = thin.withColumn("n", place).where(F.col("n") <= most).collect()
+    found: dict[str, list[str]] = {}
+    for row in sorted(rows, key=lambda r: (r.lang, r.n)):
+        found.setdefault(row.lang, []).append(row.text)
+    return found
+
+
+def languages(docs: DataFrame, known: DataFrame, per_language: int = 256) -> DataFrame:
+    """(doc_id, lang_pred, score, accepted) of docs, learnt from the rows of known (text, lang)."""
     spark = docs.sparkSession
-    content = {name: dictionary(texts) for name, texts in sampled(known, per_language, tried, max_languages).items()}
+    learnt = sampled(known, per_language)
+    size = min(DICT_BYTES, TOTAL_BYTES // max(1, len(learnt)))
+    content = {name: dictionary(texts, size) for name, texts in learnt.items()}
     shared = spark.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

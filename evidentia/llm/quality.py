@@ -4,10 +4,12 @@ Features of a text: its distinct words (hashed, of one length together), binned
 capitals, digits, marks, white space, repeats and so on) and its binned size. The pairwise interactions have low rank
 RANK and are summed in linear time: half of (sum of v x) squared less the sum of (v x) squared.
 
-The fit takes a bounded sample of the labelled rows (`max_rows`, the smallest hashes of the id) in one task; its result,
-`2**BITS` rows of RANK + 1 numbers, has a fixed size and is broadcast. Null and empty texts have the statistics of an
-empty text. Rows of null labels are not learnt from; with one class only, every score is its smoothed share. Repeated
-rows count as often as they stand; extra columns are not read.
+The fit takes a bounded sample of the labelled documents (`max_rows`, the smallest hashes of the id; of these the first
+whose features keep to FIT_FEATURES) in one task; features are found before, in parallel. Its result, `2**BITS` rows of
+RANK + 1 numbers, has a fixed size and is broadcast. Null and empty texts have the statistics of an empty text. Whole
+texts of any length are scored. Rows of null labels or ids are not learnt from; with one class only, every score is its
+smoothed share. Of rows that repeat an id one is learnt from (the least hash of the text), and each is scored. An empty
+table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import NON_SPACE, span_hashes, text_slices, word_spans
 from .toxicity import labelled_sample
 
-BITS, RANK, BINS = 14, 6, 12
+BITS, RANK, BINS = 17, 6, 12
+#: Features that the fit holds at most, over all documents.
+FIT_FEATURES = 50_000_000
 #: Places kept for statistics: STATS of them times BINS.
 STATS = 14
 WORDS_FROM = STATS * BINS
@@ -88,20 +92,32 @@ def _rows(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield features(data[rows[i] : rows[i + 1]], words[first_word[i] : first_word[i + 1]])
 
 
+def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = list(_rows(batch.column(0)))
+        places, values = (pa.array([part[side].astype(kind).tobytes() for part in found], pa.binary()) for side, kind in ((0, "<i4"), (1, "<f4")))
+        yield pa.RecordBatch.from_arrays([places, values, batch.column(1), batch.column(2)], names=["places", "vals", "y", "h"])
+
+
 def _fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows, y = [], []
+    rows, y, held = [], [], 0
     for batch in batches:
-        y.extend(batch.column(1).to_pylist())
-        rows.extend(_rows(batch.column(0)))
+        for places, values, label in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            at = np.frombuffer(places.as_py(), "<i4")
+            held += len(at)
+            if held <= FIT_FEATURES:
+                rows.append((at, np.frombuffer(values.as_py(), "<f4")))
+                y.append(label)
     bias, w, v = fit(rows, np.array(y, np.float64))
-    yield pa.RecordBatch.from_arrays([pa.array([float(bias)]), pa.array([w.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["bias", "w", "v"])
+    yield pa.RecordBatch.from_arrays([pa.array([float(bias)]), pa.array([w.astype("<f4").tobytes()], pa.binary()), pa.array([v.astype("<f4").tobytes()], pa.binary())], names=["bias", "w", "v"])
 
 
 def quality(docs: DataFrame, labels: DataFrame, where=None, max_rows: int = 12_000) -> DataFrame:
     """(doc_id, score) of each document's whole text; `where` picks the labelled rows that may be learnt from."""
-    sample = labelled_sample(docs, labels, "quality", max_rows, where)
-    row = sample.repartition(1).sortWithinPartitions("doc_id").select("text", "y").mapInArrow(_fitter, "bias double, w binary, v binary").first()
-    model = (0.0, np.zeros(1 << BITS), np.zeros((1 << BITS, RANK))) if row is None else (row["bias"], np.frombuffer(row["w"]), np.frombuffer(row["v"]).reshape(-1, RANK))
+    sample = labelled_sample(docs, labels, "quality", max_rows, where).select("text", F.col("y").cast("long"), F.xxhash64("doc_id").alias("h"))
+    found = sample.mapInArrow(_featurer, "places binary, vals binary, y long, h long")
+    row = found.repartition(1).sortWithinPartitions("h").mapInArrow(_fitter, "bias double, w binary, v binary").first()
+    model = (0.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, RANK), np.float32)) if row is None else (row["bias"], np.frombuffer(row["w"], "<f4"), np.frombuffer(row["v"], "<f4").reshape(-1, RANK))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,15 @@
 """Toxicity scores: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are its distinct byte n-grams of 3 to 5 (A-Z lower-cased), hashed. The ratio of an n-gram is
-log((1 + positives with it) / (sum) : (1 + negatives with it) / (sum)); logistic regression runs on features scaled by
-these ratios. The fit takes a bounded sample of the labelled rows (`max_rows`, the smallest hashes of the id), in one
-task; its result is `2**BITS` weights, a fixed size, which scoring tasks get as a broadcast.
-
-Null and empty texts have no features and get the intercept's score. Rows of null labels are not learnt from. With no
-labelled rows, or of one class only, every score is the smoothed share of that class. Repeated rows count as often as
-they stand; extra columns are not read.
+A text's features are its distinct n-grams of 3 to 5 characters (code points, A-Z lower-cased), hashed. The ratio of an
+n-gram is log((1 + positives with it) / (sum) : (1 + negatives with it) / (sum)); logistic regression runs on features
+scaled by these ratios. The fit takes a bounded sample of the labelled documents (`max_rows`, the smallest hashes of the
+id; of these the first whose features keep to FIT_FEATURES), in one task; features are found before, in parallel. Its
+result is `2**BITS` weights, a fixed size, which scoring tasks get as a broadcast.
+
+Null and empty texts have no features and get the intercept's score. Whole texts of any length are scored. Rows of null
+labels or ids are not learnt from. With no labelled rows, or of one class only, every score is the smoothed share of that
+class. Of rows that repeat an id one is learnt from (the least hash of the text), and each is scored. An empty table
+gives no rows. A column named tox_score is replaced; other extra columns pass through.
 """
 
 from __future__ import annotations
@@ -18,25 +20,41 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_slices, widened
+from .common import LOWER, text_slices, widened
 
 BITS = 18
 GRAMS = (3, 4, 5)
 #: An n-gram counts if its ratio is so many standard errors from 0.
 SURE = 3.0
+#: Features that the fit holds at most, over all documents.
+FIT_FEATURES = 100_000_000
+#: Characters that are looked at together.
+BLOCK = 1 << 20
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += np.uint64(32)
+
+
+def characters(text: np.ndarray) -> np.ndarray:
+    """The code points of a text's UTF-8 bytes, A-Z lower-cased."""
+    low = LOWER[text]
+    if len(low) and low.max() >= 0x80:
+        low = np.frombuffer(low.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+    return low
 
 
 def features(text: np.ndarray, mark: np.ndarray) -> np.ndarray:
     """Distinct hashed n-grams of one text's bytes. mark: a scratch array of 2**BITS numbers."""
-    b = _LOWER[text]
-    grams, packed = [], b
+    c = characters(text)
+    parts = [_grams(c[i : i + BLOCK + GRAMS[-1] - 1], mark) for i in range(0, max(1, len(c)), BLOCK)]
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+
+def _grams(c: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    c = c.astype(np.uint64)
+    grams, packed = [], c
     for n in range(2, GRAMS[-1] + 1):
-        if len(b) < n:
+        if len(c) < n:
             break
-        packed = packed[:-1] | (b[n - 1 :] << np.uint64(8 * (n - 1)))
+        packed = packed[:-1] * _MULTIPLY + c[n - 1 :]
         if n in GRAMS:
             grams.append((((packed + np.uint64(n)) * _MULTIPLY) >> np.uint64(64 - BITS)).astype(np.int64))
     if not grams:
@@ -47,10 +65,8 @@ def features(text: np.ndarray, mark: np.ndarray) -> np.ndarray:
     return at[mark[at] == order]
 
 
-def fit(texts: Iterator[np.ndarray], labels: np.ndarray, passes: int = 12, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights by hashed n-gram, and the intercept."""
-    mark = np.zeros(1 << BITS, np.int32)
-    found = [features(t, mark).astype(np.int32) for t in texts]
+def fit(found: list[np.ndarray], labels: np.ndarray, passes: int = 12, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Weights by hashed n-gram, and the intercept; found: the features of each document."""
     y = np.asarray(labels, np.int64)
     counts = np.zeros((2, 1 << BITS))
     for f, label in zip(found, y, strict=True):
@@ -83,28 +99,43 @@ def score(text: np.ndarray, weights: np.ndarray, bias: float, mark: np.ndarray)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, where=None) -> DataFrame:
-    """(text, y, doc_id) of at most max_rows labelled documents, those with the smallest hashes of the id; 1 counts where labels differ."""
+    """(text, y, doc_id) of at most max_rows labelled documents, those with the smallest hashes of the id.
+
+    1 counts where labels of an id differ; of texts of one id that of the least hash is taken, before the shuffle.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     if where is not None:
         known = known.where(where)
     ids = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id").select("text", "y", "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(ids, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y")).select("text", "y", "doc_id")
+
+
+def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    mark = np.zeros(1 << BITS, np.int32)
+    for batch in batches:
+        found = [features(data[rows[i] : rows[i + 1]], mark).astype("<i4").tobytes() for first, last, data, rows in text_slices(batch.column(0)) for i in range(last - first)]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2)], names=["found", "y", "h"])
 
 
 def _fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    texts, y = [], []
+    found, y, held = [], [], 0
     for batch in batches:
-        y.extend(batch.column(1).to_pylist())
-        for first, last, data, rows in text_slices(batch.column(0)):
-            texts.extend(data[rows[i] : rows[i + 1]].copy() for i in range(last - first))
-    weights, bias = fit(iter(texts), np.array(y, np.int64)) if y else (np.zeros(1 << BITS, np.float32), 0.0)
+        for raw, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            at = np.frombuffer(raw.as_py(), "<i4")
+            held += len(at)
+            if held <= FIT_FEATURES:
+                found.append(at)
+                y.append(label)
+    weights, bias = fit(found, np.array(y, np.int64)) if y else (np.zeros(1 << BITS, np.float32), 0.0)
     yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 12_000, where=None) -> tuple[np.ndarray, float]:
     """Fit on a bounded sample of labelled rows, in one task; `where` picks the rows that may be learnt from, by doc_id."""
-    sample = labelled_sample(docs, labels, label, max_rows, where)
-    row = sample.repartition(1).sortWithinPartitions("doc_id").select("text", "y").mapInArrow(_fitter, "weights binary, bias double").first()
+    sample = labelled_sample(docs, labels, label, max_rows, where).select("text", F.col("y").cast("long"), F.xxhash64("doc_id").alias("h"))
+    found = sample.mapInArrow(_featurer, "found binary, y long, h long")
+    row = found.repartition(1).sortWithinPartitions("h").mapInArrow(_fitter, "weights binary, bias double").first()
     if row is None:  # nothing is labelled, and Spark skips the task
         return np.zeros(1 << BITS, np.float32), 0.0
     return np.frombuffer(row["weights"], np.float32), row["bias"]

@@ -62,3 +62,61 @@ def test_distinct_grams():
     text = np.frombuffer("Ababab".encode(), np.uint8)
     found = toxicity.features(text, np.zeros(1 << toxicity.BITS, np.int32))
     assert len(found) == len(set(found)) == 6  # aba bab abab baba ababa babab
+
+
+def test_toxicity_by_brute_force(spark):
+    """The fit and the scores of a small table, computed anew from the definition."""
+    rows = [(i, ("bad wörd " if i % 3 == 0 else "good wort ") + f"text {i}", int(i % 3 == 0)) for i in range(90)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    found = {r.doc_id: r.tox_score for r in toxicity.toxicity(docs, labels).collect()}
+    grams = [{text[i : i + n] for n in (3, 4, 5) for i in range(len(text) - n + 1)} for _, text, _ in rows]
+    mark = np.zeros(1 << toxicity.BITS, np.int32)
+    at = [toxicity.features(np.frombuffer(t.encode(), np.uint8), mark) for _, t, _ in rows]
+    assert all(len(a) == len(g) for a, g in zip(at, grams, strict=True))
+    weights, bias = toxicity.train(docs, labels)
+    for (i, _, y), a in zip(rows, at, strict=True):
+        assert abs(found[i] - 1 / (1 + np.exp(-(bias + weights[a].sum(dtype=np.float64))))) < 1e-9
+        assert (found[i] >= 0.5) == y
+    positive = np.array([y for *_, y in rows])
+    for gram in ("bad", "wör", "text ", "good"):
+        held = np.array([gram in g for g in grams])
+        ratio = np.log((held[positive == 1].sum() + 1) / (positive.sum() + 2)) - np.log((held[positive == 0].sum() + 1) / ((1 - positive).sum() + 2))
+        place = toxicity.features(np.frombuffer(gram.encode(), np.uint8), mark)[-1]
+        assert np.sign(weights[place]) in (0, np.sign(ratio)) or abs(ratio) < 0.2
+
+
+def test_long_texts_have_the_features_of_their_parts():
+    mark = np.zeros(1 << toxicity.BITS, np.int32)
+    text = np.frombuffer(("añb cd " * 400_000).encode(), np.uint8)
+    assert set(toxicity.features(text, mark)) == set(toxicity.features(text[: 8 * 40], mark))
+
+
+def test_language_by_brute_force(spark):
+    """Dictionaries and sizes computed anew from the definition; sixty languages, copies and a dominant one."""
+    import zstandard
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(60):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(40)]
+        rows += [(1000 * k + i, " ".join(rng.choice(words, 30)), f"l{k:02}") for i in range(8)]
+    rows += [(10**6 + i, rows[0][1], "l00") for i in range(300)] + [(10**7 + i, f"{rows[i % 8][1]} {rows[(i + 1) % 8][1]}", "l00") for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = language.sampled(docs, 16)
+    assert len(learnt) == 60 and all(len(t) == len(set(t)) <= 16 for t in learnt.values()) and len(learnt["l00"]) == 16 and len(learnt["l05"]) == 8
+    found = {r.doc_id: r.lang_pred for r in language.languages(docs, docs, per_language=16).collect()}
+    encoders = {}
+    for name, texts in learnt.items():
+        held = zstandard.ZstdCompressionDict(language.dictionary(texts), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=language.LEVEL)
+        encoders[name] = zstandard.ZstdCompressor(dict_data=held, level=language.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False)
+    for doc_id, text, _ in rows[::7]:
+        assert found[doc_id] == min(sorted(encoders), key=lambda n: len(encoders[n].compress(language.normal(text))))
+    assert np.mean([found[d] == lang for d, _, lang in rows]) > 0.95
+
+
+def test_repeated_ids_are_learnt_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert sorted(r.doc_id for r in toxicity.labelled_sample(docs, labels, "toxic", 100).collect()) == [1, 2]
