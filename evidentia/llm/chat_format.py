@@ -6,8 +6,8 @@ The rendering is encoded once with offsets; the spans of the assistant's texts,
 spans by binary search. The mask is that of the tokens; what lies under it is read back from the offsets.
 
 Rows go to tasks by conversation and are streamed in order of turn (ties: role, then text; nulls first), so a task holds
-no more than FLUSH characters of a conversation (or one longer turn): beyond, what has come is rendered and encoded, and
-digests go on. Null roles count as empty strings, null texts as empty. A null conv_id is a conversation of its own. A
+no more than `flush` characters of a conversation (or one longer turn): beyond, what has come is rendered and encoded, and
+digests go on. Shorter conversations, of up to FLUSH characters by default, are encoded once and whole. Null roles count as empty strings, null texts as empty. A null conv_id is a conversation of its own. A
 conversation without rows gives none; repeated rows are turns of their own. Extra columns are not read.
 """
 
@@ -99,8 +99,8 @@ def _tokenizer(path: str):
 class _Conversation:
     """Figures of one conversation, gathered from its output stretch by stretch."""
 
-    def __init__(self, key, tokenizer, with_output: bool):
-        self.key, self.tokenizer, self.held, self.size = key, tokenizer, [], 0
+    def __init__(self, key, tokenizer, with_output: bool, most: int):
+        self.key, self.tokenizer, self.held, self.size, self.most = key, tokenizer, [], 0, most
         self.turns = self.loss_chars = self.chars = self.tokens = self.loss_tokens = 0
         self.read, self.loss = hashlib.sha256(), hashlib.sha256()
         self.with_output, self.texts, self.ids, self.mask = with_output, [], [], []
@@ -108,7 +108,7 @@ class _Conversation:
     def add(self, role: str, text: str) -> None:
         self.held.append((role, text))
         self.size += len(text)
-        if self.size > FLUSH:
+        if self.size > self.most:
             self.flush()
 
     def flush(self) -> None:
@@ -141,7 +141,7 @@ _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 _OUTPUT = ", formatted string, input_ids array<int>, loss_mask array<boolean>"
 
 
-def formatted(conversations: DataFrame, tokenizer_path: str, with_output: bool = True) -> DataFrame:
+def formatted(conversations: DataFrame, tokenizer_path: str, with_output: bool = True, flush: int = FLUSH) -> DataFrame:
     """One row for each conversation: figures read back from its output and, with_output, the output itself."""
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()] + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_())] * with_output
     names = [part.split()[0] for part in (_DIGEST + _OUTPUT * with_output).split(", ")]
@@ -159,7 +159,7 @@ def formatted(conversations: DataFrame, tokenizer_path: str, with_output: bool =
                 if now is None or now.key != key:
                     if now is not None:
                         done.append(now.row())
-                    now = _Conversation(key, tokenizer, with_output)
+                    now = _Conversation(key, tokenizer, with_output, flush)
                 now.add(role or "", text or "")
                 if len(done) >= 256:
                     yield made()
