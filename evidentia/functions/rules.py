@@ -5,16 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 ARRIVALS = ("created", "content_updated", "restored")
+_MASS = {"kg": (1.0, 0.0), "g": (0.001, 0.0), "lb": (0.45359237, 0.0)}
+_HEAT = {"C": (1.0, 0.0), "F": (5 / 9, -32 * 5 / 9)}
 # Canonical unit of each metric, and scale and offset of the units that convert to it.
 UNITS = {
-    "mass": ("kg", {"kg": (1.0, 0.0), "g": (0.001, 0.0), "lb": (0.45359237, 0.0)}),
-    "temperature": ("C", {"C": (1.0, 0.0), "F": (5 / 9, -160 / 9)}),
+    "mass": ("kg", _MASS),
+    "weight": ("kg", _MASS),
+    "body_mass": ("kg", _MASS),
+    "temperature": ("C", _HEAT),
+    "body_temperature": ("C", _HEAT),
+    "heart_rate": ("bpm", {"bpm": (1.0, 0.0)}),
+    "hrv": ("ms", {"ms": (1.0, 0.0)}),
+    "systolic_bp": ("mmHg", {"mmHg": (1.0, 0.0)}),
+    "diastolic_bp": ("mmHg", {"mmHg": (1.0, 0.0)}),
 }
 
 
 def valid_at(start: Column, end: Column, at: Column) -> Column:
-    """start <= at < end, a null end being open."""
-    return F.coalesce(start <= at, F.lit(True)) & F.coalesce(at < end, F.lit(True))
+    """start <= at < end, a null bound being open; an unknown time is valid only where there is no bound."""
+    known = F.coalesce(start <= at, F.lit(True)) & F.coalesce(at < end, F.lit(True))
+    return F.when(at.isNull(), start.isNull() & end.isNull()).otherwise(known)
+
+
+def interval_sane(start: Column, end: Column) -> Column:
+    """Whether an interval ends after it starts; open ones do."""
+    return F.coalesce(end > start, F.lit(True))
+
+
+def backoff(attempts: Column, first: int = 30, most: int = 3600) -> Column:
+    """Seconds to wait after so many failures: doubled each time, up to most."""
+    return F.least(F.lit(float(most)), first * F.pow(F.lit(2.0), F.least(attempts, F.lit(40)))).cast("long")
 
 
 def within(at: Column, after: Column | None, before: Column | None) -> Column:

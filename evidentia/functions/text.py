@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 #: A token: letters and digits of any script.
 TOKEN = r"[\p{L}\p{N}]+"
@@ -32,6 +36,32 @@ def content_terms(text: Column | str) -> Column:
     return F.array_except(plain, F.array(*map(F.lit, STOP_WORDS)))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def folded_terms(texts: pd.Series) -> pd.Series:
+    """Content terms after compatibility normalisation (NFKC) and full case folding, sorted; null for null.
+
+    Spark has no function for either, so this one runs in Python, on Arrow batches.
+    """
+    stop, token = set(STOP_WORDS), re.compile(r"[^\W_]+")
+
+    def terms(text: str) -> list[str]:
+        return sorted({t for t in token.findall(unicodedata.normalize("NFKC", text).casefold()) if t not in stop and not t.isdecimal()})
+
+    return texts.map(terms, na_action="ignore")
+
+
+def clauses(text: Column | str, most: int = 4) -> Column:
+    """The first parts of a question between ?, ; and line ends, without blanks around them; empty ones are left out."""
+    return F.slice(F.filter(F.transform(F.split(text, r"[?;\n]+"), lambda c: squeezed(c)), lambda c: c != ""), 1, most)
+
+
+def halves(text: Column, mark: str) -> tuple[Column, Column]:
+    """What stands before and after the first mark; all of it and an empty text where there is none."""
+    at = F.instr(text, mark)
+    cut = lambda c, start, size: F.substring(c, start, size)
+    return F.when(at > 0, cut(text, F.lit(1), at - 1)).otherwise(text), F.when(at > 0, cut(text, at + len(mark), F.length(text))).otherwise("")
+
+
 def squeezed(text: Column | str) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " "))
@@ -65,11 +95,26 @@ def phone(number: Column | str) -> Column:
 
 
 def literal_contains(text: Column | str, part: str) -> Column:
-    """Whether text holds part, % and _ standing for themselves, blind to the case of A-Z."""
-    return F.contains(F.lower(text), F.lit(part.lower()))
+    """Whether text holds part, % and _ standing for themselves, blind to the case of A-Z and of no other letters."""
+    folded = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.contains(folded(text), folded(F.lit(part)))
 
 
 def digest(prefix: str, *parts: Column, size: int = 24) -> Column:
     """An id made of the SHA-256 of the parts' JSON array; nulls count as empty strings."""
     held = F.array(*(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.to_json(held).cast("binary"), 256), 1, size))
+
+
+def document(fields: dict[str, Column], most: int = 65_536) -> tuple[Column, Column]:
+    """An object's JSON with its keys in order and no blanks, and whether it keeps to the size of a document.
+
+    Maps among the fields are put in order too; null fields are left out.
+    """
+    text = F.to_json(F.struct(*(fields[name].alias(name) for name in sorted(fields))))
+    return text, F.octet_length(text) <= most
+
+
+def in_order(entries: Column) -> Column:
+    """A map with its keys in rising order."""
+    return F.map_from_entries(F.array_sort(F.map_entries(entries)))

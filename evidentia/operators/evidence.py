@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import text as tx
+from ..session import settled
+
 
 def live(records: DataFrame, tombstones: DataFrame, key: str) -> DataFrame:
     """Records that no tombstone names."""
@@ -53,3 +56,55 @@ def collapsed(rows: DataFrame, key: str, text: Column) -> DataFrame:
     first = groups.groupBy("t").agg(F.min("k").alias("first"))
     pairs = groups.join(first, "t")
     return pairs.select(F.col("k").alias(key), F.col("first"), (F.col("k") != F.col("first")).alias("is_duplicate"))
+
+
+def in_epochs(rows: DataFrame, order: str, resets: list[Column]) -> DataFrame:
+    """rows with `epoch`, from 1, and whether it is the last one: each reset, at a place in the order, ends the epoch before it."""
+    epoch = sum(((F.col(order) > at).cast("int") for at in resets), F.lit(1))
+    return rows.withColumn("epoch", epoch).withColumn("valid", F.col("epoch") == len(resets) + 1)
+
+
+def coverage(said: DataFrame, source: str, order: str) -> DataFrame:
+    """The last assertion of each source's coverage (state, through_at, note); a complete one without a cutoff or note is void."""
+    sound = (F.col("state") != "complete") | (F.col("through_at").isNotNull() & (F.coalesce("note", F.lit("")) != ""))
+    return latest(said.where(F.col("state").isin("unknown", "partial", "complete", "failed") & sound), [source], F.col(order))
+
+
+def accounts(records: DataFrame, key: str) -> DataFrame:
+    """(key, namespace, address) of the participants (an array of namespace and address) of records, in normal form.
+
+    Phone numbers lose their blanks and marks, domains of mail their capitals; what has no normal form keeps its own.
+    """
+    each = records.select(key, F.explode("participants").alias("p"))
+    space, address = F.col("p.namespace"), F.col("p.address")
+    normal = F.when(space == "phone", F.coalesce(tx.phone(address), address)).when(space == "email", F.coalesce(tx.email(address), address)).otherwise(address)
+    return each.select(key, space.alias("namespace"), normal.alias("address")).distinct()
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with `place`, their number from 0 in a total order: numbered within ranges, and the ranges' sizes added up."""
+    at = settled(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = at.groupBy("__part").agg(F.count("*").alias("n")).select("__part", before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return at.withColumn("place", own).join(sizes, "__part").withColumn("place", F.col("place") + F.col("before")).drop("__part", "before")
+
+
+def levels(rows: DataFrame, place: str, width: int) -> DataFrame:
+    """(level, id, parent): bundles of `width` neighbours by place (0 to n - 1), and bundles of these, until one holds all."""
+    n, level = rows.count(), 0
+    out = rows.select(F.lit(0).alias("level"), F.col(place).cast("long").alias("id"), F.expr(f"{place} div {width}").alias("parent"))
+    while n > 1:
+        n, level = -(-n // width), level + 1
+        out = out.union(rows.sparkSession.range(n).select(F.lit(level), "id", F.expr(f"id div {width}")))
+    return out
+
+
+def readable(rows: DataFrame, dead: DataFrame, session: str, record: str, private: dict[str, Column]) -> DataFrame:
+    """rows without those of forgotten records; in a session that had one, private fields are null where their rule says so."""
+    marked = rows.join(dead.select(record).distinct().withColumn("__dead", F.lit(True)), record, "left")
+    touched = marked.where("__dead").select(session).distinct().withColumn("__touched", F.lit(True))
+    left = marked.where("__dead is null").join(touched, session, "left")
+    for name, rule in private.items():
+        left = left.withColumn(name, F.when(~(F.coalesce("__touched", F.lit(False)) & rule), F.col(name)))
+    return left.drop("__dead", "__touched")

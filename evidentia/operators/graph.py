@@ -4,22 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.rules import valid_at
 from ..session import settled
 
 DAMPING, RECORD_DEGREE, ENTITY_DEGREE, FLOOR = 0.6, 6, 16, 1e-9
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(id): the roots and all that edges (parent, child) reach from them; cycles end, as each id is met once."""
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id): the roots and all that edges (parent, child) reach from them, however far; cycles end, as each id is met once."""
     seen = settled(roots.select("id").distinct())
     frontier = seen
-    for _ in range(max_rounds):
+    while not frontier.isEmpty():
         found = edges.join(frontier, edges["parent"] == frontier["id"]).select(F.col("child").alias("id")).distinct()
         frontier = settled(found.join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = settled(seen.union(frontier))
-    raise RuntimeError(f"the closure did not end in {max_rounds} rounds")
+        seen = seen.union(frontier)
+    return seen
 
 
 def hops(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
@@ -35,33 +34,57 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     return out.groupBy("seed", F.col("at").alias("id")).agg(F.min("hop").alias("hop"))
 
 
+def typed_hops(edges: DataFrame, seeds: DataFrame, most: int, at, max_edges: int = 200) -> DataFrame:
+    """(seed, edge, hop, truncated): the relations (edge, a, b, valid_from, valid_to) that are valid at `at` and lie within
+    `most` hops of each seed, met from either end; of a seed the first max_edges by hop and id, truncated telling of more.
+    """
+    if not (1 <= most <= 3 and 1 <= max_edges <= 200):
+        raise ValueError("hops must be from 1 to 3 and edges from 1 to 200")
+    valid = edges.where(valid_at(F.col("valid_from"), F.col("valid_to"), at)).select("edge", "a", "b")
+    both = valid.union(valid.select("edge", F.col("b").alias("a"), F.col("a").alias("b")))
+    layer, out = seeds.select(F.col("id").alias("seed"), F.col("id").alias("at")).distinct(), None
+    for hop in range(1, most + 1):
+        met = layer.join(both, F.col("at") == F.col("a"))
+        found = met.select("seed", "edge", F.lit(hop).alias("hop"))
+        out = found if out is None else out.union(found)
+        layer = met.select("seed", F.col("b").alias("at")).distinct()
+    first = out.groupBy("seed", "edge").agg(F.min("hop").alias("hop"))
+    by = Window.partitionBy("seed").orderBy("hop", "edge")
+    kept = first.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= max_edges + 1)
+    more = F.max("__n").over(Window.partitionBy("seed")) > max_edges
+    return kept.withColumn("truncated", more).where(F.col("__n") <= max_edges).drop("__n")
+
+
 def _capped(links: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
     return links.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
 
 
 def diffusion(links: DataFrame, seeds: DataFrame, rounds: int = 2, damping: float = DAMPING, record_degree: int = RECORD_DEGREE, entity_degree: int = ENTITY_DEGREE) -> DataFrame:
-    """(record, score) of records that personalised diffusion reaches from seeds (record, weight), the seeds left out.
+    """(query_id, record, score) of records that personalised diffusion reaches from seeds (query_id, record, weight), the
+    seeds left out.
 
     links (record, entity) is capped to a record's least entities and an entity's newest (greatest) records. Each round
     a record gives its mass in equal shares to its entities, these theirs to the records met, and (1 - damping) of the
-    seeds' share comes back. The walk stays within `rounds` hops of the seeds, so only their neighbourhood is joined.
+    seeds' share comes back. The walk stays within `rounds` hops of the seeds, so only their neighbourhood is joined, and
+    every query walks apart from the others.
     """
     outward = _capped(links, "record", [F.col("entity")], record_degree)
     inward = _capped(links, "entity", [F.desc("record")], entity_degree)
-    visited = frontier = seeds.select("record").distinct()
+    given = seeds.groupBy("query_id", "record").agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("weight"))
+    total = given.groupBy("query_id").agg(F.sum("weight").alias("total"))
+    start = settled(given.join(total, "query_id").select("query_id", "record", (F.col("weight") / F.col("total")).alias("p")))
+    visited = start.select("query_id", "record")
     for _ in range(rounds):
-        met = outward.join(frontier, "record", "left_semi").select("entity").distinct()
-        frontier = inward.join(met, "entity", "left_semi").select("record").distinct().join(visited, "record", "left_anti")
-        visited = settled(visited.union(frontier))
-        frontier = visited
-    own = settled(outward.join(visited, "record", "left_semi").withColumn("n", F.count("*").over(Window.partitionBy("record"))))
-    back = inward.join(own.select("entity").distinct(), "entity", "left_semi").join(visited, "record", "left_semi")
-    back = settled(back.withColumn("n", F.count("*").over(Window.partitionBy("entity"))))
-    total = F.sum("weight").over(Window.partitionBy())
-    start = settled(seeds.groupBy("record").agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("weight")).select("record", (F.col("weight") / total).alias("p")))
-    mass = start.select("record", F.col("p").alias("mass"))
+        met = visited.join(outward, "record").select("query_id", "entity").distinct()
+        visited = settled(visited.union(met.join(inward, "entity").select("query_id", "record")).distinct())
+    share = lambda by: F.count("*").over(Window.partitionBy("query_id", by))
+    own = settled(visited.join(outward, "record").withColumn("n", share("record")))
+    back = visited.join(inward, "record").join(own.select("query_id", "entity").distinct(), ["query_id", "entity"], "left_semi")
+    back = settled(back.withColumn("n", share("entity")))
+    mass = start.select("query_id", "record", F.col("p").alias("mass"))
     for _ in range(rounds):
-        entity = mass.join(own, "record").groupBy("entity").agg(F.sum(F.col("mass") / F.col("n")).alias("mass"))
-        record = entity.join(back, "entity").groupBy("record").agg(F.sum(F.col("mass") / F.col("n")).alias("got"))
-        mass = visited.join(record, "record", "left").join(start, "record", "left").select("record", ((1 - damping) * F.coalesce("p", F.lit(0.0)) + damping * F.coalesce("got", F.lit(0.0))).alias("mass"))
-    return mass.join(start, "record", "left_anti").where(F.col("mass") > FLOOR).select("record", F.col("mass").alias("score"))
+        entity = mass.join(own, ["query_id", "record"]).groupBy("query_id", "entity").agg(F.sum(F.col("mass") / F.col("n")).alias("mass"))
+        record = entity.join(back, ["query_id", "entity"]).groupBy("query_id", "record").agg(F.sum(F.col("mass") / F.col("n")).alias("got"))
+        held = visited.join(record, ["query_id", "record"], "left").join(start, ["query_id", "record"], "left")
+        mass = held.select("query_id", "record", ((1 - damping) * F.coalesce("p", F.lit(0.0)) + damping * F.coalesce("got", F.lit(0.0))).alias("mass"))
+    return mass.join(start, ["query_id", "record"], "left_anti").where(F.col("mass") > FLOOR).select("query_id", "record", F.col("mass").alias("score"))

@@ -1,50 +1,32 @@
-"""The change journal: transitions, versions, feeds and frozen batches of events for consumers."""
+"""The change journal: transitions, versions and feeds."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, Window, functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+def transitions(log: DataFrame, item: str, order: str, digest: str, metadata: str | None = None) -> DataFrame:
+    """log with kind and the item's transition_version among its real changes.
 
-def transitions(log: DataFrame, item: str, order: str, digest: str) -> DataFrame:
-    """log with kind (created, content_updated, unchanged) and the item's transition_version among its real changes."""
+    kind: created; content_updated where the digest changed; metadata_updated where only `metadata` did; unchanged.
+    """
     by = Window.partitionBy(item).orderBy(order)
-    before = F.lag(digest).over(by)
-    kind = F.when(F.row_number().over(by) == 1, "created").when(F.col(digest).eqNullSafe(before), "unchanged").otherwise("content_updated")
-    kinds = log.withColumn("kind", kind)
+    same = lambda c: F.col(c).eqNullSafe(F.lag(c).over(by))
+    kind = F.when(F.row_number().over(by) == 1, "created").when(~same(digest), "content_updated")
+    if metadata:
+        kind = kind.when(~same(metadata), "metadata_updated")
+    kinds = log.withColumn("kind", kind.otherwise("unchanged"))
     return kinds.withColumn("transition_version", F.sum(F.when(F.col("kind") != "unchanged", 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def event_ids(log: DataFrame, *parts: str) -> DataFrame:
+    """log with event_id: evt_ and a digest of what tells an event apart, so that an event appended twice is one."""
+    return log.withColumn("event_id", F.concat(F.lit("evt_"), F.substring(F.sha2(F.to_json(F.array(*(F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts))), 256), 1, 32)))
+
+
 def feed(log: DataFrame, consumer: str, order: str, size: str, budget: int, limit: int) -> DataFrame:
     """One page of a feed for each consumer: events in order while their sizes fit the budget, the first one always."""
     by = Window.partitionBy(consumer).orderBy(order)
     first = log.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= limit)
     used = first.withColumn("__used", F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return used.where((F.col("__used") <= budget) | (F.col("__n") == 1)).drop("__n", "__used")
-
-
-def packed(groups: DataFrame, by: list[str], order: str, size: str, cap: int, budget: int) -> DataFrame:
-    """groups with `batch`, their number in the order of a key: a batch holds at most cap groups and budget characters.
-
-    The greedy rule is sequential within a key: rows come sorted and are streamed, with no more than two numbers held.
-    """
-    names = list(groups.columns)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, batch, count, used = None, 0, 0, 0
-        for frame in batches:
-            out = []
-            for row_key, chars in zip(zip(*(frame[c] for c in by), strict=True), frame[size], strict=True):
-                if row_key != key:
-                    key, batch, count, used = row_key, 0, 0, 0
-                if count and (count + 1 > cap or used + chars > budget):
-                    batch, count, used = batch + 1, 0, 0
-                count, used = count + 1, used + chars
-                out.append(batch)
-            yield frame[names].assign(batch=out)
-
-    schema = T.StructType([*groups.schema.fields, T.StructField("batch", T.LongType())])
-    dealt = groups.repartition(*by).sortWithinPartitions(*by, order)
-    return dealt.mapInPandas(run, schema)

@@ -10,16 +10,22 @@ def conflicts(beliefs: DataFrame, by: list[str], value: str) -> DataFrame:
     return beliefs.groupBy(*by).agg(F.count_distinct(value).alias("n_values"), F.count("*").alias("n_beliefs")).where("n_values > 1")
 
 
-def overlapping(intervals: DataFrame, by: str, start: str, end: str, key: str) -> DataFrame:
-    """intervals with `overlaps`: whether another of the same owner shares time with it ([start, end), ends not null).
+def overlapping(intervals: DataFrame, by: str, owner: str, start: str, end: str, key: str) -> DataFrame:
+    """intervals with `overlaps`: how many of another owner share time with it ([start, end), null bounds being open).
 
-    In order of start, an interval overlaps an earlier one if the greatest end so far is past its start, and a later one
-    if the next start is before its end; so no pairs are formed.
+    An interval meets those that start before its end, but for those that end by its start. Both numbers are running
+    counts over the starts and ends of a `by` in order of time, for all owners and for its own, so no pairs are formed.
+    Intervals that end by their start are empty and meet none.
     """
-    order = Window.partitionBy(by).orderBy(start, key)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    following = F.lead(start).over(order)
-    return intervals.withColumn("overlaps", F.coalesce(reach > F.col(start), F.lit(False)) | F.coalesce(following < F.col(end), F.lit(False)))
+    ends = F.array(F.struct(F.lit(0).alias("is_start"), F.col(end).alias("t"), F.col(end).isNull().alias("never")), F.struct(F.lit(1).alias("is_start"), F.col(start).alias("t"), F.lit(False).alias("never")))
+    marks = intervals.where(F.coalesce(F.col(end) > F.col(start), F.lit(True))).select(F.col(key), F.col(by), F.col(owner), F.explode(ends).alias("m")).select(key, by, owner, "m.*")
+    # An open start comes first and an open end last; at one time ends come before starts.
+    order = [F.col("never"), F.col("t").asc_nulls_first(), F.col("is_start")]
+    past = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    count = lambda kind, *keys: F.count(F.when(F.col("is_start") == kind, 1)).over(past(*keys))
+    met = marks.select(key, "is_start", F.when(F.col("is_start") == 0, count(1, by) - count(1, by, owner)).otherwise(-(count(0, by) - count(0, by, owner))).alias("n"))
+    counts = met.groupBy(key).agg(F.sum("n").alias("overlaps"))
+    return intervals.join(counts, key, "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(0).cast("long")))
 
 
 def covered(required: DataFrame, states: DataFrame, domain: str, source: str) -> DataFrame:
@@ -46,9 +52,37 @@ def illegal_steps(log: DataFrame, by: str, order: list[Column], state: str, step
 def current_heads(operations: DataFrame, by: list[str], version: str, seq: str) -> DataFrame:
     """The accepted operation of each item where versions are totally ordered: the greatest version, the later at a tie.
 
-    Associative, so it is summed up before the shuffle; `history_only` counts the operations that moved nothing when
-    they came, because an earlier one had a greater version.
+    Summed up before the shuffle, so a hot item costs a row a task.
     """
+    return operations.groupBy(*by).agg(F.max(F.struct(version, seq)).alias("h")).select(*by, F.col(f"h.{version}").alias(version), F.col(f"h.{seq}").alias(seq))
+
+
+def history_only(operations: DataFrame, by: list[str], version: str, seq: str) -> DataFrame:
+    """operations with `late`: whether one moved nothing when it came, as an earlier one had a greater version."""
     best = F.max(version).over(Window.partitionBy(*by).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1))
-    marked = operations.withColumn("__late", F.coalesce(F.col(version) < best, F.lit(False)))
-    return marked.groupBy(*by).agg(F.max(F.struct(version, seq)).alias("h"), F.count(F.when(F.col("__late"), 1)).alias("history_only")).select(*by, F.col(f"h.{version}").alias(version), F.col(f"h.{seq}").alias(seq), "history_only")
+    return operations.withColumn("late", F.coalesce(F.col(version) < best, F.lit(False)))
+
+
+#: Roles of the streams that bring operations, the strongest first: of two without versions the stronger one stands.
+ROLES = ("incremental", "reconcile", "backfill")
+
+
+def item_states(operations: DataFrame, by: list[str]) -> DataFrame:
+    """Where an item's operations (action, version, role, seq) leave it: its state, head version and the last seq that moved it.
+
+    Of upserts and metadata updates the greatest version counts; where an item has no versions, the strongest role, then
+    the latest. remove and restore move an item whatever its version, and skip moves nothing. An item that was removed is
+    not revived by a backfill, but by a later upsert of another role, or a restore.
+    """
+    edit, gone = F.col("action").isin("upsert", "metadata_update"), F.col("action") == "remove"
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, reversed(ROLES))), F.col("role")), F.lit(0))
+    back = (F.col("action") == "restore") | (edit & (F.col("role") != "backfill"))
+    seq = F.col("seq")
+    each = operations.where("action != 'skip'").groupBy(*by).agg(
+        F.max(F.when(edit, F.struct(F.coalesce("version", F.lit(-1)).alias("version"), F.when(F.col("version").isNull(), rank).otherwise(0).alias("rank"), seq.alias("seq")))).alias("head"),
+        F.max(F.when(gone, seq)).alias("removed"),
+        F.max(F.when(back, seq)).alias("revived"),
+    )
+    live = F.col("removed").isNull() | F.coalesce(F.col("revived") > F.col("removed"), F.lit(False))
+    moved = F.greatest("head.seq", "removed", F.when(F.col("removed").isNotNull(), F.col("revived")))
+    return each.select(*by, F.when(live, "live").otherwise("removed").alias("state"), F.nullif("head.version", F.lit(-1)).alias("version"), moved.alias("moved_at"))

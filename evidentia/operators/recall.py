@@ -21,6 +21,21 @@ def group_key(source: Column, conversation: Column, stream: Column, item: Column
     return F.concat_ws(":", source, F.coalesce(conversation, F.concat_ws(":", stream, item)))
 
 
+def obligations(signals: DataFrame, models: DataFrame, done: DataFrame, block: int = 256) -> DataFrame:
+    """(doc_id, model) that a signal (doc_id) of a record asks of every model, but for what is done (doc_id, model).
+
+    The names of the models, a stated set, go to the rows in blocks of arrays, so signals fan out by explode; there are as
+    many rows as obligations, which is what is asked for.
+    """
+    named, due = [r.model for r in models.select("model").distinct().orderBy("model").toLocalIterator()], None
+    for i in range(0, len(named), block):
+        part = signals.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, named[i : i + block]))).alias("model"))
+        due = part if due is None else due.union(part)
+    if due is None:
+        return done.select("doc_id", "model").limit(0)
+    return due.join(done.select("doc_id", "model"), ["doc_id", "model"], "left_anti").select("doc_id", "model")
+
+
 def status(found: Column, failed: Column) -> Column:
     """candidates_found, retrieval_incomplete or no_relevant_evidence."""
     return F.when(found > 0, "candidates_found").when(failed, "retrieval_incomplete").otherwise("no_relevant_evidence")

@@ -26,10 +26,10 @@ SCORED_ROWS = 1 << 17
 
 
 class Best:
-    """The k best ids of each query so far, by score to nine digits, then id."""
+    """The k best ids of each query so far, by score to nine digits, then id; with `groups`, each group's best id only."""
 
-    def __init__(self, queries: int, k: int):
-        self.k, self.held, self.size, self.least = k, [[] for _ in range(queries)], [0] * queries, np.full(queries, -np.inf)
+    def __init__(self, queries: int, k: int, groups: int = 1):
+        self.k, self.groups, self.held, self.size, self.least = k, groups, [[] for _ in range(queries)], [0] * queries, np.full(queries, -np.inf)
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
         """scores: (queries, ids); -inf is no match."""
@@ -44,7 +44,10 @@ class Best:
     def _prune(self, q: int) -> None:
         ids, scores = (np.concatenate(c) for c in zip(*self.held[q], strict=True))
         by_id = np.argsort(ids, kind="stable")
-        order = by_id[np.argsort(-scores[by_id].round(9), kind="stable")][: self.k]
+        order = by_id[np.argsort(-scores[by_id].round(9), kind="stable")]
+        if self.groups > 1:
+            order = order[np.sort(np.unique(ids[order] // self.groups, return_index=True)[1])]
+        order = order[: self.k]
         self.held[q], self.size[q] = [(ids[order], scores[order])], len(order)
         if len(order) == self.k:
             self.least[q] = scores[order].min() - 1e-8
@@ -75,15 +78,15 @@ def _blocks(queries: DataFrame, size: int) -> Iterator[DataFrame]:
         yield queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", block: int = QUERY_BLOCK) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", block: int = QUERY_BLOCK, only: Column | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) of the k best documents of each query (query_id, text) that hold a term of it.
 
     One scan counts the documents of each wanted term, and one for each block of queries scores them: a task joins its
-    texts' terms with the block's, which are broadcast, and adds up the scores of one document after the other. Documents
-    without a token count nowhere, queries without one find nothing; of queries that repeat an id the terms are one set.
+    texts' terms with the block's, which are broadcast, and adds up the scores of one document after the other. `only`
+    says which documents may be found; the counts are those of all. Documents without a token count nowhere, queries without one find nothing; of queries that repeat an id the terms are one set.
     """
     spark, out = docs.sparkSession, None
-    held = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("t")).where(F.size("t") > 0)
+    held = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("t"), (F.lit(True) if only is None else only).alias("only")).where(F.size("t") > 0)
     for part in _blocks(queries.where("query_id is not null"), block):
         wanted: dict[str, list] = {}
         names: dict[object, int] = {}
@@ -133,7 +136,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", te
                 score(held, True)
             yield from _batches(best, names, *kinds, "score")
 
-        found = held.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.size("t").alias("dl"), F.explode("t").alias("term"))
+        found = held.where("only").withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.size("t").alias("dl"), F.explode("t").alias("term"))
         found = found.join(F.broadcast(terms.where("i >= 0")), "term").select("doc_id", "row", "dl", "i")
         schema = T.StructType([T.StructField("query_id", part.schema["query_id"].dataType), T.StructField("id", held.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
         some = found.mapInArrow(scan, schema)
@@ -141,18 +144,19 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", te
     return top(out.withColumnRenamed("id", "doc_id"), "query_id", F.round("score", 9), "doc_id", k)
 
 
-def top(scored: DataFrame, by: str, score: Column, tie: str, k: int) -> DataFrame:
+def top(scored: DataFrame, by: str | list[str], score: Column, tie: str, k: int) -> DataFrame:
     """The k best rows of each key with their rank, ties to the smaller id."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(score.desc(), F.col(tie)))).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(score.desc(), F.col(tie)))).where(F.col("rank") <= k)
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", floor: float | None = None, same: bool = False) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", floor: float | None = None, same: bool = False, per_record: int = 1) -> DataFrame:
     """(query_id, id, similarity, rank): the k nearest by cosine for each query (query_id, vector), exactly.
 
     The queries are taken in blocks of VECTOR_BYTES; each scan of the vectors scores one block with matrix products and a
     task keeps k candidates for each query. Null or zero vectors, and those of another dimension than the
     longest query's, have no similarity; one under `floor` is no match. A query's own id is left out unless `same`. An id that stands for
-    several vectors (chunks of a record) may come several times.
+    several vectors comes several times. With per_record, id // per_record is the record that a vector is a chunk of, and
+    of each record its best chunk only is found: a record's best chunk is also the best of its task, so this loses none.
     """
     spark, out = vectors.sparkSession, None
     numbered = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("vector")).where("query_id is not null and size(vector) > 0")
@@ -166,7 +170,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
             names, asked = shared.value
             length = np.linalg.norm(asked, axis=1, keepdims=True)
             asked, able = asked / np.where(length > 0, length, 1), length > 0
-            best, own = Best(len(names), k), np.array(names, np.int64)[:, None]
+            best, own = Best(len(names), k, per_record), np.array(names, np.int64)[:, None]
             step = max(1, (1 << 22) // max(1, len(names)))
             for batch in batches:
                 for lo in range(0, batch.num_rows, step):
@@ -187,9 +191,34 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
 
         part = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(scan, "query_id long, id long, similarity double")
         out = part if out is None else out.union(part)
+    if per_record > 1:
+        best = top(out.withColumn("record", F.floor(F.col("id") / per_record)), ["query_id", "record"], F.round("similarity", 9), "id", 1)
+        out = best.drop("rank")
     return top(out, "query_id", F.round("similarity", 9), "id", k)
 
 
+def holding(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 256) -> DataFrame:
+    """(query_id, doc_id): documents whose text holds the passage of an item (query_id, passage) byte for byte.
+
+    A passage of three words or more has one between white space, which any text that holds it has as a word too: the
+    longest such one picks the texts to look at, by their ids. Shorter passages, being a part of the stated items, are
+    looked for in every text, block by block. Empty passages are held by none.
+    """
+    words = F.split("passage", r"\s")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    named = items.where("passage != ''").select("query_id", "passage", longest.alias("word"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    every = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s"))).alias("word"))
+    met = every.join(named.where("word is not null").select("query_id", "word"), "word").select("query_id", "doc_id").distinct()
+    out = met.join(named.select("query_id", "passage"), "query_id").join(texts, "doc_id").where(F.contains("text", "passage")).select("query_id", "doc_id")
+    short = [(r.query_id, r.passage) for r in named.where("word is null").select("query_id", "passage").distinct().collect()]
+    for i in range(0, len(short), block):
+        found = F.filter(F.array(*(F.struct(F.lit(q).alias("q"), F.lit(p).alias("p")) for q, p in short[i : i + block])), lambda s: F.contains(F.col("text"), s["p"]))
+        out = out.union(texts.select(F.explode(found).alias("f"), "doc_id").select("f.q", "doc_id"))
+    return out.distinct()
+
+
 def fused(ranked: DataFrame, weight: Column | None = None) -> DataFrame:
     """Reciprocal rank fusion of (query_id, id, channel, rank): each sighting adds weight / (RRF_BASE + rank)."""
     share = (F.lit(1.0) if weight is None else weight) / (RRF_BASE + F.col("rank"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import rules, text as tx
 from ..operators import evidence, recall, retrieval
 from ..session import table
+from .ranking import met
 from .registry import query
 from .scans import BM25_SQL, bm25_top
 
@@ -26,8 +27,9 @@ SELECT item_id, doc_id, len(list_intersect(dt, q1)) > 0 AS main, len(q2) > 0 AND
 def flt_14_intent_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stricter gate of branches: one term of the main query, or two (or all) of a variant."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tx.content_terms(F.substring("text", 1, 40)).alias("q1"), tx.content_terms(F.substring("text", 41, 60)).alias("q2"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.content_terms("text").alias("dt"))
-    both = bm25_top(spark, sf_dir, 20).join(docs, "doc_id").join(items, "query_id")
+    pool = bm25_top(spark, sf_dir, 20)
+    docs = met(table(spark, sf_dir, "documents"), pool).select("doc_id", tx.content_terms("text").alias("dt"))
+    both = pool.join(docs, "doc_id").join(items, "query_id")
     main, other = recall.intent(F.col("dt"), F.col("q1"), F.col("q2"))
     return both.select(F.col("query_id").alias("item_id"), "doc_id", main.alias("main"), other.alias("other"))
 
@@ -139,16 +141,10 @@ SELECT l.doc_id, m.model FROM (SELECT DISTINCT doc_id FROM labels WHERE quality
 WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = l.doc_id AND e.label = m.model)"""
 )
 def join_24_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each model has still to index again, of the records signalled by a poor review.
-
-    The models are one array of at most a thousand names, so signals fan out by explode.
-    """
+    """What each model has still to index again, of the records signalled by a poor review."""
     vectors = table(spark, sf_dir, "embeddings")
-    models = vectors.select("label").distinct().orderBy("label").limit(1000).agg(F.collect_list("label")).first()[0]
-    signals = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
-    due = signals.select("doc_id", F.explode(F.array(*map(F.lit, models))).alias("model"))
-    done = vectors.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("model"))
-    return due.join(done, ["doc_id", "model"], "left_anti").select("doc_id", "model")
+    signals = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    return recall.obligations(signals, vectors.select(F.col("label").alias("model")), vectors.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("model")))
 
 
 @query(

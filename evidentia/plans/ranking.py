@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import rules, text as tx
-from ..operators import evidence, graph, journal, knowledge, retrieval
+from ..operators import awareness, evidence, graph, journal, knowledge, retrieval, search
 from ..session import table
 from .registry import query
-from .scans import BM25_SQL, bm25_top
+from .scans import BM25_SQL, bm25_sql, bm25_top
 
 _GOLD = "gold AS (SELECT b.item_id, d.doc_id FROM benchmark b, documents d WHERE contains(d.text, b.text))"
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, doc_id): documents that hold a benchmark item word for word, found by the item's longest word."""
-    longest = lambda words: F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    inner = F.slice(F.split("text", r"\s"), 2, F.greatest(F.size(F.split("text", r"\s")) - 2, F.lit(1)))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), longest(inner).alias("word"))
-    words = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s"))).alias("word"))
-    return words.join(items, "word").where(F.contains("text", "passage")).select("query_id", "doc_id").distinct()
+    """(query_id, doc_id): documents that hold a benchmark item word for word."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    return retrieval.holding(table(spark, sf_dir, "documents"), items)
+
+
+def met(docs: DataFrame, pool: DataFrame) -> DataFrame:
+    """The documents that a pool names."""
+    return docs.join(pool.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 @query(
@@ -35,13 +37,11 @@ def agg_12_ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.quality(bm25_top(spark, sf_dir, 10), gold(spark, sf_dir), 10)
 
 
-_HALVES = """
-WITH b AS (SELECT item_id * 2 + h AS item_id, CASE h WHEN 0 THEN substr(text, 1, length(text) // 2) ELSE substr(text, length(text) // 2 + 1) END AS text FROM benchmark, (VALUES (0), (1)) v(h)),
-"""
+_HALVES = "(SELECT item_id * 2 + h AS item_id, CASE h WHEN 0 THEN substr(text, 1, length(text) // 2) ELSE substr(text, length(text) // 2 + 1) END AS text FROM benchmark, (VALUES (0), (1)) v(h))"
 
 
 @query(
-    BM25_SQL.replace("WITH q AS", _HALVES + "q AS").replace("FROM benchmark)", "FROM b)")
+    bm25_sql(queries=_HALVES)
     + """, pool AS (SELECT * FROM ranked WHERE rank <= 32),
 f AS (SELECT item_id // 2 AS item_id, doc_id, sum(1.0 / (60 + rank)) AS score, count(*) AS n_channels FROM pool GROUP BY 1, 2),
 o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f)
@@ -68,7 +68,7 @@ JOIN (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text),
 def flt_13_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = bm25_top(spark, sf_dir, 30)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tx.content_terms("text").alias("qt"))
-    held = table(spark, sf_dir, "documents").select("doc_id", tx.content_terms("text").alias("dt"))
+    held = met(table(spark, sf_dir, "documents"), pool).select("doc_id", tx.content_terms("text").alias("dt"))
     both = pool.join(held, "doc_id").join(asked, "query_id")
     gate = rules.accepted(F.size(F.array_intersect("qt", "dt")), F.lit(None).cast("double"))
     return both.select(F.col("query_id").alias("item_id"), "doc_id", F.col("rank").cast("long").alias("rank"), gate.alias("accepted"))
@@ -91,10 +91,10 @@ s AS (SELECT *, len(list_distinct(regexp_extract_all(lower(piece), '[\p{L}\p{N}]
 SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, start) AS r FROM s) WHERE r = 1"""
 )
 def win_02_best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The richest stretch of each document, within its row: no shuffle."""
-    pieces = tx.spans("text", 200, 200)
-    scored = F.transform(pieces, lambda s: F.struct(F.size(F.array_distinct(tx.tokens(s["piece"]))).alias("n"), (-s["start"]).alias("back")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_max(scored).alias("b")).where("b is not null").select("doc_id", (-F.col("b.back")).alias("start"), "b.n")
+    """The richest stretch of each document; only its place and count are shuffled."""
+    pieces = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.spans("text", 200, 200)).alias("s"))
+    counted = pieces.select("doc_id", F.col("s.start").alias("start"), F.size(F.array_distinct(tx.tokens("s.piece"))).alias("n"))
+    return evidence.latest(counted, ["doc_id"], F.struct("n", -F.col("start"))).select("doc_id", "start", "n")
 
 
 @query("SELECT l_partkey, l_orderkey, place FROM (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC) AS place FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem)) WHERE place <= 16")
@@ -203,7 +203,7 @@ SELECT v.record, round(CAST(0.6 * coalesce(g, 0) AS DOUBLE), 9) AS score FROM v
 )
 def rec_05_ppr(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record"), F.col("l_partkey").alias("entity")).distinct()
-    seeds = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(6).select(F.col("o_orderkey").alias("record"), F.lit(1.0).alias("weight"))
+    seeds = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(6).select(F.lit(0).alias("query_id"), F.col("o_orderkey").alias("record"), F.lit(1.0).alias("weight"))
     return graph.diffusion(links, seeds).select("record", F.round("score", 9).alias("score"))
 
 
@@ -233,20 +233,32 @@ def ret_01_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vec_id stands for doc_id, and an item's vector is that of its number; a document's date follows from its id.
     """
-    docs, items, vectors = (table(spark, sf_dir, n) for n in ("documents", "benchmark", "embeddings"))
-    words = bm25_top(spark, sf_dir, retrieval.POOLS["fast"]).select("query_id", F.col("doc_id").alias("id"), F.lit("words").alias("channel"), "rank", F.lit(None).cast("double").alias("similarity"))
-    asked = items.join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
-    near = retrieval.neighbours(vectors, asked, retrieval.POOLS["fast"], same=True).select("query_id", "id", F.lit("vectors").alias("channel"), "rank", "similarity")
-    pool = words.unionByName(near)
-    scored = retrieval.fused(pool).join(pool.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity")), ["query_id", "id"])
-    live = evidence.live(docs, table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id")
+    best = search.hybrid(dated(spark, sf_dir), asked_texts(spark, sf_dir), now(), *asked_vectors(spark, sf_dir), hidden=toxic(spark, sf_dir))
+    return best.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("place"))
+
+
+def now() -> Column:
+    return F.expr("TIMESTAMP '2026-01-01'")
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.expr("timestampadd(DAY, cast(doc_id % 700 as int), TIMESTAMP '2024-01-01')")
-    held = live.select(F.col("doc_id").alias("id"), tx.content_terms("text").alias("dt"), at.alias("at")).join(scored, "id")
-    final = rules.recency(F.col("score"), F.col("at"), F.expr("TIMESTAMP '2026-01-01'"))
-    queries = items.select(F.col("item_id").alias("query_id"), tx.content_terms("text").alias("qt"))
-    gated = held.join(queries, "query_id").where(rules.accepted(F.size(F.array_intersect("qt", "dt")), F.col("similarity"))).select("query_id", "id", final.alias("final"))
-    best = retrieval.top(gated, "query_id", F.round("final", 9), "id", 8)
-    return best.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("final", 6).alias("score"), F.col("rank").cast("long").alias("place"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source", at.alias("at"))
+
+
+def asked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("variant"), "text")
+
+
+def asked_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(id, vector) of all, and (query_id, vector) of the items."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = table(spark, sf_dir, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), asked
+
+
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
 
 
 @query("SELECT event_id, round(value * (1 + pow(0.5, greatest(0, (epoch_us(TIMESTAMP '2030-01-01') - epoch_us(ts)) / 86400000000.0) / 365)), 6) AS score FROM events")
@@ -257,27 +269,36 @@ def ret_04_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 WITH b AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE ts <= (SELECT min(ts) + INTERVAL 25 DAY FROM events) AND ts + INTERVAL 20 DAY > (SELECT min(ts) + INTERVAL 25 DAY FROM events)),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY (k = 1)::INT DESC, k DESC, ts DESC, event_id) AS place,
- min(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id, event_type) <> max(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id, event_type) AS conflict FROM b)
+c AS (SELECT *, (k % 2 = 0)::INT AS n_context FROM b WHERE k % 2 = 1 OR k % 4 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY (k = 1)::INT DESC, n_context DESC, ts DESC, event_id) AS place,
+ min(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id, event_type) <> max(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id, event_type) AS conflict FROM c)
 SELECT user_id, event_type, event_id, conflict FROM r WHERE place = 1"""
 )
 def knw_02_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leading belief of each subject and predicate at an instant: explicit first, then the richest context, then the newest."""
+    """The leading belief of each subject and predicate at an instant and in a context: explicit first, then the richest
+    stored context, then the newest. A belief holds if all that its context says is so in the given one.
+    """
     events = table(spark, sf_dir, "events")
     at = F.lit(events.agg(F.min("ts") + F.expr("INTERVAL 25 DAYS")).first()[0])
     k = F.get_json_object("props", "$.k").cast("long")
     held = events.where(rules.valid_at(F.col("ts"), F.col("ts") + F.expr("INTERVAL 20 DAYS"), at)).select("user_id", "event_type", "event_id", "ts", k.alias("k"), F.floor("value").alias("v"))
-    lead = F.max_by("event_id", F.struct((F.col("k") == 1).cast("int"), "k", "ts", -F.col("event_id")))
-    return held.groupBy("user_id", "event_type").agg(lead.alias("event_id"), (F.min("v") != F.max("v")).alias("conflict"))
+    stored = F.when(F.col("k") % 2 == 0, F.create_map(F.lit("fourth"), (F.col("k") % 4).cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    fit = held.withColumn("context", stored).where(F.col("k").isNotNull() & rules.context_holds(F.col("context"), F.create_map(F.lit("fourth"), F.lit("0"))))
+    lead = F.max_by("event_id", F.struct((F.col("k") == 1).cast("int"), F.size("context"), "ts", -F.col("event_id")))
+    return fit.groupBy("user_id", "event_type").agg(lead.alias("event_id"), (F.min("v") != F.max("v")).alias("conflict"))
 
 
 @query(
     """
-SELECT event_id, round(CASE event_id % 3 WHEN 0 THEN value * 0.001 WHEN 1 THEN value * 0.45359237 END, 6) AS kg FROM events"""
+SELECT event_id, round(CASE event_id % 12 WHEN 0 THEN value * 0.001 WHEN 1 THEN value * 0.45359237 WHEN 2 THEN value WHEN 3 THEN (value - 32) * 5 / 9 WHEN 4 THEN value WHEN 5 THEN value WHEN 6 THEN value WHEN 7 THEN value WHEN 8 THEN value WHEN 9 THEN value * 0.001 END, 6) AS canonical,
+ least(3600, 30 * CAST(pow(2, event_id % 12) AS BIGINT)) AS wait FROM events"""
 )
 def knw_06_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unit = F.when(F.col("event_id") % 3 == 0, "g").when(F.col("event_id") % 3 == 1, "lb").otherwise("stone")
-    return table(spark, sf_dir, "events").select("event_id", F.round(rules.canonical(F.lit("mass"), unit, F.col("value")), 6).alias("kg"))
+    """Measurements of all metrics in canonical units; the last two are of units that are not registered."""
+    pairs = [("mass", "g"), ("weight", "lb"), ("body_mass", "kg"), ("temperature", "F"), ("body_temperature", "C"), ("heart_rate", "bpm"), ("hrv", "ms"), ("systolic_bp", "mmHg"), ("diastolic_bp", "mmHg"), ("body_mass", "g"), ("mass", "stone"), ("hrv", "kg")]
+    given = F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(u).alias("unit")) for m, u in pairs))
+    rows = table(spark, sf_dir, "events").select("event_id", "value", F.get(given, (F.col("event_id") % 12).cast("int")).alias("g"))
+    return rows.select("event_id", F.round(rules.canonical(F.col("g.metric"), F.col("g.unit"), F.col("value")), 6).alias("canonical"), rules.backoff(F.col("event_id") % 12).alias("wait"))
 
 
 @query(
@@ -324,21 +345,26 @@ def lif_03_supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH l AS (SELECT conv_id, turn, role, sha256(role) AS d FROM conversations),
-k AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 'created' WHEN d = lag(d) OVER w THEN 'unchanged' ELSE 'content_updated' END AS kind FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id, turn, kind, CAST(sum(CASE WHEN kind <> 'unchanged' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS transition_version FROM k"""
+WITH l AS (SELECT conv_id, turn, sha256(role) AS d, length(text) % 3 AS m FROM conversations),
+k AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 'created' WHEN d <> lag(d) OVER w THEN 'content_updated' WHEN m <> lag(m) OVER w THEN 'metadata_updated' ELSE 'unchanged' END AS kind FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, kind, CAST(sum(CASE WHEN kind <> 'unchanged' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS transition_version,
+ 'evt_' || substr(sha256('["' || conv_id || '","' || turn || '","' || kind || '"]'), 1, 32) AS event_id FROM k"""
 )
 def str_02_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.col("role").cast("binary"), 256).alias("d"))
-    return journal.transitions(log, "conv_id", "turn", "d").select("conv_id", "turn", "kind", "transition_version")
+    log = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.col("role").cast("binary"), 256).alias("d"), (F.length("text") % 3).alias("m"))
+    told = journal.event_ids(journal.transitions(log, "conv_id", "turn", "d", "m"), "conv_id", "turn", "kind")
+    return told.select("conv_id", "turn", "kind", "transition_version", "event_id")
 
 
 @query()
 def str_04_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frozen batches of a consumer: events by user and type are groups, packed greedily for each user (tested against brute force)."""
+    """Frozen batches of each consumer (user): groups in order of their first event, cut on the budget and put together while
+    the decision stays the same (tested against brute force).
+    """
     events = table(spark, sf_dir, "events").where("event_type != 'view'")
-    groups = events.groupBy("user_id", F.date_trunc("day", "ts").alias("day")).agg(F.min("event_id").alias("first"), F.sum(F.length("props") + 500).cast("long").alias("chars"))
-    return journal.packed(groups.select("user_id", "first", "chars"), ["user_id"], "first", "chars", 8, 4000)
+    decision = F.when(F.col("event_type") == "error", "next_turn").otherwise("background")
+    told = events.select("user_id", decision.alias("decision"), F.date_trunc("day", "ts").cast("string").alias("grp"), "event_id", awareness.event_chars("props", "user_id").cast("long").alias("chars"))
+    return awareness.swept(told, "user_id", ["decision"], "grp", "event_id", "chars", awareness.PACKET_GROUPS, awareness.PACKET_CHARS)
 
 
 @query(
@@ -361,5 +387,25 @@ m AS (SELECT *, max(v) OVER (PARTITION BY event_type, user_id ORDER BY event_id
 SELECT event_type, user_id, max(v) AS v, max_by(event_id, v * 100000000 + event_id) AS event_id, count(*) FILTER (WHERE v < best) AS history_only FROM m GROUP BY 1, 2"""
 )
 def snk_05_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    operations = table(spark, sf_dir, "events").select("event_type", "user_id", "event_id", F.get_json_object("props", "$.k").cast("long").alias("v"))
-    return knowledge.current_heads(operations, ["event_type", "user_id"], "v", "event_id")
+    by = ["event_type", "user_id"]
+    operations = table(spark, sf_dir, "events").select(*by, "event_id", F.get_json_object("props", "$.k").cast("long").alias("v"))
+    late = knowledge.history_only(operations, by, "v", "event_id").groupBy(*by).agg(F.count(F.when(F.col("late"), 1)).alias("history_only"))
+    return knowledge.current_heads(operations, by, "v", "event_id").join(late, by)
+
+
+@query(
+    """
+WITH o AS (SELECT user_id, event_id AS seq, ['upsert', 'metadata_update', 'remove', 'restore', 'skip'][1 + event_id % 5] AS action, ['incremental', 'reconcile', 'backfill'][1 + event_id % 3] AS role,
+ CASE WHEN event_id % 7 > 1 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS version FROM events WHERE event_id % 5 <> 4),
+e AS (SELECT *, action IN ('upsert', 'metadata_update') AS edit, CASE WHEN version IS NULL THEN 3 - event_rank ELSE 0 END AS rank FROM (SELECT *, seq % 3 AS event_rank FROM o)),
+h AS (SELECT user_id, seq AS head_seq, version FROM e WHERE edit QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY coalesce(version, -1) DESC, rank DESC, seq DESC) = 1),
+g AS (SELECT user_id, max(seq) FILTER (WHERE action = 'remove') AS removed, max(seq) FILTER (WHERE action = 'restore' OR (edit AND role <> 'backfill')) AS revived FROM e GROUP BY user_id)
+SELECT g.user_id, CASE WHEN removed IS NULL OR coalesce(revived > removed, false) THEN 'live' ELSE 'removed' END AS state, coalesce(h.version, -1) AS version, coalesce(greatest(h.head_seq, removed, CASE WHEN removed IS NOT NULL THEN revived END), -1) AS moved_at FROM g LEFT JOIN h USING (user_id)"""
+)
+def snk_05_item_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upserts, metadata updates, removals, restorations and skips of items (users), by streams of three roles."""
+    one = lambda names: F.get(F.array(*map(F.lit, names)), (F.col("event_id") % len(names)).cast("int"))
+    version = F.when(F.col("event_id") % 7 > 1, F.get_json_object("props", "$.k").cast("long"))
+    operations = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), one(["upsert", "metadata_update", "remove", "restore", "skip"]).alias("action"), one(knowledge.ROLES).alias("role"), version.alias("version"))
+    states = knowledge.item_states(operations, ["user_id"])
+    return states.select("user_id", "state", F.coalesce("version", F.lit(-1).cast("long")).alias("version"), F.coalesce("moved_at", F.lit(-1).cast("long")).alias("moved_at"))

@@ -9,25 +9,24 @@ from ..operators import evidence, retrieval
 from ..session import table
 from .registry import query
 
-_TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
-BM25_SQL = (
-    r"""
-WITH q AS (SELECT item_id, unnest(list_distinct(list_slice("""
-    + _TOKENS.format("text")
-    + r""", 1, 32))) AS term FROM benchmark),
-d AS (SELECT doc_id, """
-    + _TOKENS.format("text")
-    + r""" AS t FROM documents WHERE len("""
-    + _TOKENS.format("text")
-    + r""") > 0),
+_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+def bm25_sql(docs: str = "(SELECT doc_id, text, true AS eligible FROM documents)", queries: str = "benchmark") -> str:
+    """SQL that ends with ranked (item_id, doc_id, score, rank): docs (doc_id, text, eligible) by BM25 for queries (item_id, text)."""
+    return f"""
+WITH q AS (SELECT item_id, unnest(list_distinct(list_slice({_TOKENS}, 1, 32))) AS term FROM {queries}),
+d AS (SELECT doc_id, eligible, {_TOKENS} AS t FROM {docs} WHERE len({_TOKENS}) > 0),
 shape AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
-tf AS (SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY term, doc_id),
+tf AS (SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl, any_value(eligible) AS eligible FROM (SELECT doc_id, eligible, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY term, doc_id),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 scored AS (SELECT q.item_id, tf.doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
- FROM tf JOIN df USING (term) JOIN q USING (term), shape GROUP BY q.item_id, tf.doc_id),
+ FROM tf JOIN df USING (term) JOIN q USING (term), shape WHERE eligible GROUP BY q.item_id, tf.doc_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored)
 """
-)
+
+
+BM25_SQL = bm25_sql()
 
 
 def bm25_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -71,17 +70,21 @@ def src_08_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("props is not null").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT conv_id, CAST(rank() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS message_no, role AS sender, text, CAST(1700000000 + turn * 60 AS BIGINT) // 60 * 60 AS sent FROM conversations")
+@query(
+    """
+SELECT conv_id, CAST(rank() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS message_no, role AS sender, 'label:' || conv_id AS namespace, text, CAST(1700000000 + turn * 60 AS BIGINT) // 60 * 60 - 3600 AS sent, false AS ambiguous
+FROM conversations"""
+)
 def src_10_chat_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations written as a chat export, whose lines are then read back into messages."""
+    """Conversations written as a chat export by the clocks of Berlin, whose lines are then read back into messages."""
     from ..sources.chat_export import messages
 
     rows = table(spark, sf_dir, "conversations")
     at = F.timestamp_seconds(1_700_000_000 + F.col("turn") * 60)
-    said = F.concat(F.date_format(at, "dd/MM/yyyy, HH:mm"), F.lit(" - "), "role", F.lit(": "), "text")
+    said = F.concat(F.when(F.col("turn") % 2 == 0, F.date_format(at, "dd.MM.yy, hh:mm a - ")).otherwise(F.date_format(at, "'['dd/MM/yyyy, HH:mm'] '")), "role", F.lit(": "), "text")
     lines = rows.select(F.col("conv_id").alias("path"), "turn", F.posexplode(F.split(said, "\n")).alias("n", "line"))
-    read = messages(lines.select("path", F.struct("turn", "n").alias("line_no"), "line"))
-    return read.select(F.col("path").alias("conv_id"), "message_no", "sender", "text", F.unix_seconds("sent_at").alias("sent"))
+    read = messages(lines.select("path", F.struct("turn", "n").alias("line_no"), "line"), zone="Europe/Berlin")
+    return read.select(F.col("path").alias("conv_id"), "message_no", "sender", "namespace", "text", F.unix_seconds("sent_at").alias("sent"), "ambiguous")
 
 
 @query("SELECT event_id, event_type AS metric, CAST(value AS DECIMAL(38, 18))::DOUBLE AS value FROM events WHERE value IS NOT NULL AND isfinite(value)")
@@ -90,7 +93,21 @@ def src_11_csv_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("value is not null").withColumn("value", F.col("value").cast("double"))
 
 
-@query()
+_PLAIN = "html"
+for _old, _new in (
+    (r"(?s)<!--.*?(?:-->|\z)", ""),
+    (r"(?is)<script\b[^>]*>.*?(?:</script\b[^>]*>|\z)", ""),
+    (r"(?is)<style\b[^>]*>.*?(?:</style\b[^>]*>|\z)", ""),
+    (r"<[!?][^>]*>", ""),
+    (r"(?i)<(?:br|p|div|li)\b[^>]*>", "\n"),
+    (r"</?[A-Za-z][^>]*>", ""),
+):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_old}', '{_new}', 'g')"
+for _old, _new in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_old}', '{_new}')"
+
+
+@query(f"SELECT page_id, url, regexp_replace({_PLAIN}, '^\\s+|\\s+$', '', 'g') AS text FROM pages")
 def src_13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.html import html_text
 
@@ -228,22 +245,11 @@ def flt_11_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where(rules.context_holds(stored, given)).select("event_id")
 
 
-@query(
-    """
-SELECT d.doc_id, count(DISTINCT t.i) AS n_items FROM documents d, (SELECT item_id AS i, substr(text, 1, 40) AS quote FROM benchmark) t
-WHERE contains(d.text, t.quote) GROUP BY d.doc_id"""
-)
+@query("SELECT d.doc_id, count(DISTINCT b.item_id) AS n_items FROM documents d, benchmark b WHERE b.text <> '' AND contains(d.text, b.text) GROUP BY d.doc_id")
 def flt_15_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the opening of a benchmark item byte for byte.
-
-    A quote's first whole word picks the documents to look at, so texts meet few quotes.
-    """
-    word = lambda text: F.regexp_extract(text, r" (\S+) ", 1)
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("quote")).withColumn("word", word("quote"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    held = words.join(quotes, "word").where(F.contains("text", "quote"))
-    return held.groupBy("doc_id").agg(F.count_distinct("item_id").alias("n_items"))
+    """Documents that hold a benchmark item byte for byte, and how many of them."""
+    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    return retrieval.holding(table(spark, sf_dir, "documents"), quotes).groupBy("doc_id").agg(F.count_distinct("query_id").alias("n_items"))
 
 
 @query("SELECT event_id, (hour(ts) * 60 + minute(ts) >= 1320 OR hour(ts) * 60 + minute(ts) < 420) AS quiet FROM events")

@@ -20,10 +20,13 @@ def session(name: str = "evidentia", **conf: str) -> SparkSession:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df checkpointed in the cluster's shared folder (spark.checkpoint.dir; a fresh local one where that is unset)."""
+    """df checkpointed in the cluster's shared folder (spark.checkpoint.dir; where unset, a fresh one, in local mode only)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidentia-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="evidentia-"))
     return df.checkpoint(eager=True)
 
 

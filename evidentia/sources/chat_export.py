@@ -2,30 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# The two header forms of exports, and the marks some devices put before them.
-_MARKS = "[\\u200e\\u200f\\u202a-\\u202e]*"
-HEADER = _MARKS + r"(?:\[)?(\d{1,2}/\d{1,2}/\d{2,4}, \d{1,2}:\d{2}(?::\d{2})?(?: [AP]M)?)(?:\] | - )([^:]{1,200}): ?(.*)"
+from ..functions import text as tx
 
+# The header of a message (date, time, what is said) in its two forms, and marks some devices put in lines.
+HEADER = r"^\[?(\d{1,4}[./-]\d{1,2}[./-]\d{1,4}),?\s+(\d{1,2}:\d{2}(?::\d{2})?(?:\s*[APap][Mm])?)(?:\]\s*|\s+-\s+)(.*)$"
+ORDERS = ("DMY", "MDY", "YMD")
 
-def messages(lines: DataFrame, by: str = "path", order: str = "line_no", text: str = "line", day_first: bool = True) -> DataFrame:
-    """(path, message_no, sent_at, sender, text, ordinal) of export lines (path, line_no, line).
 
-    Lines before a thread's first header belong to no message. sent_at is the local wall time as given, null if it is no
-    time; ordinal counts equal messages (time, sender, text) of a thread from 0. A thread is read in the order of its
-    lines. Null lines count as empty.
+def wall_time(date: Column, clock: Column, order: str) -> Column:
+    """The local time of a header, null if it is none; years of two digits are from 1970 to 2069."""
+    if order not in ORDERS:
+        raise ValueError("the order of dates must be DMY, MDY or YMD")
+    parts = F.split(date, "[./-]")
+    year, month, day = (F.get(parts, order.index(c)).cast("int") for c in "YMD")
+    year = F.when(year >= 100, year).when(year < 70, year + 2000).otherwise(year + 1900)
+    part = lambda i: F.regexp_extract(clock, r"^(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([AaPp]?)", i)
+    hour, minute, second = part(1).cast("int"), part(2).cast("int"), F.coalesce(F.nullif(part(3), F.lit("")), F.lit("0")).cast("int")
+    half = F.upper(part(4))
+    hour = F.when(half == "", hour).when((hour < 1) | (hour > 12), None).otherwise(hour % 12 + F.when(half == "P", 12).otherwise(0))
+    return F.try_make_timestamp_ntz(year, month, day, hour, minute, second)
+
+
+def instants(local: Column, zone: str, fold: int = 0) -> tuple[Column, Column, Column]:
+    """The instant of a local time in a zone, whether clocks skip that time, and whether they show it twice.
+
+    Of the two instants of a time that comes twice, fold 0 is the earlier. Clocks are taken to shift by an hour, and the
+    session's time zone to be UTC.
+    """
+    at = F.to_utc_timestamp(local.cast("timestamp"), zone)
+    back = lambda t: F.from_utc_timestamp(t, zone).cast("timestamp_ntz")
+    hour = F.expr("INTERVAL 1 HOUR")
+    early = F.when(back(at - hour) == local, at - hour).otherwise(at)
+    late = F.when(back(at + hour) == local, at + hour).otherwise(at)
+    return (late if fold else early), back(at) != local, early != late
+
+
+def messages(lines: DataFrame, by: str = "path", order: str = "line_no", text: str = "line", dates: str = "DMY", zone: str = "UTC", fold: int = 0) -> DataFrame:
+    """(path, message_no, sent_at, error, ambiguous, sender, namespace, address, text, ordinal) of export lines (path, line_no, line).
+
+    Lines before a thread's first header belong to no message. sent_at is the instant of the local time; error says if
+    that time does not exist, in the calendar or by the clocks of the zone. A message without a sender is the system's. An
+    address that is a phone number is in normal form; other names count within their thread. ordinal counts equal
+    messages (time, sender, text) of a thread from 0. A thread is read in the order of its lines. Null lines count as empty.
     """
-    parts = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"^{HEADER}$"), F.lit(0))
-    marked = lines.withColumn("__head", F.size(parts) > 0)
-    number = F.sum(F.col("__head").cast("int")).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    line = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[\u200e\u200f]", "")
+    line = F.replace(line, F.lit("\u202f"), F.lit(" "))
+    marked = lines.select(F.col(by), F.col(order).alias("o"), line.alias("l")).withColumn("head", F.col("l").rlike(HEADER))
+    number = F.sum(F.col("head").cast("int")).over(Window.partitionBy(by).orderBy("o").rowsBetween(Window.unboundedPreceding, 0))
     held = marked.withColumn("message_no", number).where("message_no > 0")
-    body = F.when(F.col("__head"), F.regexp_extract(text, f"^{HEADER}$", 3)).otherwise(F.coalesce(F.col(text), F.lit("")))
-    entry = F.struct(F.col(order).alias("o"), body.alias("b"), F.when(F.col("__head"), F.regexp_extract(text, f"^{HEADER}$", 1)).alias("t"), F.when(F.col("__head"), F.regexp_extract(text, f"^{HEADER}$", 2)).alias("s"))
-    whole = held.groupBy(by, "message_no").agg(F.sort_array(F.collect_list(entry)).alias("l"))
-    day = "d/M/" if day_first else "M/d/"
-    stamp = F.element_at("l", 1)["t"]
-    forms = [F.try_to_timestamp(stamp, F.lit(day + year + ", " + clock)) for year in ("yyyy", "yy") for clock in ("H:mm", "H:mm:ss", "h:mm a", "h:mm:ss a")]
-    out = whole.select(by, F.col("message_no").cast("long").alias("message_no"), F.coalesce(*forms).alias("sent_at"), F.element_at("l", 1)["s"].alias("sender"), F.array_join(F.transform("l", lambda e: e["b"]), "\n").alias("text"))
+    part = lambda i: F.when(F.col("head"), F.regexp_extract("l", HEADER, i))
+    entry = F.struct("o", F.coalesce(part(3), F.col("l")).alias("b"), part(1).alias("d"), part(2).alias("c"))
+    whole = held.groupBy(by, "message_no").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    first = F.element_at("e", 1)
+    said = whole.select(by, F.col("message_no").cast("long").alias("message_no"), wall_time(first["d"], first["c"], dates).alias("local"), F.array_join(F.transform("e", lambda e: e["b"]), "\n").alias("said"))
+    at, skipped, twice = instants(F.col("local"), zone, fold)
+    sender, rest = tx.halves(F.col("said"), ": ")
+    named = F.contains("said", F.lit(": "))
+    error = F.when(F.col("local").isNull(), "no such date").when(skipped, "no such time in the zone")
+    phone = tx.phone(sender)
+    out = said.select(
+        by,
+        "message_no",
+        F.when(error.isNull(), at).alias("sent_at"),
+        error.alias("error"),
+        F.coalesce(twice, F.lit(False)).alias("ambiguous"),
+        F.when(named, sender).alias("sender"),
+        F.when(named, F.when(phone.isNotNull(), "phone").otherwise(F.concat(F.lit("label:"), F.col(by).cast("string")))).alias("namespace"),
+        F.when(named, F.coalesce(phone, sender)).alias("address"),
+        F.when(named, rest).otherwise(F.col("said")).alias("text"),
+    )
     same = Window.partitionBy(by, "sent_at", "sender", "text").orderBy("message_no")
     return out.withColumn("ordinal", (F.row_number().over(same) - 1).cast("long"))

@@ -14,7 +14,7 @@ from ..schema import RECORD, instant, validated
 from .html import plain
 
 MEASUREMENT = "timestamp string, metric string, value string, unit string, id string, device string"
-_MAIL = "path string, message_id string, sent_at string, subject string, senders array<string>, receivers array<string>, body string, attachments array<string>, error string"
+_MAIL = "path string, message_id string, sent_at string, subject string, senders array<string>, receivers array<string>, body string, marked boolean, attachments array<string>, error string"
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -36,24 +36,35 @@ def _mail(path: str, raw: bytes) -> tuple:
         message = email.message_from_bytes(raw, policy=email.policy.default)
         sent = parsedate_to_datetime(message["Date"]) if message["Date"] else None
         if sent is not None and sent.tzinfo is None:
-            return path, None, None, None, [], [], None, [], "date without zone"
+            return path, None, None, None, [], [], None, False, [], "date without zone"
         part = message.get_body(preferencelist=("plain", "html"))
-        body = part.get_content() if part is not None else ""
-        if part is not None and part.get_content_subtype() == "html":
-            body = plain(body)
+        body, marked = (part.get_content(), part.get_content_subtype() == "html") if part is not None else ("", False)
         people = lambda *names: [a for n in names for _, a in getaddresses(message.get_all(n, [])) if a]
         files = [f"{a.get_filename() or ''};{a.get_content_type()}" for a in message.iter_attachments()]
-        return path, message["Message-ID"], sent.isoformat() if sent else None, str(message["Subject"] or ""), people("From"), people("To", "Cc"), body, files, None
+        return path, message["Message-ID"], sent.isoformat() if sent else None, str(message["Subject"] or ""), people("From"), people("To", "Cc"), body, marked, files, None
     except (ValueError, LookupError, TypeError, AttributeError) as why:
-        return path, None, None, None, [], [], None, [], f"{type(why).__name__}"
+        return path, None, None, None, [], [], None, False, [], type(why).__name__
 
 
-def mails(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each mail file: headers, plain text (else the HTML's), people and attachments; error where it can't be read."""
+def _parsed(raw: DataFrame) -> DataFrame:
+    """Mails of (path, content): headers and people in Python on Arrow batches, HTML bodies by expressions."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in _MAIL.split(", ")]
         for frame in batches:
             yield pd.DataFrame([_mail(p, bytes(c)) for p, c in zip(frame["path"], frame["content"], strict=True)], columns=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, _MAIL)
+    found = raw.select("path", "content").mapInPandas(run, _MAIL)
+    return found.withColumn("body", F.when(F.col("marked"), plain(F.col("body"))).otherwise(F.col("body"))).drop("marked")
+
+
+def mails(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each mail file: headers, plain text (else the HTML's), people and attachments; error where it can't be read."""
+    return _parsed(spark.read.format("binaryFile").load(path))
+
+
+def mailbox(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each message of mailbox files, which Spark splits at lines that begin with "From "."""
+    pieces = spark.read.option("lineSep", "\nFrom ").text(path).select(F.input_file_name().alias("path"), "value")
+    headed = F.regexp_replace(F.regexp_replace("value", r"^(?:From )?[^\n]*\n", ""), r"(?m)^>(>*From )", "$1")
+    return _parsed(pieces.where(F.trim("value") != "").select("path", F.encode(headed, "UTF-8").alias("content")))

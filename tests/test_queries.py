@@ -19,26 +19,51 @@ def test_oracle(spark, con, sf_dir, name):
     assert mine[1] == theirs[1]
 
 
-def test_html_text(spark, sf_dir):
-    from evidentia.sources.html import plain
+def test_html_text(spark):
+    from evidentia.sources.html import html_text
 
-    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
-    found = {r.page_id: r.text for r in QUERIES["src_13_html_text"](spark, sf_dir).collect()}
-    assert found == {k: plain(v) for k, v in pages.items()}
-    assert plain("<p>a<script>x()</script>b<br>c&amp;d</p>") == "ab\nc&d"
-    assert plain(None) is None
+    rows = [("<p>a<script>x('</p>')</script>b<br/>c&amp;d</p>", "ab\nc&d"), (None, None), ("", ""), ("<DIV title='a>b'>x</DIV><!-- <p> -->y", "x y".replace(" ", "")), ("<style>p{}", ""), ("a &lt;b&gt; &eacute; 1 < 2", "a <b> é 1 < 2"), ("<pre>k</pre><link rel=x>l", "kl"), ("<li>1<li>2", "1\n2")]
+    found = html_text(spark.createDataFrame(rows, "h string, want string"), "h").collect()
+    assert [(r.h, r.plain) for r in found] == rows
+
+
+def sweep(rows, cap, budget):
+    """Batches of one consumer's (decision, group, seq, chars), by the rules as they are told."""
+    groups = {}
+    for decision, group, seq, chars in sorted(rows, key=lambda r: r[2]):
+        groups.setdefault((decision, group), []).append((seq, chars))
+    parts = []
+    for (decision, _), events in groups.items():
+        part = []
+        for seq, chars in events:
+            if part and sum(c for _, c in part) + chars > budget:
+                parts.append((decision, part))
+                part = []
+            part = [*part, (seq, chars)]
+        parts.append((decision, part))
+    out, batch = {}, []
+    number = -1
+    for decision, part in parts:
+        size = sum(c for _, c in part)
+        if not batch or decision != batch[0][0] or len(batch) + 1 > cap or sum(c for _, p in batch for _, c in p) + size > budget:
+            number, batch = number + 1, []
+        batch = [*batch, (decision, part)]
+        out |= {seq: number for seq, _ in part}
+    return out
 
 
 def test_sweep_brute_force(spark, sf_dir):
+    from evidentia.operators import awareness
+
     found = QUERIES["str_04_sweep"](spark, sf_dir).toPandas()
-    assert len(found)
+    assert len(found) and found.batch.max() > 3
     for _, group in found.groupby("user_id"):
-        batch = count = used = 0
-        for row in group.sort_values("first").itertuples():
-            if count and (count + 1 > 8 or used + row.chars > 4000):
-                batch, count, used = batch + 1, 0, 0
-            count, used = count + 1, used + row.chars
-            assert row.batch == batch
+        rows = list(zip(group.decision, group.grp, group.event_id, group.chars, strict=True))
+        assert dict(zip(group.event_id, group.batch, strict=True)) == sweep(rows, awareness.PACKET_GROUPS, awareness.PACKET_CHARS)
+    odd = [("c", "a", "g", 1, 9000), ("c", "a", "g", 2, 10), ("c", "b", "h", 3, 10), ("c", "a", "i", 4, 10)]
+    frame = spark.createDataFrame(odd, "c string, d string, g string, n long, size long")
+    assert {r.n: r.batch for r in awareness.swept(frame, "c", ["d"], "g", "n", "size", 8, 4000).collect()} == {1: 0, 2: 1, 3: 2, 4: 3}
+    assert awareness.swept(frame.limit(0), "c", ["d"], "g", "n", "size", 8, 4000).count() == 0
 
 
 def test_entry_and_registry(spark):

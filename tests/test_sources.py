@@ -1,14 +1,24 @@
 """Readers on small files."""
 
 from evidentia.sources.chat_export import messages
-from evidentia.sources.records import json_lines, mails, measurements
+from evidentia.sources.records import json_lines, mailbox, mails, measurements
 
 
 def test_chat_export(spark):
-    lines = ["preface", "01/02/2024, 10:15 - Ann: hello", "second line", "01/02/2024, 10:15 - Ann: hi", "[01/02/2024, 9:05:07 PM] Bob: late", "01/02/2024, 10:15 - Ann: hi"]
+    lines = ["preface", "01/02/2024, 10:15 - Ann: hello", "second line", "01/02/2024, 10:15 - +44 (770) 090-0123: hi", "[01/02/2024, 9:05:07 PM] Bob: late", "01/02/2024, 10:15 - Ann: hello", "second line", "01.02.24, 10:16 - no sender here", "31/02/2024, 10:00 - Ann: never"]
     rows = messages(spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "path string, line_no int, line string")).orderBy("message_no").collect()
-    assert [(r.sender, r.text, r.ordinal) for r in rows] == [("Ann", "hello\nsecond line", 0), ("Ann", "hi", 0), ("Bob", "late", 0), ("Ann", "hi", 1)]
+    assert [(r.sender, r.text, r.ordinal) for r in rows] == [("Ann", "hello\nsecond line", 0), ("+44 (770) 090-0123", "hi", 0), ("Bob", "late", 0), ("Ann", "hello\nsecond line", 1), (None, "no sender here", 0), ("Ann", "never", 0)]
     assert str(rows[0].sent_at) == "2024-02-01 10:15:00" and str(rows[2].sent_at) == "2024-02-01 21:05:07"
+    assert (rows[1].namespace, rows[1].address, rows[0].namespace) == ("phone", "+447700900123", "label:f") and rows[5].error == "no such date"
+
+
+def test_clock_changes(spark):
+    lines = ["2024-03-31, 02:30 - A: gap", "2024-10-27, 02:30 - A: twice", "2024-07-01, 12:00 AM - A: summer", "2024-01-01, 12:00 - A: winter"]
+    frame = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "path string, line_no int, line string")
+    rows = messages(frame, dates="YMD", zone="Europe/Berlin").orderBy("message_no").collect()
+    assert rows[0].error == "no such time in the zone" and rows[0].sent_at is None
+    assert [str(r.sent_at) for r in rows[1:]] == ["2024-10-27 00:30:00", "2024-06-30 22:00:00", "2024-01-01 11:00:00"] and [r.ambiguous for r in rows] == [False, True, False, False]
+    assert str(messages(frame, dates="YMD", zone="Europe/Berlin", fold=1).where("message_no = 2").first().sent_at) == "2024-10-27 01:30:00"
 
 
 def test_json_lines(spark, tmp_path):
@@ -31,3 +41,10 @@ def test_mails(spark, tmp_path):
     rows = {r.path[-5:]: r for r in mails(spark, str(tmp_path)).collect()}
     assert rows["a.eml"].receivers == ["b@x.org", "c@x.org"] and rows["a.eml"].body.strip() == "body"
     assert rows["b.eml"].error == "date without zone"
+
+
+def test_mailbox(spark, tmp_path):
+    text = "From a@x.org Mon Jan  1 10:00:00 2024\nFrom: a@x.org\nDate: Mon, 01 Jan 2024 10:00:00 +0000\nSubject: one\n\n>From here\n\nFrom b@x.org Tue Jan  2 10:00:00 2024\nFrom: b@x.org\nContent-Type: text/html\nSubject: two\n\n<p>x<br>y</p>\n"
+    (tmp_path / "a.mbox").write_text(text)
+    rows = {r.subject: r for r in mailbox(spark, str(tmp_path / "a.mbox")).collect()}
+    assert rows["one"].body.strip() == "From here" and rows["one"].senders == ["a@x.org"] and rows["two"].body == "x\ny"

@@ -1,6 +1,6 @@
 """Streams over files, run to their end."""
 
-from evidentia.streaming import deliveries, ingest
+from evidentia.streaming import ingest
 
 SCHEMA = "source string, source_id string, revision string, text string"
 
@@ -17,26 +17,3 @@ def test_ingest_is_idempotent(spark, tmp_path):
     found = {(r.source_id, r.status) for r in spark.read.parquet(store).where("batch_id = 7").collect()}
     assert found == {("1", "duplicate"), ("2", "conflict"), ("3", "new")}
     assert spark.read.parquet(store).where("batch_id = 7").count() == 3
-
-
-def test_lease_steps():
-    state = ("pending", 0, 0, 0.0)
-    *state, ok = deliveries.step(*state, "claim", 0.0, 0)
-    assert ok and state[0] == "leased"
-    assert not deliveries.step(*state, "claim", 10.0, 0)[-1]
-    assert not deliveries.step(*state, "ack", 10.0, 99)[-1]
-    *again, ok = deliveries.step(*state, "claim", 100.0, 0)
-    assert ok and again[2] == 2
-    assert deliveries.step(*again, "ack", 101.0, 2)[0] == "delivered"
-    assert not deliveries.step(*again, "ack", 101.0, 1)[-1]
-
-
-def test_deliveries_stream(spark, tmp_path):
-    rows = [("k", 1, "claim", 0.0, 0), ("k", 2, "ack", 5.0, 1), ("m", 1, "ack", 1.0, 0)]
-    kind = "key string, seq long, command string, at double, fence long"
-    spark.createDataFrame(rows, kind).coalesce(1).write.json(str(tmp_path / "in"))
-    out = deliveries.deliveries(spark.readStream.schema(kind).json(str(tmp_path / "in")))
-    run = out.writeStream.format("memory").queryName("deliveries").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
-    found = {(r.key, r.seq): (r.state, r.accepted) for r in spark.table("deliveries").collect()}
-    assert found == {("k", 1): ("leased", True), ("k", 2): ("delivered", True), ("m", 1): ("pending", False)}
