@@ -98,3 +98,8 @@ def canonical(metric: Column, unit: Column, value: Column) -> Column:
 def accepted(shared_terms: Column, similarity: Column, floor: float = 0.5) -> Column:
     """The relevance gate: a shared content term, or a similarity at the floor."""
     return (shared_terms > 0) | F.coalesce(similarity >= floor, F.lit(False))
+
+
+def source_allowed(source: Column, allowed: Column) -> Column:
+    """Whether a list of sources holds this one, or a star."""
+    return F.arrays_overlap(allowed, F.array(source, F.lit("*")))

@@ -118,3 +118,10 @@ def document(fields: dict[str, Column], most: int = 65_536) -> tuple[Column, Col
 def in_order(entries: Column) -> Column:
     """A map with its keys in rising order."""
     return F.map_from_entries(F.array_sort(F.map_entries(entries)))
+
+
+def cosine(a: str, b: str) -> Column:
+    """The cosine of two vectors of equal length; null where one is null or zero."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
+    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(size > 0, dot(a, b) / size)

@@ -108,3 +108,14 @@ def readable(rows: DataFrame, dead: DataFrame, session: str, record: str, privat
     for name, rule in private.items():
         left = left.withColumn(name, F.when(~(F.coalesce("__touched", F.lit(False)) & rule), F.col(name)))
     return left.drop("__dead", "__touched")
+
+
+def duplicate_lists(rows: DataFrame, key: str, text: Column, most: int = 1000) -> DataFrame:
+    """(first, part, duplicates): for each group of equal normal texts its least key, and the others' in sorted lists.
+
+    A group's keys fall to as many parts as keep lists at about `most`, by hash, so that none grows with the group.
+    """
+    found = collapsed(rows, key, text).where("is_duplicate")
+    sizes = found.groupBy("first").agg(F.ceil(F.count("*") / most).alias("__parts"))
+    dealt = found.join(sizes, "first").withColumn("part", F.pmod(F.xxhash64(key), F.col("__parts")))
+    return dealt.groupBy("first", "part").agg(F.sort_array(F.collect_list(key)).alias("duplicates"))

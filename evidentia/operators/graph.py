@@ -59,6 +59,14 @@ def _capped(links: DataFrame, by: str, order: list[Column], n: int) -> DataFrame
     return links.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
 
 
+def expanded(links: DataFrame, records: DataFrame, record_degree: int = RECORD_DEGREE, entity_degree: int = ENTITY_DEGREE) -> DataFrame:
+    """(record, met): one step over links (record, entity), with both degrees capped."""
+    links = links.distinct()
+    outward = _capped(links, "record", [F.col("entity")], record_degree).join(records, "record", "left_semi")
+    inward = _capped(links, "entity", [F.desc("record")], entity_degree).withColumnRenamed("record", "met")
+    return outward.join(inward, "entity").where("record != met").select("record", "met").distinct()
+
+
 def diffusion(links: DataFrame, seeds: DataFrame, rounds: int = 2, damping: float = DAMPING, record_degree: int = RECORD_DEGREE, entity_degree: int = ENTITY_DEGREE) -> DataFrame:
     """(query_id, record, score) of records that personalised diffusion reaches from seeds (query_id, record, weight), the
     seeds left out.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def transitions(log: DataFrame, item: str, order: str, digest: str, metadata: str | None = None) -> DataFrame:
@@ -30,3 +30,11 @@ def feed(log: DataFrame, consumer: str, order: str, size: str, budget: int, limi
     first = log.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= limit)
     used = first.withColumn("__used", F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return used.where((F.col("__used") <= budget) | (F.col("__n") == 1)).drop("__n", "__used")
+
+
+def page(log: DataFrame, cursors: DataFrame, consumer: str, order: str, size: str, budget: int, limit: int, wanted: Column, kept_from: int = 0) -> DataFrame:
+    """The next page of each consumer's feed: wanted events past its cursor (consumer, cursor), as `feed` cuts them, and
+    `resync`, whether what lies between the cursor and the page is no longer kept.
+    """
+    past = log.where(wanted).join(cursors, consumer).where(F.col(order) > F.col("cursor"))
+    return feed(past, consumer, order, size, budget, limit).withColumn("resync", F.col("cursor") < kept_from).drop("cursor")

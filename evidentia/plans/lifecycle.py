@@ -22,16 +22,20 @@ _TERMS = (
     BM25_SQL
     + f""", p AS (SELECT r.*, {_TERMS.format("d.text")} AS dt, {_TERMS.format("substr(b.text, 1, 40)")} AS q1, {_TERMS.format("substr(b.text, 41, 60)")} AS q2
  FROM ranked r JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) WHERE rank <= 20)
-SELECT item_id, doc_id, len(list_intersect(dt, q1)) > 0 AS main, len(q2) > 0 AND len(list_intersect(dt, q2)) >= least(2, len(q2)) AS other FROM p"""
+SELECT item_id, doc_id, len(list_intersect(dt, q1)) > 0 AS main, len(q2) > 0 AND len(list_intersect(dt, q2)) >= least(2, len(q2)) AS other, rank <= 3 AND list_cosine_similarity(a.embedding, b.embedding) >= 0.1 AS near
+FROM p LEFT JOIN embeddings a ON a.vec_id = item_id LEFT JOIN embeddings b ON b.vec_id = doc_id WHERE a.vec_id IS NOT NULL AND b.vec_id IS NOT NULL"""
 )
 def flt_14_intent_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stricter gate of branches: one term of the main query, or two (or all) of a variant."""
+    """The stricter gate of branches: one term of the main query, two (or all) of a variant, or a similarity at a floor."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tx.content_terms(F.substring("text", 1, 40)).alias("q1"), tx.content_terms(F.substring("text", 41, 60)).alias("q2"))
     pool = bm25_top(spark, sf_dir, 20)
     docs = met(table(spark, sf_dir, "documents"), pool).select("doc_id", tx.content_terms("text").alias("dt"))
     both = pool.join(docs, "doc_id").join(items, "query_id")
     main, other = recall.intent(F.col("dt"), F.col("q1"), F.col("q2"))
-    return both.select(F.col("query_id").alias("item_id"), "doc_id", main.alias("main"), other.alias("other"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    held = both.join(vectors.select(F.col("vec_id").alias("query_id"), F.col("v").alias("a")), "query_id").join(vectors.select(F.col("vec_id").alias("doc_id"), F.col("v").alias("b")), "doc_id")
+    near = (F.col("rank") <= 3) & F.coalesce(tx.cosine("a", "b") >= 0.1, F.lit(False))
+    return held.select(F.col("query_id").alias("item_id"), "doc_id", main.alias("main"), other.alias("other"), near.alias("near"))
 
 
 @query(
@@ -60,13 +64,20 @@ def flt_29_item_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 SELECT c.c_custkey, n.n_name, count(o.o_orderkey) AS n_orders FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND n.n_regionkey < 3
-LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT' GROUP BY 1, 2"""
+LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT'
+WHERE contains(lower(c.c_mktsegment), 'mach') OR EXISTS (SELECT 1 FROM orders a JOIN lineitem l ON l.l_orderkey = a.o_orderkey WHERE a.o_custkey = c.c_custkey AND l.l_quantity = 50) GROUP BY 1, 2"""
 )
 def join_04_entities_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities with what is known of them; outer joins keep the others. Counts are summed before the join."""
+    """Entities by label, or by an alias in a record (here: a large order), with what is known of them; outer joins keep the
+    others. Counts are summed before the join.
+    """
     places = table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    held = table(spark, sf_dir, "customer").join(places, "c_nationkey", "left").join(urgent, "c_custkey", "left")
+    orders = table(spark, sf_dir, "orders")
+    urgent = orders.where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    large = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.col("l_orderkey").alias("o_orderkey"))
+    alias = orders.join(large, "o_orderkey", "left_semi").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("alias", F.lit(True))
+    named = table(spark, sf_dir, "customer").join(alias, "c_custkey", "left").where(tx.literal_contains("c_mktsegment", "mach") | F.col("alias"))
+    held = named.join(places, "c_nationkey", "left").join(urgent, "c_custkey", "left")
     return held.select("c_custkey", "n_name", F.coalesce("n", F.lit(0).cast("long")).alias("n_orders"))
 
 

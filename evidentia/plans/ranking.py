@@ -97,11 +97,16 @@ def win_02_best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.latest(counted, ["doc_id"], F.struct("n", -F.col("start"))).select("doc_id", "start", "n")
 
 
-@query("SELECT l_partkey, l_orderkey, place FROM (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC) AS place FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem)) WHERE place <= 16")
+@query(
+    """
+WITH l AS (SELECT DISTINCT l_partkey AS entity, l_orderkey AS record FROM lineitem),
+o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY record ORDER BY entity) <= 6), i AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY entity ORDER BY record DESC) <= 16)
+SELECT DISTINCT o.record, i.record AS met FROM o JOIN i USING (entity) WHERE o.record % 10 = 0 AND i.record <> o.record"""
+)
 def win_03_degree_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey").distinct()
-    by = Window.partitionBy("l_partkey").orderBy(F.desc("l_orderkey"))
-    return links.withColumn("place", F.row_number().over(by).cast("long")).where("place <= 16")
+    """What a record meets over its first six entities, each with its sixteen newest records."""
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_orderkey").alias("record"))
+    return graph.expanded(links, links.where("record % 10 = 0").select("record").distinct())
 
 
 @query(

@@ -105,13 +105,18 @@ def join_27_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT c_custkey, n.n_name, row_number() OVER (PARTITION BY c.c_nationkey ORDER BY c_custkey) AS place FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
-QUALIFY row_number() OVER (PARTITION BY c.c_nationkey ORDER BY c_custkey) <= 8"""
+WITH l AS (SELECT l_orderkey AS record, l_partkey AS entity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS n FROM lineitem),
+h AS (SELECT record // 100 AS job, entity, min(record) AS record FROM l WHERE n <= 8 GROUP BY 1, 2)
+SELECT job, entity, p_name, place FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY record, entity) AS place FROM h) JOIN part ON p_partkey = entity WHERE place <= 64"""
 )
 def join_29_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = evidence.first_per_key(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey"], [F.col("c_custkey")], 8)
-    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).cast("long")
-    return customers.withColumn("place", place).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "place")
+    """Names for a job on a hundred records: eight entities a record, each once, sixty-four in all."""
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record"), F.col("l_partkey").alias("entity"), "l_linenumber")
+    few = evidence.first_per_key(links, ["record"], [F.col("entity"), F.col("l_linenumber")], 8)
+    once = few.groupBy(F.expr("record div 100").alias("job"), "entity").agg(F.min("record").alias("record"))
+    place = F.row_number().over(Window.partitionBy("job").orderBy("record", "entity")).cast("long")
+    kept = once.withColumn("place", place).where("place <= 64")
+    return kept.join(table(spark, sf_dir, "part"), F.col("entity") == F.col("p_partkey")).select("job", "entity", "p_name", "place")
 
 
 @query(
@@ -232,6 +237,12 @@ def set_05_except(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NORMAL = r"trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))"
 
 
+@query(f"SELECT first, list_sort(list(doc_id) FILTER (WHERE doc_id <> first)) AS duplicates FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {_NORMAL}) AS first FROM documents) GROUP BY first HAVING count(*) > 1")
+def win_07_duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids that a record stands for, in lists of a thousand at most by group; the rest of a large group is counted on in more rows."""
+    return evidence.duplicate_lists(table(spark, sf_dir, "documents"), "doc_id", tx.squeezed("text")).select("first", "duplicates")
+
+
 @query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY {_NORMAL}) AS first, doc_id <> min(doc_id) OVER (PARTITION BY {_NORMAL}) AS is_duplicate FROM documents")
 def win_07_dup_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.collapsed(table(spark, sf_dir, "documents"), "doc_id", tx.squeezed("text"))

@@ -35,10 +35,18 @@ def bm25_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return retrieval.bm25(table(spark, sf_dir, "documents"), queries, k)
 
 
-@query("SELECT doc_id, substr(text, 11, 40) AS piece, length(text) AS n_chars, least(50, length(text)) AS span_end FROM documents")
+@query(
+    """
+WITH receipt AS (SELECT user_id AS doc_id, max_by(event_type, event_id) AS receipt, max(event_id) AS receipt_id FROM events GROUP BY user_id)
+SELECT doc_id, substr(text, 11, 40) AS piece, length(text) AS n_chars, least(50, length(text)) AS span_end, receipt, coalesce(receipt_id, -1) AS receipt_id FROM documents LEFT JOIN receipt USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"""
+)
 def src_01_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A span of each live record, with its latest receipt."""
     n = F.length("text").cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 11, 40).alias("piece"), n.alias("n_chars"), F.least(F.lit(50).cast("long"), n).alias("span_end"))
+    live = evidence.live(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id")
+    receipts = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.max_by("event_type", "event_id").alias("receipt"), F.max("event_id").alias("receipt_id"))
+    spans = live.select("doc_id", F.substring("text", 11, 40).alias("piece"), n.alias("n_chars"), F.least(F.lit(50).cast("long"), n).alias("span_end"))
+    return spans.join(receipts, "doc_id", "left").withColumn("receipt_id", F.coalesce("receipt_id", F.lit(-1).cast("long")))
 
 
 @query("SELECT doc_id, source, substr(text, 1, 2400) AS preview, length(text) > 2400 AS truncated FROM documents WHERE source = 'src3' AND doc_id > 100 ORDER BY doc_id LIMIT 51")
@@ -65,6 +73,15 @@ def src_06_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.neighbours(vectors, asked, 10).select("query_id", F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("SELECT event_id, '{\"k\":' || CAST(json_extract(props, '$.k') AS BIGINT) || ',\"state\":\"' || event_type || '\"}' AS changed, CAST(user_id % 3 AS INTEGER) AS n_ids FROM events WHERE props IS NOT NULL")
+def fn_14_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field set in a JSON object, and the elements of a JSON list."""
+    held = F.from_json("props", "map<string,string>")
+    listed = F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.when(i <= F.col("user_id") % 3, i.cast("string"))), ","), F.lit("]"))
+    changed = F.concat(F.lit('{"k":'), held["k"], F.lit(',"state":'), F.to_json(F.array("event_type")).substr(F.lit(2), F.length("event_type") + 2), F.lit("}"))
+    return table(spark, sf_dir, "events").where("props is not null").select("event_id", changed.alias("changed"), F.size(F.from_json(listed, "array<int>")).alias("n_ids"))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE props IS NOT NULL")
 def src_08_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("props is not null").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
@@ -87,10 +104,21 @@ def src_10_chat_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("path").alias("conv_id"), "message_no", "sender", "namespace", "text", F.unix_seconds("sent_at").alias("sent"), "ambiguous")
 
 
-@query("SELECT event_id, event_type AS metric, CAST(value AS DECIMAL(38, 18))::DOUBLE AS value FROM events WHERE value IS NOT NULL AND isfinite(value)")
+@query(
+    """
+SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'value' WHEN event_id % 13 = 0 THEN 'timestamp' WHEN event_id % 17 = 0 THEN 'unit' END AS error, CASE WHEN event_id % 13 <> 0 THEN epoch(date_trunc('second', ts))::BIGINT ELSE -1 END AS at,
+ event_type AS metric, CASE WHEN event_id % 11 <> 0 THEN CAST(value AS VARCHAR)::DOUBLE END AS value FROM events WHERE value IS NOT NULL AND isfinite(value)"""
+)
 def src_11_csv_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("metric"), F.expr("try_cast(cast(value as string) as decimal(38, 18))").alias("value"))
-    return rows.where("value is not null").withColumn("value", F.col("value").cast("double"))
+    """Events written as lines of a measurement file and read back, types checked; some lines are spoilt."""
+    from ..sources.records import typed_lines
+
+    rows = table(spark, sf_dir, "events").where("value is not null and not isnan(value) and abs(value) < double('infinity')")
+    spoilt = lambda n, bad, good: F.when(F.col("event_id") % n == 0, bad).otherwise(good)
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    line = F.concat_ws(",", spoilt(13, at, F.concat(at, F.lit("Z"))), "event_type", spoilt(11, F.lit("NaN"), F.col("value").cast("string")), spoilt(17, F.lit(""), F.lit("kg")), F.col("event_id").cast("string"), F.lit('"x, y"'))
+    read = typed_lines(rows.select(line.alias("line")), "line")
+    return read.select(F.col("id").cast("long").alias("event_id"), "error", F.coalesce(F.unix_seconds("measured_at"), F.lit(-1).cast("long")).alias("at"), "metric", F.col("value").cast("double").alias("value"))
 
 
 _PLAIN = "html"
@@ -114,28 +142,43 @@ def src_13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(table(spark, sf_dir, "pages"), "html").select("page_id", "url", F.col("plain").alias("text"))
 
 
-@query("SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations WHERE role IN ('user', 'assistant')")
+@query(
+    """
+SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, CASE WHEN role = 'assistant' THEN CASE WHEN conv_id IN (SELECT vec_id FROM embeddings WHERE label < 5) THEN 'derived' ELSE 'assistant' END ELSE 'source' END AS origin
+FROM conversations WHERE role IN ('user', 'assistant') AND turn % 5 <> 4 AND length(text) <= 2000"""
+)
 def src_20_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session's messages as records: active ones of two roles, no summaries; what a session with lineage said is derived."""
     from pyspark.sql import Window
 
-    rows = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
-    return rows.select("conv_id", "turn", "role", "text", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("position"))
+    rows = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant") & (F.col("turn") % 5 != 4) & (F.length("text") <= 2000))
+    lineage = table(spark, sf_dir, "embeddings").where("label < 5").select(F.col("vec_id").alias("conv_id"), F.lit(True).alias("known")).distinct()
+    origin = F.when(F.col("role") == "user", "source").when(F.col("known"), "derived").otherwise("assistant")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long")
+    return rows.join(lineage, "conv_id", "left").select("conv_id", "turn", "role", "text", place.alias("position"), origin.alias("origin"))
 
 
 @query(
     """
-WITH o AS (SELECT conv_id, turn, text FROM conversations WHERE turn < 4),
-n AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN upper(text) ELSE text END AS text FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system'))
-SELECT conv_id, turn, CASE WHEN o.text IS NULL THEN 'new' WHEN n.text IS NULL THEN 'removed' WHEN o.text = n.text THEN 'unchanged' ELSE 'changed' END AS status
-FROM o FULL JOIN n USING (conv_id, turn)"""
+WITH o AS (SELECT conv_id, turn, sha256(text) AS d FROM conversations WHERE turn < 4),
+n AS (SELECT conv_id, turn, sha256(CASE WHEN role = 'assistant' THEN upper(text) ELSE text END) AS d FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')
+ UNION ALL SELECT conv_id + 1000000, turn, sha256(text) FROM conversations WHERE turn < 2),
+k AS (SELECT d, min((conv_id, turn)) AS c FROM o GROUP BY d),
+s AS (SELECT conv_id, turn, CASE WHEN o.d IS NULL THEN 'new' WHEN n.d IS NULL THEN 'removed' WHEN o.d = n.d THEN 'unchanged' ELSE 'changed' END AS status, n.d FROM o FULL JOIN n USING (conv_id, turn))
+SELECT conv_id, turn, status, CASE WHEN status = 'new' THEN c[1] || '/' || c[2] END AS copy_of, status = 'removed' AS tombstone FROM s LEFT JOIN k USING (d)"""
 )
 def src_21_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots of a history: what changed, what is a copy of an older row, and tombstones of what is missing."""
+    from ..operators import records
+
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    digest = F.sha2(F.col("text").cast("binary"), 256)
-    old = rows.where("turn < 4").withColumn("d", digest)
-    left = rows.join(rows.where("role = 'system'").select("conv_id"), "conv_id", "left_anti")
-    new = left.withColumn("text", F.when(F.col("role") == "assistant", F.upper("text")).otherwise(F.col("text"))).withColumn("d", digest)
-    return evidence.snapshot_diff(old, new, ["conv_id", "turn"], "d")
+    digest = lambda c: F.sha2(c.cast("binary"), 256).alias("d")
+    old = rows.where("turn < 4").select("conv_id", "turn", digest(F.col("text")))
+    left = rows.join(rows.where("role = 'system'").select("conv_id").distinct(), "conv_id", "left_anti")
+    new = left.select("conv_id", "turn", digest(F.when(F.col("role") == "assistant", F.upper("text")).otherwise(F.col("text"))))
+    new = new.union(rows.where("turn < 2").select(F.col("conv_id") + 1_000_000, "turn", digest(F.col("text"))))
+    found = records.copies(old, new, ["conv_id", "turn"], "d")
+    return found.select("conv_id", "turn", "status", F.concat("copy_of.conv_id", F.lit("/"), "copy_of.turn").alias("copy_of"), (F.col("status") == "removed").alias("tombstone"))
 
 
 @query(
@@ -150,15 +193,21 @@ def src_23_latest_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH s AS (SELECT user_id, event_id, 100 + length(props) AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type <> 'view'),
-u AS (SELECT *, sum(size) OVER (PARTITION BY user_id ORDER BY event_id) AS used FROM s WHERE n <= 50)
-SELECT user_id, event_id, CAST(size AS BIGINT) AS size FROM u WHERE used <= 2000 OR n = 1"""
+WITH c AS (SELECT user_id, min(event_id) + user_id % 40 * 10 AS cursor FROM events GROUP BY user_id),
+f AS (SELECT user_id, event_id, 100 + length(props) AS size FROM events JOIN c USING (user_id) WHERE event_id > cursor AND event_type <> 'view' AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-28'),
+s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM f), u AS (SELECT *, sum(size) OVER (PARTITION BY user_id ORDER BY event_id) AS used FROM s WHERE n <= 50)
+SELECT user_id, event_id, CAST(size AS BIGINT) AS size, c.cursor < 200 AS resync FROM u JOIN c USING (user_id) WHERE used <= 2000 OR n = 1"""
 )
 def src_24_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the feed for each consumer: past its cursor, of some kinds and times, within the budget; whether it must resync."""
     from ..operators import journal
 
-    log = table(spark, sf_dir, "events").where("event_type != 'view'").select("user_id", "event_id", (F.length("props") + 100).cast("long").alias("size"))
-    return journal.feed(log, "user_id", "event_id", "size", 2000, 50)
+    events = table(spark, sf_dir, "events")
+    cursors = events.groupBy("user_id").agg(F.min("event_id").alias("cursor")).withColumn("cursor", F.col("cursor") + F.col("user_id") % 40 * 10)
+    log = events.select("user_id", "event_id", "event_type", "ts", (F.length("props") + 100).cast("long").alias("size"))
+    kinds = F.col("event_type") != "view"
+    page = journal.page(log, cursors, "user_id", "event_id", "size", 2000, 50, kinds & rules.within(F.col("ts"), F.expr("TIMESTAMP '2024-01-03'"), F.expr("TIMESTAMP '2024-01-28'")), kept_from=200)
+    return page.select("user_id", "event_id", "size", "resync")
 
 
 @query(
@@ -178,6 +227,21 @@ def snk_01_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", failures(checks).alias("errors"))
 
 
+@query(
+    """
+WITH r AS (SELECT doc_id, doc_id // 50 AS batch, text IS NULL OR text = '' OR source IS NULL OR length(text) > 100000 AS bad, octet_length(encode(coalesce(text, ''))) AS bytes FROM documents),
+b AS (SELECT batch, count(*) AS n, bool_or(bad) AS bad, sum(bytes) AS bytes FROM r GROUP BY batch)
+SELECT doc_id, CASE WHEN b.bad THEN 'record' WHEN b.n > 100 THEN 'count' WHEN b.bytes > 1048576 THEN 'bytes' END AS refused FROM r JOIN b USING (batch)"""
+)
+def snk_01_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 1 to 100 records and 1 MiB are taken whole or not at all."""
+    from ..schema import judged_batches
+
+    rows = table(spark, sf_dir, "documents").withColumn("batch", F.expr("doc_id div 50"))
+    bad = F.coalesce(F.col("text") == "", F.lit(True)) | F.col("source").isNull() | (F.length("text") > 100_000)
+    return judged_batches(rows, "batch", bad, F.coalesce(F.octet_length("text"), F.lit(0))).select("doc_id", "refused")
+
+
 @query(
     """
 WITH store AS (SELECT source, doc_id % 500 AS k, min(sha256(text)) AS d FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1, 2),
@@ -216,9 +280,12 @@ def flt_04_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.where(rules.within(F.col("ts"), F.lit(low), F.lit(high))).select("event_id", "event_type")
 
 
-@query("SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2', 'src5')")
+@query("SELECT doc_id, source, doc_id % 3 = 0 AS by_star FROM documents WHERE source IN ('src1', 'src2', 'src5') OR doc_id % 3 = 0")
 def flt_05_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src2", "src5")).select("doc_id", "source")
+    """Sources that a list allows, each row by its own list; a star allows every source."""
+    star = F.col("doc_id") % 3 == 0
+    lists = F.when(star, F.array(F.lit("*"))).otherwise(F.array(*map(F.lit, ("src1", "src2", "src5"))))
+    return table(spark, sf_dir, "documents").where(rules.source_allowed(F.col("source"), lists)).select("doc_id", "source", star.alias("by_star"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")

@@ -52,3 +52,15 @@ def record_errors() -> Column:
 def validated(records: DataFrame) -> DataFrame:
     """records with errors and valid."""
     return records.withColumn("errors", record_errors()).withColumn("valid", F.size("errors") == 0)
+
+
+# The records and bytes that a batch may have.
+BATCH_RECORDS, BATCH_BYTES = 100, 1 << 20
+
+
+def judged_batches(records: DataFrame, batch: str, bad: Column, size: Column) -> DataFrame:
+    """records with `refused`, why their batch is: a bad record, more than BATCH_RECORDS, or more than BATCH_BYTES; else null."""
+    marked = records.withColumn("__bad", bad).withColumn("__size", size.cast("long"))
+    each = marked.groupBy(batch).agg(F.count("*").alias("__n"), F.bool_or("__bad").alias("__any"), F.sum("__size").alias("__bytes"))
+    why = F.when(F.col("__any"), "record").when(F.col("__n") > BATCH_RECORDS, "count").when(F.col("__bytes") > BATCH_BYTES, "bytes")
+    return marked.drop("__bad", "__size").join(each, batch).withColumn("refused", why).drop("__n", "__any", "__bytes")

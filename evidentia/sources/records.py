@@ -22,15 +22,24 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
     return validated(spark.read.schema(RECORD).option("mode", "PERMISSIVE").json(path))
 
 
-def measurements(spark: SparkSession, path: str) -> DataFrame:
-    """Typed rows of a measurement file with a header; `error` says what a rejected row lacks."""
-    rows = spark.read.option("header", True).schema(MEASUREMENT).option("enforceSchema", False).csv(path)
+def _typed(rows: DataFrame) -> DataFrame:
     amount = F.expr("try_cast(value as decimal(38, 18))")
     at = instant("timestamp")
-    error = F.when(at.isNull(), "timestamp").when(F.col("metric").isNull() | (F.trim("metric") == ""), "metric").when(amount.isNull(), "value").when(F.col("unit").isNull(), "unit")
+    missing = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    error = F.when(amount.isNull(), "value").when(at.isNull(), "timestamp").when(missing("metric"), "metric").when(missing("unit"), "unit")
     return rows.select(at.alias("measured_at"), "metric", amount.alias("value"), "unit", "id", "device", error.alias("error"))
 
 
+def measurements(spark: SparkSession, path: str) -> DataFrame:
+    """Typed rows of a measurement file with a header; `error` says what a rejected row lacks."""
+    return _typed(spark.read.option("header", True).schema(MEASUREMENT).option("enforceSchema", False).csv(path))
+
+
+def typed_lines(lines: DataFrame, line: str) -> DataFrame:
+    """The same of measurement lines in a column."""
+    return _typed(lines.select(F.from_csv(line, MEASUREMENT).alias("r")).select("r.*"))
+
+
 def _mail(path: str, raw: bytes) -> tuple:
     try:
         message = email.message_from_bytes(raw, policy=email.policy.default)
