@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
@@ -119,3 +123,29 @@ def duplicate_lists(rows: DataFrame, key: str, text: Column, most: int = 1000) -
     sizes = found.groupBy("first").agg(F.ceil(F.count("*") / most).alias("__parts"))
     dealt = found.join(sizes, "first").withColumn("part", F.pmod(F.xxhash64(key), F.col("__parts")))
     return dealt.groupBy("first", "part").agg(F.sort_array(F.collect_list(key)).alias("duplicates"))
+
+
+def snapshots(rows: DataFrame, by: str, order: str, digest: str) -> DataFrame:
+    """(by, n_records, fingerprint): the number of each key's rows, and the SHA-256 of their digests in order.
+
+    Rows come sorted and are streamed through the hash, so a key of any size takes no memory.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, n, held = None, 0, None
+        for frame in frames:
+            done = []
+            for k, d in zip(frame[by], frame[digest], strict=True):
+                if held is None or k != key:
+                    if held is not None:
+                        done.append((key, n, held.hexdigest()))
+                    key, n, held = k, 0, hashlib.sha256()
+                n += 1
+                held.update(d.encode())
+            if done:
+                yield pd.DataFrame(done, columns=[by, "n_records", "fingerprint"])
+        if held is not None:
+            yield pd.DataFrame([(key, n, held.hexdigest())], columns=[by, "n_records", "fingerprint"])
+
+    kind = rows.schema[by].dataType.simpleString()
+    return rows.where(F.col(by).isNotNull()).select(by, order, digest).repartition(by).sortWithinPartitions(by, order).mapInPandas(run, f"{by} {kind}, n_records long, fingerprint string")

@@ -42,7 +42,7 @@ def status(found: Column, failed: Column) -> Column:
 
 
 def adaptive(pool: DataFrame, text_key: str, wanted: int, stages: tuple[int, ...] = (32, 96, 256)) -> DataFrame:
-    """(query_id, rounds, n_found) of a ranked pool, searched in widening stages.
+    """(query_id, rounds, n_found, reason) of a ranked pool, searched in widening stages.
 
     A stage brings the ranks up to its bound; of equal texts the best rank counts. A query ends with the first stage
     after which it has `wanted` texts, with a later one that adds none, or with the last.
@@ -59,12 +59,24 @@ def adaptive(pool: DataFrame, text_key: str, wanted: int, stages: tuple[int, ...
     for s in range(len(stages) - 2, -1, -1):
         ends = (sums[s] >= wanted) | (F.lit(s > 0) & (F.col(f"n{s}") == 0))
         rounds, found = F.when(ends, s + 1).otherwise(rounds), F.when(ends, sums[s]).otherwise(found)
-    return counts.select("query_id", rounds.alias("rounds"), found.alias("n_found"))
+    reason = F.when(found >= wanted, "enough").when(rounds < len(stages), "nothing_new").otherwise("last_stage")
+    return counts.select("query_id", rounds.alias("rounds"), found.alias("n_found"), reason.alias("reason"))
 
 
 def branches(hits: DataFrame, accepted: Column, limit: int, wide: int) -> DataFrame:
-    """Round-robin merge of branches (branch, id, rank): which branches found an id, and in which round it first comes."""
-    kept = hits.where(accepted)
-    dealt = kept.withColumn("round", F.row_number().over(Window.partitionBy("branch").orderBy("rank", "id"))).where(F.col("round") <= limit)
-    merged = dealt.groupBy("id").agg(F.min(F.struct("round", "branch")).alias("at"), F.sort_array(F.collect_set("branch")).alias("branches"))
-    return merged.select("id", "at.round", "at.branch", "branches").orderBy("round", "branch", "id").limit(wide)
+    """Round-robin merge of each query's branches (query_id, branch, id, rank): which branches found an id, in which round and
+    by which it first comes, and its place; `limit` of a branch, `wide` in all.
+    """
+    turn = F.row_number().over(Window.partitionBy("query_id", "branch").orderBy("rank", "id"))
+    dealt = hits.where(accepted).withColumn("round", turn).where(F.col("round") <= limit)
+    merged = dealt.groupBy("query_id", "id").agg(F.min(F.struct("round", "branch")).alias("at"), F.sort_array(F.collect_set("branch")).alias("branches"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("at", "id"))
+    return merged.withColumn("place", place).where(F.col("place") <= wide).select("query_id", "id", "at.round", "at.branch", "branches", "place")
+
+
+def shared_searches(branches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a query's branches (query_id, branch, text) have to search for: (query_id, search, text), each different text of a
+    query once, and (query_id, branch, search), which search answers a branch.
+    """
+    first = branches.groupBy("query_id", "text").agg(F.min("branch").alias("search"))
+    return first.select("query_id", "search", "text"), branches.join(first, ["query_id", "text"]).select("query_id", "branch", "search")

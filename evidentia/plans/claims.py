@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import rules, text as tx
-from ..operators import claims as cl, knowledge, retrieval, search
+from ..operators import claims as cl, knowledge, recall, retrieval, search
 from ..session import table
 from .ranking import asked_texts, dated, now, toxic
 from .registry import query
@@ -244,3 +244,45 @@ def flt_16_quote_in_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1901, 50).alias("quote"), tx.spans("text").alias("s")).where("s is not null")
     holds = F.filter("s", lambda s: F.contains(s["piece"], F.col("quote")))
     return spans.select("doc_id", F.size("s").cast("long").alias("n_spans"), F.size(holds).cast("long").alias("n_with"))
+
+
+@query(
+    bm25_sql(queries=_VARIANTS)
+    + f""", hit AS (SELECT item_id // 8 AS item_id, item_id % 8 AS search, doc_id, rank FROM ranked WHERE rank <= 32 AND doc_id NOT IN {_DEAD}),
+rd AS (SELECT item_id, branch, doc_id, row_number() OVER (PARTITION BY item_id, branch ORDER BY rank, doc_id) AS round FROM hit JOIN (VALUES (0, 0), (1, 1), (0, 2)) b(search, branch) USING (search)),
+m AS (SELECT item_id, doc_id, min(round * 10 + branch) AS first, list_sort(list(DISTINCT branch)) AS branches FROM rd WHERE round <= 8 GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY first, doc_id) AS place FROM m)
+SELECT item_id, doc_id, CAST(first // 10 AS INTEGER) AS round, CAST(first % 10 AS INTEGER) AS branch, branches, place FROM p WHERE place <= 18"""
+)
+def ret_08_investigate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three branches of each query, two of them the same and searched once; live records only, taken in turns."""
+    text = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    second = F.expr("substring(text, cast(length(text) div 2 + 1 as int))")
+    told = text.select("query_id", F.explode(F.array(F.struct(F.lit(0).alias("branch"), F.col("text").alias("text")), F.struct(F.lit(1).alias("branch"), second.alias("text")), F.struct(F.lit(2).alias("branch"), F.col("text").alias("text")))).alias("b")).select("query_id", "b.*")
+    searches, answers = recall.shared_searches(told)
+    found = retrieval.bm25(table(spark, sf_dir, "documents"), searches.select((F.col("query_id") * 8 + F.col("search")).alias("query_id"), "text"), retrieval.POOLS["fast"])
+    hits = found.select(F.expr("query_id div 8").alias("query_id"), (F.col("query_id") % 8).cast("int").alias("search"), F.col("doc_id").alias("id"), "rank")
+    dead = toxic(spark, sf_dir).distinct().withColumn("dead", F.lit(True))
+    merged = recall.branches(hits.join(answers, ["query_id", "search"]).join(dead, "id", "left"), F.col("dead").isNull(), 8, 18)
+    return merged.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "round", "branch", "branches", F.col("place").cast("long").alias("place"))
+
+
+@query(
+    bm25_sql()
+    + f""", hit AS (SELECT item_id, count(*) AS n FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= 10 AND d.source = 'src7' GROUP BY 1),
+c AS (SELECT item_id, count(*) AS n_claims FROM ranked r JOIN documents d USING (doc_id) JOIN {_CLAIMS} k ON k.record_id = r.doc_id WHERE rank <= 10 AND d.source = 'src7' AND k.status = 'active' GROUP BY 1)
+SELECT b.item_id, coalesce(n, 0) AS n_episodes, least(coalesce(n_claims, 0), 10) AS n_claims, CASE WHEN n > 0 THEN 'candidates_found' WHEN b.item_id NOT IN (SELECT vec_id FROM embeddings) THEN 'retrieval_incomplete' ELSE 'no_relevant_evidence' END AS status
+FROM benchmark b LEFT JOIN hit USING (item_id) LEFT JOIN c USING (item_id)"""
+)
+def ret_06_claims_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search found: episodes, their claims, and whether finding nothing tells anything: it does not for items that the
+    vector channel does not know.
+    """
+    kept = table(spark, sf_dir, "documents").where("source = 'src7'").select("doc_id")
+    hits = bm25_top(spark, sf_dir, 10).join(kept, "doc_id", "left_semi").select("query_id", F.col("doc_id").alias("record_id"), "rank")
+    n = hits.groupBy("query_id").agg(F.count("*").alias("n"))
+    told = cl.attached(hits, claims(spark, sf_dir), [F.desc("turn"), F.col("id")], 10).groupBy("query_id").agg(F.count("*").alias("n_claims"))
+    known = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.lit(True).alias("known")).distinct()
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).join(n, "query_id", "left").join(told, "query_id", "left").join(known, "query_id", "left")
+    none = F.lit(0).cast("long")
+    return items.select(F.col("query_id").alias("item_id"), F.coalesce("n", none).alias("n_episodes"), F.coalesce("n_claims", none).alias("n_claims"), recall.status(F.coalesce("n", none), F.col("known").isNull()).alias("status"))

@@ -233,8 +233,7 @@ def knw_01_claim_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knw_08_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frozen snapshots of conversations: the number of their turns and one digest of their contents."""
     named = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.col("text").cast("binary"), 256).alias("d"))
-    each = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "d"))), lambda r: r["d"]), "")
-    return named.groupBy("conv_id").agg(F.count("*").alias("n_records"), F.sha2(each.cast("binary"), 256).alias("fingerprint"))
+    return evidence.snapshots(named, "conv_id", "turn", "d")
 
 
 @query("SELECT doc_id, substr(text, 1, 500) AS summary FROM documents WHERE length(trim(text)) > 0")
@@ -281,14 +280,15 @@ one AS (SELECT * FROM live QUALIFY row_number() OVER (PARTITION BY item_id, norm
 per AS (SELECT item_id, s, count(*) AS n FROM one GROUP BY 1, 2),
 tot AS (SELECT item_id, coalesce(max(CASE WHEN s = 0 THEN n END), 0) AS n0, coalesce(max(CASE WHEN s = 1 THEN n END), 0) AS n1, coalesce(max(CASE WHEN s = 2 THEN n END), 0) AS n2 FROM per GROUP BY 1)
 SELECT item_id, CAST(CASE WHEN n0 >= 30 THEN 1 WHEN n1 = 0 OR n0 + n1 >= 30 THEN 2 ELSE 3 END AS INTEGER) AS rounds,
- CAST(CASE WHEN n0 >= 30 THEN n0 WHEN n1 = 0 OR n0 + n1 >= 30 THEN n0 + n1 ELSE n0 + n1 + n2 END AS BIGINT) AS n_found FROM tot"""
+ CAST(CASE WHEN n0 >= 30 THEN n0 WHEN n1 = 0 OR n0 + n1 >= 30 THEN n0 + n1 ELSE n0 + n1 + n2 END AS BIGINT) AS n_found,
+ CASE WHEN n0 >= 30 OR n0 + n1 >= 30 THEN 'enough' WHEN n1 = 0 THEN 'nothing_new' WHEN n0 + n1 + n2 >= 30 THEN 'enough' ELSE 'last_stage' END AS reason FROM tot"""
 )
 def ret_07_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fast, balanced, deep: each query stops at the first stage with 30 different texts, or one that adds nothing."""
     docs = evidence.live(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id")
     keyed = docs.select("doc_id", F.sha2(tx.squeezed("text").cast("binary"), 256).alias("norm"))
     pool = bm25_top(spark, sf_dir, retrieval.POOLS["deep"]).join(keyed, "doc_id")
-    return recall.adaptive(pool, "norm", 30).select(F.col("query_id").alias("item_id"), "rounds", "n_found")
+    return recall.adaptive(pool, "norm", 30).select(F.col("query_id").alias("item_id"), "rounds", "n_found", "reason")
 
 
 @query("SELECT c_custkey, 'customer#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS clean, '+44' || lpad(CAST(c_custkey AS VARCHAR), 10, '7') AS phone FROM customer")

@@ -126,8 +126,8 @@ def test_neighbours_skip_bad_vectors(spark):
 def test_branches_take_turns(spark):
     from evidentia.operators import recall
 
-    hits = spark.createDataFrame([("a", 1, 1, True), ("a", 2, 2, True), ("b", 1, 1, True), ("b", 3, 2, False), ("b", 4, 3, True)], "branch string, id int, rank int, ok boolean")
-    rows = recall.branches(hits, F.col("ok"), 10, 10).collect()
+    hits = spark.createDataFrame([(1, "a", 1, 1, True), (1, "a", 2, 2, True), (1, "b", 1, 1, True), (1, "b", 3, 2, False), (1, "b", 4, 3, True)], "query_id int, branch string, id int, rank int, ok boolean")
+    rows = recall.branches(hits, F.col("ok"), 10, 10).orderBy("place").collect()
     assert [(r.id, r.round, r.branch, r.branches) for r in rows] == [(1, 1, "a", ["a", "b"]), (2, 2, "a", ["a"]), (4, 2, "b", ["b"])]
     now = F.to_timestamp(F.lit("2024-01-02 00:00:00"))
     free = lambda s, t: spark.range(1).select(recall.claimable(F.lit(s), F.to_timestamp(F.lit(t).cast("string")), now).alias("v")).first()["v"]
