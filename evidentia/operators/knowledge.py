@@ -49,6 +49,33 @@ def illegal_steps(log: DataFrame, by: str, order: list[Column], state: str, step
     return log.withColumn("before", before).withColumn("legal", F.col("before").isNull() | F.coalesce(F.array_contains(F.try_element_at(allowed, F.col("before")), F.col(state)), F.lit(False)))
 
 
+def with_dependencies(steps: DataFrame, needs: DataFrame, states: DataFrame) -> DataFrame:
+    """steps (id, state) with `ready`: whether all tasks that a task needs (id, needs) are completed (id, state), and `allowed`:
+    work may only begin or end on a ready task.
+    """
+    waiting = needs.join(states.select(F.col("id").alias("needs"), F.col("state").alias("__s")), "needs", "left").where(F.coalesce(F.col("__s") != "completed", F.lit(True)))
+    open_ = waiting.select("id").distinct().withColumn("__open", F.lit(True))
+    held = steps.join(open_, "id", "left").withColumn("ready", F.col("__open").isNull()).drop("__open")
+    return held.withColumn("allowed", F.col("ready") | ~F.col("state").isin("in_progress", "completed"))
+
+
+#: Attempts after which a task's event is set aside.
+MOST_ATTEMPTS = 3
+
+
+def event_states(log: DataFrame, by: str, seq: str) -> DataFrame:
+    """(by, state, attempts) of events from the commands on them (claim, ack, retry), summed up before the shuffle.
+
+    An acknowledgement after a claim delivers; else three claims set aside; else the last command tells: a claim leases, a
+    retry puts back.
+    """
+    at = lambda name: F.when(F.col("command") == name, F.col(seq))
+    each = log.groupBy(by).agg(F.count(at("claim")).alias("attempts"), F.min(at("claim")).alias("first"), F.max(at("claim")).alias("claim"), F.max(at("ack")).alias("ack"), F.max(at("retry")).alias("retry"))
+    leased = F.col("claim").isNotNull() & F.coalesce(F.col("claim") > F.col("retry"), F.lit(True))
+    state = F.when(F.col("ack") > F.col("first"), "delivered").when(F.col("attempts") >= MOST_ATTEMPTS, "quarantined").when(leased, "leased").otherwise("pending")
+    return each.select(by, state.alias("state"), "attempts")
+
+
 def current_heads(operations: DataFrame, by: list[str], version: str, seq: str) -> DataFrame:
     """The accepted operation of each item where versions are totally ordered: the greatest version, the later at a tie.
 

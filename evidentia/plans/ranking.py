@@ -318,6 +318,32 @@ def knw_09_task_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.illegal_steps(log, "o_custkey", [F.col("o_orderkey")], "state", knowledge.TASK_STEPS).select("o_orderkey", "legal")
 
 
+@query(
+    """
+WITH s AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'in_progress' ELSE 'completed' END AS state, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders)
+SELECT id, before IS NULL OR before = 'F' AS ready, before IS NULL OR before = 'F' OR state = 'open' AS allowed FROM s"""
+)
+def knw_09_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks that need the one before of their owner: work on them may begin or end when that is completed."""
+    state = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "P", "in_progress").otherwise("completed")
+    tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", state.alias("state"))
+    before = F.lag("id").over(Window.partitionBy("o_custkey").orderBy("id"))
+    needs = tasks.select("id", before.alias("needs")).where("needs is not null")
+    return knowledge.with_dependencies(tasks.select("id", "state"), needs, tasks).select("id", "ready", "allowed")
+
+
+@query(
+    """
+WITH c AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'claim' WHEN 'purchase' THEN 'ack' ELSE 'retry' END AS command FROM events WHERE event_id % 4 = 0),
+g AS (SELECT user_id, count(*) FILTER (WHERE command = 'claim') AS attempts, min(event_id) FILTER (WHERE command = 'claim') AS f, max(event_id) FILTER (WHERE command = 'claim') AS c, max(event_id) FILTER (WHERE command = 'ack') AS a, max(event_id) FILTER (WHERE command = 'retry') AS r FROM c GROUP BY 1)
+SELECT user_id, attempts, CASE WHEN a > f THEN 'delivered' WHEN attempts >= 3 THEN 'quarantined' WHEN c IS NOT NULL AND (r IS NULL OR c > r) THEN 'leased' ELSE 'pending' END AS state FROM g"""
+)
+def knw_09_event_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    command = F.when(F.col("event_type") == "click", "claim").when(F.col("event_type") == "purchase", "ack").otherwise("retry")
+    log = table(spark, sf_dir, "events").where("event_id % 4 = 0").select("user_id", "event_id", command.alias("command"))
+    return knowledge.event_states(log, "user_id", "event_id").select("user_id", "attempts", "state")
+
+
 @query(
     """
 WITH RECURSIVE t AS (SELECT doc_id AS child, doc_id // 4 AS parent FROM documents WHERE doc_id >= 4),

@@ -142,6 +142,22 @@ def src_13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(table(spark, sf_dir, "pages"), "html").select("page_id", "url", F.col("plain").alias("text"))
 
 
+@query(
+    f"""
+SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'date without zone' END AS error, CASE WHEN page_id % 7 <> 0 THEN '<' || page_id || '@x.org>' END AS message_id, CASE WHEN page_id % 7 <> 0 THEN ['a' || page_id || '@x.org'] ELSE [] END AS senders,
+ CASE WHEN page_id % 7 <> 0 THEN ['b@x.org', 'c@x.org'] ELSE [] END AS receivers, CASE WHEN page_id % 7 <> 0 THEN 'Page ' || page_id END AS subject, CASE WHEN page_id % 7 <> 0 THEN regexp_replace({_PLAIN}, '^\\s+|\\s+$', '', 'g') END AS body FROM pages"""
+)
+def src_09_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the bodies of mails, which are then parsed: people, plain text, and dates without a zone rejected."""
+    from ..sources.records import parsed_mails
+
+    number = F.col("page_id").cast("string")
+    head = F.concat(F.lit("From: A <a"), number, F.lit("@x.org>\nTo: b@x.org\nCc: C <c@x.org>\nMessage-ID: <"), number, F.lit("@x.org>\nSubject: Page "), number, F.lit("\nDate: Mon, 01 Jan 2024 10:00:00"), F.when(F.col("page_id") % 7 == 0, "").otherwise(" +0000"))
+    raw = F.concat(head, F.lit("\nMIME-Version: 1.0\nContent-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), "html", F.lit("\n"))
+    read = parsed_mails(table(spark, sf_dir, "pages").select(number.alias("path"), F.encode(raw, "UTF-8").alias("content")))
+    return read.select(F.col("path").cast("long").alias("page_id"), "error", "message_id", "senders", "receivers", "subject", "body")
+
+
 @query(
     """
 SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, CASE WHEN role = 'assistant' THEN CASE WHEN conv_id IN (SELECT vec_id FROM embeddings WHERE label < 5) THEN 'derived' ELSE 'assistant' END ELSE 'source' END AS origin

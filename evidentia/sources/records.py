@@ -55,7 +55,7 @@ def _mail(path: str, raw: bytes) -> tuple:
         return path, None, None, None, [], [], None, False, [], type(why).__name__
 
 
-def _parsed(raw: DataFrame) -> DataFrame:
+def parsed_mails(raw: DataFrame) -> DataFrame:
     """Mails of (path, content): headers and people in Python on Arrow batches, HTML bodies by expressions."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,11 +69,11 @@ def _parsed(raw: DataFrame) -> DataFrame:
 
 def mails(spark: SparkSession, path: str) -> DataFrame:
     """One row for each mail file: headers, plain text (else the HTML's), people and attachments; error where it can't be read."""
-    return _parsed(spark.read.format("binaryFile").load(path))
+    return parsed_mails(spark.read.format("binaryFile").load(path))
 
 
 def mailbox(spark: SparkSession, path: str) -> DataFrame:
     """One row for each message of mailbox files, which Spark splits at lines that begin with "From "."""
     pieces = spark.read.option("lineSep", "\nFrom ").text(path).select(F.input_file_name().alias("path"), "value")
     headed = F.regexp_replace(F.regexp_replace("value", r"^(?:From )?[^\n]*\n", ""), r"(?m)^>(>*From )", "$1")
-    return _parsed(pieces.where(F.trim("value") != "").select("path", F.encode(headed, "UTF-8").alias("content")))
+    return parsed_mails(pieces.where(F.trim("value") != "").select("path", F.encode(headed, "UTF-8").alias("content")))
