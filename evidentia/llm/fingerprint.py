@@ -4,7 +4,7 @@ A text is its words between white space; of these, one that is longer than LONG_
 spaces counts as its characters. Of every k-mer of K_WORDS words the inner substrings are its S_WORDS-word stretches; the
 k-mer is a closed syncmer if the least hash among these is its first or its last. The choice looks at the k-mer alone, so
 an edit moves only the anchors that it touches. The fingerprint is the SHA-256 of the list of all anchors in order, a
-colon, and this list: hexadecimal numbers, place of the first word times 2**32 plus hash of the k-mer.
+colon, and this list: numbers, place of the first word times 2**32 plus hash of the k-mer.
 
 Two texts are matched by place as well as by anchor: an anchor of one meets an equal one of the other whose next anchor
 stands as many words ahead, wherever in the texts both stand. The likeness is the share of distinct such steps (anchor,
@@ -24,14 +24,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import cut
 
 K_WORDS, S_WORDS, LONG_WORD = 5, 2, 40
-_UNSPACED = "[" + "".join(rf"\p{{Is{script}}}" for script in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + "]"
+# The blocks of scripts written without spaces (Thai and Lao, Burmese, Khmer, kana, Han), as ranges, for they
+# are looked for in every character.
+_UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
+_LOW = 0xFFFFFFFF
 _INNER = K_WORDS - S_WORDS + 1
 
 
-def words_of(text: str) -> Column:
-    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
+def with_words(df: DataFrame, text: str, words: str) -> DataFrame:
+    """df with the words of a text."""
+    df = df.withColumn(words, F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), ""))
+    odd = F.exists(words, lambda w: F.length(w) > LONG_WORD) | ((F.octet_length(text) != F.length(text)) & F.col(text).rlike(_UNSPACED))
     cut = F.flatten(F.transform(words, lambda w: F.when((F.length(w) > LONG_WORD) | w.rlike(_UNSPACED), F.array_remove(F.split(w, ""), "")).otherwise(F.array(w))))
-    return F.when(F.col(text).rlike(_UNSPACED) | F.exists(words, lambda w: F.length(w) > LONG_WORD), cut).otherwise(words)
+    return df.withColumn(words, F.when(odd, cut).otherwise(F.col(words)))
 
 
 def with_inner(df: DataFrame, words: str, inner: str) -> DataFrame:
@@ -40,38 +45,42 @@ def with_inner(df: DataFrame, words: str, inner: str) -> DataFrame:
     return df.withColumn(inner, F.zip_with(F.slice(words, 1, ahead), F.slice(words, 2, ahead), lambda a, b: F.hash(a, b)))
 
 
+def placed(place: Column, hashed: Column) -> Column:
+    return F.shiftleft(place.cast("long"), 32).bitwiseOR(hashed.cast("long").bitwiseAND(F.lit(_LOW)))
+
+
 def anchor_in(inner: str):
-    """Place and hash of the k-mer at a place, null if it is no closed syncmer."""
+    """Place (times 2**32) plus hash of the k-mer at a place, null if it is no closed syncmer."""
 
     def anchor(first: Column, i: Column) -> Column:
         others = [F.get(inner, i + j) for j in range(1, _INNER)]
         closed = F.least(first, *others).isin(first, others[-1]) & others[-1].isNotNull()
-        return F.when(closed, F.struct(i.alias("place"), F.hash(first, *others).alias("hash")))
+        return F.when(closed, placed(i, F.hash(first, *others)))
 
     return anchor
 
 
 def with_anchors(df: DataFrame, text: str, found: str) -> DataFrame:
-    """df with its text's closed syncmers in order, an array of (place, hash)."""
+    """df with its text's closed syncmers in order, an array of place times 2**32 plus hash."""
     words, inner = f"__w_{found}", f"__s_{found}"
-    df = with_inner(df.withColumn(words, words_of(text)), words, inner)
+    df = with_inner(with_words(df, text, words), words, inner)
     df = df.withColumn(found, F.array_compact(F.transform(F.col(inner), anchor_in(inner))))
-    whole = F.array(F.struct(F.lit(0).alias("place"), F.hash(F.lit(K_WORDS), F.col(words)).alias("hash")))
+    whole = F.array(placed(F.lit(0), F.hash(F.lit(K_WORDS), F.col(words))))
     df = df.withColumn(found, F.when((F.size(found) == 0) & (F.size(words) > 0), whole).otherwise(F.col(found)))
     return df.drop(words, inner)
 
 
-def written(found: str) -> Column:
-    """The fingerprint: a digest of all anchors, and these."""
-    every = F.transform(F.col(found), lambda a: F.hex(F.shiftleft(a["place"].cast("long"), 32).bitwiseOR(a["hash"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
-    listed = F.array_join(every, ",")
-    return F.when(F.size(found) == 0, "").otherwise(F.concat(F.sha2(listed, 256), F.lit(":"), listed))
+def with_written(df: DataFrame, found: str, name: str) -> DataFrame:
+    """df with the fingerprint: a digest of all anchors, and these."""
+    df = df.withColumn(name, F.col(found).cast("string"))
+    return df.withColumn(name, F.when(F.size(found) == 0, "").otherwise(F.concat(F.sha2(name, 256), F.lit(":"), name)))
 
 
 def steps(found: str) -> Column:
     """The distinct steps of a text: its anchors, each with the distance to the next (0 after the last)."""
     following = F.slice(F.col(found), 2, F.greatest(F.size(found), F.lit(1)))
-    return F.array_distinct(F.zip_with(F.col(found), following, lambda a, b: F.hash(a["hash"], F.coalesce(b["place"] - a["place"], F.lit(0)))))
+    gap = lambda a, b: F.coalesce(F.shiftright(b, 32) - F.shiftright(a, 32), F.lit(0).cast("long"))
+    return F.array_distinct(F.zip_with(F.col(found), following, lambda a, b: F.hash(a.bitwiseAND(F.lit(_LOW)), gap(a, b))))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -115,14 +124,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     both = base.join(heads, "doc_id").select("doc_id", "text", "head", "next_steps")
     alone = every.where("doc_id is null").select("doc_id", "text", F.lit("").alias("head"), F.expr("cast(array() as array<int>)").alias("next_steps"))
     edited = F.expr("concat(left(text, cast(length(text) - length(text) div 2 as int)), left(head, cast(length(text) div 2 as int)))")
-    both = with_anchors(both.union(alone), "text", "found").select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "next_steps", written("found").alias("fingerprint"), steps("found").alias("own_steps"))
-    both = with_anchors(both, "edited", "found").withColumn("edited_steps", steps("found"))
+    both = with_written(with_anchors(both.union(alone), "text", "found"), "found", "fingerprint")
+    both = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "next_steps", "fingerprint", steps("found").alias("own_steps"))
+    both = with_written(with_anchors(both, "edited", "found"), "found", "edited_fingerprint").withColumn("edited_steps", steps("found"))
     return both.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint",
-        written("found").alias("edited_fingerprint"),
+        "edited_fingerprint",
         likeness("own_steps", "edited_steps").alias("near_edited"),
         likeness("own_steps", "next_steps").alias("near_next"),
     )

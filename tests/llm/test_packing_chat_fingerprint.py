@@ -1,6 +1,7 @@
 """Packing, chat formats and fingerprints: round trips and brute force."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -101,6 +102,11 @@ def test_chat(spark, sf_dir):
         assert row.turns_sha256 == sha("".join(f"{r}\n{t}\n" for r, t in turns))
         assert (row.loss_chars, row.loss_sha256) == (len(loss), sha(loss)) and row.formatted_chars == len(row.formatted)
         assert len(row.input_ids) == len(row.loss_mask) == row.n_tokens and sum(row.loss_mask) == row.loss_tokens
+    parts = {r.conv_id: r for r in chat_format.formatted(frame, path, flush=5).collect()}
+    figures = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "formatted")
+    assert all(parts[c][f] == found[c][f] for c in found for f in figures)
+    lost = spark.createDataFrame([(None, 0, "user", "q", "x"), (None, 1, "assistant", "a", "x")], frame.schema)
+    assert [(r.conv_id, r.n_turns, r.loss_chars) for r in chat_format.formatted(lost, path).collect()] == [(None, 2, 1)]
     digest = {r.conv_id: r for r in queries.op7_chat(spark, sf_dir).collect()}
     assert digest[-7].loss_sha256 == sha(hard) and digest[-7].turns_sha256 == sha(f"user\n{hard}\nassistant\n{hard}\n")
     assert chat_format.formatted(frame.limit(0), path).count() == 0
@@ -132,10 +138,10 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprints(frame.limit(0)).count() == 0
 
 
-def hashes(spark, rows):
+def hashes(spark, rows, kind="int"):
     """Spark's hash of each tuple of numbers or strings, by brute force."""
     names = [f"c{i}" for i in range(len(rows[0]))]
-    kinds = ", ".join(f"{n} {'string' if isinstance(v, str) else 'int'}" for n, v in zip(names, rows[0], strict=True))
+    kinds = ", ".join(f"{n} {'string' if isinstance(v, str) else kind}" for n, v in zip(names, rows[0], strict=True))
     frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {kinds}").orderBy("i")
     return [r.h for r in frame.select(F.hash(*names).alias("h")).collect()]
 
@@ -147,7 +153,7 @@ def steps_of(spark, words):
     at = [i for i in range(len(pairs) - inner + 1) if min(pairs[i : i + inner]) in (pairs[i], pairs[i + inner - 1])]
     found = list(zip(at, hashes(spark, [tuple(pairs[i : i + inner]) for i in at]), strict=True))
     gaps = [b - a for (a, _), (b, _) in zip(found, found[1:])] + [0]
-    return found, set(hashes(spark, [(h, g) for (_, h), g in zip(found, gaps, strict=True)]))
+    return found, set(hashes(spark, [(h & 0xFFFFFFFF, g) for (_, h), g in zip(found, gaps, strict=True)], "long"))
 
 
 def test_fingerprints_hold_every_anchor(spark):
@@ -163,7 +169,7 @@ def test_fingerprints_hold_every_anchor(spark):
     own = [steps_of(spark, t) for t in texts]
     for d, (anchors, _) in enumerate(own):
         digest, listed = found[d].fingerprint.split(":")
-        assert digest == sha(listed) and [int(n, 16) for n in listed.split(",")] == [(p << 32) + (h & 0xFFFFFFFF) for p, h in anchors]
+        assert digest == sha(listed) and json.loads(listed) == [(p << 32) + (h & 0xFFFFFFFF) for p, h in anchors]
     for d in range(7):
         a, b = own[d][1], own[d + 1][1]
         assert abs(found[d].near_next - len(a & b) / len(a | b)) < 1e-12
