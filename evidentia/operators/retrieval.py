@@ -15,6 +15,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import query_terms, tokens
+from ..session import spread
 
 K1, B = 1.2, 0.75
 RRF_BASE = 60
@@ -86,7 +87,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", te
     says which documents may be found; the counts are those of all. Documents without a token count nowhere, queries without one find nothing; of queries that repeat an id the terms are one set.
     """
     spark, out = docs.sparkSession, None
-    held = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("t"), (F.lit(True) if only is None else only).alias("only")).where(F.size("t") > 0)
+    held = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (F.lit(True) if only is None else only).alias("only")))
+    held = held.select("doc_id", tokens("text").alias("t"), "only").where(F.size("t") > 0)
     for part in _blocks(queries.where("query_id is not null"), block):
         wanted: dict[str, list] = {}
         names: dict[object, int] = {}
@@ -208,7 +210,7 @@ def holding(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     named = items.where("passage != ''").select("query_id", "passage", longest.alias("word"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     every = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s"))).alias("word"))
     met = every.join(named.where("word is not null").select("query_id", "word"), "word").select("query_id", "doc_id").distinct()
     out = met.join(named.select("query_id", "passage"), "query_id").join(texts, "doc_id").where(F.contains("text", "passage")).select("query_id", "doc_id")

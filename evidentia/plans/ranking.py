@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import rules, text as tx
 from ..operators import awareness, evidence, graph, journal, knowledge, retrieval, search
-from ..session import table
+from ..session import spread, table
 from .registry import query
 from .scans import BM25_SQL, bm25_sql, bm25_top
 
@@ -92,7 +92,7 @@ SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(n AS INTEGER) AS n FROM (SE
 )
 def win_02_best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The richest stretch of each document; only its place and count are shuffled."""
-    pieces = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.spans("text", 200, 200)).alias("s"))
+    pieces = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(tx.spans("text", 200, 200)).alias("s"))
     counted = pieces.select("doc_id", F.col("s.start").alias("start"), F.size(F.array_distinct(tx.tokens("s.piece"))).alias("n"))
     return evidence.latest(counted, ["doc_id"], F.struct("n", -F.col("start"))).select("doc_id", "start", "n")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import rules, text as tx
 from ..operators import evidence, knowledge
-from ..session import table
+from ..session import spread, table
 from .registry import query
 
 
@@ -245,4 +245,4 @@ def win_07_duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY {_NORMAL}) AS first, doc_id <> min(doc_id) OVER (PARTITION BY {_NORMAL}) AS is_duplicate FROM documents")
 def win_07_dup_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.collapsed(table(spark, sf_dir, "documents"), "doc_id", tx.squeezed("text"))
+    return evidence.collapsed(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", tx.squeezed("text"))

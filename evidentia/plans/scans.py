@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import rules, text as tx
 from ..operators import evidence, retrieval
-from ..session import table
+from ..session import spread, table
 from .registry import query
 
 _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -412,7 +412,7 @@ SELECT doc_id, list_sort(list_filter(list_distinct(regexp_extract_all(lower(repl
     + r"""', ' '), t))) AS terms FROM documents"""
 )
 def fn_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sort_array(tx.content_terms("text")).alias("terms"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.sort_array(tx.content_terms("text")).alias("terms"))
 
 
 @query("SELECT doc_id, 'rec_' || substr(sha256('[\"' || source || '\",\"' || doc_id || '\",\"' || coalesce(lang, '') || '\"]'), 1, 24) AS id FROM documents")

@@ -32,3 +32,17 @@ def settled(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes of a table for each core under which a scan may have fewer row groups than there are cores.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it is so small that a few tasks would read it all, for work that costs more than a shuffle.
+
+    What is moved is bounded by the number of cores; a larger table is read as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
