@@ -3,7 +3,7 @@
 A text's features are its distinct n-grams of 3 to 5 characters (code points, A-Z lower-cased), hashed. The ratio of an
 n-gram is log((1 + positives with it) / (sum) : (1 + negatives with it) / (sum)); logistic regression runs on features
 scaled by these ratios. The fit takes a bounded sample of the labelled documents (`max_rows`, the smallest hashes of the
-id; of these the first whose features keep to FIT_FEATURES), in one task; features are found before, in parallel. Its
+id; of these the first whose features keep to FIT_FEATURES), in one task, which holds features and no texts. Its
 result is `2**BITS` weights, a fixed size, which scoring tasks get as a broadcast.
 
 Null and empty texts have no features and get the intercept's score. Whole texts of any length are scored. Rows of null
@@ -27,7 +27,7 @@ GRAMS = (3, 4, 5)
 #: An n-gram counts if its ratio is so many standard errors from 0.
 SURE = 3.0
 #: Features that the fit holds at most, over all documents.
-FIT_FEATURES = 100_000_000
+FIT_FEATURES = 80_000_000
 #: Characters that are looked at together.
 BLOCK = 1 << 20
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -111,22 +111,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     return texts.join(ids, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y")).select("text", "y", "doc_id")
 
 
-def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    mark = np.zeros(1 << BITS, np.int32)
-    for batch in batches:
-        found = [features(data[rows[i] : rows[i + 1]], mark).astype("<i4").tobytes() for first, last, data, rows in text_slices(batch.column(0)) for i in range(last - first)]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2)], names=["found", "y", "h"])
-
-
 def _fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts come in the order of the sample; of each only the features are kept, until they are FIT_FEATURES."""
+    mark = np.zeros(1 << BITS, np.int32)
     found, y, held = [], [], 0
     for batch in batches:
-        for raw, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            at = np.frombuffer(raw.as_py(), "<i4")
-            held += len(at)
-            if held <= FIT_FEATURES:
-                found.append(at)
-                y.append(label)
+        labels = batch.column(1).to_pylist()
+        for first, last, data, rows in text_slices(batch.column(0)):
+            for i in range(last - first):
+                if held < FIT_FEATURES:
+                    found.append(features(data[rows[i] : rows[i + 1]], mark).astype(np.int32))
+                    y.append(labels[first + i])
+                    held += len(found[-1])
     weights, bias = fit(found, np.array(y, np.int64)) if y else (np.zeros(1 << BITS, np.float32), 0.0)
     yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
 
@@ -134,8 +130,7 @@ def _fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 12_000, where=None) -> tuple[np.ndarray, float]:
     """Fit on a bounded sample of labelled rows, in one task; `where` picks the rows that may be learnt from, by doc_id."""
     sample = labelled_sample(docs, labels, label, max_rows, where).select("text", F.col("y").cast("long"), F.xxhash64("doc_id").alias("h"))
-    found = sample.mapInArrow(_featurer, "found binary, y long, h long")
-    row = found.repartition(1).sortWithinPartitions("h").mapInArrow(_fitter, "weights binary, bias double").first()
+    row = sample.repartition(1).sortWithinPartitions("h").mapInArrow(_fitter, "weights binary, bias double").first()
     if row is None:  # nothing is labelled, and Spark skips the task
         return np.zeros(1 << BITS, np.float32), 0.0
     return np.frombuffer(row["weights"], np.float32), row["bias"]
