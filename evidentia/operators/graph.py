@@ -34,6 +34,12 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     return out.groupBy("seed", F.col("at").alias("id")).agg(F.min("hop").alias("hop"))
 
 
+def related(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, other): the other ends of the edges (a, b) that have a seed (id) at either end, each once."""
+    ahead = seeds.join(edges, F.col("id") == F.col("a")).select("id", F.col("b").alias("other"))
+    return ahead.union(seeds.join(edges, F.col("id") == F.col("b")).select("id", "a")).distinct()
+
+
 def typed_hops(edges: DataFrame, seeds: DataFrame, most: int, at, max_edges: int = 200) -> DataFrame:
     """(seed, edge, hop, truncated): the relations (edge, a, b, valid_from, valid_to) that are valid at `at` and lie within
     `most` hops of each seed, met from either end; of a seed the first max_edges by hop and id, truncated telling of more.

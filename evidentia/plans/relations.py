@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import rules, text as tx
-from ..operators import evidence, knowledge
+from ..operators import evidence, graph, knowledge
 from ..session import spread, table
 from .registry import query
 
@@ -55,13 +55,15 @@ def join_08_identity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH e AS (SELECT DISTINCT l_orderkey AS a, l_suppkey AS b FROM lineitem WHERE l_quantity > 45)
-SELECT id, CAST(count(*) AS BIGINT) AS degree FROM (SELECT 'o' || a AS id FROM e UNION ALL SELECT 's' || b AS id FROM e) GROUP BY id"""
+WITH e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_quantity > 45),
+s AS (SELECT 'o' || o_orderkey AS id FROM orders WHERE o_orderkey % 20 = 0 UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_suppkey % 5 = 0)
+SELECT id, other FROM (SELECT id, b AS other FROM s JOIN e ON e.a = s.id UNION SELECT id, a FROM s JOIN e ON e.b = s.id)"""
 )
 def join_11_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations met from either end: a union of two equi-sides in place of an OR."""
-    edges = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
-    return edges.select(F.col("a").alias("id")).union(edges.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
+    """What entities are related to, met from either end: two equi-joins in place of an OR."""
+    edges = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
+    seeds = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("id")).union(table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").select(F.concat(F.lit("s"), "s_suppkey")))
+    return graph.related(edges, seeds)
 
 
 @query(
