@@ -58,6 +58,26 @@ def test_factorisation_identity():
     assert abs(quality.raw_score((0.1, w, v), at, x) - (0.1 + w[at] @ x + pairs)) < 1e-9
 
 
+def test_quality_by_brute_force(spark):
+    """Scores of a small table from the fitted model, with every pair of features summed one by one."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    rows = [(i, ("Fine prose about rivers. " if i % 3 else "BUY $$$ NOW!!! ") * (1 + i % 4) + f"w{i % 7}", int(i % 3 > 0)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    found = {r.doc_id: r.score for r in quality.quality(docs, labels).collect()}
+    order = [r.doc_id for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").collect()]
+    features = dict(zip((i for i, *_ in rows), quality._rows(pa.array([t for _, t, _ in rows])), strict=True))
+    truth = {i: y for i, _, y in rows}
+    given = [(features[i][0].astype("<i4"), features[i][1].astype("<f4")) for i in order]
+    bias, w, v = quality.fit(given, np.array([truth[i] for i in order], np.float64))
+    for i, (at, x) in features.items():
+        pairs = sum(float(v[at[a]] @ v[at[b]]) * x[a] * x[b] for a in range(len(at)) for b in range(a + 1, len(at)))
+        assert abs(found[i] - 1 / (1 + np.exp(-(bias + w[at] @ x + pairs)))) < 1e-4
+    assert all((found[i] >= 0.5) == bool(y) for i, y in truth.items())
+
+
 def test_distinct_grams():
     text = np.frombuffer("Ababab".encode(), np.uint8)
     found = toxicity.features(text, np.zeros(1 << toxicity.BITS, np.int32))
