@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .chat_format import formatted
 from .common import fold_of, table
 from .decontaminate import contaminated
+from .dialogue_repair import audits
 from .fingerprint import fingerprints
 from .language import languages
 from .license_scan import licenses
+from .mixing import mixed
 from .near_dedup import near_duplicates
 from .packing import packed
+from .periodic_runs import periodic_runs
 from .quality import quality
 from .secret_scan import secrets
 from .toxicity import toxicity
@@ -69,6 +72,44 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def damaged_turns(conversations: DataFrame) -> DataFrame:
+    """The rows of op12: (conv_id, turn, role, text, absent); a dropped row stays as one that is absent."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = conversations.select("conv_id", "turn", shown("role").alias("role"), shown("text").alias("text"), (F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")) % 20).alias("kind"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("kind") == 0).alias("absent"), times.alias("copy")).drop("copy")
+
+
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audits(damaged_turns(table(spark, sf_dir, "conversations")))
+
+
+def looped_texts(docs: DataFrame) -> DataFrame:
+    """The texts of op13: a tenth, by a hash of their ids, end in a loop of some of their own words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, F.floor(h / 10)).alias("g"))
+    rows = rows.withColumn("words", F.when(F.col("g").isNotNull(), F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")))
+    rows = rows.withColumn("n", F.size("words")).withColumn("a", (F.col("g") % F.greatest(F.col("n"), F.lit(1))).cast("int"))
+    rows = rows.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    looped = F.expr("array_join(concat(slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, looped).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(looped_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    ahead = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    best = F.aggregate("runs", F.expr("cast(null as struct<start:bigint,length:bigint,period:bigint>)"), ahead)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -87,6 +128,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_fingerprint": op9_fingerprint,
         "op10_secrets": op10_secrets,
+        "op11_mixing": op11_mixing,
+        "op12_dialogue_repair": op12_dialogue_repair,
+        "op13_periodic_runs": op13_periodic_runs,
         "pipeline": pipeline,
     }
 
