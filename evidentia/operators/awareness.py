@@ -6,9 +6,11 @@ come sorted and are streamed; a task holds a few numbers and the events of one o
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 # Groups and characters of a packet and of a background batch.
@@ -20,49 +22,73 @@ def event_chars(payload: str, refs: str):
     return F.greatest(F.lit(500), F.length(payload) + 150 * F.least(F.col(refs), F.lit(8)))
 
 
+class Packing:
+    """The rule of batches, one event after the other: `part` numbers parts, `batch_of` the batches of the closed ones."""
+
+    def __init__(self, cap: int, budget: int):
+        self.cap, self.budget, self.batch_of = cap, budget, []
+        self.whole, self.count, self.chars = None, 0, 0
+        self._restart()
+
+    def _restart(self) -> None:
+        self.batch, self.held, self.used, self.sort = -1, 0, 0, None
+
+    def add(self, key: tuple, size: int) -> int:
+        """The number of the part that an event of group key (consumer, kind..., group) belongs to."""
+        if key != self.whole or (self.count and self.chars + size > self.budget):
+            self.close()
+            if self.whole is None or key[0] != self.whole[0]:
+                self._restart()
+            self.whole = key
+        self.count, self.chars = self.count + 1, self.chars + size
+        return len(self.batch_of)
+
+    def close(self) -> None:
+        """Ends the open part and puts it into the open batch or the next."""
+        if not self.count:
+            return
+        if self.batch < 0 or self.sort != self.whole[1:-1] or self.held + 1 > self.cap or self.used + self.chars > self.budget:
+            self.batch, self.held, self.used, self.sort = self.batch + 1, 0, 0, self.whole[1:-1]
+        self.held, self.used = self.held + 1, self.used + self.chars
+        self.batch_of.append(self.batch)
+        self.count, self.chars = 0, 0
+
+
 def swept(events: DataFrame, consumer: str, kind: list[str], group: str, seq: str, size: str, cap: int, budget: int) -> DataFrame:
     """events with `batch`, a number in the consumer's order of batches.
 
     Groups (kind..., group) come in the order of their first event. A group is cut into parts that keep to the budget; a
     part joins the open batch if both are of one kind and the batch then holds at most cap parts and budget characters.
-    An event over the budget is a part of its own.
+    An event over the budget is a part of its own. The events of one consumer are one sequence and so
+    one task's, which holds no more of them than an Arrow batch and an open part.
     """
     own = [consumer, *kind, group]
     first = F.min(seq).over(Window.partitionBy(*own))
     dealt = events.withColumn("__first", first).repartition(consumer).sortWithinPartitions(consumer, "__first", *kind, group, seq)
     names = list(events.columns)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, whole, part, chars = None, None, [], 0
-        batch, held, used, sort = -1, 0, 0, None
-
-        def close() -> pd.DataFrame | None:
-            nonlocal part, chars, batch, held, used, sort
-            if not part:
-                return None
-            if batch < 0 or sort != whole[1:-1] or held + 1 > cap or used + chars > budget:
-                batch, held, used, sort = batch + 1, 0, 0, whole[1:-1]
-            held, used = held + 1, used + chars
-            out, part, chars = pd.DataFrame(part, columns=names).assign(batch=batch), [], 0
-            return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rule, open_rows = Packing(cap, budget), None
 
-        for frame in frames:
-            done = []
-            for row, key, n in zip(frame[names].itertuples(index=False, name=None), frame[own].itertuples(index=False, name=None), frame[size], strict=True):
-                if key != whole or part and chars + n > budget:
-                    done.append(close())
-                    if key[0] != now:
-                        now, batch, held, used, sort = key[0], -1, 0, 0, None
-                    whole = key
-                part.append(row)
-                chars += n
-            done = [d for d in done if d is not None]
-            if done:
-                yield pd.concat(done)
-        if (last := close()) is not None:
-            yield last
+        def told(rows: pa.Table, parts: list[int]) -> Iterator[pa.RecordBatch]:
+            found = rows.append_column("batch", pa.array([rule.batch_of[p] for p in parts], pa.int64()))
+            yield from found.combine_chunks().to_batches()
 
-    return dealt.mapInPandas(run, T.StructType([*events.schema.fields, T.StructField("batch", T.LongType())]))
+        for held in batches:
+            rows = pa.Table.from_batches([held]).select(names)
+            parts = [rule.add(key, n) for key, n in zip(zip(*(rows.column(c).to_pylist() for c in own), strict=True), rows.column(size).to_pylist(), strict=True)]
+            if open_rows is not None:
+                rows, parts = pa.concat_tables([open_rows[0], rows]), open_rows[1] + parts
+            done = bisect_left(parts, len(rule.batch_of))
+            if done:
+                yield from told(rows.slice(0, done), parts[:done])
+            # Numbers of parts start anew, so that a task's list of them stays short.
+            open_rows, rule.batch_of = (rows.slice(done), [0] * (len(parts) - done)), []
+        rule.close()
+        if open_rows is not None and open_rows[0].num_rows:
+            yield from told(*open_rows)
+
+    return dealt.mapInArrow(run, T.StructType([*events.schema.fields, T.StructField("batch", T.LongType())]))
 
 
 def fitted(groups: DataFrame, by: str, order: str, size: str, most: int, budget: int) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def transitions(log: DataFrame, item: str, order: str, digest: str, metadata: str | None = None) -> DataFrame:
+def transitions(log: DataFrame, item: str, order: str, digest: str, metadata: str | None = None, role: str | None = None, arrival: str | None = None) -> DataFrame:
     """log with kind and the item's transition_version among its real changes.
 
-    kind: created; content_updated where the digest changed; metadata_updated where only `metadata` did; unchanged.
+    kind: created; content_updated where the digest changed; metadata_updated where only `metadata` did; unchanged. With
+    `role` and `arrival` also `refinement`: a fresh arrival of an incremental stream that finds its content stored already,
+    by backfills only, is told as created once more.
     """
     by = Window.partitionBy(item).orderBy(order)
     same = lambda c: F.col(c).eqNullSafe(F.lag(c).over(by))
@@ -16,6 +18,10 @@ def transitions(log: DataFrame, item: str, order: str, digest: str, metadata: st
     if metadata:
         kind = kind.when(~same(metadata), "metadata_updated")
     kinds = log.withColumn("kind", kind.otherwise("unchanged"))
+    if role and arrival:
+        live = F.max(F.coalesce(F.col(role) != "backfill", F.lit(True))).over(by.rowsBetween(Window.unboundedPreceding, -1))
+        fine = (F.col("kind") == "unchanged") & (F.col(arrival) == "fresh") & (F.col(role) == "incremental") & ~live
+        kinds = kinds.withColumn("refinement", F.coalesce(fine, F.lit(False))).withColumn("kind", F.when(F.col("refinement"), "created").otherwise(F.col("kind")))
     return kinds.withColumn("transition_version", F.sum(F.when(F.col("kind") != "unchanged", 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
 
 

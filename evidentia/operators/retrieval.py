@@ -32,12 +32,13 @@ class Best:
     def __init__(self, queries: int, k: int, groups: int = 1):
         self.k, self.groups, self.held, self.size, self.least = k, groups, [[] for _ in range(queries)], [0] * queries, np.full(queries, -np.inf)
 
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """scores: (queries, ids); -inf is no match."""
-        for q in np.flatnonzero(scores.max(axis=1, initial=-np.inf) > -np.inf).tolist():
-            at = np.flatnonzero((scores[q] >= self.least[q]) & (scores[q] > -np.inf))
+    def add(self, ids: np.ndarray, scores: np.ndarray, queries: np.ndarray | None = None) -> None:
+        """scores: (queries, ids), of all queries or those with the numbers given; -inf is no match."""
+        for r in np.flatnonzero(scores.max(axis=1, initial=-np.inf) > -np.inf).tolist():
+            q = r if queries is None else int(queries[r])
+            at = np.flatnonzero((scores[r] >= self.least[q]) & (scores[r] > -np.inf))
             if len(at):
-                self.held[q].append((ids[at], scores[q][at]))
+                self.held[q].append((ids[at], scores[r][at]))
                 self.size[q] += len(at)
                 if self.size[q] > 4 * self.k:
                     self._prune(q)

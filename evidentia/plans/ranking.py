@@ -387,14 +387,38 @@ def str_02_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("conv_id", "turn", "kind", "transition_version", "event_id")
 
 
-@query()
+SWEEP_SQL = """
+WITH RECURSIVE e AS (SELECT user_id, CASE WHEN event_type = 'error' THEN 'next_turn' ELSE 'background' END AS decision, strftime(ts, '%Y-%m-%d 00:00:00') AS grp, event_id,
+ CAST(greatest(500, length(props) + 150 * least(user_id, 8)) AS BIGINT) AS chars, {until} AS until FROM events WHERE event_type <> 'view'),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id, until ORDER BY first, decision, grp, event_id) AS rn FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id, until, decision, grp) AS first FROM e)),
+p AS (SELECT user_id, until, rn, decision, grp, event_id, chars, 0 AS part, chars AS used FROM o WHERE rn = 1
+ UNION ALL SELECT o.user_id, o.until, o.rn, o.decision, o.grp, o.event_id, o.chars,
+  CASE WHEN o.decision = p.decision AND o.grp = p.grp AND p.used + o.chars <= 4000 THEN p.part ELSE p.part + 1 END,
+  CASE WHEN o.decision = p.decision AND o.grp = p.grp AND p.used + o.chars <= 4000 THEN p.used + o.chars ELSE o.chars END
+ FROM p JOIN o ON o.user_id = p.user_id AND o.until = p.until AND o.rn = p.rn + 1),
+t AS (SELECT user_id, until, part, any_value(decision) AS decision, sum(chars) AS size FROM p GROUP BY 1, 2, 3),
+b AS (SELECT user_id, until, part, decision, 0 AS batch, 1 AS held, size AS used FROM t WHERE part = 0
+ UNION ALL SELECT t.user_id, t.until, t.part, t.decision,
+  CASE WHEN t.decision = b.decision AND b.held < 8 AND b.used + t.size <= 4000 THEN b.batch ELSE b.batch + 1 END,
+  CASE WHEN t.decision = b.decision AND b.held < 8 AND b.used + t.size <= 4000 THEN b.held + 1 ELSE 1 END,
+  CASE WHEN t.decision = b.decision AND b.held < 8 AND b.used + t.size <= 4000 THEN b.used + t.size ELSE t.size END
+ FROM b JOIN t ON t.user_id = b.user_id AND t.until = b.until AND t.part = b.part + 1)
+"""
+
+
+def sweep_events(events: DataFrame) -> DataFrame:
+    """Events as the journal's: users are consumers, errors call for the next turn, days are groups."""
+    decision = F.when(F.col("event_type") == "error", "next_turn").otherwise("background")
+    told = events.where("event_type != 'view'").select("user_id", decision.alias("decision"), F.date_trunc("day", "ts").cast("string").alias("grp"), "event_id", awareness.event_chars("props", "user_id").cast("long").alias("chars"), "ts")
+    return told
+
+
+@query(SWEEP_SQL.format(until=0) + "SELECT user_id, p.decision, grp, event_id, chars, CAST(batch AS BIGINT) AS batch FROM p JOIN b USING (user_id, until, part)")
 def str_04_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frozen batches of each consumer (user): groups in order of their first event, cut on the budget and put together while
-    the decision stays the same (tested against brute force).
+    the decision stays the same.
     """
-    events = table(spark, sf_dir, "events").where("event_type != 'view'")
-    decision = F.when(F.col("event_type") == "error", "next_turn").otherwise("background")
-    told = events.select("user_id", decision.alias("decision"), F.date_trunc("day", "ts").cast("string").alias("grp"), "event_id", awareness.event_chars("props", "user_id").cast("long").alias("chars"))
+    told = sweep_events(table(spark, sf_dir, "events")).drop("ts")
     return awareness.swept(told, "user_id", ["decision"], "grp", "event_id", "chars", awareness.PACKET_GROUPS, awareness.PACKET_CHARS)
 
 
