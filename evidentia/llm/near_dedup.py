@@ -2,15 +2,16 @@
 
 Under each of `perms` permutations both the least and the greatest hash of a document's shingle set are kept, so half
 as many hash evaluations make a signature of the same length and variance as one of plain minima. Each band joins two
-minima and two maxima of four different permutations. Documents with equal sets are one class; only its smallest id goes
-on. In a bucket every class is checked against the bucket's smallest id (its pivot) on full sets; these links, over all
-buckets, give first components. Where a pivot's classes still lie in several of them, those apart from the pivot are
-settled against all of the pivot's: what each adds to and drops from the pivot's set gives the exact overlap of two.
-Such checks run in blocks, skip what is in one component already, and return the links that join two.
+minima and two maxima of four different permutations. Documents with equal sets are one class, known by a number of its
+own and shown by one of its rows; only that goes on. In a bucket every class is checked against the bucket's first (its
+pivot) on full sets; these links, over all buckets, give first components. Where a pivot's classes still lie in several of
+them, those apart from the pivot are settled against all of the pivot's: what each adds to and drops from the pivot's set
+gives the exact overlap of two. Such checks run in blocks, skip what is in one component already, and return the links
+that join two. A task holds one side of a block, bounded by rows and by bytes, and streams the other.
 
 Nulls, empty texts and texts without words have an empty set: size 0, linked with nothing, their own component. A null
-id has a null component and counts as kept. Rows that repeat an id give a row each; where their texts differ, that of the
-least hash stands for the id in checks with others. Texts of any length count whole. An empty table gives no rows. Other columns are not read.
+id has a null component and counts as kept. Rows that repeat an id give a row each, and each row's text is compared with
+all others. Texts of any length count whole. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .graph import components
 #: Least and greatest number of rows of either side of a block of pairs, and the number of blocks a side between: so a
 #: row is copied at most BLOCKS times in groups of up to BLOCKS * MOST_BLOCK rows.
 BLOCK, MOST_BLOCK, BLOCKS = 256, 16_384, 64
+#: Bytes of the differences that the held side of a block has, on average.
+BLOCK_BYTES = 64 << 20
 
 
 def _permutations(perms: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +81,8 @@ def _signer(k: int, perms: int, is_word: np.ndarray):
                     low[i], high[i] = min_max(s, a, b)
             bands = pa.array(band_hashes(low, high).view(np.int64).ravel())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (perms // 2)), bands)],
-                names=["id", "n", "d1", "d2", "bands"],
+                [batch.column(0), batch.column(2), pa.array(sizes), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (perms // 2)), bands)],
+                names=["id", "shown", "n", "d1", "d2", "bands"],
             )
 
     return sign
@@ -109,60 +112,71 @@ def _verifier(k: int, num: int, den: int, is_word: np.ndarray):
     return verify
 
 
-def _cell(x: list[tuple], y: list[tuple], num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Links that join what is apart among the rows of two sides of one pivot.
+class _Block:
+    """One side of a block of one pivot's classes, in memory, against which the rows of the other are settled.
 
-    A row: id, size, overlap with the pivot, its size, component, added, dropped. A pair that earlier links join is not
-    looked at again, so a cell gives fewer links than it has rows.
+    A row: number, size, overlap with the pivot, its size, component, added, dropped. A pair that earlier links join is not
+    looked at again, so a block gives fewer links than it has rows.
     """
-    if not x or not y:
-        return
-    home: dict[int, int] = {r[4]: r[4] for r in (*x, *y)}
 
-    def root(node: int) -> int:
+    def __init__(self, num: int, den: int):
+        self.num, self.den, self.rows, self.home, self.ready = num, den, [], {}, False
+
+    def root(self, node: int) -> int:
+        home = self.home
+        home.setdefault(node, node)
         while home[node] != node:
             home[node] = node = home[home[node]]
         return node
 
-    ty = np.concatenate([r[5] for r in y])
-    jy = np.repeat(np.arange(len(y)), [len(r[5]) for r in y])
-    order = np.argsort(ty, kind="stable")
-    ty, jy = ty[order], jy[order]
-    ny, iy = (np.array([r[c] for r in y], np.int64) for c in (1, 2))
-    for r in x:
-        left, count = np.searchsorted(ty, r[5], "left"), np.searchsorted(ty, r[5], "right") - np.searchsorted(ty, r[5], "left")
+    def _index(self) -> None:
+        added = np.concatenate([r[5] for r in self.rows])
+        owner = np.repeat(np.arange(len(self.rows)), [len(r[5]) for r in self.rows])
+        order = np.argsort(added, kind="stable")
+        self.added, self.owner = added[order], owner[order]
+        self.size, self.both = (np.array([r[c] for r in self.rows], np.int64) for c in (1, 2))
+        self.ready = True
+
+    def links(self, r: tuple) -> Iterator[tuple[int, int]]:
+        """The links of one row of the other side that join what is apart."""
+        if not self.rows:
+            return
+        if not self.ready:
+            self._index()
+        left = np.searchsorted(self.added, r[5], "left")
+        count = np.searchsorted(self.added, r[5], "right") - left
         hit = np.flatnonzero(count)
         at = (np.repeat(left[hit] - np.cumsum(count[hit]) + count[hit], count[hit]) + np.arange(count[hit].sum())).astype(np.int64)
-        shared = np.bincount(jy[at], minlength=len(y))
-        for j in np.flatnonzero((np.minimum(iy, r[2]) + shared) * (den + num) >= num * (ny + r[1])):
-            o = y[j]
-            mine, other = root(r[4]), root(o[4])
+        shared = np.bincount(self.owner[at], minlength=len(self.rows))
+        for j in np.flatnonzero((np.minimum(self.both, r[2]) + shared) * (self.den + self.num) >= self.num * (self.size + r[1])):
+            o = self.rows[j]
+            mine, other = self.root(r[4]), self.root(o[4])
             if mine == other:
                 continue
             both = r[3] - len(r[6]) - len(o[6]) + len(np.intersect1d(r[6], o[6], assume_unique=True)) + int(shared[j])
-            if both * (den + num) >= num * (r[1] + o[1]):
-                home[mine] = other
+            if both * (self.den + self.num) >= self.num * (r[1] + o[1]):
+                self.home[mine] = other
                 yield r[0], o[0]
 
 
 def _settler(num: int, den: int):
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches sorted by cell; a cell may go on in the next batch."""
-        key, sides, out = None, ([], []), []
+        """Batches sorted by block, the held side first; a block may go on in the next batch."""
+        key, block = None, None
         for batch in batches:
-            c = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+            c, out = {name: batch.column(name).to_pylist() for name in batch.schema.names if name not in ("added", "dropped")}, []
+            added, dropped = batch.column("added"), batch.column("dropped")
             for i in range(batch.num_rows):
                 now = c["p"][i], c["u"][i], c["v"][i]
                 if now != key:
-                    out.extend(_cell(*sides, num, den))
-                    key, sides = now, ([], [])
-                sides[c["side"][i]].append((c["x"][i], c["nx"][i], c["ix"][i], c["np"][i], c["home"][i], np.frombuffer(c["added"][i], np.uint64), np.frombuffer(c["dropped"][i], np.uint64)))
+                    key, block = now, _Block(num, den)
+                row = (c["x"][i], c["nx"][i], c["ix"][i], c["np"][i], c["home"][i], *(np.frombuffer(d[i].as_py(), np.uint64) for d in (added, dropped)))
+                if c["side"][i] == 0:
+                    block.rows.append(row)
+                else:
+                    out.extend(block.links(row))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*out, strict=True)], names=["a", "b"])
-                out = []
-        out.extend(_cell(*sides, num, den))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*out, strict=True)], names=["a", "b"])
 
     return settle
 
@@ -175,39 +189,48 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[i
     """
     num, den = similarity
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = cut(base.mapInArrow(_signer(shingle_words, perms, is_word), "id long, n long, d1 long, d2 long, bands array<long>"))
-    classes = cut(signed.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
-
-    placed = classes.select("id", F.explode("bands").alias("bucket"))
-    pivots = placed.groupBy("bucket").agg(F.min("id").alias("p"), F.count("*").alias("size")).where("size > 1").select("bucket", "p")
-    stars = cut(placed.join(pivots, "bucket").where("id != p").select(F.col("id").alias("x"), "p").distinct())
-
-    needed = stars.select(F.col("x").alias("id")).union(stars.select(F.col("p").alias("id"))).distinct()
+    base = base.withColumn("shown", F.xxhash64("text"))
+    signed = cut(base.mapInArrow(_signer(shingle_words, perms, is_word), "id long, shown long, n long, d1 long, d2 long, bands array<long>"))
+    # A class is shown by the row of its least id and text hash, and numbered as it is written.
+    classes = signed.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min(F.struct("id", "shown")).alias("r"), F.first("bands").alias("bands"))
+    classes = cut(classes.select("d1", "d2", "r.id", "r.shown", "bands", F.monotonically_increasing_id().alias("key")))
+
+    placed = classes.select("key", F.explode("bands").alias("bucket"))
+    pivots = placed.groupBy("bucket").agg(F.min("key").alias("p"), F.count("*").alias("size")).where("size > 1").select("bucket", "p")
+    stars = cut(placed.join(pivots, "bucket").where("key != p").select(F.col("key").alias("x"), "p").distinct())
+
+    needed = stars.select(F.col("x").alias("key")).union(stars.select(F.col("p").alias("key"))).distinct()
+    named = classes.select("key", "id", "shown").join(needed, "key", "left_semi")
     # Both sides grow with the input, so neither is ever sent whole to the tasks.
-    texts = cut(base.join(needed.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
-    pairs = stars.join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("id").alias("p"), F.col("text").alias("tp")), "p")
+    texts = cut(base.join(named.hint("merge"), ["id", "shown"]).groupBy("key").agg(F.min("text").alias("text")))
+    pairs = stars.join(texts.select(F.col("key").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("key").alias("p"), F.col("text").alias("tp")), "p")
     checked = cut(pairs.select("x", "p", "tx", "tp").mapInArrow(_verifier(shingle_words, num, den, is_word), _PAIR))
 
     linked = checked.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
     first = cut(components(linked))
-    named = lambda key, home: first.select(F.col("id").alias(key), F.col("component_id").alias(home))
-    placed = checked.select("x", "p").join(named("x", "hx"), "x", "left").join(named("p", "hp"), "p", "left")
-    placed = placed.select("x", "p", F.coalesce("hx", "x").alias("home"), (F.coalesce("hx", "x") != F.coalesce("hp", "p")).alias("apart"))
+    at_home = lambda key, home: first.select(F.col("id").alias(key), F.col("component_id").alias(home))
+    placed = checked.select("x", "p", (F.octet_length("added") + F.octet_length("dropped")).alias("bytes")).join(at_home("x", "hx"), "x", "left").join(at_home("p", "hp"), "p", "left")
+    placed = placed.select("x", "p", "bytes", F.coalesce("hx", "x").alias("home"), (F.coalesce("hx", "x") != F.coalesce("hp", "p")).alias("apart"))
     edge = lambda n: F.least(F.greatest(F.ceil(n / BLOCKS), F.lit(BLOCK)), F.lit(MOST_BLOCK))
-    load = placed.groupBy("p").agg(F.count("*").alias("m"), F.count(F.when(F.col("apart"), 1)).alias("s")).where("m > 1 and s > 0")
-    load = load.select("p", F.ceil(F.col("s") / edge(F.col("s"))).alias("us"), F.ceil(F.col("m") / edge(F.col("m"))).alias("vs"))
-    held = checked.drop("linked").join(placed.join(load, "p"), ["x", "p"])
+    apart = lambda c: F.when(F.col("apart"), c)
+    load = placed.groupBy("p").agg(F.count("*").alias("m"), F.count(apart(1)).alias("s"), F.coalesce(F.sum(apart(F.col("bytes"))), F.lit(0)).alias("b")).where("m > 1 and s > 0")
+    load = load.select("p", F.greatest(F.ceil(F.col("s") / edge(F.col("s"))), F.ceil(F.col("b") / BLOCK_BYTES)).alias("us"), F.ceil(F.col("m") / edge(F.col("m"))).alias("vs"))
+    held = checked.drop("linked").join(placed.drop("bytes").join(load, "p"), ["x", "p"])
     block = lambda n, salt: F.pmod(F.xxhash64("x", F.lit(salt)), F.col(n))
     every = lambda n, make: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), make)
     cell = lambda u, v, side: F.struct(u.alias("u"), v.alias("v"), F.lit(side).alias("side"))
     left = F.when(F.col("apart"), every("vs", lambda v: cell(block("us", 0), v, 0)))
     cells = held.withColumn("cell", F.explode(F.concat(F.coalesce(left, F.array()), every("us", lambda u: cell(u, block("vs", 1), 1)))))
     cells = cells.select("p", "cell.u", "cell.v", "cell.side", "x", "nx", "np", "ix", "home", "added", "dropped")
-    links = cells.repartition("p", "u", "v").sortWithinPartitions("p", "u", "v").mapInArrow(_settler(num, den), "a long, b long")
-
-    # What the first components join counts as edges to their least members; the links join these.
-    found = components(first.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(links))
-    home = classes.select("d1", "d2", "id").join(found, "id", "left").select("d1", "d2", F.coalesce("component_id", "id").alias("home"))
+    links = cells.repartition("p", "u", "v").sortWithinPartitions("p", "u", "v", "side").mapInArrow(_settler(num, den), "a long, b long")
+
+    # What the first components join counts as edges to their first members; the links join these. The least id of a
+    # component is looked for among the classes that have a link only.
+    found = cut(components(first.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(links)))
+    found = found.select(F.col("id").alias("key"), F.col("component_id").alias("c"))
+    found = found.union(found.select("c", "c")).distinct().join(classes.select("key", "id"), "key")
+    found = found.join(found.groupBy("c").agg(F.min("id").alias("home")), "c").select("key", "home")
+    home = classes.select("key", "d1", "d2", "id").join(found, "key", "left").select("d1", "d2", F.coalesce("home", "id").alias("home"))
     out = signed.select("id", "n", "d1", "d2").join(home, ["d1", "d2"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("home")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -64,6 +64,50 @@ def test_odd_rows(spark):
     assert near_duplicates(frame.limit(0), 2).count() == 0
 
 
+def brute_rows(rows, k):
+    """As `brute`, but each row is a document of its own: (id, size, component's least id)."""
+    sets = [shingles(t, k) for _, t in rows]
+    home = list(range(len(rows)))
+
+    def root(i):
+        while home[i] != i:
+            i = home[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                home[root(j)] = root(i)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[root(i)] = min(doc, least.get(root(i), doc))
+    return sorted((doc, len(sets[i]), least[root(i)]) for i, (doc, _) in enumerate(rows))
+
+
+def test_ids_with_several_texts(spark):
+    """Each row's text is compared with all others; no link is lost where an id has several."""
+    base = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    rows = [(2, base[0]), (2, base[1]), (10, base[0] + " x"), (1, base[1] + " y"), (-7, base[2]), (2, base[2] + " z"), (30, base[3]), (30, base[3] + " w"), (30, base[4]), (4, base[4] + " v"), (4, base[5]), (4, base[5])]
+    rows += [(50 + i % 5, edited(base[i % 6], i, 2)) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_duplicates(frame, 2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_rows(rows, 2)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+
+
+def test_blocks_bounded_by_bytes(spark, monkeypatch):
+    """With blocks of a few hundred bytes a group is settled in many of them, and gives the same components."""
+    import evidentia.llm.near_dedup as nd
+
+    base = " ".join(f"a{i}" for i in range(40))
+    rows = [(i, edited(base, i, 1 + i % 7)) for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(tuple(r) for r in near_duplicates(frame, 2).collect())
+    monkeypatch.setattr(nd, "BLOCK_BYTES", 400)
+    assert sorted(tuple(r) for r in near_duplicates(frame, 2).collect()) == plain
+    assert {r[0]: (r[1], r[2]) for r in plain} == brute(rows, 2)
+
+
 def test_query_against_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")

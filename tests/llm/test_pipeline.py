@@ -55,3 +55,12 @@ def test_null_and_repeated_ids(spark, sf_dir):
     odd = spark.createDataFrame([(None, "a b", "en", "s", 3), (None, "a b", "en", "s", 3), (10**9, "only this text here now", "en", "s", 3), (10**9, "only this text here now", "en", "s", 3)], docs.schema)
     kept = cp.near_dedup(spark, odd, sf_dir).collect()
     assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 10**9]
+
+
+def test_ids_with_several_texts(spark, sf_dir):
+    """An id's least text stands for it before copies are looked for: none is lost with another text of its id."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, c, "en", "s", 9), (5, c, "en", "s", 9), (5, b, "en", "s", 9), (7, d, None, None, None), (8, c + " more", "en", "s", 9), (9, b, "en", "s", 9), (None, c, "en", "s", 9)]
+    kept = cp.near_dedup(spark, spark.createDataFrame(rows, docs.schema), sf_dir).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, c), (1, c), (5, b), (7, d)]
