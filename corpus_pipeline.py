@@ -3,9 +3,9 @@ benchmark item go, secrets are replaced in the text, and what is left is packed
 
 Each stage takes the documents that its predecessor kept, with the columns doc_id, text, lang, source and n_chars; all
 but the last return these columns and no others, so extra columns, whatever their names, end with the first stage. Rows
-that repeat a doc_id are one document from the second stage on, the least by text, lang, source and n_chars. A document of
-a null doc_id passes the filters that look ids up. Null and empty texts are kept by every filter; texts of any length are
-handled whole. Empty tables give empty ones.
+that repeat a doc_id are one document from the second stage on, the least by text, lang, source and n_chars; copies are
+looked for after that. A document of a null doc_id passes the filters that look ids up. Null and empty texts are kept by
+every filter; texts of any length are handled whole. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -31,10 +31,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    dropped = near_duplicates(docs, shingle_words=5).where("not kept").select("doc_id")
-    known = docs.select(*COLUMNS).where("doc_id is not null").join(dropped, "doc_id", "left_anti")
-    first = known.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
-    return first.select(*COLUMNS).union(docs.select(*COLUMNS).where("doc_id is null"))
+    rows = docs.select(*COLUMNS)
+    # Ids that repeat are looked for by themselves, so that no text moves where there are none.
+    many = cut(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
+    least = rows.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
+    each = rows.join(many, "doc_id", "left_anti").union(least.select(*COLUMNS))
+    dropped = near_duplicates(each, shingle_words=5).where("not kept").select("doc_id")
+    return each.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
