@@ -7,7 +7,8 @@ entropy of a sliding window is kept up by adding the count terms of one characte
 of whose windows reaches its class's bound is a secret, if it mixes letters and digits and the allow-list does not
 suppress it. Of nested ones the longest counts. The allow-list looks at the stretch: what follows a digest or a name with
 "example" is judged on its own. Stretches of letters only must change case as often as random ones do, with more entropy,
-so that words and names in camel case are left alone. The patterns' own findings always stay.
+so that words and names in camel case are left alone. What comes behind the last "example" is judged with and without what
+joins it. The patterns' own findings always stay.
 
 Null and empty texts have no spans. Whole texts of any length are scanned. Spans are in code points, end exclusive.
 Repeated rows give a row each; an empty table gives none. Columns named like those that are made here (MADE) are
@@ -42,15 +43,17 @@ WINDOW = 20
 BOUNDS = {"hex": 3.0, "alnum": 3.8, "base64": 3.8, "letters": 3.95}
 CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+\Z")), ("alnum", re.compile(r"[A-Za-z0-9]+\Z")), ("base64", re.compile(r"")))
 #: Strings that look random and are no secrets: identifiers of content, of rows and of examples.
-ALLOWED = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z|sha(?:1|256|384|512)[-_=]|.*example|/?(?:[a-z]+[0-9]{0,2}[-_/])+[a-z]*[0-9]{0,4}\Z|[0-9+/_=-]+\Z")
+ALLOWED = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z|sha(?:1|256|384|512)[-_=]|.*example|/?(?:[a-z]+[0-9]{0,2}[-_/]+)+[a-z]*[0-9]{0,4}\Z|[0-9+/_=-]+\Z")
 
 #: Listed strings that fill a whole run, and so everything in it.
-WHOLE = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z|/?(?:[a-z]+[0-9]{0,2}[-_/])+[a-z]*[0-9]{0,4}\Z|[0-9+/_=-]+\Z")
+WHOLE = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z|/?(?:[a-z]+[0-9]{0,2}[-_/]+)+[a-z]*[0-9]{0,4}\Z|[0-9+/_=-]+\Z")
 #: A labelled digest, as hex or base64 of its size.
 DIGEST = re.compile("(?i)(?<![a-z0-9])(?:" + "|".join(f"sha{bits}[-_=](?:[0-9a-f]{{{2 * size}}}(?![0-9a-f])|[a-z0-9+/_-]{{1,{-(-size // 3) * 4}}}=*)" for bits, size in ((1, 20), (256, 32), (384, 48), (512, 64))) + ")")
-#: The last name with "example" in a stretch, up to what is joined to it.
-EXAMPLE = re.compile(r"(?i).*example[a-z0-9]*[+/_=-]+")
-JOINT, LETTER, DIGIT = re.compile(r"[+/_=-]*"), re.compile("[A-Za-z]"), re.compile("[0-9]")
+#: Names in camel case, whose words have two letters or more, with short numbers between.
+CAMEL = re.compile(r"[a-z]*(?:[A-Z][a-z]+|[0-9]{1,2})+\Z")
+#: Share of neighbours that count up or down by one, from which a string is a sequence.
+COUNTING = 0.8
+NAME, JOINT, LETTER, DIGIT = re.compile(r"[A-Za-z0-9]*"), re.compile(r"[+/_=-]*"), re.compile("[A-Za-z]"), re.compile("[0-9]")
 STRETCHES = (re.compile(r"[0-9a-fA-F]{20,}"), re.compile(r"[A-Za-z0-9]{20,}"), re.compile(r"[A-Za-z0-9+/_-]{20,}=*"))
 
 MADE = {"n_assign": "long", "n_access": "long", "n_hex": "long", "base_sha256": "string", "spans": "string"}
@@ -94,6 +97,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
+def examples(run: str) -> list[int]:
+    """Where a run goes on behind its last "example": right behind it, and behind the last such name that more is joined to."""
+    low = run.lower()
+    last, joint = low.rfind("example"), max(map(run.rfind, "+/_=-"))
+    found = [last + len("example")] if last >= 0 else []
+    if (before := low.rfind("example", 0, max(joint, 0))) >= 0:
+        found.append(JOINT.match(run, NAME.match(run, before).end()).end())
+    return found
+
+
+def counting(part: str) -> bool:
+    """Whether a string is mostly a sequence such as the alphabet."""
+    steps = sum(abs(ord(b) - ord(a)) == 1 for a, b in zip(part, part[1:]))
+    return steps >= COUNTING * (len(part) - 1)
+
+
 def stretches(run: str) -> Iterator[tuple[int, int]]:
     """Bounds of the candidate strings of a run, the run itself first."""
     yield 0, len(run)
@@ -106,8 +125,7 @@ def stretches(run: str) -> Iterator[tuple[int, int]]:
             if i < 0 or m.end() > digests[i][1]:
                 yield m.span()
     # What follows a digest or an example, up to the next digest.
-    named = EXAMPLE.match(run)
-    for at in sorted({*(b for _, b in digests), *([named.end()] if named else [])}):
+    for at in sorted({*(b for _, b in digests), *examples(run)}):
         i = bisect_right(digests, (at, 0))
         if i and at < digests[i - 1][1]:
             continue
@@ -125,7 +143,7 @@ def entropy_spans(text: str) -> list[tuple[int, int, int]]:
         # A stretch that holds another comes before it.
         for a, b in sorted(set(stretches(run)), key=lambda s: (s[0], -s[1])):
             part = run[a:b]
-            if b <= reach or not (LETTER.search(part) and DIGIT.search(part)) or ALLOWED.match(part):
+            if b <= reach or not (LETTER.search(part) and DIGIT.search(part)) or ALLOWED.match(part) or CAMEL.match(part) or counting(part):
                 continue
             kind = next(name for name, pattern in CLASSES if pattern.match(part))
             if peak_entropy(part) >= BOUNDS[kind]:
