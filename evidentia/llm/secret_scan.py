@@ -49,7 +49,7 @@ ALLOWED = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z|sha(?:1
 WHOLE = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z|/?(?:[a-z]+[0-9]{0,2}[-_/]+)+[a-z]*[0-9]{0,4}\Z|[0-9+/_=-]+\Z")
 #: A labelled digest, as hex or base64 of its size.
 DIGEST = re.compile("(?i)(?<![a-z0-9])(?:" + "|".join(f"sha{bits}[-_=](?:[0-9a-f]{{{2 * size}}}(?![0-9a-f])|[a-z0-9+/_-]{{1,{-(-size // 3) * 4}}}=*)" for bits, size in ((1, 20), (256, 32), (384, 48), (512, 64))) + ")")
-#: Names in camel case, whose words have two letters or more, with short numbers between.
+#: Names in camel case with short numbers between; of four characters three are small letters.
 CAMEL = re.compile(r"[a-z]*(?:[A-Z][a-z]+|[0-9]{1,2})+\Z")
 #: Share of neighbours that count up or down by one, from which a string is a sequence.
 COUNTING = 0.8
@@ -107,6 +107,10 @@ def examples(run: str) -> list[int]:
     return found
 
 
+def camel(part: str) -> bool:
+    return CAMEL.match(part) is not None and 4 * sum(not c.islower() for c in part) <= len(part)
+
+
 def counting(part: str) -> bool:
     """Whether a string is mostly a sequence such as the alphabet."""
     steps = sum(abs(ord(b) - ord(a)) == 1 for a, b in zip(part, part[1:]))
@@ -143,7 +147,7 @@ def entropy_spans(text: str) -> list[tuple[int, int, int]]:
         # A stretch that holds another comes before it.
         for a, b in sorted(set(stretches(run)), key=lambda s: (s[0], -s[1])):
             part = run[a:b]
-            if b <= reach or not (LETTER.search(part) and DIGIT.search(part)) or ALLOWED.match(part) or CAMEL.match(part) or counting(part):
+            if b <= reach or not (LETTER.search(part) and DIGIT.search(part)) or ALLOWED.match(part) or camel(part) or counting(part):
                 continue
             kind = next(name for name, pattern in CLASSES if pattern.match(part))
             if peak_entropy(part) >= BOUNDS[kind]:
