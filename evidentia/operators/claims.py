@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import settled
+
 #: Claims of one record that are shown with it, the newest first.
 PER_RECORD = 30
 
@@ -70,11 +72,15 @@ def bridged(seeds: DataFrame, links: DataFrame, identities: DataFrame, most: int
     """
     from ..functions.rules import valid_at
 
-    held = links.alias("l").join(identities.alias("i"), F.col("l.entity") == F.col("i.account")).where(valid_at(F.col("i.valid_from"), F.col("i.valid_to"), F.col("l.at")))
-    related = held.select("i.person", "l.record").union(links.select(F.col("entity").alias("person"), "record")).distinct()
-    first = related.withColumn("__n", F.row_number().over(Window.partitionBy("person").orderBy("record"))).where(F.col("__n") <= most + 1).select("person", F.col("record").alias("id"), "__n")
-    own = links.select("record", "entity").distinct().withColumn("__d", F.row_number().over(Window.partitionBy("record").orderBy("entity"))).where(F.col("__d") <= degree)
+    own = links.join(seeds.select("record").distinct(), "record", "left_semi").select("record", "entity").distinct().withColumn("__d", F.row_number().over(Window.partitionBy("record").orderBy("entity"))).where(F.col("__d") <= degree)
     owned = seeds.join(own, "record").alias("s").join(identities.alias("i"), F.col("s.entity") == F.col("i.account")).where(F.coalesce(F.col("i.valid_from") <= F.col("s.at"), F.col("i.valid_from").isNull()) & F.coalesce(F.col("s.at") < F.col("i.valid_to"), F.col("i.valid_to").isNull()))
     owned = owned.select("s.query_id", "s.record", "s.entity", "i.person").distinct()
     owned = owned.withColumn("__o", F.row_number().over(Window.partitionBy("query_id", "record", "entity").orderBy("person"))).where(F.col("__o") <= owners).select("query_id", "record", "person").distinct()
+    # Only what the seeds' persons have to do with is looked for.
+    owned = settled(owned)
+    persons = owned.select("person").distinct()
+    theirs = identities.join(persons, "person", "left_semi")
+    held = links.alias("l").join(theirs.alias("i"), F.col("l.entity") == F.col("i.account")).where(valid_at(F.col("i.valid_from"), F.col("i.valid_to"), F.col("l.at")))
+    related = held.select("i.person", "l.record").union(links.select(F.col("entity").alias("person"), "record").join(persons, "person", "left_semi")).distinct()
+    first = related.withColumn("__n", F.row_number().over(Window.partitionBy("person").orderBy("record"))).where(F.col("__n") <= most + 1).select("person", F.col("record").alias("id"), "__n")
     return owned.join(first, "person").where((F.col("id") != F.col("record")) & (F.col("__n") <= most)).select("query_id", F.col("record").alias("from_record"), "id", F.col("person").alias("via"))

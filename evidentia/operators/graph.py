@@ -67,9 +67,10 @@ def _capped(links: DataFrame, by: str, order: list[Column], n: int) -> DataFrame
 
 def expanded(links: DataFrame, records: DataFrame, record_degree: int = RECORD_DEGREE, entity_degree: int = ENTITY_DEGREE) -> DataFrame:
     """(record, met): one step over links (record, entity), with both degrees capped."""
-    links = links.distinct()
-    outward = _capped(links, "record", [F.col("entity")], record_degree).join(records, "record", "left_semi")
-    inward = _capped(links, "entity", [F.desc("record")], entity_degree).withColumnRenamed("record", "met")
+    # Only what is walked over is ranked: both caps are by the very key that the walk comes from.
+    outward = settled(_capped(links.join(records, "record", "left_semi").distinct(), "record", [F.col("entity")], record_degree))
+    near = links.join(outward.select("entity").distinct(), "entity", "left_semi").distinct()
+    inward = _capped(near, "entity", [F.desc("record")], entity_degree).withColumnRenamed("record", "met")
     return outward.join(inward, "entity").where("record != met").select("record", "met").distinct()
 
 
@@ -79,21 +80,26 @@ def diffusion(links: DataFrame, seeds: DataFrame, rounds: int = 2, damping: floa
 
     links (record, entity) is capped to a record's least entities and an entity's newest (greatest) records. Each round
     a record gives its mass in equal shares to its entities, these theirs to the records met, and (1 - damping) of the
-    seeds' share comes back. The walk stays within `rounds` hops of the seeds, so only their neighbourhood is joined, and
-    every query walks apart from the others.
+    seeds' share comes back. The walk stays within `rounds` hops of the seeds, so only their neighbourhood is ranked and
+    joined, and every query walks apart from the others.
     """
-    outward = _capped(links, "record", [F.col("entity")], record_degree)
-    inward = _capped(links, "entity", [F.desc("record")], entity_degree)
+
+    def outward(of: DataFrame) -> DataFrame:
+        return _capped(links.join(of.select("record").distinct(), "record", "left_semi"), "record", [F.col("entity")], record_degree)
+
+    def inward(of: DataFrame) -> DataFrame:
+        return _capped(links.join(of.select("entity").distinct(), "entity", "left_semi"), "entity", [F.desc("record")], entity_degree)
+
     given = seeds.groupBy("query_id", "record").agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("weight"))
     total = given.groupBy("query_id").agg(F.sum("weight").alias("total"))
     start = settled(given.join(total, "query_id").select("query_id", "record", (F.col("weight") / F.col("total")).alias("p")))
     visited = start.select("query_id", "record")
     for _ in range(rounds):
-        met = visited.join(outward, "record").select("query_id", "entity").distinct()
-        visited = settled(visited.union(met.join(inward, "entity").select("query_id", "record")).distinct())
+        met = settled(visited.join(outward(visited), "record").select("query_id", "entity").distinct())
+        visited = settled(visited.union(met.join(inward(met), "entity").select("query_id", "record")).distinct())
     share = lambda by: F.count("*").over(Window.partitionBy("query_id", by))
-    own = settled(visited.join(outward, "record").withColumn("n", share("record")))
-    back = visited.join(inward, "record").join(own.select("query_id", "entity").distinct(), ["query_id", "entity"], "left_semi")
+    own = settled(visited.join(outward(visited), "record").withColumn("n", share("record")))
+    back = visited.join(inward(own), "record").join(own.select("query_id", "entity").distinct(), ["query_id", "entity"], "left_semi")
     back = settled(back.withColumn("n", share("entity")))
     mass = start.select("query_id", "record", F.col("p").alias("mass"))
     for _ in range(rounds):

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import settled
+
 #: Characters of a part of a file.
 PART = 60_000
 
@@ -86,31 +85,29 @@ def evidence_ids(rows: DataFrame, column: str) -> DataFrame:
     """rows with `record_ids`, the distinct ids that the JSON in column holds anywhere, sorted.
 
     Ids stand under record_id, in the lists record_ids and parent_record_ids, in the ids of `episodes`, and in objects that
-    have id, source, source_id and text. The walk is by depth, without recursion; null and broken JSON hold none.
+    have id, source, source_id and text. The walk goes down level by level, a frontier of nodes at a time, as far as the
+    deepest JSON has values; null and broken JSON (repeated keys too) hold none.
     """
-    import json
-
-    whole = {"id", "source", "source_id", "text"}
-
-    def ids(text: str | None) -> list[str]:
-        try:
-            left, found = [json.loads(text)] if text is not None else [], set()
-        except (ValueError, RecursionError):
-            return []
-        while left:
-            node = left.pop()
-            if isinstance(node, list):
-                left.extend(node)
-            elif isinstance(node, dict):
-                left.extend(node.values())
-                lists = [node[k] for k in ("record_ids", "parent_record_ids") if isinstance(node.get(k), list)]
-                named = [e.get("id") for e in node.get("episodes") or [] if isinstance(e, dict)] if isinstance(node.get("episodes"), list) else []
-                one = [node.get("record_id"), node.get("id") if whole <= node.keys() else None]
-                found.update(v for v in (*one, *named, *sum(lists, [])) if isinstance(v, str))
-        return sorted(found)
-
-    def run(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for frame in frames:
-            yield frame.map(ids)
-
-    return rows.withColumn("record_ids", F.pandas_udf(run, "array<string>")(column))
+    spark = rows.sparkSession
+    held = settled(rows.withColumn("__row", F.monotonically_increasing_id()))
+    frontier = held.select("__row", F.lit("").alias("under"), F.try_parse_json(column).alias("node")).where("node is not null")
+    names, found = ("id", "source", "source_id", "text"), None
+    text = lambda node, path: F.when(F.substring(F.to_json(F.try_variant_get(node, path, "variant")), 1, 1) == '"', F.try_variant_get(node, path, "string"))
+    while True:
+        kind = F.substring(F.to_json("node"), 1, 1)
+        nodes = settled(frontier.withColumn("kind", kind).where(F.col("kind").isin("{", "[") | ((F.col("kind") == '"') & F.col("under").isin("record_id", "record_ids[]", "parent_record_ids[]"))))
+        if nodes.isEmpty():
+            break
+        whole = F.lit(True)
+        for name in names:
+            whole = whole & F.try_variant_get("node", f"$.{name}", "variant").isNotNull()
+        one = F.when(F.col("kind") == '"', F.try_variant_get("node", "$", "string")).when((F.col("kind") == "{") & (whole | (F.col("under") == "episodes[]")), text(F.col("node"), "$.id"))
+        told = nodes.select("__row", one.alias("id")).where("id is not null").distinct()
+        found = told if found is None else found.union(told)
+        inner = nodes.where("kind != '\"'").lateralJoin(spark.tvf.variant_explode(F.col("node").outer()))
+        frontier = inner.select("__row", F.coalesce("key", F.concat("under", F.lit("[]"))).alias("under"), F.col("value").alias("node"))
+    none = F.expr("cast(array() as array<string>)")
+    if found is None:
+        return held.drop("__row").withColumn("record_ids", none)
+    each = found.groupBy("__row").agg(F.array_sort(F.collect_set("id")).alias("record_ids"))
+    return held.join(each, "__row", "left").drop("__row").withColumn("record_ids", F.coalesce("record_ids", none))
