@@ -12,6 +12,13 @@ def test_chat_export(spark):
     assert (rows[1].namespace, rows[1].address, rows[0].namespace) == ("phone", "+447700900123", "label:f") and rows[5].error == "no such date"
 
 
+def test_what_is_no_header(spark):
+    lines = ["1.2.24, 9:05 - A: x", "[1.2.24, 9:05", "[1.2.24, 9:05 - y", "1.2.24 9:05:07 am - B: z - z ] -] w", "1.2, 9:05 - A: n", "1.2.24, 9 - A: n", "a.2.24, 9:05 - A: n", "9:05 - A", "[] x", "", "\u200e[1.2.24, 9:05\u202fPM] C: [k] - l"]
+    rows = messages(spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "path string, line_no int, line string")).orderBy("message_no").collect()
+    assert [(r.sender, r.text) for r in rows] == [("A", "\n".join(["x", *lines[1:3]])), ("B", "\n".join(["z - z ] -] w", *lines[4:10]])), ("C", "[k] - l")]
+    assert [str(r.sent_at) for r in rows] == ["2024-02-01 09:05:00", "2024-02-01 09:05:07", "2024-02-01 21:05:00"]
+
+
 def test_clock_changes(spark):
     lines = ["2024-03-31, 02:30 - A: gap", "2024-10-27, 02:30 - A: twice", "2024-07-01, 12:00 AM - A: summer", "2024-01-01, 12:00 - A: winter"]
     frame = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "path string, line_no int, line string")
