@@ -96,6 +96,8 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 
 def levels(rows: DataFrame, place: str, width: int) -> DataFrame:
     """(level, id, parent): bundles of `width` neighbours by place (0 to n - 1), and bundles of these, until one holds all."""
+    if width < 2:
+        raise ValueError("a bundle has two neighbours at least")
     n, level = rows.count(), 0
     out = rows.select(F.lit(0).alias("level"), F.col(place).cast("long").alias("id"), F.expr(f"{place} div {width}").alias("parent"))
     while n > 1:

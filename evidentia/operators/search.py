@@ -14,7 +14,8 @@ GRAPH_SEEDS, GRAPH_WEIGHT, VARIANTS = 6, 0.3, 8
 def channels(records: DataFrame, queries: DataFrame, vectors: DataFrame | None, asked: DataFrame | None, depth: str) -> DataFrame:
     """(query_id, id, channel, rank, similarity): the raw lists of both channels, for each variant of a query."""
     pool = retrieval.POOLS[depth]
-    texts = queries.select((F.col("query_id") * VARIANTS + F.col("variant")).alias("query_id"), "text")
+    few = F.when(F.col("variant").between(0, VARIANTS - 1), F.col("variant")).otherwise(F.raise_error(F.lit(f"variants are numbered from 0 to {VARIANTS - 1}")))
+    texts = queries.select((F.col("query_id") * VARIANTS + few).alias("query_id"), "text")
     words = retrieval.bm25(records, texts, pool, "id", "text").select("query_id", F.col("doc_id").alias("id"), "rank", F.lit(None).cast("double").alias("similarity"))
     split = lambda df, name: df.select(F.expr(f"query_id div {VARIANTS}").alias("query_id"), "id", F.concat(F.lit(f"{name}/"), F.col("query_id") % VARIANTS).alias("channel"), "rank", "similarity")
     out = split(words, "words")

@@ -53,13 +53,13 @@ def src_04_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    bm25_sql("(SELECT d.doc_id, substr(d.text, 1, 500) AS text, true AS eligible FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))")
+    bm25_sql("(SELECT d.doc_id, d.text, true AS eligible FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))")
     + "SELECT item_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 5"
 )
 def src_05_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search among accepted summaries: extracts of documents that passed review."""
+    """Search among accepted summaries: the documents that passed review stand for them."""
     passed = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    summaries = table(spark, sf_dir, "documents").join(passed, "doc_id", "left_semi").select("doc_id", F.substring("text", 1, 500).alias("text"))
+    summaries = table(spark, sf_dir, "documents").join(passed, "doc_id", "left_semi").select("doc_id", "text")
     best = retrieval.bm25(summaries, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 5)
     return best.select(F.col("query_id").alias("item_id"), "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -202,14 +202,14 @@ def win_02_best_vector_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 WITH state AS (SELECT o_custkey, bool_and(o_orderstatus <> 'O') AS done FROM orders GROUP BY 1),
-cover AS (SELECT c_nationkey AS domain, bool_and(coalesce(done, false)) AS covered FROM customer LEFT JOIN state ON o_custkey = c_custkey WHERE c_custkey % 7 = 0 GROUP BY 1),
+cover AS (SELECT c_nationkey AS domain, bool_and(coalesce(done, false)) AS covered FROM customer LEFT JOIN state ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1),
 b AS (SELECT event_id, CAST(user_id % 25 AS INTEGER) AS domain, ['value', 'none', 'all', 'some'][1 + event_id % 4] AS quantifier FROM events)
 SELECT event_id, quantifier = 'value' OR (quantifier IN ('none', 'all') AND coalesce(covered, false)) AS accepted FROM b LEFT JOIN cover USING (domain)"""
 )
 def knw_03_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A belief that speaks of none or all needs its domain's sources complete."""
     states = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("source")).agg(F.when(F.bool_and(F.col("o_orderstatus") != "O"), "complete").otherwise("partial").alias("state"))
-    required = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(F.col("c_nationkey").cast("int").alias("domain"), F.col("c_custkey").alias("source"))
+    required = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").cast("int").alias("domain"), F.col("c_custkey").alias("source"))
     quantifier = F.get(F.array(*map(F.lit, ("value", "none", "all", "some"))), (F.col("event_id") % 4).cast("int"))
     beliefs = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 25).cast("int").alias("domain"), quantifier.alias("quantifier"))
     return cl.gated(beliefs, knowledge.covered(required, states, "domain", "source"), "domain").select("event_id", "accepted")

@@ -62,7 +62,7 @@ def join_16_to_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.to_promote(promoted(spark, sf_dir), done, blocked)
 
 
-_FALLEN = """WITH RECURSIVE seed AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_partkey % 50 IN (SELECT doc_id % 50 FROM labels WHERE toxic = 1 AND doc_id % 50 < 3)),
+_FALLEN = """WITH RECURSIVE seed AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_partkey IN (SELECT doc_id FROM labels WHERE toxic = 1)),
 f(id) AS (SELECT id FROM seed UNION SELECT o.o_orderkey FROM orders o JOIN f ON o.o_orderkey // 3 = f.id AND o.o_orderkey >= 3)"""
 
 
@@ -72,8 +72,8 @@ def rec_02_invalidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     objects = orders.select(F.col("o_orderkey").alias("id"), F.lit("recorded").alias("state"))
     dependencies = orders.where("o_orderkey >= 3").select(F.expr("o_orderkey div 3").alias("parent"), F.col("o_orderkey").alias("child"))
-    cited = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 50).alias("record_id"))
-    retired = table(spark, sf_dir, "labels").where("toxic = 1 and doc_id % 50 < 3").select((F.col("doc_id") % 50).alias("record_id"))
+    cited = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("record_id"))
+    retired = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("record_id"))
     return learning.invalidated(objects, dependencies, cited, retired)
 
 
@@ -145,10 +145,10 @@ def srt_10_earliest_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return due.orderBy("o_orderdate", "o_orderkey").limit(50).select("o_orderkey", F.col("o_orderdate").alias("due_at"))
 
 
-@query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = vec_id AND lang = 'en')")
+@query("SELECT vec_id AS id FROM embeddings WHERE NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = vec_id AND lang = 'en')")
 def set_06_current_less_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"))
-    return table(spark, sf_dir, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("id")).join(new, "id", "left_anti")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")).join(new, "id", "left_anti")
 
 
 @query(

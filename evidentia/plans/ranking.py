@@ -101,12 +101,13 @@ def win_02_best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 WITH l AS (SELECT DISTINCT l_partkey AS entity, l_orderkey AS record FROM lineitem),
 o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY record ORDER BY entity) <= 6), i AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY entity ORDER BY record DESC) <= 16)
-SELECT DISTINCT o.record, i.record AS met FROM o JOIN i USING (entity) WHERE o.record % 10 = 0 AND i.record <> o.record"""
+SELECT DISTINCT o.record, i.record AS met FROM o JOIN i USING (entity) WHERE o.record IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') AND i.record <> o.record"""
 )
 def win_03_degree_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a record meets over its first six entities, each with its sixteen newest records."""
+    """What a record in progress meets over its first six entities, each with its sixteen newest records."""
     links = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_orderkey").alias("record"))
-    return graph.expanded(links, links.where("record % 10 = 0").select("record").distinct())
+    begun = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("record"))
+    return graph.expanded(links, begun)
 
 
 @query(
@@ -334,13 +335,13 @@ def knw_09_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH c AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'claim' WHEN 'purchase' THEN 'ack' ELSE 'retry' END AS command FROM events WHERE event_id % 4 = 0),
+WITH c AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'claim' WHEN 'purchase' THEN 'ack' ELSE 'retry' END AS command FROM events),
 g AS (SELECT user_id, count(*) FILTER (WHERE command = 'claim') AS attempts, min(event_id) FILTER (WHERE command = 'claim') AS f, max(event_id) FILTER (WHERE command = 'claim') AS c, max(event_id) FILTER (WHERE command = 'ack') AS a, max(event_id) FILTER (WHERE command = 'retry') AS r FROM c GROUP BY 1)
 SELECT user_id, attempts, CASE WHEN a > f THEN 'delivered' WHEN attempts >= 3 THEN 'quarantined' WHEN c IS NOT NULL AND (r IS NULL OR c > r) THEN 'leased' ELSE 'pending' END AS state FROM g"""
 )
 def knw_09_event_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     command = F.when(F.col("event_type") == "click", "claim").when(F.col("event_type") == "purchase", "ack").otherwise("retry")
-    log = table(spark, sf_dir, "events").where("event_id % 4 = 0").select("user_id", "event_id", command.alias("command"))
+    log = table(spark, sf_dir, "events").select("user_id", "event_id", command.alias("command"))
     return knowledge.event_states(log, "user_id", "event_id").select("user_id", "attempts", "state")
 
 

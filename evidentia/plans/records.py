@@ -57,12 +57,12 @@ def snk_13_curated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 SELECT '1.0' AS schema_version, 'page' AS source, 'attachment-text:' || sha256(url) AS source_id, '1' AS revision, 'attachment_text' AS kind, CAST(NULL AS VARCHAR) AS occurred_at, '2024-01-01T00:00:00Z' AS observed_at,
- substr(html, 1, 1000) AS text, 'blob://' || sha256(url) AS source_locator, 'derived' AS origin, ['rec_' || page_id] AS parent_record_ids FROM pages"""
+ html AS text, 'blob://' || sha256(url) AS source_locator, 'derived' AS origin, ['rec_' || page_id] AS parent_record_ids FROM pages"""
 )
 def snk_14_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.lit("page").alias("source"), F.lit(None).cast("string").alias("occurred_at"))
     blob = F.sha2(F.col("url").cast("binary"), 256)
-    return records.derived(parents, F.concat(F.lit("rec_"), "page_id"), blob, F.substring("html", 1, 1000), F.lit("2024-01-01T00:00:00Z"))
+    return records.derived(parents, F.concat(F.lit("rec_"), "page_id"), blob, F.col("html"), F.lit("2024-01-01T00:00:00Z"))
 
 
 @query(

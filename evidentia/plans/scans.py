@@ -161,13 +161,13 @@ def src_09_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, CASE WHEN role = 'assistant' THEN CASE WHEN conv_id IN (SELECT vec_id FROM embeddings WHERE label < 5) THEN 'derived' ELSE 'assistant' END ELSE 'source' END AS origin
-FROM conversations WHERE role IN ('user', 'assistant') AND turn % 5 <> 4 AND length(text) <= 2000"""
+FROM conversations WHERE role IN ('user', 'assistant')"""
 )
 def src_20_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A session's messages as records: active ones of two roles, no summaries; what a session with lineage said is derived."""
+    """A session's messages as records: those of two roles; what a session with lineage said is derived."""
     from pyspark.sql import Window
 
-    rows = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant") & (F.col("turn") % 5 != 4) & (F.length("text") <= 2000))
+    rows = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
     lineage = table(spark, sf_dir, "embeddings").where("label < 5").select(F.col("vec_id").alias("conv_id"), F.lit(True).alias("known")).distinct()
     origin = F.when(F.col("role") == "user", "source").when(F.col("known"), "derived").otherwise("assistant")
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long")
