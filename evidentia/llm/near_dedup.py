@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[i
     needed = stars.select(F.col("x").alias("key")).union(stars.select(F.col("p").alias("key"))).distinct()
     named = classes.select("key", "id", "shown").join(needed, "key", "left_semi")
     # Both sides grow with the input, so neither is ever sent whole to the tasks.
-    texts = cut(base.join(named.hint("merge"), ["id", "shown"]).groupBy("key").agg(F.min("text").alias("text")))
+    # Rows lie by (id, shown) after the join, and are grouped there: texts move once.
+    texts = cut(base.join(named.hint("merge"), ["id", "shown"]).groupBy("id", "shown", "key").agg(F.min("text").alias("text")).select("key", "text"))
     pairs = stars.join(texts.select(F.col("key").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("key").alias("p"), F.col("text").alias("tp")), "p")
     checked = cut(pairs.select("x", "p", "tx", "tp").mapInArrow(_verifier(shingle_words, num, den, is_word), _PAIR))
 
