@@ -2,16 +2,17 @@
 
 Texts and benchmark items are word sequences (A-Z lower-cased, split at ASCII punctuation and white space). A document
 holds an item if some stretch of it is within floor(EDITS * words of the item) word edits (insertion, deletion,
-substitution) of the item. Every item-sized window of every whole text is looked at. Since an edit spends at most one
-word, a window with fewer words of the items of its length (each as often as one of them has it) than such an item must
-keep can hold none, and is not looked at further.
+substitution) of the item. Every window of every whole text is looked at.
 
 The allowed share of edits (EDITS) and the recall to be reached (TARGET) are parameters. An item of n words is split into
 ceil((e + 1) / 2) parts, e = floor(EDITS * n), so that one part of any match has at
-most one edit, however long the item. Parts, and the windows of their size in what is left of the texts, are embedded by
-CGK walks: a pointer reads the words one by one and moves on by a random bit of (step, word), so that edit distance
-becomes Hamming distance. Each walk is sampled TABLES times at SAMPLED steps. A window that agrees with a part in any
-sample and has all but one of its words makes a candidate, and the exact edit distance to the whole item settles it.
+most one edit, however long the item. One edit leaves one half of a part as it is, so windows of a part's size in which
+neither half of any part stands (in its place, or one word off) hold no such part; halves are looked up in a hash set.
+The distinct parts, each once however many items have it, and the windows that are left are embedded by CGK walks: a
+pointer reads the words one by one and moves on by a random bit of (step, word), so that edit distance becomes Hamming
+distance. Each walk is sampled TABLES times at SAMPLED steps. A window that agrees with a part in any
+sample and has all but one of its words makes a candidate. Around it, an edit spending at most one word, the item's own
+words must stand often enough; then the exact edit distance to the whole item settles it.
 The walks follow from the size of a part: so many that the worst place and kind of one edit is met with the recall
 TARGET (`part_recall` measures it; WALKS holds the numbers for the parameters' defaults); a match of which several parts
 have at most one edit has as many chances.
@@ -144,40 +145,85 @@ def _index(shared: _Items) -> Index:
 
 
 class Index:
-    """The benchmark's items by length, with their sampled keys."""
+    """The benchmark's items, and the distinct parts of each size with their halves, sampled keys and owners."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], edits: float = EDITS, walks: dict[int, int] = WALKS):
         self.edits, self.walks = edits, walks
-        self.items, self.ids, by_length = [], [], {}
+        self.items, self.ids = [], []
         for item_id, text in dict.fromkeys(items):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             starts, ends, _ = word_spans(raw, np.array([0, len(raw)]), WORD)
             if len(starts):
-                by_length.setdefault(len(starts), []).append(len(self.items))
                 self.items.append(span_hashes(raw, starts, ends))
                 self.ids.append(item_id)
         self.vocabulary = np.unique(np.concatenate([*self.items, np.zeros(0, np.uint64)]))
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
-        self.tables, self.own, parts = {}, {}, {}
-        for n, numbers in by_length.items():
-            words = np.stack([self.items[i] for i in numbers])
-            self.own[n] = np.zeros(len(self.vocabulary) + 1, np.int32)
-            for item in words:
-                code, times = np.unique(np.searchsorted(self.vocabulary, item), return_counts=True)
-                self.own[n][code] = np.maximum(self.own[n][code], times)
-            bounds = part_bounds(n, edits)
+        self.codes = [np.unique(np.searchsorted(self.vocabulary, item), return_counts=True) for item in self.items]
+        self.halves, self.tables, parts = {}, {}, {}
+        for number, item in enumerate(self.items):
+            bounds = part_bounds(len(item), edits).tolist()
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                held = parts.setdefault(int(hi - lo), ([], [], []))
-                held[0].append(words[:, lo:hi])
-                held[1].append(np.array(numbers, np.int64))
-                held[2].append(np.full(len(numbers), lo, np.int64))
-        for size, (words, numbers, places) in parts.items():
-            words = np.concatenate(words)
-            keys = np.stack(list(_keys(words, walks.get(size, 1))))
-            flat, owner = keys.ravel(), np.tile(np.arange(len(words)), len(keys))
-            order = np.argsort(flat, kind="stable")
-            self.tables[size] = flat[order], owner[order], words, np.concatenate(numbers), np.concatenate(places)
+                parts.setdefault(hi - lo, []).append((item[lo:hi], number, lo))
+        for size, held in parts.items():
+            words, number = np.unique(np.stack([h[0] for h in held]), axis=0, return_inverse=True)
+            owner = np.argsort(number.ravel(), kind="stable")
+            owners = np.array([h[1] for h in held])[owner], np.array([h[2] for h in held])[owner], np.cumsum([0, *np.bincount(number.ravel())])
+            cut = self._cut(size)
+            self.halves[size] = tuple(_Set(_runs(half.ravel(), np.arange(len(words)) * half.shape[1], half.shape[1])) for half in (words[:, :cut], words[:, cut:]))
+            keys = [(key[order], order) for key in _keys(words, walks.get(size, 1)) for order in [np.argsort(key, kind="stable")]]
+            self.tables[size] = words, keys, owners
+
+    def _cut(self, size: int) -> int:
+        """Words of a part's first half; a part without edits is all first half."""
+        return size // 2 if size in self.walks else size
+
+    def _windows(self, size: int, words: np.ndarray, known: np.ndarray, row_end: np.ndarray) -> np.ndarray:
+        """Starts of the windows in which half of some part of this size stands: in its place, or one word off after an edit."""
+        cut, total = self._cut(size), len(words)
+        if not cut:
+            return np.arange(total)
+        first, second = self.halves[size]
+
+        def found(half: _Set, length: int) -> np.ndarray:
+            whole = np.flatnonzero(known[np.minimum(np.arange(total) + length, total)] - known[:-1] == length)
+            whole = whole[whole + length <= row_end[whole]]
+            return whole[half.holds(_runs(words, whole, length))]
+
+        starts = found(first, cut)
+        if cut < size:
+            at = found(second, size - cut)
+            row_start = np.concatenate([[0], np.flatnonzero(np.diff(row_end)) + 1])
+            least = row_start[np.searchsorted(row_start, at, "right") - 1]
+            starts = np.unique(np.concatenate([starts, *(np.maximum(at - cut + off, least) for off in (-1, 0, 1))]))
+        return starts
+
+    def _parts(self, size: int, words: np.ndarray, code: np.ndarray, starts: np.ndarray, row_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window's start, part) of all windows that agree with a part in a sample and have all but one of its words, by part."""
+        parts, keys, _ = self.tables[size]
+        total, met = len(words), [np.zeros(0, np.int64)]
+        least, step = size - (size in self.walks), max(1, WINDOW_WORDS // size)
+        for i in range(0, len(starts), step):
+            start = starts[i : i + step]
+            at = start[:, None] + np.arange(size)
+            inside = at < row_end[start][:, None]
+            at = np.minimum(at, total - 1)
+            able = (inside & (code[at] < len(self.vocabulary))).sum(axis=1) >= least
+            start, window = start[able], np.where(inside, words[at], np.uint64(0))[able]
+            if not len(start):
+                continue
+            for key, (table, order) in zip(_keys(window, self.walks.get(size, 1)), keys, strict=True):
+                left, right = np.searchsorted(table, key, "left"), np.searchsorted(table, key, "right")
+                line = np.flatnonzero(right > left)
+                for k in range(0, len(line), 2000):
+                    some = line[k : k + 2000]
+                    many = right[some] - left[some]
+                    which = np.repeat(some, many)
+                    mine = order[np.arange(len(which)) + np.repeat(left[some] - np.cumsum(many) + many, many)]
+                    same = sum((parts[mine, j][:, None] == window[which]).any(axis=1).astype(np.int64) for j in range(size)) >= least
+                    met.append(mine[same] * total + start[which[same]])
+        pairs = np.unique(np.concatenate(met))
+        return pairs % total, pairs // total
 
     def matches(self, words: np.ndarray, first_word: np.ndarray) -> Iterator[tuple[int, int | None, int, int, int, int]]:
         """(row, item, distance, item's words, start, length) in the texts whose words begin at first_word."""
@@ -188,63 +234,80 @@ class Index:
         at = np.minimum(np.searchsorted(self.vocabulary, words[hit]), len(self.vocabulary) - 1)
         code = np.full(total, len(self.vocabulary), np.int32)
         code[hit] = np.where(self.vocabulary[at] == words[hit], at, len(self.vocabulary))
-        sums, order = np.zeros(total + 1, np.int32), np.arange(total)
+        known = np.concatenate([[0], np.cumsum(code < len(self.vocabulary))])
         sizes = np.diff(first_word)
-        row_end = np.repeat(first_word[1:], sizes)
-        seen: dict[tuple[int, int], set[int]] = {}
-        row_of = np.repeat(np.arange(len(sizes)), sizes)
-        near = {size: np.zeros(total + 1, np.int32) for size in self.tables}
-        for n, own in self.own.items():
-            spare, step = int(self.edits * n), max(1, WINDOW_WORDS // n)
-            np.cumsum(own[code] > 0, out=sums[1:])
-            starts = np.flatnonzero(sums[np.minimum(order + n, row_end)] - sums[:-1] >= n - spare)
-            for i in range(0, len(starts), step):
-                part = starts[i : i + step]
-                at = part[:, None] + np.arange(n)
-                held = np.sort(np.where(at < row_end[part][:, None], code[np.minimum(at, total - 1)], len(self.vocabulary)), axis=1)
-                run = np.maximum.accumulate(np.where(np.diff(held, axis=1, prepend=-1) != 0, np.arange(n), 0), axis=1)
-                able = part[(np.arange(n) - run < own[held]).sum(axis=1) >= n - spare]
-                for size in set(np.diff(part_bounds(n, self.edits)).tolist()):
-                    np.add.at(near[size], able, 1)
-                    np.add.at(near[size], np.minimum(able + n + spare, row_end[able]), -1)
-        for size, (flat, owner, parts, numbers, offsets) in self.tables.items():
-            starts = np.flatnonzero(np.cumsum(near[size][:-1]) > 0)
-            least, step = size - (size in self.walks), max(1, WINDOW_WORDS // size)
-            for i in range(0, len(starts), step):
-                part = starts[i : i + step]
-                at = part[:, None] + np.arange(size)
-                inside = at < row_end[part][:, None]
-                at = np.minimum(at, total - 1)
-                able = (inside & (code[at] < len(self.vocabulary))).sum(axis=1) >= least
-                part, window = part[able], np.where(inside, words[at], np.uint64(0))[able]
-                if not len(part):
-                    continue
-                for key in _keys(window, self.walks.get(size, 1)):
-                    left, right = np.searchsorted(flat, key, "left"), np.searchsorted(flat, key, "right")
-                    line = np.flatnonzero(right > left)
-                    for k in range(0, len(line), 2000):
-                        some = line[k : k + 2000]
-                        many = right[some] - left[some]
-                        which = np.repeat(some, many)
-                        mine = owner[np.arange(len(which)) + np.repeat(left[some] - np.cumsum(many) + many, many)]
-                        same = sum((parts[mine, j][:, None] == window[which]).any(axis=1).astype(np.int64) for j in range(size)) >= least
-                        for p, m in zip(part[which[same]].tolist(), mine[same].tolist(), strict=True):
-                            seen.setdefault((int(row_of[p]), int(numbers[m])), set()).add(max(int(first_word[row_of[p]]), p - int(offsets[m])))
-        for (row, item), places in sorted(seen.items()):
+        row_of, row_end = np.repeat(np.arange(len(sizes)), sizes), np.repeat(first_word[1:], sizes)
+        by_item: dict[int, list[np.ndarray]] = {}
+        for size, (_, _, (numbers, offsets, first)) in self.tables.items():
+            windows, parts = self._parts(size, words, code, self._windows(size, words, known, row_end), row_end)
+            bounds = np.flatnonzero(np.diff(parts, prepend=-1, append=-1)).tolist()
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                for k in range(first[parts[lo]], first[parts[lo] + 1]):
+                    by_item.setdefault(int(numbers[k]), []).append((windows[lo:hi], offsets[k]))
+        mine, out = np.zeros(len(self.vocabulary) + 1, bool), []
+        for item, held in by_item.items():
             n = len(self.items[item])
-            spare, found, places = int(self.edits * n), None, sorted(places)
-            lo = hi = None
-            for place in [*places, None]:
-                a, b = (None, None) if place is None else (max(int(first_word[row]), place - spare), min(int(first_word[row + 1]), place + n + spare))
-                if lo is not None and (place is None or a > hi):
-                    d, s, size = best_match(self.items[item], words[lo:hi])
-                    if d <= spare and (found is None or d < found[0]):
-                        found = d, lo + s - int(first_word[row]), size
-                    lo = None
-                if place is not None:
-                    lo, hi = a if lo is None else lo, b
-            if found:
-                yield row, self.ids[item], found[0], n, found[1], found[2]
+            spare, best = int(self.edits * n), {}
+            row = np.concatenate([row_of[w] for w, _ in held])
+            place = np.maximum(np.concatenate([w - offset for w, offset in held]), first_word[row])
+            lo, hi = _merged(np.maximum(place - spare, first_word[row]), np.minimum(place + n + spare, first_word[row + 1]), row)
+            codes, times = self.codes[item]
+            mine[codes] = True
+            lo, hi = _crowded(mine, code, lo, hi, n + spare, n - spare)
+            mine[codes] = False
+            for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+                there = np.sort(code[a:b])
+                have = np.searchsorted(there, codes, "right") - np.searchsorted(there, codes, "left")
+                if np.minimum(have, times).sum() >= n - spare:
+                    d, s, size = best_match(self.items[item], words[a:b])
+                    r = int(row_of[a])
+                    if d <= spare and (r not in best or d < best[r][0]):
+                        best[r] = d, a + s - int(first_word[r]), size
+            out.extend((r, item, *found) for r, found in best.items())
+        for r, item, d, s, size in sorted(out):
+            yield r, self.ids[item], d, len(self.items[item]), s, size
+
+
+def _runs(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the `length` words from each start."""
+    out = np.full(len(starts), length, np.uint64)
+    for j in range(length):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[starts + j])
+    return out
+
+
+class _Set:
+    """A set of hashes, most others told by one look into a bit table."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.bits = np.unique(hashes), np.zeros(1 << 22, bool)
+        self.bits[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        out = self.bits[(hashes >> np.uint64(42)).astype(np.int64)]
+        some = np.flatnonzero(out)
+        out[some] = self.hashes[np.minimum(np.searchsorted(self.hashes, hashes[some]), len(self.hashes) - 1)] == hashes[some]
+        return out
+
+
+def _merged(lo: np.ndarray, hi: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of rows, those that meet in a row put together, in order."""
+    order = np.lexsort((hi, lo, row))
+    lo, hi, row = lo[order], hi[order], row[order]
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (lo[1:] > hi[:-1])]))
+    return lo[new], np.maximum.reduceat(hi, new)
+
+
+def _crowded(mine: np.ndarray, code: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is left of stretches where `width` words have `least` of the marked ones."""
+    sizes = hi - lo
+    at = np.arange(sizes.sum()) + np.repeat(lo - np.cumsum(sizes) + sizes, sizes)
+    end, which = np.repeat(np.cumsum(sizes), sizes), np.repeat(np.arange(len(sizes)), sizes)
+    sums = np.concatenate([[0], np.cumsum(mine[code[at]])])
+    some = np.flatnonzero(sums[np.minimum(np.arange(len(at)) + width, end)] - sums[:-1] >= least)
+    if not len(some):
+        return lo[:0], hi[:0]
+    return _merged(at[some], np.minimum(at[some] + width, hi[which[some]]), which[some])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_items: int = 20_000, max_bytes: int = 16 << 20, edits: float = EDITS, target: float = TARGET) -> DataFrame:

@@ -121,6 +121,40 @@ def test_target_recall_of_parts():
     assert all(part_recall(size, walks) >= TARGET for size, walks in WALKS.items())
 
 
+def zipf(rng, n, words=400):
+    return [rng.choices(range(1, words), [1 / w for w in range(1, words)])[0] * (1 << 40) + 1 for _ in range(n)]
+
+
+def test_common_words_and_many_items():
+    """Thousands of items of the same few common words: all that brute force finds, whatever halves and parts they share."""
+    rng = random.Random(12)
+    items = [zipf(rng, rng.randint(5, 40)) for _ in range(1500)]
+    index = Index([(i, " ".join(f"w{w}" for w in item)) for i, item in enumerate(items)])
+    code = {f"w{w}": h for item, hashes in zip(items, index.items, strict=True) for w, h in zip(item, hashes.tolist(), strict=True)}
+    texts = []
+    for t in range(12):
+        own = [f"w{w}" for w in items[100 * t]]
+        for _ in range(int(EDITS * len(own))):
+            own[rng.randrange(len(own))] = f"w{zipf(rng, 1)[0]}"
+        texts.append([code.get(w, 7) for w in [f"w{v}" for v in zipf(rng, 30)] + own + [f"w{v}" for v in zipf(rng, 30)]])
+    found = {(m[0], m[1]): m[2] for m in index.matches(np.array(sum(texts, []), np.uint64), np.cumsum([0, *map(len, texts)]))}
+    some = range(0, 1500, 10)
+    want = {(t, i): d for t, text in enumerate(texts) for i in some if (d := best_match(index.items[i], np.array(text, np.uint64))[0]) <= int(EDITS * len(index.items[i]))}
+    assert {k: d for k, d in found.items() if k[1] % 10 == 0} == want and {(t, 100 * t) for t in range(12)} <= set(want)
+
+
+def test_a_template_of_all_items():
+    """Parts that 2,000 items share are kept once, and only items whose own words stand there are aligned."""
+    rng = random.Random(13)
+    shared = " ".join(f"t{rng.getrandbits(30)}" for _ in range(40))
+    items = [(i, shared + " " + " ".join(f"w{rng.getrandbits(40)}" for _ in range(40))) for i in range(2000)]
+    index = Index(items)
+    assert sum(len(words) for words, _, _ in index.tables.values()) < 2000 * 5 + 10
+    texts = [index.items[3][:40].tolist() + [1, 2, 3], index.items[5].tolist(), index.items[9][:40].tolist() * 200]
+    found = list(index.matches(np.array(sum(texts, []), np.uint64), np.cumsum([0, *map(len, texts)])))
+    assert found == [(1, 5, 0, 80, 0, 80)]
+
+
 def test_place_of_a_match():
     item, text = np.array([1, 2, 3, 4], np.uint64), np.array([9, 9, 1, 2, 7, 3, 4, 9, 1, 2, 3, 4], np.uint64)
     assert best_match(item, text) == (0, 8, 4)
