@@ -6,6 +6,8 @@ expression after it is read from the text itself, turned into postfix form (WITH
 evaluated: its licences become labels, each once, with the exception that WITH gives it. Tag lines are read whole and
 AND and OR are not multiplied out, so an expression of any length costs time in proportion. What is no known identifier
 counts as a licence only if it looks like one (a digit or hyphen in it, or LicenseRef-); NONE and NOASSERTION name none.
+Sentences that several licences share label a text only together with another that tells which one it is. Several
+licences in a text are all named, with no order or preference among them.
 
 The score is the chance that some finding is right, 1 - product of (1 - trust), over distinct kinds of findings. Null
 and empty texts have no words and score 0. Whole texts of any length are scanned. Repeated rows give a row each; an empty
@@ -73,17 +75,13 @@ NOTICES = {
     "open database license": "odbl",
     "open government licence": "ogl",
     "open software license": "osl",
-    "permission is hereby granted free of charge": "mit",
-    "permission to use copy modify and or distribute this software": "isc",
     "postgresql license": "postgresql",
     "public domain dedication": "public-domain",
     "python software foundation license": "psf",
-    "redistribution and use in source and binary forms": "bsd",
     "released into the public domain": "public-domain",
     "server side public license": "sspl",
     "sil open font license": "ofl",
     "sleepycat license": "sleepycat",
-    "the software is provided as is without warranty of any kind": "mit",
     "the unlicense": "unlicense",
     "this is free and unencumbered software": "unlicense",
     "university of illinois ncsa open source license": "ncsa",
@@ -92,6 +90,34 @@ NOTICES = {
     "zlib license": "zlib",
     "zope public license": "zpl",
 }
+# Sentences that several licences share, which name one only where all of a row stand in a text.
+SHARED = (
+    (
+        "bsd",
+        "redistribution and use in source and binary forms",
+        "provided by the copyright holders and contributors as is",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms",
+        "provided by the regents and contributors as is",
+    ),
+    (
+        "bsl",
+        "permission is hereby granted free of charge",
+        "machine executable object code generated by a source language processor",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software",
+        "the above copyright notice and this permission notice appear in all copies",
+    ),
+    (
+        "mit",
+        "permission is hereby granted free of charge",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ),
+)
 # Identifiers of licences, in lower case.
 IDENTIFIERS = frozenset(
     (
@@ -196,7 +222,8 @@ def _automaton():
 
     found = ahocorasick.Automaton()
     every: dict[str, list[tuple[str, str]]] = {}
-    for kind, phrases in (("base", BASE), ("notice", NOTICES), ("tag", {TAG: ""})):
+    shared = {phrase: phrase for _, *phrases in SHARED for phrase in phrases}
+    for kind, phrases in (("base", BASE), ("notice", NOTICES), ("shared", shared), ("tag", {TAG: ""})):
         for phrase, label in phrases.items():
             every.setdefault(phrase, []).append((kind, label))
     for phrase, means in every.items():
@@ -209,18 +236,25 @@ def scan(text: bytes, automaton) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score, expression)."""
     words = text.translate(_SPACED).split()
     spaced = f" {b' '.join(words).decode()} "
-    base, labels, kinds, expression = [], set(), set(), None
+    base, labels, kinds, shared, expression = [], set(), set(), set(), None
     seen = counted = 0
     starts = sorted(((end + 1 - size, means) for end, (size, means) in automaton.iter(spaced)), key=lambda s: s[0])
     for start, means in starts:
         seen += spaced.count(" ", counted, start)
         counted = start
         for kind, label in means:
+            if kind == "shared":
+                shared.add(label)
+                continue
             kinds.add(kind)
             if kind == "base":
                 base.append((seen, label))
             if label:
                 labels.add(label)
+    for label, *phrases in SHARED:
+        if shared.issuperset(phrases):
+            kinds.add("notice")
+            labels.add(label)
     if "tag" in kinds:
         kinds.discard("tag")
         for m in TAG_TEXT.finditer(text.decode()):

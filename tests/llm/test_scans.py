@@ -36,6 +36,37 @@ def test_license_base(spark, sf_dir):
     assert license_scan.licenses(frame.limit(0)).count() == 0
 
 
+def plain_labels(text):
+    """Labels of notices and shared sentences by looking for each as words."""
+    spaced = " " + " ".join(WORD.findall(lower(text))) + " "
+    has = lambda phrase: f" {phrase} " in spaced
+    labels = {label for held in (license_scan.BASE, license_scan.NOTICES) for phrase, label in held.items() if has(phrase)}
+    return ",".join(sorted(labels | {label for label, *phrases in license_scan.SHARED if all(map(has, phrases))}))
+
+
+def test_shared_sentences():
+    free, warranty = "Permission is hereby granted, free of charge, to any person", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.'
+    mit = free + ". The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + warranty
+    boost = "Boost Software License - Version 1.0. " + free + " ... machine-executable object code generated by a source language processor. " + warranty
+    bsd = 'Redistribution and use in source and binary forms ... THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"'
+    texts = {free: "", warranty: "", mit: "mit", boost: "bsl", bsd: "bsd", bsd[:60]: "", mit + boost: "bsl,mit", "Permission to use, copy, modify, and/or distribute this software": ""}
+    automaton = license_scan._automaton()
+    for text, labels in texts.items():
+        row = license_scan.scan(text.encode(), automaton)
+        assert row[5] == labels == plain_labels(text) and (row[6] > 0) == bool(labels)
+
+
+def test_notices_by_plain_search(spark, sf_dir):
+    rng = random.Random(8)
+    phrases = [*license_scan.BASE, *license_scan.NOTICES, *(p for _, *held in license_scan.SHARED for p in held)]
+    texts = [" ".join(rng.choices([*phrases, "the", "license", "cc", "by", "nc", "gnu"], k=rng.randint(0, 9))).title() for _ in range(400)]
+    automaton = license_scan._automaton()
+    assert [license_scan.scan(t.encode(), automaton)[5] for t in texts] == [plain_labels(t) for t in texts]
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if "spdx" not in lower(r.text)}
+    found = {r.doc_id: r.labels for r in queries.op2_licenses(spark, sf_dir).collect()}
+    assert {d: found[d] for d in docs} == {d: plain_labels(t) for d, t in docs.items()}
+
+
 def test_expressions():
     assert license_scan.postfix("MIT OR Apache-2.0 AND GPL-2.0-only WITH X-exception") == ["mit", "apache-2.0", "gpl-2.0-only", "x-exception", "with", "and", "or"]
     assert license_scan.postfix("(MIT or BSD-3) and ISC") == ["mit", "bsd-3", "or", "isc", "and"]
