@@ -137,3 +137,33 @@ def test_cells_kept_up(spark, tmp_path):
     assert len(index.centroids()) == 5
     with pytest.raises(ValueError):
         cells.Cells(spark, str(tmp_path / "e")).build(frame([]))
+
+
+def test_progressive_recall(spark):
+    """Stages search only for queries that are not done; later finds lead, equal texts are told once, the budget cuts."""
+    from evidentia.operators import recall
+
+    lists = {
+        "fast": {(1, 0): [10, 11], (2, 0): [20], (4, 0): [12]},
+        "balanced": {(1, 0): [10, 11], (1, 1): [12, 13], (2, 0): [20], (4, 0): [12], (4, 1): [14]},
+        "deep": {(1, 0): [10, 11], (1, 1): [12, 13], (1, 2): [15, 17], (4, 0): [12], (4, 1): [14]},
+    }
+    records = [(10, "x" * 40), (11, "same  text"), (12, "same text "), (13, "y" * 30), (14, ""), (15, None), (20, "z" * 200), (20_000, "never found")]
+    queries = [(1, "one; two ? one"), (2, "alone"), (3, ""), (4, "a\nb"), (5, None)]
+    counted = []
+
+    def find(asked, depth):
+        rows = [(r.query_id, r.variant) for r in asked.collect()]
+        counted.append((depth, sorted(rows)))
+        held = [(q, v, i, k) for q, v in rows for k, i in enumerate(lists[depth].get((q, v), []), 1)]
+        return spark.createDataFrame(held, "query_id long, variant int, id long, rank int")
+
+    told, last = recall.progressive(spark.createDataFrame(queries, "query_id long, text string"), find, spark.createDataFrame(records, "id long, text string"), limit=4, budget=75, shown=50)
+    rows = sorted((r.query_id, r.place, r.id, r.chars, tuple(r.duplicates)) for r in told.collect())
+    # Query 1: the last stage finds 10, 12, 15 and 11, the one before 13 as well; 15 has no text, 11 is 12 again, 13 is cut.
+    assert rows == [(1, 1, 10, 40, ()), (1, 2, 12, 10, (11,)), (1, 3, 13, 25, ()), (2, 1, 20, 50, ()), (4, 1, 12, 10, ())]
+    assert {r.query_id: (r.rounds, r.reason) for r in last.collect()} == {1: (3, "call_budget"), 2: (2, "no_new_candidates"), 3: (2, "no_new_candidates"), 4: (3, "no_new_candidates"), 5: (2, "no_new_candidates")}
+    assert [(d, sorted({q for q, _ in a})) for d, a in counted] == [("fast", [1, 2, 3, 4, 5]), ("balanced", [1, 2, 3, 4, 5]), ("deep", [1, 4])]
+    assert [a for _, a in counted][1] == [(1, 0), (1, 1), (1, 2), (2, 0), (3, 0), (4, 0), (4, 1), (4, 2), (5, 0)]
+    told, last = recall.progressive(spark.createDataFrame(queries[:0], "query_id long, text string"), find, spark.createDataFrame(records, "id long, text string"))
+    assert told.count() == 0 and last.count() == 0
