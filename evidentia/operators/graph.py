@@ -65,13 +65,20 @@ def _capped(links: DataFrame, by: str, order: list[Column], n: int) -> DataFrame
     return links.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
 
 
-def expanded(links: DataFrame, records: DataFrame, record_degree: int = RECORD_DEGREE, entity_degree: int = ENTITY_DEGREE) -> DataFrame:
-    """(record, met): one step over links (record, entity), with both degrees capped."""
-    # Only what is walked over is ranked: both caps are by the very key that the walk comes from.
-    outward = settled(_capped(links.join(records, "record", "left_semi").distinct(), "record", [F.col("entity")], record_degree))
-    near = links.join(outward.select("entity").distinct(), "entity", "left_semi").distinct()
-    inward = _capped(near, "entity", [F.desc("record")], entity_degree).withColumnRenamed("record", "met")
-    return outward.join(inward, "entity").where("record != met").select("record", "met").distinct()
+def expanded(links: DataFrame, records: DataFrame | None = None, record_degree: int = RECORD_DEGREE, entity_degree: int = ENTITY_DEGREE) -> DataFrame:
+    """(record, met): one step over links (record, entity) from the records, all where none are named, with both degrees capped."""
+    links = links.select("record", "entity").where("record is not null and entity is not null").distinct()
+    named = links if records is None else links.join(records, "record", "left_semi")
+    outward = _capped(named, "record", [F.col("entity")], record_degree)
+    near = links
+    if records is not None:
+        # Only what is walked over is ranked: both caps are by the very key that the walk comes from.
+        outward = settled(outward)
+        near = links.join(outward.select("entity").distinct(), "entity", "left_semi")
+    inward = _capped(near, "entity", [F.desc("record")], entity_degree).groupBy("entity").agg(F.collect_list("record").alias("met"))
+    # What an entity leads to moves as one list, entity_degree long at most; a record gathers record_degree of them.
+    met = outward.join(inward, "entity").groupBy("record").agg(F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"))
+    return met.select("record", F.explode("met").alias("met")).where("record != met")
 
 
 def diffusion(links: DataFrame, seeds: DataFrame, rounds: int = 2, damping: float = DAMPING, record_degree: int = RECORD_DEGREE, entity_degree: int = ENTITY_DEGREE) -> DataFrame:

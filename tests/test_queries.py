@@ -66,6 +66,27 @@ def test_sweep_brute_force(spark, sf_dir):
     assert awareness.swept(frame.limit(0), "c", ["d"], "g", "n", "size", 8, 4000).count() == 0
 
 
+def test_every_record_is_walked_from(spark, tmp_path):
+    import random
+
+    from evidentia.operators import graph
+
+    rng = random.Random(7)
+    links = [(record, rng.randrange(30)) for record in range(60) for _ in range(rng.randrange(12))]  # with repeats
+    links += [(record, 99) for record in range(0, 60, 2)] + [(60, entity) for entity in range(30)] + [(61, 500), (61, None), (None, 99)]
+    links += [(62, entity) for entity in (None, 1, 2, 3, 4, 5, 98)] + [(63, 98)]  # no entity takes no place among the first six
+    spark.createDataFrame(links, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(record, "FOP"[record % 3]) for record in range(64)], "o_orderkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    real = {link for link in links if None not in link}
+    first = lambda record: sorted(e for r, e in real if r == record)[:6]
+    newest = lambda entity: sorted((r for r, e in real if e == entity), reverse=True)[:16]
+    want = sorted({(r, met) for r in range(64) for e in first(r) for met in newest(e) if met != r})
+    assert {r % 3 for r, _ in want} == {0, 1, 2} and (62, 63) in want
+    assert sorted(map(tuple, QUERIES["win_03_degree_caps"](spark, str(tmp_path)).select("record", "met").collect())) == want
+    some = graph.expanded(spark.createDataFrame(links, "record long, entity long"), spark.createDataFrame([(60,), (8,), (8,), (None,)], "record long"))
+    assert sorted(map(tuple, some.collect())) == [pair for pair in want if pair[0] in (8, 60)]
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 
