@@ -47,18 +47,28 @@ def typed_hops(edges: DataFrame, seeds: DataFrame, most: int, at, max_edges: int
     if not (1 <= most <= 3 and 1 <= max_edges <= 200):
         raise ValueError("hops must be from 1 to 3 and edges from 1 to 200")
     valid = edges.where(valid_at(F.col("valid_from"), F.col("valid_to"), at)).select("edge", "a", "b")
-    both = valid.union(valid.select("edge", F.col("b").alias("a"), F.col("a").alias("b")))
-    layer, out = seeds.select(F.col("id").alias("seed"), F.col("id").alias("at")).distinct(), None
+    ends = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+    both = valid.select("edge", F.col("edge").isNull().alias("__unknown"), F.inline(F.array(ends("a", "b"), ends("b", "a")))).where("a is not null")
+    # An entity's first max_edges + 1 relations are enough: a seed that met n of them before wants max_edges + 1 - n more at
+    # most. A seed that has more than max_edges goes no further, and one that goes on has met every relation of its entities.
+    place = F.dense_rank().over(Window.partitionBy("a").orderBy("__unknown", "edge"))
+    near = both.withColumn("__n", place).where(F.col("__n") <= max_edges + 1)
+    near = near.withColumn("__e", F.struct("__unknown", "edge")).groupBy("a").agg(F.sort_array(F.collect_set("__e")).alias("edges"), F.collect_set("b").alias("ends"))
+    near = settled(near.withColumn("edges", F.col("edges.edge")))
+    kind = f"array<struct<edge:{valid.schema['edge'].dataType.simpleString()},hop:int>>"
+    reached = seeds.select(F.col("id").alias("seed")).where("id is not null").distinct().select("seed", F.array("seed").alias("ends"), F.array().cast(kind).alias("kept"))
     for hop in range(1, most + 1):
-        met = layer.join(both, F.col("at") == F.col("a"))
-        found = met.select("seed", "edge", F.lit(hop).alias("hop"))
-        out = found if out is None else out.union(found)
-        layer = met.select("seed", F.col("b").alias("at")).distinct()
-    first = out.groupBy("seed", "edge").agg(F.min("hop").alias("hop"))
-    by = Window.partitionBy("seed").orderBy("hop", "edge")
-    kept = first.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= max_edges + 1)
-    more = F.max("__n").over(Window.partitionBy("seed")) > max_edges
-    return kept.withColumn("truncated", more).where(F.col("__n") <= max_edges).drop("__n")
+        layer = reached.where(F.size("kept") <= max_edges).select("seed", F.explode("ends").alias("a"))
+        every = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+        further = every("ends") if hop < most else F.lit(None)
+        met = layer.join(near, "a").groupBy("seed").agg(F.sort_array(every("edges")).alias("met"), further.alias("__ends"))
+        met = met.withColumn("met", F.concat(F.array_compact("met"), F.filter("met", lambda e: e.isNull())))  # an unknown one is last
+        new = F.slice(F.array_except(F.coalesce("met", F.array().cast(met.schema["met"].dataType)), "kept.edge"), F.lit(1), max_edges + 1 - F.size("kept"))
+        told = F.concat("kept", F.transform(new, lambda e: F.struct(e.alias("edge"), F.lit(hop).alias("hop"))))
+        reached = reached.join(met, "seed", "left").select("seed", F.col("__ends").alias("ends"), told.alias("kept"))
+        reached = settled(reached) if hop < most else reached
+    first = reached.select("seed", F.explode(F.slice("kept", 1, max_edges)).alias("e"), (F.size("kept") > max_edges).alias("truncated"))
+    return first.select("seed", "e.edge", "e.hop", "truncated")
 
 
 def _capped(links: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:

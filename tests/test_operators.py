@@ -132,3 +132,40 @@ def test_branches_take_turns(spark):
     now = F.to_timestamp(F.lit("2024-01-02 00:00:00"))
     free = lambda s, t: spark.range(1).select(recall.claimable(F.lit(s), F.to_timestamp(F.lit(t).cast("string")), now).alias("v")).first()["v"]
     assert free("pending", None) and free("leased", "2024-01-01 00:00:00") and not free("leased", "2024-01-03 00:00:00") and not free("complete", None)
+
+
+def test_typed_hops_brute_force(spark):
+    """Busy entities, repeated and looped relations and unknown ids, in any number of hops."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(60), 7, 7]), rng.choice("pqrstuvw"), rng.choice([None, *"xyzpq"])) for _ in range(90)]
+    edges = spark.createDataFrame(rows, "edge long, a string, b string").selectExpr("*", "timestamp(null) AS valid_from", "timestamp(null) AS valid_to")
+    seeds = spark.createDataFrame([(s,) for s in "ppqrxz?"] + [(None,)], "id string")
+    near = {(a, e, b) for e, a, b in rows if a} | {(b, e, a) for e, a, b in rows if b}
+    for most, cap in ((1, 3), (2, 20), (3, 20), (3, 200)):
+        want = set()
+        for seed in "pqrxz":
+            layer, hop_of = {seed}, {}
+            for hop in range(1, most + 1):
+                met = [(e, b) for a, e, b in near if a in layer]
+                for e, _ in met:
+                    hop_of.setdefault(e, hop)
+                layer = {b for _, b in met if b}
+            ranked = sorted(hop_of, key=lambda e: (hop_of[e], e is None, e or 0))
+            want |= {(seed, e, hop_of[e], len(ranked) > cap) for e in ranked[:cap]}
+        found = graph.typed_hops(edges, seeds, most, F.expr("TIMESTAMP '2024-01-10'"), cap).collect()
+        assert len(found) == len(want) and {tuple(r) for r in found} == want
+
+
+def test_typed_hops_through_a_busy_entity(spark):
+    """2,000 seeds that share an entity of 40,000 relations do not meet each of them: that would be 80 million pairs."""
+    import time
+
+    edges = spark.range(40_000).selectExpr("id AS edge", "concat('u', id) AS a", "'hub' AS b", "timestamp(null) AS valid_from", "timestamp(null) AS valid_to")
+    seeds = spark.range(0, 40_000, 20).selectExpr("concat('u', id) AS id")
+    began = time.monotonic()
+    found = graph.typed_hops(edges, seeds, 2, F.expr("TIMESTAMP '2024-01-10'")).groupBy("seed").agg(F.count("*").alias("n"), F.sum("edge").alias("total"), F.min_by("edge", "hop").alias("own"), F.bool_and("truncated").alias("truncated")).collect()
+    assert time.monotonic() - began < 30
+    assert len(found) == 2000 and all(r.n == 200 and r.truncated and r.seed == f"u{r.own}" for r in found)
+    assert all(r.total == (sum(range(200)) if r.own < 200 else sum(range(199)) + r.own) for r in found)
