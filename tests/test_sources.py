@@ -55,3 +55,34 @@ def test_mailbox(spark, tmp_path):
     (tmp_path / "a.mbox").write_text(text)
     rows = {r.subject: r for r in mailbox(spark, str(tmp_path / "a.mbox")).collect()}
     assert rows["one"].body.strip() == "From here" and rows["one"].senders == ["a@x.org"] and rows["two"].body == "x\ny"
+
+
+ODD_PAGES = [
+    "a &amp b &ampc &lt;i&gt; &eacute; &#65; &nbsp; &AMP; &amp;lt; &amp;amp; &amp;quot; &quot;&copy &middot;", "<a title='x>y'>z</a><br alt=\"p>q\">r", "x &amp",
+    "<script a='>'>b</script >c<SCRIPT>d</Script>e<ſcript>f</ſcript>g", "<scriptä>h</script>i<scripty>j</scripty>k", "<style>l</styleä>m", "<pä>n<pre>o</pre><p_>p<P>q<DIV>r<Lı>s",
+    "\x0b t \x0b", " u ", "v  ", "w \u0085", "\t\f\r\n x\n\n", "<!-- y", "z<!--a-->b<!--c--->d-->", "e<!doctype>f<?x?>g<!h", "1 < 2 > 3 <4> </> <b", "<p", "", None, "&" * 50 + "amp;",
+    "i\r\nj\rk", "<style>never", "<ſtyle>l</STYLE>m", "From x\n.\n\n--b\nContent-Type: text/plain\n\nn", "\ufeffo \x00p", "q" + " " * 50_000 + "r",
+]
+
+
+def _pages(spark, folder):
+    spark.createDataFrame(list(enumerate(ODD_PAGES)), "page_id long, html string").selectExpr("page_id", "concat('u', page_id) AS url", "html").coalesce(1).write.parquet(str(folder / "x"))
+    next((folder / "x").glob("*.parquet")).rename(folder / "pages.parquet")
+    return str(folder)
+
+
+def _against_sql(spark, folder, name):
+    from evidentia.plans import ORACLES, QUERIES
+
+    from oracle import connection
+
+    want = connection(folder).sql(ORACLES[name])
+    found = {r.page_id: tuple(r[c] for c in want.columns) for r in QUERIES[name](spark, folder).collect()}
+    rows = want.fetchall()
+    assert len(rows) == len(found)
+    for row in rows:
+        assert found[row[0]] == row
+
+
+def test_html_text_as_in_sql(spark, tmp_path):
+    _against_sql(spark, _pages(spark, tmp_path), "src_13_html_text")
