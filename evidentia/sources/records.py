@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import email
 import email.policy
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from email.utils import getaddresses, parsedate_to_datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schema import RECORD, instant, validated
 from .html import plain
@@ -40,7 +40,9 @@ def typed_lines(lines: DataFrame, line: str) -> DataFrame:
     return _typed(lines.select(F.from_csv(line, MEASUREMENT).alias("r")).select("r.*"))
 
 
-def _mail(path: str, raw: bytes) -> tuple:
+def _mail(path: str, raw: bytes | None) -> tuple:
+    if raw is None:
+        return path, None, None, None, [], [], None, False, [], "no content"
     try:
         message = email.message_from_bytes(raw, policy=email.policy.default)
         sent = parsedate_to_datetime(message["Date"]) if message["Date"] else None
@@ -55,21 +57,24 @@ def _mail(path: str, raw: bytes) -> tuple:
         return path, None, None, None, [], [], None, False, [], type(why).__name__
 
 
-def parsed_mails(raw: DataFrame) -> DataFrame:
-    """Mails of (path, content): headers and people in Python on Arrow batches, HTML bodies by expressions."""
+def parsed_mails(raw: DataFrame, text: Callable[[Column], Column] = plain) -> DataFrame:
+    """Mails of (path, content): headers and people in Python on Arrow batches, HTML bodies by expressions; other columns stay."""
+    kept = [f for f in raw.schema.fields if f.name not in ("path", "content")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in _MAIL.split(", ")]
         for frame in batches:
-            yield pd.DataFrame([_mail(p, bytes(c)) for p, c in zip(frame["path"], frame["content"], strict=True)], columns=names)
+            read = pd.DataFrame([_mail(p, None if c is None else bytes(c)) for p, c in zip(frame["path"], frame["content"], strict=True)], columns=names)
+            yield read.assign(**{f.name: frame[f.name].array for f in kept})
 
-    found = raw.select("path", "content").mapInPandas(run, _MAIL)
-    return found.withColumn("body", F.when(F.col("marked"), plain(F.col("body"))).otherwise(F.col("body"))).drop("marked")
+    schema = ", ".join([_MAIL, *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)])
+    found = raw.select("path", "content", *(f.name for f in kept)).mapInPandas(run, schema)
+    return found.withColumn("body", F.when(F.col("marked"), text(F.col("body"))).otherwise(F.col("body"))).drop("marked")
 
 
 def mails(spark: SparkSession, path: str) -> DataFrame:
     """One row for each mail file: headers, plain text (else the HTML's), people and attachments; error where it can't be read."""
-    return parsed_mails(spark.read.format("binaryFile").load(path))
+    return parsed_mails(spark.read.format("binaryFile").load(path).select("path", "content"))
 
 
 def mailbox(spark: SparkSession, path: str) -> DataFrame:

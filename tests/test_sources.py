@@ -65,8 +65,8 @@ ODD_PAGES = [
 ]
 
 
-def _pages(spark, folder):
-    spark.createDataFrame(list(enumerate(ODD_PAGES)), "page_id long, html string").selectExpr("page_id", "concat('u', page_id) AS url", "html").coalesce(1).write.parquet(str(folder / "x"))
+def _pages(spark, folder, more=()):
+    spark.createDataFrame([*enumerate(ODD_PAGES), *more], "page_id long, html string").selectExpr("page_id", "concat('u', page_id) AS url", "html").coalesce(1).write.parquet(str(folder / "x"))
     next((folder / "x").glob("*.parquet")).rename(folder / "pages.parquet")
     return str(folder)
 
@@ -86,3 +86,7 @@ def _against_sql(spark, folder, name):
 
 def test_html_text_as_in_sql(spark, tmp_path):
     _against_sql(spark, _pages(spark, tmp_path), "src_13_html_text")
+
+
+def test_mails_as_in_sql(spark, tmp_path):
+    _against_sql(spark, _pages(spark, tmp_path, [(None, "<p>no number")]), "src_09_mails")
