@@ -241,8 +241,8 @@ _NORMAL = r"trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))"
 
 @query(f"SELECT first, list_sort(list(doc_id) FILTER (WHERE doc_id <> first)) AS duplicates FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {_NORMAL}) AS first FROM documents) GROUP BY first HAVING count(*) > 1")
 def win_07_duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ids that a record stands for, in lists of a thousand at most by group; the rest of a large group is counted on in more rows."""
-    return evidence.duplicate_lists(table(spark, sf_dir, "documents"), "doc_id", tx.squeezed("text")).select("first", "duplicates")
+    """The ids that a record stands for, all in one list by group."""
+    return evidence.duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", tx.squeezed("text"))
 
 
 @query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY {_NORMAL}) AS first, doc_id <> min(doc_id) OVER (PARTITION BY {_NORMAL}) AS is_duplicate FROM documents")

@@ -87,6 +87,18 @@ def test_every_record_is_walked_from(spark, tmp_path):
     assert sorted(map(tuple, some.collect())) == [pair for pair in want if pair[0] in (8, 60)]
 
 
+def test_large_groups_of_duplicates_are_one_list(spark, tmp_path):
+    """A group over a thousand, an id of several texts, repeated ids alone, and texts and ids that are null."""
+    docs = [(i, "same  text") for i in range(3000)] + [(9000, " same text\n"), (1, "other"), (9001, "other"), (9002, "x"), (9002, "x"), (9003, "y")]
+    docs += [(9004, None), (9005, None), (None, "z"), (None, "z"), (None, "same text"), (9006, "w"), (None, "w"), (9007, "v"), (9007, "u"), (0, "t"), (9008, "t"), (9009, "\x0b"), (9010, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "x"))
+    next((tmp_path / "x").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    want = {first: others for first, others in connection(tmp_path).sql(ORACLES["win_07_duplicate_ids"]).fetchall()}
+    found = QUERIES["win_07_duplicate_ids"](spark, str(tmp_path)).collect()
+    assert len(found) == len(want) and {r["first"]: r.duplicates for r in found} == want
+    assert len(want[0]) == 3001 and want[9002] is None and None in want and want[9004] == [9005]
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 
